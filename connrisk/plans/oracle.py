@@ -127,3 +127,222 @@ def with_ctes(*ctes: str) -> str:
 ORACLE: dict[str, str] = {}
 
 ORACLE["replay_detector"] = with_ctes(BAG_EVENTS, DETECTOR) + "SELECT * FROM incidents"
+
+SINCE = f"(TIMESTAMP '{AS_OF}' - INTERVAL {LOOKBACK_MIN} MINUTE)"
+AS_OF_TS = f"TIMESTAMP '{AS_OF}'"
+ISO = "'%Y-%m-%dT%H:%M:%S.%gZ'"
+RANK = rank_sql("event_type")
+
+
+def _latest(fields: str) -> str:
+    return f"max({{'t': event_time, 'rank': {RANK}, 'id': event_id, {fields}}})"
+
+
+def _bool(col: str) -> str:
+    return f"CASE WHEN {col} THEN 'true' ELSE 'false' END"
+
+
+INCIDENT_ROWS = f"""
+incident_rows AS (
+  SELECT incident_id, bag_tag_id, incident_type, detected_at, outbound_flight_id,
+         airport_code, transfer_zone,
+         CAST(CASE WHEN seconds_to_departure >= 0 THEN ceil(seconds_to_departure / 60.0)
+                   ELSE floor(seconds_to_departure / 60.0) END AS INTEGER) AS minutes_to_departure,
+         last_scan_type, last_scan_location,
+         '{{"connection_departure_time":"' || strftime(connection_departure_time, {ISO})
+           || '","last_scan_time":"' || strftime(last_scan_time, {ISO})
+           || '","observed_context":{{"aircraft_loaded":' || {_bool('aircraft_loaded')}
+           || ',"makeup_area_reached":' || {_bool('makeup_area_reached')}
+           || '}},"seconds_to_departure":' || seconds_to_departure || '}}' AS context_json
+  FROM incidents
+)"""
+
+TIMELINE = """
+timeline AS (
+  SELECT event_id, bag_tag_id, passenger_id, itinerary_id, inbound_flight_id,
+         outbound_flight_id, airport_code, event_type, event_time, scan_location,
+         transfer_zone, current_gate, connection_departure_time, scheduled_departure_time,
+         estimated_departure_time, inbound_arrival_time, bag_status, priority_code,
+         coalesce(json_extract_string(metadata_json, '$.scheduled_inbound_arrival_time'), '')
+           AS scheduled_inbound_arrival_time,
+         coalesce(TRY_CAST(json_extract(metadata_json, '$.inbound_delay_minutes') AS BIGINT), 0)
+           AS inbound_delay_minutes,
+         coalesce(json_extract_string(metadata_json, '$.baggage_system_status'), '')
+           AS baggage_system_status,
+         row_number() OVER (PARTITION BY bag_tag_id ORDER BY event_time, event_id) AS position
+  FROM bag_events
+  QUALIFY position <= 500
+)"""
+
+ORACLE["latest_scan"] = with_ctes(BAG_EVENTS, DETECTOR) + """
+SELECT bag_tag_id, s.type AS last_event_type, make_timestamp(s.t * 1000) AS last_scan_time,
+       coalesce(s.loc, '') AS last_scan_location
+FROM (SELECT bag_tag_id, max(scan) AS s FROM det_prep GROUP BY bag_tag_id)"""
+
+ORACLE["latest_context"] = with_ctes(BAG_EVENTS) + f"""
+SELECT bag_tag_id, c.t AS context_event_time, c.airport_code, c.outbound_flight_id,
+       c.transfer_zone, c.connection_departure_time, c.estimated_departure_time,
+       coalesce(c.estimated_departure_time, c.connection_departure_time) AS effective_departure_time
+FROM (SELECT bag_tag_id, max({{'t': event_time, 'id': event_id,
+        'airport_code': trim(airport_code), 'outbound_flight_id': trim(outbound_flight_id),
+        'transfer_zone': trim(transfer_zone),
+        'connection_departure_time': connection_departure_time,
+        'estimated_departure_time': estimated_departure_time}}) AS c
+      FROM bag_events WHERE {VALID_EVENT} GROUP BY bag_tag_id)"""
+
+ORACLE["bag_timeline"] = with_ctes(BAG_EVENTS, TIMELINE) + "SELECT * FROM timeline"
+
+ORACLE["evidence_projection"] = with_ctes(BAG_EVENTS, TIMELINE) + """
+SELECT event_id, bag_tag_id, outbound_flight_id, airport_code, event_type, event_time,
+       scan_location, transfer_zone, current_gate, connection_departure_time,
+       scheduled_departure_time, estimated_departure_time, inbound_arrival_time,
+       bag_status, priority_code, scheduled_inbound_arrival_time, inbound_delay_minutes,
+       baggage_system_status, position
+FROM timeline"""
+
+ORACLE["recent_risks"] = with_ctes(BAG_EVENTS, DETECTOR, INCIDENT_ROWS) + f"""
+SELECT *, row_number() OVER (PARTITION BY airport_code
+                             ORDER BY detected_at DESC, incident_id DESC) AS position
+FROM incident_rows WHERE detected_at >= {SINCE}
+QUALIFY position <= 500"""
+
+def _progress(keys: str, part: str, where: str, limit: int) -> str:
+    latest = _latest("'event_type': event_type, 'scan_location': scan_location, "
+                     "'transfer_zone': transfer_zone, 'bag_status': bag_status")
+    return f"""
+SELECT {keys}, r.event_type AS last_event_type, r.t AS last_event_time,
+       r.scan_location AS last_scan_location, r.transfer_zone, r.bag_status,
+       row_number() OVER (PARTITION BY {part} ORDER BY r.t DESC, bag_tag_id) AS position
+FROM (SELECT {keys}, {latest} AS r FROM bag_events {where} GROUP BY {keys})
+QUALIFY position <= {limit}"""
+
+
+ORACLE["connection_peers"] = with_ctes(BAG_EVENTS) + _progress(
+    "outbound_flight_id, airport_code, bag_tag_id", "outbound_flight_id, airport_code",
+    f"WHERE event_time >= {SINCE}", 1000)
+
+ORACLE["flight_bag_progress"] = with_ctes(BAG_EVENTS) + _progress(
+    "outbound_flight_id, bag_tag_id", "outbound_flight_id", "", 2000)
+
+ORACLE["transfer_zone_health"] = with_ctes(BAG_EVENTS) + f"""
+SELECT airport_code, transfer_zone, event_type, count(*) AS event_count,
+       count(DISTINCT bag_tag_id) AS bag_count, max(event_time) AS last_event_time
+FROM bag_events WHERE event_time >= {SINCE}
+GROUP BY airport_code, transfer_zone, event_type"""
+
+def _bag_rollup(where: str) -> str:
+    return f"""
+  SELECT airport_code, bag_tag_id, {_latest("'z': transfer_zone")}.z AS transfer_zone,
+         count_if(event_type = 'TRANSFER_ARRIVED') AS arrivals,
+         count_if(event_type = 'CONNECTING_AIRCRAFT_LOADED') AS connection_load_events,
+         min(event_time) FILTER (WHERE event_type = 'TRANSFER_ARRIVED') AS transfer_arrived_at,
+         min(event_time) FILTER (WHERE event_type = 'CONNECTING_AIRCRAFT_LOADED') AS loaded_at,
+         max(connection_departure_time) AS connection_departure
+  FROM bag_events WHERE {where}
+  GROUP BY airport_code, bag_tag_id"""
+
+
+ORACLE["transfer_progression_by_zone"] = with_ctes(BAG_EVENTS) + f"""
+SELECT airport_code, transfer_zone, count(*) AS completed_bags,
+       round_even(avg(d) / 60, 2) AS average_progression_minutes,
+       round_even(list_sort(list(d))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1] / 60, 2)
+         AS median_progression_minutes
+FROM (SELECT *, CAST(floor(epoch(loaded_at)) AS BIGINT) - CAST(floor(epoch(transfer_arrived_at)) AS BIGINT) AS d
+      FROM ({_bag_rollup(f"event_time >= {SINCE}")})
+      WHERE arrivals > 0 AND connection_load_events > 0)
+GROUP BY airport_code, transfer_zone"""
+
+_DEP_WINDOW = f"connection_departure_time >= {SINCE} AND connection_departure_time <= {AS_OF_TS}"
+
+ORACLE["risk_frequency_by_zone"] = with_ctes(BAG_EVENTS) + f"""
+SELECT airport_code, transfer_zone, count(*) AS transfer_bags,
+       count_if(connection_load_events = 0) AS bags_without_connection_load,
+       round_even(count_if(connection_load_events = 0) * 100.0::DOUBLE / count(*), 2)
+         AS risk_frequency_percent
+FROM ({_bag_rollup(_DEP_WINDOW)}) WHERE arrivals > 0
+GROUP BY airport_code, transfer_zone"""
+
+ORACLE["connection_success_rate"] = with_ctes(BAG_EVENTS) + f"""
+SELECT airport_code,
+       make_timestamp(CAST(floor(epoch(connection_departure) / {WINDOW_MIN * 60}) AS BIGINT)
+                      * {WINDOW_MIN * 60} * 1000000) AS window_start,
+       count(*) AS transfer_bags, count_if(connection_load_events > 0) AS connected_bags,
+       round_even(count_if(connection_load_events > 0) * 100.0::DOUBLE / count(*), 2)
+         AS connection_success_percent
+FROM ({_bag_rollup(_DEP_WINDOW)}) WHERE arrivals > 0
+GROUP BY ALL"""
+
+STALLED = """
+stalled AS (
+  SELECT bag_tag_id, first_sorter.t AS first_sorter_scan_time,
+         first_sorter.zone AS sorter_transfer_zone, event_count
+  FROM (SELECT bag_tag_id,
+               min({'t': event_time, 'id': event_id, 'zone': transfer_zone})
+                 FILTER (WHERE event_type = 'TRANSFER_SORTER_SCAN') AS first_sorter,
+               count_if(event_type = 'CONNECTING_AIRCRAFT_LOADED') AS loads,
+               count(*) AS event_count
+        FROM bag_events GROUP BY bag_tag_id)
+  WHERE first_sorter IS NOT NULL AND loads = 0
+)"""
+
+ORACLE["stalled_bags"] = with_ctes(BAG_EVENTS, STALLED) + "SELECT * FROM stalled"
+
+ORACLE["stall_clusters"] = with_ctes(BAG_EVENTS, STALLED) + """
+SELECT sorter_transfer_zone AS transfer_zone,
+       make_timestamp(CAST(floor(epoch(first_sorter_scan_time) / 600) AS BIGINT) * 600 * 1000000)
+         AS bucket_start,
+       count(DISTINCT bag_tag_id) AS stalled_bags
+FROM stalled GROUP BY ALL HAVING count(DISTINCT bag_tag_id) >= 3"""
+
+ORACLE["risk_candidates"] = with_ctes(BAG_EVENTS) + """
+SELECT bag_tag_id, r.outbound_flight_id, r.airport_code,
+       bag_tag_id || '-' || r.outbound_flight_id || '-BAG_CONNECTION_RISK' AS incident_id
+FROM (SELECT bag_tag_id, max({'t': event_time, 'id': event_id,
+        'outbound_flight_id': outbound_flight_id, 'airport_code': airport_code}) AS r
+      FROM bag_events WHERE json_extract_string(metadata_json, '$.expected_risk_signal') = 'true'
+      GROUP BY bag_tag_id)"""
+
+ORACLE["journey_summary"] = with_ctes(BAG_EVENTS) + """
+SELECT b.*, d.* FROM
+ (SELECT count(*) AS journey_count, CAST(sum(n) AS BIGINT) AS event_count,
+         count_if(connected) AS connected_bags,
+         round_even(count_if(connected) * 100.0::DOUBLE / count(*), 2) AS connection_success_percent
+  FROM (SELECT bag_tag_id, count(*) AS n,
+               bool_or(event_type = 'CONNECTING_AIRCRAFT_LOADED') AS connected
+        FROM bag_events GROUP BY bag_tag_id)) b,
+ (SELECT count(DISTINCT inbound_flight_id) AS inbound_flights,
+         count(DISTINCT outbound_flight_id) AS outbound_flights,
+         count(DISTINCT transfer_zone) AS transfer_zones, count(DISTINCT current_gate) AS gates,
+         min(coalesce(TRY_CAST(json_extract(metadata_json, '$.planned_connection_minutes') AS BIGINT), 0))
+           AS connection_duration_min_minutes,
+         max(coalesce(TRY_CAST(json_extract(metadata_json, '$.planned_connection_minutes') AS BIGINT), 0))
+           AS connection_duration_max_minutes
+  FROM bag_events) d"""
+
+ORACLE["bag_journeys"] = with_ctes(BAG_EVENTS) + """
+SELECT bag_tag_id, row_number() OVER (PARTITION BY bag_tag_id ORDER BY event_time, event_id) AS position,
+       event_time, event_id, event_type, scan_location
+FROM bag_events"""
+
+_STAGES = ", ".join(
+    f"({i + 1}, '{name}', '{label}')" for i, (name, label) in enumerate(
+        __import__("connrisk.schemas", fromlist=["JOURNEY_STAGES"]).JOURNEY_STAGES))
+
+ORACLE["journey_stages"] = with_ctes(BAG_EVENTS) + f"""
+SELECT b.bag_tag_id, s.stage_order, s.stage, s.label,
+       CASE WHEN e.t IS NOT NULL THEN 'COMPLETE' ELSE 'PENDING' END AS state, e.t AS event_time
+FROM (SELECT DISTINCT bag_tag_id FROM bag_events) b
+CROSS JOIN (VALUES {_STAGES}) s(stage_order, stage, label)
+LEFT JOIN (SELECT bag_tag_id, event_type, max({{'t': event_time, 'id': event_id}}).t AS t
+           FROM bag_events GROUP BY bag_tag_id, event_type) e
+  ON e.bag_tag_id = b.bag_tag_id AND e.event_type = s.stage"""
+
+ORACLE["risk_scope_counts"] = with_ctes(BAG_EVENTS, DETECTOR, INCIDENT_ROWS) + """
+SELECT CASE GROUPING(airport_code, outbound_flight_id, transfer_zone)
+         WHEN 1 THEN 'FLIGHT' WHEN 0 THEN 'FLIGHT_ZONE' ELSE 'ZONE' END AS scope,
+       airport_code, outbound_flight_id, transfer_zone,
+       count(DISTINCT bag_tag_id) AS risk_bags, count(DISTINCT incident_id) AS risk_incidents
+FROM incident_rows
+GROUP BY GROUPING SETS ((airport_code, outbound_flight_id),
+                        (airport_code, outbound_flight_id, transfer_zone),
+                        (airport_code, transfer_zone))"""

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from connrisk.operators import detector
+from connrisk.operators import catalogue as cat
+from connrisk.operators import detector, ingest
 from connrisk.plans import oracle as O
 from connrisk.session import ensure_utc
 from connrisk.sources.driver_tables import bag_events
@@ -57,3 +58,108 @@ def incidents_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_replay_detector(spark, sf_dir):
     """Flagship: incidents from a replay of the whole event table."""
     return incidents_contract(spark, sf_dir)
+
+
+def incidents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """risk_incidents rows: detector contract -> wire JSON form -> table."""
+    wire = detector.incidents_as_json(incidents_contract(spark, sf_dir))
+    return ingest.normalize_incidents(wire).drop("reasons")
+
+
+@register("latest_scan")
+def q_latest_scan(spark, sf_dir):
+    return detector.latest_scan(bag_events(spark, sf_dir))
+
+
+@register("latest_context")
+def q_latest_context(spark, sf_dir):
+    return detector.latest_context(bag_events(spark, sf_dir))
+
+
+# --- B / C: query catalogue ----------------------------------------------------
+
+@register("bag_timeline")
+def q_bag_timeline(spark, sf_dir):
+    return cat.bag_timeline(bag_events(spark, sf_dir))
+
+
+@register("evidence_projection")
+def q_evidence_projection(spark, sf_dir):
+    return cat.evidence_projection(cat.bag_timeline(bag_events(spark, sf_dir)))
+
+
+@register("recent_risks")
+def q_recent_risks(spark, sf_dir):
+    return cat.recent_risks(incidents_table(spark, sf_dir), as_of=O.AS_OF,
+                            lookback_minutes=O.LOOKBACK_MIN)
+
+
+@register("connection_peers")
+def q_connection_peers(spark, sf_dir):
+    return cat.connection_peers(bag_events(spark, sf_dir), as_of=O.AS_OF,
+                                lookback_minutes=O.LOOKBACK_MIN)
+
+
+@register("flight_bag_progress")
+def q_flight_bag_progress(spark, sf_dir):
+    return cat.flight_bag_progress(bag_events(spark, sf_dir))
+
+
+@register("transfer_zone_health")
+def q_transfer_zone_health(spark, sf_dir):
+    return cat.transfer_zone_health(bag_events(spark, sf_dir), as_of=O.AS_OF,
+                                    lookback_minutes=O.LOOKBACK_MIN)
+
+
+@register("transfer_progression_by_zone")
+def q_transfer_progression_by_zone(spark, sf_dir):
+    return cat.transfer_progression_by_zone(bag_events(spark, sf_dir), as_of=O.AS_OF,
+                                            lookback_minutes=O.LOOKBACK_MIN)
+
+
+@register("risk_frequency_by_zone")
+def q_risk_frequency_by_zone(spark, sf_dir):
+    return cat.risk_frequency_by_zone(bag_events(spark, sf_dir), as_of=O.AS_OF,
+                                      lookback_minutes=O.LOOKBACK_MIN)
+
+
+@register("connection_success_rate")
+def q_connection_success_rate(spark, sf_dir):
+    return cat.connection_success_rate(bag_events(spark, sf_dir), as_of=O.AS_OF,
+                                       lookback_minutes=O.LOOKBACK_MIN,
+                                       window_minutes=O.WINDOW_MIN)
+
+
+@register("stalled_bags")
+def q_stalled_bags(spark, sf_dir):
+    return cat.stalled_bags(bag_events(spark, sf_dir))
+
+
+@register("stall_clusters")
+def q_stall_clusters(spark, sf_dir):
+    return cat.stall_clusters(bag_events(spark, sf_dir))
+
+
+@register("risk_candidates")
+def q_risk_candidates(spark, sf_dir):
+    return cat.risk_candidates(bag_events(spark, sf_dir))
+
+
+@register("journey_summary")
+def q_journey_summary(spark, sf_dir):
+    return cat.journey_summary(bag_events(spark, sf_dir))
+
+
+@register("bag_journeys")
+def q_bag_journeys(spark, sf_dir):
+    return cat.bag_journeys(bag_events(spark, sf_dir))
+
+
+@register("journey_stages")
+def q_journey_stages(spark, sf_dir):
+    return cat.journey_stages(bag_events(spark, sf_dir))
+
+
+@register("risk_scope_counts")
+def q_risk_scope_counts(spark, sf_dir):
+    return cat.risk_scope_counts(incidents_table(spark, sf_dir))
