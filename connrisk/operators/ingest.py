@@ -63,32 +63,41 @@ def parse_json_records(df: DataFrame, schema: T.StructType, text_col: str = "val
 
 # --- A3: envelopes -------------------------------------------------------------
 
-def decode_envelopes(env: DataFrame) -> DataFrame:
+def decode_envelopes(env: DataFrame, keep=()) -> DataFrame:
     """Record envelope -> (sequence_number, stream_name, payload text, reasons).
 
-    Checks, in the reference's order: the source must be the stream service,
-    the ARN must carry a stream name after its last '/', the stream must be
-    allow-listed, the data must be strict base64 of UTF-8 JSON *object* text.
+    Checks: the source must be the stream service, the ARN must carry a stream
+    name after its last '/', the stream must be allow-listed, the data must be
+    strict base64 of UTF-8 text holding a JSON *object*.  Projections are
+    staged so every intermediate (bytes, text) is computed once per row.
     """
-    seq = F.coalesce(F.col("kinesis.sequenceNumber"), F.col("eventID"), F.lit("unknown"))
     arn = F.col("eventSourceARN")
-    stream = F.when(arn.contains("/"), F.element_at(F.split(arn, "/"), -1))
-    data = F.col("kinesis.data")
-    strict_b64 = data.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
-    raw = F.when(strict_b64, F.try_to_binary(data, F.lit("base64")))
-    text = F.when(raw.isNotNull(), F.try_validate_utf8(F.decode(raw, "UTF-8")))
-    is_object = F.json_object_keys(text).isNotNull()
-    return env.select(
-        seq.alias("sequence_number"),
-        stream.alias("stream_name"),
-        text.alias("payload"),
+    stage1 = env.select(
+        *keep,
+        F.coalesce(F.col("kinesis.sequenceNumber"), F.col("eventID"), F.lit("unknown")).alias("sequence_number"),
+        F.when(arn.contains("/"), F.element_at(F.split(arn, "/"), -1)).alias("stream_name"),
+        F.coalesce(F.col("eventSource") == "aws:kinesis", F.lit(False)).alias("_src_ok"),
+        F.col("kinesis.data").alias("_data"),
+    )
+    strict = F.coalesce(F.col("_data").rlike(
+        r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"), F.lit(False))
+    stage2 = stage1.select(
+        "*", F.when(strict, F.try_to_binary(F.col("_data"), F.lit("base64"))).alias("_raw"))
+    stage3 = stage2.select(
+        "*", F.try_validate_utf8(F.decode(F.col("_raw"), "UTF-8")).alias("payload"))
+    stage4 = stage3.select(
+        "*", F.json_object_keys(F.col("payload")).isNotNull().alias("_is_object"))
+    stream = F.col("stream_name")
+    return stage4.select(
+        *keep, "sequence_number", "stream_name",
+        F.when(F.col("_is_object"), F.col("payload")).alias("payload"),
         _reasons(
-            (F.coalesce(F.col("eventSource") != "aws:kinesis", F.lit(True)), "not_a_stream_record"),
+            (~F.col("_src_ok"), "not_a_stream_record"),
             (stream.isNull(), "missing_source_arn"),
-            (F.coalesce(~stream.isin(*STREAM_TARGETS), F.lit(True)), "stream_not_allowed"),
-            (F.coalesce(~strict_b64, F.lit(True)) | raw.isNull(), "bad_base64"),
-            (raw.isNotNull() & text.isNull(), "bad_utf8"),
-            (text.isNotNull() & ~is_object, "not_a_json_object"),
+            (stream.isNotNull() & ~stream.isin(*STREAM_TARGETS), "stream_not_allowed"),
+            (F.col("_raw").isNull(), "bad_base64"),
+            (F.col("_raw").isNotNull() & F.col("payload").isNull(), "bad_utf8"),
+            (F.col("payload").isNotNull() & ~F.col("_is_object"), "not_a_json_object"),
         ).alias("reasons"),
     )
 
@@ -103,17 +112,6 @@ def route_records(decoded: DataFrame) -> DataFrame:
 
 # --- A5: events ------------------------------------------------------------------
 
-_EVENT_PAYLOAD_SCHEMA = T.StructType(
-    [T.StructField(k, T.StringType()) for k in BAGGAGE_EVENT_FIELDS]
-)
-
-
-def _json_member_text(text: Column, key: str) -> Column:
-    """Member of a JSON object as text; objects/arrays as compact key-sorted
-    JSON (``to_json(parse_json)``), strings unchanged, NULL if absent/null."""
-    return F.get_json_object(text, f"$.{key}")
-
-
 def canonical_json(col) -> Column:
     """Non-string JSON values become compact text with sorted keys; JSON
     strings are kept unchanged."""
@@ -123,32 +121,42 @@ def canonical_json(col) -> Column:
         .otherwise(F.to_json(v))
 
 
+_EVENT_TEXT_SCHEMA = T.StructType(
+    [T.StructField(k, T.StringType()) for k in BAGGAGE_EVENT_FIELDS]
+    + [T.StructField("metadata", T.StringType())]
+)
+
+
 def normalize_events(payloads: DataFrame, text_col: str = "payload") -> DataFrame:
     """JSON event text -> the 19 ``baggage_events`` columns plus ``reasons``.
 
-    ``metadata`` is accepted for ``metadata_json`` when the latter is absent;
-    every column must be present and non-NULL (empty text is accepted); extra
-    keys are dropped; the five times must parse (best effort, UTC).
+    One JSON parse per record (``from_json`` into text fields; nested objects
+    come back as their JSON text).  ``metadata`` stands in for
+    ``metadata_json`` when the latter is absent; every column must be present
+    and non-NULL (empty text is accepted); extra keys are dropped; the five
+    times must parse (best effort, UTC).
     """
-    text = F.col(text_col)
-    raw = {f: _json_member_text(text, f) for f in BAGGAGE_EVENT_FIELDS if f != "metadata_json"}
-    has_mj = F.array_contains(F.json_object_keys(text), "metadata_json")
-    meta_src = F.when(has_mj, F.get_json_object(text, "$.metadata_json")) \
-        .otherwise(F.get_json_object(text, "$.metadata"))
-    raw["metadata_json"] = meta_src
-    parsed_times = {f: F.try_to_timestamp(F.trim(raw[f])) for f in EVENT_TIME_FIELDS}
-    checks = [(raw[f].isNull(), f"missing_{f}") for f in BAGGAGE_EVENT_FIELDS]
-    checks += [(raw[f].isNotNull() & parsed_times[f].isNull(), f"bad_time_{f}") for f in EVENT_TIME_FIELDS]
-    cols = []
-    for f in BAGGAGE_EVENT_FIELDS:
-        if f in EVENT_TIME_FIELDS:
-            cols.append(F.date_trunc("millisecond", parsed_times[f]).alias(f))
-        elif f == "metadata_json":
-            cols.append(canonical_json(meta_src).alias(f))
-        else:
-            cols.append(raw[f].alias(f))
-    return payloads.select(*[c for c in payloads.columns if c != text_col], *cols,
-                           _reasons(*checks).alias("reasons"))
+    rest = [c for c in payloads.columns if c != text_col]
+    parsed = payloads.select(*rest, F.from_json(F.col(text_col), _EVENT_TEXT_SCHEMA).alias("_r")) \
+        .select(*rest, "_r.*")
+    raw = {f: F.col(f) for f in BAGGAGE_EVENT_FIELDS}
+    raw["metadata_json"] = F.coalesce(F.col("metadata_json"), F.col("metadata"))
+    stage = parsed.select(
+        *rest,
+        *[raw[f].alias(f) for f in BAGGAGE_EVENT_FIELDS if f not in EVENT_TIME_FIELDS],
+        *[F.col(f).alias("_txt_" + f) for f in EVENT_TIME_FIELDS],
+        *[F.date_trunc("millisecond", F.try_to_timestamp(F.trim(F.col(f)))).alias(f)
+          for f in EVENT_TIME_FIELDS],
+    )
+    checks = [(F.col("_txt_" + f if f in EVENT_TIME_FIELDS else f).isNull(), f"missing_{f}")
+              for f in BAGGAGE_EVENT_FIELDS]
+    checks += [(F.col("_txt_" + f).isNotNull() & F.col(f).isNull(), f"bad_time_{f}")
+               for f in EVENT_TIME_FIELDS]
+    return stage.select(
+        *rest,
+        *[canonical_json(f).alias(f) if f == "metadata_json" else F.col(f) for f in BAGGAGE_EVENT_FIELDS],
+        _reasons(*checks).alias("reasons"),
+    )
 
 
 # --- A6: incidents --------------------------------------------------------------
@@ -166,7 +174,7 @@ def incident_context_json(df: DataFrame) -> Column:
     ))
 
 
-def normalize_incidents(df: DataFrame) -> DataFrame:
+def normalize_incidents(df: DataFrame, keep=()) -> DataFrame:
     """Detector-contract incidents (wire form) -> ``risk_incidents`` rows.
 
     ``minutes_to_departure`` is derived from integer ``seconds_to_departure``
@@ -187,6 +195,7 @@ def normalize_incidents(df: DataFrame) -> DataFrame:
     if "context_json" not in cols:
         checks.append((F.col("observed_context").isNull(), "observed_context_not_object"))
     return df.select(
+        *keep,
         "incident_id", "bag_tag_id", "incident_type", detected.alias("detected_at"),
         "outbound_flight_id", "airport_code", "transfer_zone",
         minutes.cast("int").alias("minutes_to_departure"),
@@ -222,13 +231,21 @@ def quarantine_report(rejected: DataFrame, position_col: str = "position") -> Da
     )
 
 
-def ingest_counters(routed: DataFrame) -> DataFrame:
-    """Received / inserted / failed records per target table."""
-    ok = F.size("reasons") == 0
-    return routed.groupBy(F.coalesce(F.col("target_table"), F.lit("rejected")).alias("target")).agg(
+def ingest_counters(batch: dict[str, DataFrame]) -> DataFrame:
+    """Received / inserted / failed records per target table of one batch
+    (``rejected`` collects records that never reached a target)."""
+    outcome = (
+        batch["routed"].where(F.col("target_table").isNull())
+        .select(F.lit("rejected").alias("target"), F.lit(False).alias("ok"))
+        .unionByName(batch["events"].select(
+            F.lit(STREAM_TARGETS[EVENTS_STREAM][0]).alias("target"), (F.size("reasons") == 0).alias("ok")))
+        .unionByName(batch["incidents"].select(
+            F.lit(STREAM_TARGETS[INCIDENTS_STREAM][0]).alias("target"), (F.size("reasons") == 0).alias("ok")))
+    )
+    return outcome.groupBy("target").agg(
         F.count(F.lit(1)).alias("received"),
-        F.count_if(ok).alias("inserted"),
-        F.count_if(~ok).alias("failed"),
+        F.count_if("ok").alias("inserted"),
+        F.count_if(~F.col("ok")).alias("failed"),
     )
 
 
@@ -257,3 +274,48 @@ def schema_violations(payloads: DataFrame, text_col: str = "payload") -> DataFra
 
 INVESTIGATION_STORAGE_FIELDS = INVESTIGATION_RESULT_FIELDS
 INCIDENT_WIRE = INCIDENT_WIRE_SCHEMA
+
+
+# --- one ingestion pass over a batch of envelopes -------------------------------
+
+def _materialize_row(df: DataFrame) -> DataFrame:
+    """Emit each row once through a one-element generator.
+
+    Filters on the outcome columns (``size(reasons) > 0``) would otherwise be
+    pushed through every projection below and inline the whole decode/parse
+    expression chain once per reference; a ``Generate`` keeps them above it,
+    so the chain is evaluated exactly once per record.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def ingest_batch(envelopes: DataFrame) -> dict[str, DataFrame]:
+    """Decode, route and normalise a batch of envelopes in one row-local pass.
+
+    Returns DataFrames over the same per-record result: ``decoded`` and
+    ``routed`` (every record), ``events`` and ``incidents`` (normalised rows
+    of each target, with ``reasons``) and ``failures`` (every rejected record
+    with all its reasons).  Nothing here shuffles.
+    """
+    extra = [c for c in ("position",) if c in envelopes.columns]
+    keys = ["sequence_number", *extra]
+    routed = _materialize_row(route_records(decode_envelopes(envelopes, keep=extra)))
+    ev_target = STREAM_TARGETS[EVENTS_STREAM][0]
+    inc_target = STREAM_TARGETS[INCIDENTS_STREAM][0]
+    events = _materialize_row(normalize_events(
+        routed.where(F.col("target_table") == ev_target).select(*keys, "payload")))
+    inc_parsed = routed.where(F.col("target_table") == inc_target).select(
+        *keys, F.from_json("payload", INCIDENT_WIRE_SCHEMA).alias("r")).select(*keys, "r.*")
+    incidents = _materialize_row(normalize_incidents(inc_parsed, keep=keys))
+    out = [*keys, "reasons"]
+    failures = (
+        routed.where(F.size("reasons") > 0).select(*out)
+        .unionByName(events.where(F.size("reasons") > 0).select(*out))
+        .unionByName(incidents.where(F.size("reasons") > 0).select(*out))
+    )
+    return {"decoded": routed.drop("target_table"), "routed": routed, "events": events,
+            "incidents": incidents, "failures": failures}
+
+
+def envelope_reason_text(col="reasons") -> Column:
+    return F.array_join(F.col(col), ",")

@@ -346,3 +346,202 @@ FROM incident_rows
 GROUP BY GROUPING SETS ((airport_code, outbound_flight_id),
                         (airport_code, outbound_flight_id, transfer_zone),
                         (airport_code, transfer_zone))"""
+
+
+# --- ingestion over stream-record envelopes -------------------------------------
+
+def _js(col: str) -> str:
+    return f"""CASE WHEN {col} IS NULL THEN 'null' ELSE '"' || {col} || '"' END"""
+
+
+def _iso(col: str) -> str:
+    return f"strftime({col}, {ISO})"
+
+
+_EV_PARTS = ",\n      ".join(
+    [f"""'"{k}":' || {_js(k)}""" for k in ("event_id",)]
+    + [f"""'"bag_tag_id":' || {_js("CASE WHEN n % 20 <> 0 THEN bag_tag_id END")}"""]
+    + [f"""'"{k}":' || {_js(k)}""" for k in ("passenger_id", "itinerary_id", "inbound_flight_id",
+                                             "outbound_flight_id", "airport_code", "event_type")]
+    + [f"""'"event_time":' || {_js(_iso("event_time"))}"""]
+    + [f"""'"{k}":' || {_js(k)}""" for k in ("scan_location", "transfer_zone", "current_gate")]
+    + [f"""'"{k}":' || {_js(_iso(k))}""" for k in ("connection_departure_time", "scheduled_departure_time",
+                                                   "estimated_departure_time", "inbound_arrival_time")]
+    + [f"""'"bag_status":' || {_js("bag_status")}""",
+       f"""CASE WHEN n % 20 <> 5 THEN '"priority_code":' || {_js("priority_code")} END""",
+       """'"metadata":' || metadata_json""",
+       """CASE WHEN n % 20 = 4 THEN '"debug_note":"replayed"' END"""]
+)
+
+SERIALIZED = f"""
+serialized AS (
+  SELECT incident_id,
+         '{{"airport_code":"' || airport_code || '","bag_tag_id":"' || bag_tag_id
+         || '","connection_departure_time":"' || {_iso("connection_departure_time")}
+         || '","detected_at":"' || {_iso("detected_at")}
+         || '","incident_id":"' || incident_id || '","incident_type":"' || incident_type
+         || '","last_scan_location":"' || last_scan_location
+         || '","last_scan_time":"' || {_iso("last_scan_time")}
+         || '","last_scan_type":"' || last_scan_type
+         || '","observed_context":{{"aircraft_loaded":' || {_bool("aircraft_loaded")}
+         || ',"makeup_area_reached":' || {_bool("makeup_area_reached")}
+         || '}},"outbound_flight_id":"' || outbound_flight_id
+         || '","seconds_to_departure":' || seconds_to_departure
+         || ',"transfer_zone":"' || transfer_zone || '"}}' AS value
+  FROM incidents
+)"""
+
+_B64_RE = "'(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?'"
+
+ENVELOPES = f"""
+ev_num AS (SELECT *, CAST(substr(event_id, 5) AS BIGINT) AS n FROM bag_events),
+ev_text AS (
+  SELECT n, '{{' || concat_ws(',',
+      {_EV_PARTS}) || CASE WHEN n % 20 = 1 THEN '' ELSE '}}' END AS text
+  FROM ev_num
+),
+ev_env AS (
+  SELECT n * 2 + copy AS position, lpad(CAST(n AS VARCHAR), 12, '0') AS seq,
+         CASE WHEN n % 20 = 2 THEN 'unlisted-stream' ELSE 'baggage-events' END AS stream,
+         'aws:kinesis' AS source,
+         CASE WHEN n % 20 = 3 THEN '!' ELSE '' END || to_base64(encode(text)) AS data
+  FROM ev_text, (SELECT 0 AS copy UNION ALL SELECT 1) c
+  WHERE copy = 0 OR n % 25 = 5
+),
+envs AS (
+  SELECT position, seq, stream, source, data FROM ev_env
+  UNION ALL
+  SELECT NULL::BIGINT, 'I-' || incident_id, 'risk-incidents', 'aws:kinesis', to_base64(encode(value))
+  FROM serialized
+),
+dec1 AS (
+  SELECT *, CASE WHEN regexp_full_match(data, {_B64_RE}) THEN TRY(decode(from_base64(data))) END AS text
+  FROM envs
+),
+dec2 AS (
+  SELECT *, CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END AS is_object FROM dec1
+),
+decoded AS (
+  SELECT position, seq AS sequence_number, stream AS stream_name,
+         CASE WHEN is_object THEN text END AS payload,
+         concat_ws(',',
+           CASE WHEN source IS DISTINCT FROM 'aws:kinesis' THEN 'not_a_stream_record' END,
+           CASE WHEN stream IS NULL THEN 'missing_source_arn' END,
+           CASE WHEN stream NOT IN ('baggage-events', 'risk-incidents') THEN 'stream_not_allowed' END,
+           CASE WHEN text IS NULL THEN 'bad_base64' END,
+           CASE WHEN text IS NOT NULL AND NOT is_object THEN 'not_a_json_object' END) AS reasons
+  FROM dec2
+),
+routed AS (
+  SELECT *, CASE WHEN reasons = '' THEN CASE stream_name WHEN 'baggage-events' THEN 'baggage_events'
+                 WHEN 'risk-incidents' THEN 'risk_incidents' END END AS target_table
+  FROM decoded
+)"""
+
+_EV_FIELDS = ("event_id", "bag_tag_id", "passenger_id", "itinerary_id", "inbound_flight_id",
+              "outbound_flight_id", "airport_code", "event_type", "event_time", "scan_location",
+              "transfer_zone", "current_gate", "connection_departure_time",
+              "scheduled_departure_time", "estimated_departure_time", "inbound_arrival_time",
+              "bag_status", "priority_code", "metadata_json")
+_EV_TIMES = ("event_time", "connection_departure_time", "scheduled_departure_time",
+             "estimated_departure_time", "inbound_arrival_time")
+
+
+def _ev_col(f: str) -> str:
+    if f in _EV_TIMES:
+        return f"try_strptime(trim(t_{f}), '%Y-%m-%dT%H:%M:%S.%gZ') AS {f}"
+    return f"t_{f} AS {f}"
+
+
+NORMALIZED_EVENTS = """
+norm_src AS (
+  SELECT sequence_number, position,
+         {extract},
+         CAST(coalesce(json_extract(payload, '$.metadata_json'), json_extract(payload, '$.metadata'))
+              AS VARCHAR) AS t_metadata_json
+  FROM routed WHERE target_table = 'baggage_events'
+),
+norm_events AS (
+  SELECT sequence_number, position, {cols},
+         concat_ws(',', {missing}, {badtime}) AS reasons
+  FROM norm_src
+)""".format(
+    extract=",\n         ".join(f"json_extract_string(payload, '$.{f}') AS t_{f}"
+                                for f in _EV_FIELDS if f != "metadata_json"),
+    cols=", ".join(_ev_col(f) for f in _EV_FIELDS),
+    missing=", ".join(f"CASE WHEN t_{f} IS NULL THEN 'missing_{f}' END" for f in _EV_FIELDS),
+    badtime=", ".join(
+        f"CASE WHEN t_{f} IS NOT NULL AND try_strptime(trim(t_{f}), '%Y-%m-%dT%H:%M:%S.%gZ') IS NULL "
+        f"THEN 'bad_time_{f}' END" for f in _EV_TIMES),
+)
+
+NORMALIZED_INCIDENTS = """
+norm_incidents AS (
+  SELECT sequence_number, position,
+         json_extract_string(payload, '$.incident_id') AS incident_id,
+         json_extract_string(payload, '$.bag_tag_id') AS bag_tag_id,
+         json_extract_string(payload, '$.incident_type') AS incident_type,
+         try_strptime(json_extract_string(payload, '$.detected_at'), '%Y-%m-%dT%H:%M:%S.%gZ') AS detected_at,
+         json_extract_string(payload, '$.outbound_flight_id') AS outbound_flight_id,
+         json_extract_string(payload, '$.airport_code') AS airport_code,
+         json_extract_string(payload, '$.transfer_zone') AS transfer_zone,
+         CAST(CASE WHEN s >= 0 THEN ceil(s / 60.0) ELSE floor(s / 60.0) END AS INTEGER) AS minutes_to_departure,
+         json_extract_string(payload, '$.last_scan_type') AS last_scan_type,
+         json_extract_string(payload, '$.last_scan_location') AS last_scan_location,
+         '{"connection_departure_time":"' || json_extract_string(payload, '$.connection_departure_time')
+         || '","last_scan_time":"' || json_extract_string(payload, '$.last_scan_time')
+         || '","observed_context":{"aircraft_loaded":'
+         || CAST(json_extract(payload, '$.observed_context.aircraft_loaded') AS VARCHAR)
+         || ',"makeup_area_reached":'
+         || CAST(json_extract(payload, '$.observed_context.makeup_area_reached') AS VARCHAR)
+         || '},"seconds_to_departure":' || s || '}' AS context_json,
+         '' AS reasons
+  FROM (SELECT *, CAST(json_extract(payload, '$.seconds_to_departure') AS BIGINT) AS s
+        FROM routed WHERE target_table = 'risk_incidents')
+)"""
+
+INGEST = with_ctes(BAG_EVENTS, DETECTOR, SERIALIZED, ENVELOPES, NORMALIZED_EVENTS, NORMALIZED_INCIDENTS)
+
+ORACLE["decode_envelopes"] = INGEST + "SELECT * FROM decoded"
+ORACLE["route_records"] = INGEST + \
+    "SELECT position, sequence_number, stream_name, reasons, target_table FROM routed"
+ORACLE["normalize_events"] = INGEST + "SELECT * FROM norm_events"
+ORACLE["normalize_incidents"] = INGEST + "SELECT * FROM norm_incidents"
+ORACLE["serialize_incidents"] = with_ctes(BAG_EVENTS, DETECTOR, SERIALIZED) + "SELECT * FROM serialized"
+
+ORACLE["quarantine_report"] = INGEST + """
+SELECT sequence_number, min(position) AS first_position, count(*) AS failures,
+       array_to_string(list_sort(list_distinct(flatten(list(string_split(reasons, ','))))), ',')
+         AS reasons
+FROM (SELECT sequence_number, position, reasons FROM routed WHERE reasons <> ''
+      UNION ALL SELECT sequence_number, position, reasons FROM norm_events WHERE reasons <> ''
+      UNION ALL SELECT sequence_number, position, reasons FROM norm_incidents WHERE reasons <> '')
+GROUP BY sequence_number"""
+
+ORACLE["ingest_counters"] = INGEST + """
+SELECT target, count(*) AS received, count_if(ok) AS inserted, count_if(NOT ok) AS failed
+FROM (SELECT 'rejected' AS target, false AS ok FROM routed WHERE target_table IS NULL
+      UNION ALL SELECT 'baggage_events', reasons = '' FROM norm_events
+      UNION ALL SELECT 'risk_incidents', reasons = '' FROM norm_incidents)
+GROUP BY target"""
+
+ORACLE["dedupe_events"] = INGEST + f"""
+SELECT sequence_number, position, {", ".join(_EV_FIELDS)}
+FROM norm_events WHERE reasons = ''
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY position, sequence_number) = 1"""
+
+_EXPECTED_KEYS = "[" + ", ".join(f"'{k}'" for k in sorted(
+    __import__("connrisk.schemas", fromlist=["EVENT_KEYS"]).EVENT_KEYS)) + "]"
+
+ORACLE["schema_violations"] = INGEST + f"""
+SELECT sequence_number, position,
+       array_to_string(list_sort(list_filter({_EXPECTED_KEYS}, lambda x: NOT list_contains(k, x))), ',')
+         AS missing_keys,
+       array_to_string(list_sort(list_distinct(list_filter(k, lambda x: NOT list_contains({_EXPECTED_KEYS}, x)))), ',')
+         AS unexpected_keys
+FROM (SELECT sequence_number, position, json_keys(payload) AS k FROM routed
+      WHERE target_table = 'baggage_events')
+WHERE len(list_filter({_EXPECTED_KEYS}, lambda x: NOT list_contains(k, x))) > 0
+   OR len(list_filter(k, lambda x: NOT list_contains({_EXPECTED_KEYS}, x))) > 0"""
+
+ORACLE["canonical_json"] = "SELECT event_id, CAST(json(props) AS VARCHAR) AS props_json FROM events"

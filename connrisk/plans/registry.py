@@ -18,7 +18,8 @@ from connrisk.operators import catalogue as cat
 from connrisk.operators import detector, ingest
 from connrisk.plans import oracle as O
 from connrisk.session import ensure_utc
-from connrisk.sources.driver_tables import bag_events
+from connrisk.sources import envelopes as env_src
+from connrisk.sources.driver_tables import bag_events, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -163,3 +164,81 @@ def q_journey_stages(spark, sf_dir):
 @register("risk_scope_counts")
 def q_risk_scope_counts(spark, sf_dir):
     return cat.risk_scope_counts(incidents_table(spark, sf_dir))
+
+
+# --- A: ingestion over stream-record envelopes ------------------------------------
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-stream envelopes of every bag event plus incident-stream
+    envelopes of every detector incident."""
+    ev = env_src.event_envelopes(bag_events(spark, sf_dir))
+    wire = detector.incidents_as_json(incidents_contract(spark, sf_dir))
+    inc = env_src.incident_envelopes(ingest.serialize_incidents(wire))
+    return ev.unionByName(inc)
+
+
+def _batch(spark, sf_dir):
+    return ingest.ingest_batch(envelopes(spark, sf_dir))
+
+
+def _reason_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@register("decode_envelopes")
+def q_decode_envelopes(spark, sf_dir):
+    return _reason_text(_batch(spark, sf_dir)["decoded"])
+
+
+@register("route_records")
+def q_route_records(spark, sf_dir):
+    return _reason_text(_batch(spark, sf_dir)["routed"]).drop("payload")
+
+
+@register("normalize_events")
+def q_normalize_events(spark, sf_dir):
+    return _reason_text(_batch(spark, sf_dir)["events"])
+
+
+@register("normalize_incidents")
+def q_normalize_incidents(spark, sf_dir):
+    return _reason_text(_batch(spark, sf_dir)["incidents"])
+
+
+@register("quarantine_report")
+def q_quarantine_report(spark, sf_dir):
+    rep = ingest.quarantine_report(_batch(spark, sf_dir)["failures"])
+    return _reason_text(rep)
+
+
+@register("ingest_counters")
+def q_ingest_counters(spark, sf_dir):
+    return ingest.ingest_counters(_batch(spark, sf_dir))
+
+
+@register("serialize_incidents")
+def q_serialize_incidents(spark, sf_dir):
+    return ingest.serialize_incidents(detector.incidents_as_json(incidents_contract(spark, sf_dir)))
+
+
+@register("canonical_json")
+def q_canonical_json(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select("event_id", ingest.canonical_json("props").alias("props_json"))
+
+
+@register("dedupe_events")
+def q_dedupe_events(spark, sf_dir):
+    good = _batch(spark, sf_dir)["events"].where(F.size("reasons") == 0).drop("reasons")
+    return ingest.dedupe_by_id(good, "event_id", ["position", "sequence_number"])
+
+
+@register("schema_violations")
+def q_schema_violations(spark, sf_dir):
+    routed = _batch(spark, sf_dir)["routed"]
+    payloads = routed.where(F.col("target_table") == "baggage_events") \
+        .select("sequence_number", "position", "payload")
+    out = ingest.schema_violations(payloads)
+    return out.select("sequence_number", "position",
+                      F.array_join("missing_keys", ",").alias("missing_keys"),
+                      F.array_join("unexpected_keys", ",").alias("unexpected_keys"))
