@@ -545,3 +545,185 @@ WHERE len(list_filter({_EXPECTED_KEYS}, lambda x: NOT list_contains(k, x))) > 0
    OR len(list_filter(k, lambda x: NOT list_contains({_EXPECTED_KEYS}, x))) > 0"""
 
 ORACLE["canonical_json"] = "SELECT event_id, CAST(json(props) AS VARCHAR) AS props_json FROM events"
+
+
+# --- evidence, labelling, investigations ------------------------------------------
+
+EVIDENCE_LOOKBACK_MIN = 1440
+_EL = EVIDENCE_LOOKBACK_MIN * 60 * 1000
+_TYPES = list(LIFECYCLE)
+
+EVIDENCE = f"""
+ev_t AS (SELECT *, epoch_ms(event_time) AS t_ms, {RANK} AS rank FROM bag_events),
+inc_t AS (SELECT *, epoch_ms(detected_at) AS d_ms FROM incidents),
+own AS (
+  SELECT i.incident_id, count(*) AS timeline_events,
+         max({{'t': e.event_time, 'id': e.event_id, 'type': e.event_type,
+              'delay': coalesce(TRY_CAST(json_extract(e.metadata_json, '$.inbound_delay_minutes') AS BIGINT), 0),
+              'status': coalesce(json_extract_string(e.metadata_json, '$.baggage_system_status'), '')}}) AS last
+  FROM inc_t i JOIN ev_t e ON e.bag_tag_id = i.bag_tag_id AND e.t_ms <= i.d_ms
+  GROUP BY i.incident_id
+),
+peer_latest AS (
+  SELECT i.incident_id, e.bag_tag_id,
+         max({{'t': e.t_ms, 'rank': e.rank, 'id': e.event_id, 'type': e.event_type}}).type AS type
+  FROM inc_t i JOIN ev_t e ON e.outbound_flight_id = i.outbound_flight_id
+    AND e.airport_code = i.airport_code AND e.t_ms <= i.d_ms AND e.t_ms >= i.d_ms - {_EL}
+  GROUP BY i.incident_id, e.bag_tag_id
+),
+peer AS (
+  SELECT p.incident_id, count(*) AS peer_bags,
+         count_if(type = 'CONNECTING_AIRCRAFT_LOADED') AS peers_loaded,
+         count_if(type = 'TRANSFER_SORTER_SCAN') AS peers_at_sorter,
+         count_if(type = 'MAKEUP_AREA_SCAN') AS peers_at_makeup,
+         count_if({rank_sql('type')} > {rank_sql('i.last_scan_type')}) AS peers_ahead
+  FROM peer_latest p JOIN inc_t i ON i.incident_id = p.incident_id
+  GROUP BY p.incident_id
+),
+flight_latest AS (
+  SELECT i.incident_id, e.bag_tag_id,
+         max({{'t': e.t_ms, 'rank': e.rank, 'id': e.event_id, 'type': e.event_type}}).type AS type
+  FROM inc_t i JOIN ev_t e ON e.outbound_flight_id = i.outbound_flight_id AND e.t_ms <= i.d_ms
+  GROUP BY i.incident_id, e.bag_tag_id
+),
+flight AS (
+  SELECT incident_id, count(*) AS flight_bags,
+         count_if(type = 'CONNECTING_AIRCRAFT_LOADED') AS flight_bags_loaded
+  FROM flight_latest GROUP BY incident_id
+),
+zone AS (
+  SELECT i.incident_id,
+         count(DISTINCT e.bag_tag_id) FILTER (WHERE e.event_type = 'TRANSFER_SORTER_SCAN') AS zone_sorter_bags,
+         count(DISTINCT e.bag_tag_id) FILTER (WHERE e.event_type = 'MAKEUP_AREA_SCAN') AS zone_makeup_bags,
+         count(*) AS zone_events
+  FROM inc_t i JOIN ev_t e ON e.airport_code = i.airport_code AND e.transfer_zone = i.transfer_zone
+    AND e.t_ms <= i.d_ms AND e.t_ms >= i.d_ms - {_EL}
+  GROUP BY i.incident_id
+),
+risk AS (
+  SELECT i.incident_id, count(*) AS recent_risks
+  FROM inc_t i JOIN inc_t j ON j.airport_code = i.airport_code
+    AND j.d_ms <= i.d_ms AND j.d_ms >= i.d_ms - {_EL}
+  GROUP BY i.incident_id
+),
+evidence AS (
+  SELECT i.incident_id, i.bag_tag_id, i.outbound_flight_id, i.airport_code, i.transfer_zone,
+         i.last_scan_type, i.last_scan_location, i.seconds_to_departure, i.detected_at,
+         own.timeline_events, own.last.type AS timeline_last_event_type,
+         own.last.delay AS inbound_delay_minutes, own.last.status AS baggage_system_status,
+         coalesce(peer.peer_bags, 0) AS peer_bags, coalesce(peer.peers_loaded, 0) AS peers_loaded,
+         coalesce(peer.peers_at_sorter, 0) AS peers_at_sorter,
+         coalesce(peer.peers_at_makeup, 0) AS peers_at_makeup,
+         coalesce(peer.peers_ahead, 0) AS peers_ahead,
+         coalesce(flight.flight_bags, 0) AS flight_bags,
+         coalesce(flight.flight_bags_loaded, 0) AS flight_bags_loaded,
+         coalesce(zone.zone_sorter_bags, 0) AS zone_sorter_bags,
+         coalesce(zone.zone_makeup_bags, 0) AS zone_makeup_bags,
+         coalesce(zone.zone_events, 0) AS zone_events,
+         coalesce(risk.recent_risks, 0) AS recent_risks
+  FROM inc_t i LEFT JOIN own USING (incident_id) LEFT JOIN peer USING (incident_id)
+  LEFT JOIN flight USING (incident_id) LEFT JOIN zone USING (incident_id)
+  LEFT JOIN risk USING (incident_id)
+)"""
+
+
+def _classify(src: str, keep: str = "") -> str:
+    from connrisk.operators import evidence as E
+    delay = f"inbound_delay_minutes >= {E.DELAY_MINUTES}"
+    cong = (f"zone_sorter_bags - zone_makeup_bags >= {E.ZONE_BACKLOG_BAGS} "
+            f"AND recent_risks >= {E.RECENT_RISKS}")
+
+    def pick(a, b, c):
+        return f"CASE WHEN {delay} THEN {a} WHEN {cong} THEN {b} ELSE {c} END"
+
+    def lit(x):
+        return "'" + x.replace("'", "''") + "'"
+
+    def fmt(t, **cols):
+        out = lit(t)
+        for k, v in cols.items():
+            out = out.replace("{" + k + "}", "' || " + v + " || '")
+        return out
+
+    ev = pick(
+        "to_json([" + ", ".join(fmt(t, delay="inbound_delay_minutes", status="baggage_system_status",
+                                     loaded="peers_loaded") for t in E.DELAY_EVIDENCE) + "])",
+        "to_json([" + ", ".join(fmt(t, sorter="zone_sorter_bags", makeup="zone_makeup_bags",
+                                     risks="recent_risks") for t in E.CONGESTION_EVIDENCE) + "])",
+        "to_json([" + ", ".join(fmt(t, last_scan="last_scan_type", loaded="peers_loaded")
+                                for t in E.ISOLATED_EVIDENCE) + "])")
+    reason = fmt(E.SECONDS_REASON, seconds="seconds_to_departure")
+    return f"""
+SELECT {keep} incident_id, bag_tag_id,
+       {pick(lit(E.DELAY_LABEL[0]), lit(E.CONGESTION_LABEL[0]), lit(E.ISOLATED_LABEL[0]))} AS classification,
+       {pick(lit(E.DELAY_ROOT_CAUSE), lit(E.CONGESTION_ROOT_CAUSE), lit(E.ISOLATED_ROOT_CAUSE))} AS root_cause,
+       {pick(lit(E.DELAY_LABEL[1]), lit(E.CONGESTION_LABEL[1]), lit(E.ISOLATED_LABEL[1]))} AS scope,
+       {pick(lit(E.DELAY_LABEL[2]), lit(E.CONGESTION_LABEL[2]), lit(E.ISOLATED_LABEL[2]))} AS operational_priority,
+       CAST({ev} AS VARCHAR) AS evidence_json,
+       {pick(lit(E.DELAY_ACTION), lit(E.CONGESTION_ACTION), lit(E.ISOLATED_ACTION))} AS recommended_action,
+       {pick(reason, lit(E.CONGESTION_REASON), reason)} AS reason_action_is_time_sensitive
+FROM {src}"""
+
+
+USER = "CAST(split_part(bag_tag_id, '-', 2) AS BIGINT)"
+
+INVESTIGATIONS = f"""
+labelled AS ({_classify("evidence", "detected_at,")}),
+investigations AS (
+  SELECT incident_id, bag_tag_id, detected_at + INTERVAL 1 MINUTE AS investigated_at, classification,
+         root_cause, scope, recommended_action, operational_priority, evidence_json
+  FROM labelled WHERE {USER} % 2 = 0
+  UNION ALL
+  SELECT incident_id, CASE WHEN {USER} % 8 = 0 THEN bag_tag_id || '-X' ELSE bag_tag_id END,
+         detected_at + INTERVAL 5 MINUTE, classification, root_cause || ' Re-investigated.', scope,
+         recommended_action, operational_priority, evidence_json
+  FROM labelled WHERE {USER} % 4 = 0
+)"""
+
+INV = with_ctes(BAG_EVENTS, DETECTOR, INCIDENT_ROWS, EVIDENCE, INVESTIGATIONS)
+
+ORACLE["incident_evidence"] = with_ctes(BAG_EVENTS, DETECTOR, EVIDENCE) + "SELECT * FROM evidence"
+ORACLE["classify_incidents"] = with_ctes(BAG_EVENTS, DETECTOR, EVIDENCE) + _classify("evidence")
+
+ORACLE["latest_investigation"] = INV + """
+SELECT incident_id, r.investigated_at, r.bag_tag_id, r.classification, r.root_cause, r.scope,
+       r.recommended_action, r.operational_priority, r.evidence_json
+FROM (SELECT incident_id, max({'investigated_at': investigated_at, 'bag_tag_id': bag_tag_id,
+        'classification': classification, 'root_cause': root_cause, 'scope': scope,
+        'recommended_action': recommended_action, 'operational_priority': operational_priority,
+        'evidence_json': evidence_json}) AS r
+      FROM investigations GROUP BY incident_id)"""
+
+ORACLE["pending_incidents"] = INV + """
+SELECT * FROM incident_rows i
+WHERE NOT EXISTS (SELECT 1 FROM investigations v WHERE v.incident_id = i.incident_id)"""
+
+ORACLE["identity_drift"] = INV + """
+SELECT v.incident_id, v.investigated_at, v.bag_tag_id, i.bag_tag_id AS incident_bag_tag_id
+FROM investigations v JOIN (SELECT DISTINCT incident_id, bag_tag_id FROM incident_rows) i
+  ON i.incident_id = v.incident_id
+WHERE v.bag_tag_id <> i.bag_tag_id"""
+
+ORACLE["detection_reconciliation"] = INV + """,
+expected AS (
+  SELECT bag_tag_id || '-' || r.outbound_flight_id || '-BAG_CONNECTION_RISK' AS incident_id
+  FROM (SELECT bag_tag_id, max({'t': event_time, 'id': event_id,
+          'outbound_flight_id': outbound_flight_id}) AS r
+        FROM bag_events WHERE json_extract_string(metadata_json, '$.expected_risk_signal') = 'true'
+        GROUP BY bag_tag_id)
+),
+det AS (SELECT incident_id, bool_or(incident_type <> 'BAG_CONNECTION_RISK') AS unexpected_type
+        FROM incident_rows GROUP BY incident_id),
+j AS (
+  SELECT coalesce(e.incident_id, d.incident_id) AS incident_id,
+         e.incident_id IS NOT NULL AS expected, d.incident_id IS NOT NULL AS detected,
+         coalesce(d.unexpected_type, false) AS unexpected_type
+  FROM expected e FULL OUTER JOIN det d ON e.incident_id = d.incident_id
+)
+SELECT incident_id, expected, detected,
+       incident_id IN (SELECT incident_id FROM investigations) AS investigated, unexpected_type,
+       CASE WHEN expected AND detected AND incident_id IN (SELECT incident_id FROM investigations) THEN 'MATCHED'
+            WHEN expected AND NOT detected THEN 'MISSING_RISK'
+            WHEN expected AND detected THEN 'MISSING_RESULT'
+            ELSE 'UNEXPECTED_RISK' END AS status
+FROM j"""

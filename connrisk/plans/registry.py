@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from connrisk.operators import catalogue as cat
-from connrisk.operators import detector, ingest
+from connrisk.operators import detector, evidence, ingest
 from connrisk.plans import oracle as O
 from connrisk.session import ensure_utc
 from connrisk.sources import envelopes as env_src
@@ -242,3 +242,66 @@ def q_schema_violations(spark, sf_dir):
     return out.select("sequence_number", "position",
                       F.array_join("missing_keys", ",").alias("missing_keys"),
                       F.array_join("unexpected_keys", ",").alias("unexpected_keys"))
+
+
+# --- D / L: evidence, labelling, investigations -------------------------------------
+
+EVIDENCE_LOOKBACK_MIN = 1440
+
+
+def _user_of(bag: str = "bag_tag_id"):
+    return F.element_at(F.split(F.col(bag), "-"), 2).cast("long")
+
+
+def evidence_table(spark: SparkSession, sf_dir: str, incidents: DataFrame | None = None) -> DataFrame:
+    inc = incidents if incidents is not None else incidents_contract(spark, sf_dir)
+    return evidence.incident_evidence(inc, bag_events(spark, sf_dir), EVIDENCE_LOOKBACK_MIN)
+
+
+def investigations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored results: incidents of even users investigated once (a minute
+    after detection); users divisible by 4 re-investigated four minutes later,
+    and for users divisible by 8 that second row carries a drifted bag id."""
+    inc = incidents_contract(spark, sf_dir).where(_user_of() % 2 == 0)
+    res = evidence.classify_incidents(evidence_table(spark, sf_dir, inc), keep=("detected_at",))
+    first = evidence.stored_results(res, F.col("detected_at") + F.expr("INTERVAL 1 MINUTE"))
+    again = res.where(_user_of() % 4 == 0).select(
+        "*",
+    ).withColumn("root_cause", F.concat("root_cause", F.lit(" Re-investigated.")))
+    again = again.withColumn(
+        "bag_tag_id", F.when(_user_of() % 8 == 0, F.concat("bag_tag_id", F.lit("-X"))).otherwise(F.col("bag_tag_id")))
+    second = evidence.stored_results(again, F.col("detected_at") + F.expr("INTERVAL 5 MINUTES"))
+    return first.unionByName(second)
+
+
+@register("incident_evidence")
+def q_incident_evidence(spark, sf_dir):
+    return evidence_table(spark, sf_dir)
+
+
+@register("classify_incidents")
+def q_classify_incidents(spark, sf_dir):
+    res = evidence.classify_incidents(evidence_table(spark, sf_dir))
+    return res.withColumn("evidence", F.to_json("evidence")).withColumnRenamed("evidence", "evidence_json")
+
+
+@register("latest_investigation")
+def q_latest_investigation(spark, sf_dir):
+    return cat.latest_investigation(investigations_table(spark, sf_dir))
+
+
+@register("pending_incidents")
+def q_pending_incidents(spark, sf_dir):
+    return evidence.pending_incidents(incidents_table(spark, sf_dir), investigations_table(spark, sf_dir))
+
+
+@register("identity_drift")
+def q_identity_drift(spark, sf_dir):
+    return evidence.identity_drift(investigations_table(spark, sf_dir), incidents_table(spark, sf_dir))
+
+
+@register("detection_reconciliation")
+def q_detection_reconciliation(spark, sf_dir):
+    return evidence.detection_reconciliation(
+        cat.risk_candidates(bag_events(spark, sf_dir)), incidents_table(spark, sf_dir),
+        investigations_table(spark, sf_dir))
