@@ -16,6 +16,7 @@ from connrisk.functions.columns import (  # noqa: F401
     json_int,
     json_string,
     lifecycle_rank,
+    materialize_rows,
     minutes_to_departure,
     parse_iso_ts,
     percent_of,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from connrisk.schemas import BAG_STATUS_BY_TYPE, INCIDENT_TYPE, LIFECYCLE
@@ -144,3 +144,17 @@ def upper_median(col) -> Column:
 
 def _upper_median_col(col: Column) -> Column:
     raise TypeError("upper_median takes a column name")
+
+
+# --- plan shape -------------------------------------------------------------
+
+def materialize_rows(df: DataFrame) -> DataFrame:
+    """Emit each row once through a one-element generator.
+
+    Filters on derived outcome columns (``size(reasons) > 0``) would otherwise
+    be pushed through every projection below and inline the whole
+    decode/parse expression chain once per reference; a ``Generate`` keeps
+    them above it, so the chain is evaluated exactly once per row.  It is a
+    narrow, per-row operator (no shuffle, no extra job).
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -83,8 +83,12 @@ def _state_intervals(ev: DataFrame, group: list[str], keys: list[str], window_ms
 
 
 def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes: int = 60,
-                      chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame:
-    """One evidence row per incident (incident contract columns + counts)."""
+                      chunk_ms: int = DEFAULT_CHUNK_MS,
+                      risk_incidents: DataFrame | None = None) -> DataFrame:
+    """One evidence row per incident of ``incidents`` (contract columns +
+    counts).  Recent risks are counted among ``risk_incidents`` (default: the
+    same incidents), so a subset such as the pending incidents can be probed
+    against all stored risks."""
     window_ms = int(lookback_minutes) * 60 * 1000
     ev = _timed(events)
     types = list(LIFECYCLE)
@@ -125,7 +129,8 @@ def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes:
 
     # Recent risks at the airport (incidents detected in the lookback).
     ak = ["airport_code"]
-    risk_iv = incidents.select(*ak, F.lit("risk").alias("category"),
+    risk_src = risk_incidents if risk_incidents is not None else incidents
+    risk_iv = risk_src.select(*ak, F.lit("risk").alias("category"),
                                unix_ms("detected_at").alias("start_ms"),
                                (unix_ms("detected_at") + F.lit(window_ms + 1)).alias("end_ms"))
     risks = interval_counts(risk_iv, _probes(incidents, ak), ak, ["risk"], "r_", chunk_ms)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from connrisk.functions import materialize_rows as _materialize_row
 from connrisk.functions import minutes_to_departure, parse_iso_ts
 from connrisk.schemas import (
     BAGGAGE_EVENT_FIELDS,
@@ -49,16 +50,14 @@ def split_valid(df: DataFrame, reasons_col: str = "reasons") -> tuple[DataFrame,
 def parse_json_records(df: DataFrame, schema: T.StructType, text_col: str = "value") -> DataFrame:
     """Parse JSON text into ``schema`` columns; rows whose text is not a JSON
     object get ``reasons = ['not_a_json_object']`` instead of failing the job."""
-    is_object = F.json_object_keys(F.col(text_col)).isNotNull()
+    keys = df.select("*", F.json_object_keys(F.col(text_col)).alias("json_keys"))
+    is_object = F.col("json_keys").isNotNull()
     parsed = F.from_json(F.col(text_col), schema, {"mode": "PERMISSIVE"})
-    return df.select(
-        "*",
-        F.when(is_object, parsed).alias("_rec"),
-        F.when(is_object, F.json_object_keys(F.col(text_col))).alias("json_keys"),
-    ).select(
-        *[c for c in df.columns], "_rec.*", "json_keys",
+    out = keys.select(
+        *df.columns, F.when(is_object, parsed).alias("_rec"), "json_keys",
         _reasons((~is_object, "not_a_json_object")).alias("reasons"),
-    )
+    ).select(*df.columns, "_rec.*", "json_keys", "reasons")
+    return _materialize_row(out)
 
 
 # --- A3: envelopes -------------------------------------------------------------
@@ -278,17 +277,6 @@ INCIDENT_WIRE = INCIDENT_WIRE_SCHEMA
 
 # --- one ingestion pass over a batch of envelopes -------------------------------
 
-def _materialize_row(df: DataFrame) -> DataFrame:
-    """Emit each row once through a one-element generator.
-
-    Filters on the outcome columns (``size(reasons) > 0``) would otherwise be
-    pushed through every projection below and inline the whole decode/parse
-    expression chain once per reference; a ``Generate`` keeps them above it,
-    so the chain is evaluated exactly once per record.
-    """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def ingest_batch(envelopes: DataFrame) -> dict[str, DataFrame]:
     """Decode, route and normalise a batch of envelopes in one row-local pass.
 

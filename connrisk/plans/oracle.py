@@ -727,3 +727,223 @@ SELECT incident_id, expected, detected,
             WHEN expected AND detected THEN 'MISSING_RESULT'
             ELSE 'UNEXPECTED_RISK' END AS status
 FROM j"""
+
+
+# --- stored results, contracts, read models ----------------------------------------
+
+_LABELLED_ALL = f"""
+labelled_all AS ({_classify("evidence", "detected_at,")}),
+stored_all AS (
+  SELECT incident_id, bag_tag_id, detected_at + INTERVAL 1 MINUTE AS investigated_at, classification,
+         root_cause, scope, recommended_action, operational_priority, evidence_json
+  FROM labelled_all
+)"""
+
+ORACLE["save_investigations"] = with_ctes(BAG_EVENTS, DETECTOR, EVIDENCE, _LABELLED_ALL) + \
+    "SELECT * FROM stored_all"
+
+ORACLE["investigate_pending"] = INV + "," + _LABELLED_ALL.strip() + """
+SELECT * FROM stored_all s
+WHERE NOT EXISTS (SELECT 1 FROM investigations v WHERE v.incident_id = s.incident_id)"""
+
+EVENT_LINES = """
+lines AS (
+  SELECT n AS line, text,
+         CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END AS is_object
+  FROM ev_text
+)"""
+
+_LINES = with_ctes(BAG_EVENTS, DETECTOR, SERIALIZED, ENVELOPES, EVENT_LINES)
+
+ORACLE["parse_events"] = _LINES + """
+SELECT line,
+       CASE WHEN is_object THEN json_extract_string(text, '$.event_id') END AS event_id,
+       CASE WHEN is_object THEN json_extract_string(text, '$.bag_tag_id') END AS bag_tag_id,
+       CASE WHEN is_object THEN json_extract_string(text, '$.event_type') END AS event_type,
+       CASE WHEN is_object THEN json_extract_string(text, '$.event_time') END AS event_time,
+       CASE WHEN is_object THEN '' ELSE 'not_a_json_object' END AS reasons
+FROM lines"""
+
+
+def _blank_sql(col: str) -> str:
+    return f"nullif(trim({col}), '') IS NULL"
+
+
+_OFFSET_SQL = r"'(Z|z|[+-]\d\d(:?\d\d)?)$'"
+
+
+def _time_sql(col: str, required: bool) -> list[str]:
+    present = f"nullif(trim({col}), '') IS NOT NULL"
+    offset = f"regexp_matches(trim({col}), {_OFFSET_SQL})"
+    out = [f"CASE WHEN {present} AND NOT {offset} THEN 'naive_{col}' END",
+           f"CASE WHEN {present} AND {offset} AND TRY_CAST(trim({col}) AS TIMESTAMPTZ) IS NULL "
+           f"THEN 'invalid_{col}' END"]
+    if required:
+        out.insert(0, f"CASE WHEN NOT ({present}) THEN 'missing_{col}' END")
+    return out
+
+
+_EVENT_RULES = ",\n  ".join(
+    [f"CASE WHEN {_blank_sql('bag_tag_id')} THEN 'blank_bag_tag_id' END",
+     f"CASE WHEN {_blank_sql('event_type')} THEN 'blank_event_type' END",
+     "CASE WHEN nullif(trim(event_type), '') IS NOT NULL AND trim(event_type) NOT IN "
+     + "(" + ", ".join(f"'{x}'" for x in LIFECYCLE) + ") THEN 'unknown_event_type' END"]
+    + _time_sql("event_time", True) + _time_sql("connection_departure_time", True)
+    + _time_sql("estimated_departure_time", False)
+    + [f"CASE WHEN {_blank_sql(c)} THEN 'blank_{c}' END"
+       for c in ("transfer_zone", "airport_code", "outbound_flight_id")])
+
+ORACLE["invalid_events"] = _LINES + f"""
+SELECT line, event_id, violations FROM (
+  SELECT line, event_id, concat_ws(',',
+  {_EVENT_RULES}) AS violations
+  FROM (SELECT line, {", ".join(f"json_extract_string(text, '$.{c}') AS {c}" for c in (
+        "event_id", "bag_tag_id", "event_type", "event_time", "connection_departure_time",
+        "estimated_departure_time", "transfer_zone", "airport_code", "outbound_flight_id"))}
+        FROM lines WHERE is_object))
+WHERE violations <> ''"""
+
+_INC_TEXTS = ("incident_id", "bag_tag_id", "outbound_flight_id", "airport_code", "transfer_zone",
+              "last_scan_type", "last_scan_location")
+_INV_CAPS = __import__("connrisk.schemas", fromlist=["INVESTIGATOR_CAPS"]).INVESTIGATOR_CAPS
+
+ORACLE["incident_violations"] = with_ctes(BAG_EVENTS, DETECTOR) + """
+SELECT incident_id, concat_ws(',',
+  CASE WHEN incident_type IS DISTINCT FROM 'BAG_CONNECTION_RISK' THEN 'wrong_incident_type' END,
+  {blanks},
+  CASE WHEN seconds_to_departure IS NULL THEN 'missing_seconds_to_departure' END,
+  CASE WHEN incident_id IS DISTINCT FROM bag_tag_id || '-' || outbound_flight_id || '-BAG_CONNECTION_RISK'
+       THEN 'non_deterministic_incident_id' END,
+  {caps}) AS violations
+FROM incidents""".format(
+    blanks=",\n  ".join(f"CASE WHEN {_blank_sql(c)} THEN 'blank_{c}' END" for c in _INC_TEXTS),
+    caps=",\n  ".join(f"CASE WHEN length({c}) > {_INV_CAPS[c]} THEN 'too_long_{c}' END" for c in _INC_TEXTS))
+
+_RES_TEXTS = ("classification", "root_cause", "recommended_action", "reason_action_is_time_sensitive")
+
+ORACLE["investigation_violations"] = with_ctes(BAG_EVENTS, DETECTOR, EVIDENCE) + """,
+res AS ({classify})
+SELECT r.incident_id, concat_ws(',',
+  {blanks},
+  CASE WHEN scope NOT IN ('ISOLATED', 'FLIGHT_LEVEL', 'ZONE_LEVEL', 'AIRPORT_LEVEL') OR scope IS NULL
+       THEN 'invalid_scope' END,
+  CASE WHEN operational_priority NOT IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL') OR operational_priority IS NULL
+       THEN 'invalid_priority' END,
+  CASE WHEN coalesce(NOT (len(ev) BETWEEN 1 AND 20), true) THEN 'evidence_count' END,
+  CASE WHEN coalesce(list_bool_or(list_transform(ev, lambda x: coalesce(trim(x) = '', true))), false)
+       THEN 'blank_evidence_item' END,
+  CASE WHEN upper(trim(classification)) = 'BAG_CONNECTION_RISK' THEN 'classification_repeats_alert' END,
+  CASE WHEN NOT coalesce(contains(lower(recommended_action), 'recommend'), false) THEN 'action_not_advisory' END,
+  CASE WHEN contains(lower(reason_action_is_time_sensitive), 'not time-sensitive')
+         OR contains(lower(reason_action_is_time_sensitive), 'not time sensitive') THEN 'not_time_sensitive' END,
+  CASE WHEN contains(upper(classification), 'ISOLATED') AND scope <> 'ISOLATED' THEN 'isolated_scope' END,
+  {caps},
+  CASE WHEN i.bag_tag_id IS NULL THEN 'unknown_incident' END,
+  CASE WHEN i.bag_tag_id <> r.bag_tag_id THEN 'bag_tag_id_mismatch' END,
+  CASE WHEN i.seconds_to_departure <= 30 AND NOT (i.makeup_area_reached OR i.aircraft_loaded)
+        AND operational_priority = 'LOW' THEN 'priority_below_floor' END) AS violations
+FROM (SELECT *, CAST(json_extract_string(evidence_json, '$[*]') AS VARCHAR[]) AS ev FROM res) r
+LEFT JOIN incidents i ON i.incident_id = r.incident_id""".format(
+    classify=_classify("evidence"),
+    blanks=",\n  ".join(f"CASE WHEN {_blank_sql(c)} THEN 'blank_{c}' END" for c in _RES_TEXTS),
+    caps=",\n  ".join(f"CASE WHEN length(r.{c}) > {_INV_CAPS[c]} THEN 'too_long_{c}' END"
+                      for c in ("incident_id", "bag_tag_id", *_RES_TEXTS)))
+
+SNAPSHOT = """
+latest_rows AS (
+  SELECT bag_tag_id, r.t AS last_event_time, r.event_type AS last_event_type, r.transfer_zone,
+         r.estimated_departure_time, r.connection_departure_time
+  FROM (SELECT bag_tag_id, max({'t': event_time, 'id': event_id, 'event_type': event_type,
+          'transfer_zone': transfer_zone, 'estimated_departure_time': estimated_departure_time,
+          'connection_departure_time': connection_departure_time}) AS r
+        FROM bag_events GROUP BY bag_tag_id)
+),
+latest_inv AS (
+  SELECT incident_id, r.investigated_at, r.classification, r.scope, r.operational_priority
+  FROM (SELECT incident_id, max({'investigated_at': investigated_at, 'bag_tag_id': bag_tag_id,
+          'classification': classification, 'root_cause': root_cause, 'scope': scope,
+          'recommended_action': recommended_action, 'operational_priority': operational_priority,
+          'evidence_json': evidence_json}) AS r
+        FROM investigations GROUP BY incident_id)
+),
+snapshot AS (
+  SELECT l.*, i.incident_id, i.detected_at, i.minutes_to_departure,
+         i.last_scan_type AS incident_last_scan_type, i.transfer_zone AS incident_transfer_zone,
+         i.context_json, v.investigated_at, v.classification, v.scope, v.operational_priority
+  FROM latest_rows l LEFT JOIN incident_rows i ON i.bag_tag_id = l.bag_tag_id
+  LEFT JOIN latest_inv v ON v.incident_id = i.incident_id
+),
+countdown AS (
+  SELECT bag_tag_id, coalesce(estimated_departure_time, connection_departure_time) AS departure_time,
+         greatest(0, CAST(trunc((epoch_ms(coalesce(estimated_departure_time, connection_departure_time))
+                                 - epoch_ms(""" + AS_OF_TS + """)) / 1000.0) AS BIGINT)) AS seconds_to_departure
+  FROM latest_rows
+)"""
+
+SNAP = with_ctes(BAG_EVENTS, DETECTOR, INCIDENT_ROWS, EVIDENCE, INVESTIGATIONS, SNAPSHOT)
+
+ORACLE["operations_snapshot"] = SNAP + "SELECT * FROM snapshot"
+ORACLE["departure_countdown"] = SNAP + "SELECT * FROM countdown"
+
+ORACLE["incident_context"] = with_ctes(BAG_EVENTS, DETECTOR, INCIDENT_ROWS) + """
+SELECT incident_id,
+       CAST(json_extract(context_json, '$.seconds_to_departure') AS BIGINT) AS seconds_to_departure,
+       CAST(json_extract(context_json, '$.observed_context.makeup_area_reached') AS BOOLEAN) AS makeup_area_reached,
+       CAST(json_extract(context_json, '$.observed_context.aircraft_loaded') AS BOOLEAN) AS aircraft_loaded,
+       json_extract_string(context_json, '$.last_scan_time') AS last_scan_time,
+       json_extract_string(context_json, '$.connection_departure_time') AS connection_departure_time
+FROM incident_rows"""
+
+ORACLE["investigation_evidence"] = INV + """
+SELECT incident_id, investigated_at, CAST(generate_subscripts(ev, 1) AS BIGINT) AS position,
+       unnest(ev) AS evidence_item
+FROM (SELECT incident_id, investigated_at,
+             CAST(json_extract_string(evidence_json, '$[*]') AS VARCHAR[]) AS ev FROM investigations)"""
+
+_CTX_S = "CAST(json_extract(context_json, '$.seconds_to_departure') AS BIGINT)"
+_CTX_P = ("(coalesce(CAST(json_extract(context_json, '$.observed_context.makeup_area_reached') AS BOOLEAN), false)"
+          " OR coalesce(CAST(json_extract(context_json, '$.observed_context.aircraft_loaded') AS BOOLEAN), false))")
+
+
+def _reason_sql() -> str:
+    from connrisk.operators import readmodels as R
+    head, tail = R.DETECTED_SENTENCE.split("{seconds}")
+    mid, end = tail.split("{milestone}")
+    return (f"CASE WHEN {_CTX_S} IS NOT NULL THEN '{head}' || {_CTX_S} || '{mid}' || "
+            f"CASE WHEN {_CTX_P} THEN '{R.MILESTONE_WINDOW}' ELSE '{R.MILESTONE_MISSING}' END || '{end}' "
+            f"ELSE '{R.DEFAULT_SENTENCE}' END")
+
+
+ORACLE["time_sensitive_reason"] = SNAP + f"SELECT bag_tag_id, incident_id, {_reason_sql()} AS reason FROM snapshot"
+
+ORACLE["risk_status"] = SNAP + f"""
+SELECT s.bag_tag_id,
+       CASE WHEN incident_id IS NOT NULL THEN 'AT RISK' ELSE 'CLEAR — MONITORING' END AS risk_status,
+       CASE WHEN incident_id IS NOT NULL THEN {_CTX_S} ELSE c.seconds_to_departure END AS seconds_to_departure,
+       CASE WHEN incident_id IS NOT NULL THEN incident_last_scan_type ELSE last_event_type END AS last_scan,
+       CASE WHEN incident_id IS NOT NULL THEN incident_transfer_zone ELSE s.transfer_zone END AS transfer_zone
+FROM snapshot s LEFT JOIN countdown c ON c.bag_tag_id = s.bag_tag_id"""
+
+ORACLE["scalar_battery"] = with_ctes(BAG_EVENTS) + f"""
+SELECT event_id,
+       {_iso("event_time")} AS g2_iso,
+       event_time AS g1_parsed,
+       CAST(NULL AS TIMESTAMP) AS g1_naive,
+       date_trunc('second', event_time) - INTERVAL 2 HOUR AS g1_offset,
+       coalesce(estimated_departure_time, connection_departure_time) AS g3_effective,
+       bag_tag_id || '-' || outbound_flight_id || '-BAG_CONNECTION_RISK' AS g4_incident_id,
+       s AS g5_seconds,
+       CAST(CASE WHEN s >= 0 THEN ceil(s / 60.0) ELSE floor(s / 60.0) END AS INTEGER) AS g6_minutes,
+       CAST({RANK} AS INTEGER) AS g7_rank,
+       coalesce(json_extract_string(metadata_json, '$.baggage_system_status'), '') AS g8_status,
+       coalesce(TRY_CAST(json_extract(metadata_json, '$.inbound_delay_minutes') AS BIGINT), 0) AS g8_delay,
+       coalesce(json_extract_string(metadata_json, '$.scheduled_inbound_arrival_time'), '') AS g8_missing,
+       b AS g9_seconds_between,
+       round_even(b / 60.0, 2) AS g11_minutes,
+       make_timestamp(CAST(floor(epoch(event_time) / 21600) AS BIGINT) * 21600 * 1000000) AS g12_bucket,
+       CASE WHEN event_type = 'BAG_ACCEPTED' THEN NULL ELSE transfer_zone END AS g14_trimmed
+FROM (SELECT *,
+        CAST(trunc((epoch_ms(coalesce(estimated_departure_time, connection_departure_time))
+                    - epoch_ms(event_time)) / 1000.0) AS INTEGER) AS s,
+        CAST(floor(epoch(connection_departure_time)) AS BIGINT) - CAST(floor(epoch(event_time)) AS BIGINT) AS b
+      FROM bag_events)"""

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from connrisk.operators import catalogue as cat
-from connrisk.operators import detector, evidence, ingest
+from connrisk.operators import contracts, detector, evidence, ingest
+from connrisk.operators import readmodels as rm
 from connrisk.plans import oracle as O
-from connrisk.session import ensure_utc
+from connrisk import schemas
+from connrisk.session import checkpoint_dir, ensure_utc
 from connrisk.sources import envelopes as env_src
 from connrisk.sources.driver_tables import bag_events, read_table
 
@@ -47,10 +49,33 @@ def register(name: str):
 
 
 # --- shared derived inputs ---------------------------------------------------
+#
+# The detector output and the stored investigations are *tables* in a real
+# deployment (the detector appends incidents, the investigator appends
+# results).  Queries that read them get the table: it is computed once per
+# application and input folder and written with a reliable ``checkpoint()``
+# into the session's checkpoint folder (``spark.checkpoint.dir``), which also
+# keeps downstream plans small.
+
+_MATERIALIZED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MATERIALIZED:
+        checkpoint_dir(spark)
+        _MATERIALIZED[key] = build().checkpoint(eager=True)
+    return _MATERIALIZED[key]
+
+
+def clear_materialized() -> None:
+    _MATERIALIZED.clear()
+
 
 def incidents_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detector.replay_detector(bag_events(spark, sf_dir), buffer_seconds=O.BUFFER_S,
-                                    horizon=O.HORIZON + "Z")
+    """Detector incidents (contract form) of a replay of the whole table."""
+    return materialized(spark, sf_dir, "incidents", lambda: detector.replay_detector(
+        bag_events(spark, sf_dir), buffer_seconds=O.BUFFER_S, horizon=O.HORIZON + "Z"))
 
 
 # --- E: detector ---------------------------------------------------------------
@@ -58,7 +83,8 @@ def incidents_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("replay_detector")
 def q_replay_detector(spark, sf_dir):
     """Flagship: incidents from a replay of the whole event table."""
-    return incidents_contract(spark, sf_dir)
+    return detector.replay_detector(bag_events(spark, sf_dir), buffer_seconds=O.BUFFER_S,
+                                    horizon=O.HORIZON + "Z")
 
 
 def incidents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,17 +279,23 @@ def _user_of(bag: str = "bag_tag_id"):
     return F.element_at(F.split(F.col(bag), "-"), 2).cast("long")
 
 
-def evidence_table(spark: SparkSession, sf_dir: str, incidents: DataFrame | None = None) -> DataFrame:
-    inc = incidents if incidents is not None else incidents_contract(spark, sf_dir)
-    return evidence.incident_evidence(inc, bag_events(spark, sf_dir), EVIDENCE_LOOKBACK_MIN)
+def evidence_table(spark: SparkSession, sf_dir: str, probes: DataFrame | None = None) -> DataFrame:
+    """Evidence of ``probes`` (default: every incident) against all incidents."""
+    inc = incidents_contract(spark, sf_dir)
+    return evidence.incident_evidence(probes if probes is not None else inc, bag_events(spark, sf_dir),
+                                      EVIDENCE_LOOKBACK_MIN, risk_incidents=inc)
 
 
 def investigations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored results: incidents of even users investigated once (a minute
     after detection); users divisible by 4 re-investigated four minutes later,
     and for users divisible by 8 that second row carries a drifted bag id."""
-    inc = incidents_contract(spark, sf_dir).where(_user_of() % 2 == 0)
-    res = evidence.classify_incidents(evidence_table(spark, sf_dir, inc), keep=("detected_at",))
+    return materialized(spark, sf_dir, "investigations", lambda: _investigations(spark, sf_dir))
+
+
+def _investigations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = evidence.classify_incidents(evidence_table(spark, sf_dir), keep=("detected_at",)) \
+        .where(_user_of() % 2 == 0)
     first = evidence.stored_results(res, F.col("detected_at") + F.expr("INTERVAL 1 MINUTE"))
     again = res.where(_user_of() % 4 == 0).select(
         "*",
@@ -305,3 +337,135 @@ def q_detection_reconciliation(spark, sf_dir):
     return evidence.detection_reconciliation(
         cat.risk_candidates(bag_events(spark, sf_dir)), incidents_table(spark, sf_dir),
         investigations_table(spark, sf_dir))
+
+
+@register("investigate_pending")
+def q_investigate_pending(spark, sf_dir):
+    """Pending incidents -> evidence -> labels -> validated rows to store."""
+    inc = incidents_contract(spark, sf_dir)
+    pending = inc.join(investigations_table(spark, sf_dir).select("incident_id").distinct(),
+                       "incident_id", "left_anti")
+    res = evidence.classify_incidents(evidence_table(spark, sf_dir, pending), keep=("detected_at",))
+    checked = contracts.investigation_violations(res, inc).where(F.size("violations") == 0)
+    return evidence.stored_results(checked, F.col("detected_at") + F.expr("INTERVAL 1 MINUTE"))
+
+
+@register("save_investigations")
+def q_save_investigations(spark, sf_dir):
+    """Every incident's validated result in the stored form."""
+    inc = incidents_contract(spark, sf_dir)
+    res = evidence.classify_incidents(evidence_table(spark, sf_dir), keep=("detected_at",))
+    checked = contracts.investigation_violations(res, inc).where(F.size("violations") == 0)
+    return evidence.stored_results(checked, F.col("detected_at") + F.expr("INTERVAL 1 MINUTE"))
+
+
+# --- J: contracts ------------------------------------------------------------------
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Producer JSON text of every bag event (with the envelope defects)."""
+    ev = bag_events(spark, sf_dir)
+    n = F.substring_index(F.col("event_id"), "-", -1).cast("long")
+    ev = ev.withColumn("n", n)
+    return ev.select(F.col("n").alias("line"), env_src.event_json(ev, F.col("n")).alias("value"))
+
+
+@register("parse_events")
+def q_parse_events(spark, sf_dir):
+    parsed = ingest.parse_json_records(event_lines(spark, sf_dir), schemas.EVENT_WIRE_SCHEMA)
+    return _reason_text(parsed.select("line", "event_id", "bag_tag_id", "event_type", "event_time",
+                                      "reasons"))
+
+
+@register("invalid_events")
+def q_invalid_events(spark, sf_dir):
+    parsed = ingest.parse_json_records(event_lines(spark, sf_dir), schemas.EVENT_WIRE_SCHEMA)
+    objects = parsed.where(F.size("reasons") == 0)
+    bad = contracts.event_violations(objects).where(F.size("violations") > 0)
+    return bad.select("line", "event_id", F.array_join("violations", ",").alias("violations"))
+
+
+@register("incident_violations")
+def q_incident_violations(spark, sf_dir):
+    checked = contracts.incident_violations(incidents_contract(spark, sf_dir))
+    return checked.select("incident_id", F.array_join("violations", ",").alias("violations"))
+
+
+@register("investigation_violations")
+def q_investigation_violations(spark, sf_dir):
+    inc = incidents_contract(spark, sf_dir)
+    res = evidence.classify_incidents(evidence_table(spark, sf_dir))
+    checked = contracts.investigation_violations(res, inc)
+    return checked.select("incident_id", F.array_join("violations", ",").alias("violations"))
+
+
+# --- G15-G19 / D3: read models ------------------------------------------------------
+
+def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = cat.latest_investigation(investigations_table(spark, sf_dir))
+    return rm.operations_snapshot(bag_events(spark, sf_dir), incidents_table(spark, sf_dir), latest)
+
+
+@register("operations_snapshot")
+def q_operations_snapshot(spark, sf_dir):
+    return snapshot_table(spark, sf_dir)
+
+
+@register("departure_countdown")
+def q_departure_countdown(spark, sf_dir):
+    return rm.departure_countdown(bag_events(spark, sf_dir), as_of=O.AS_OF)
+
+
+@register("incident_context")
+def q_incident_context(spark, sf_dir):
+    return rm.incident_context(incidents_table(spark, sf_dir))
+
+
+@register("investigation_evidence")
+def q_investigation_evidence(spark, sf_dir):
+    return rm.investigation_evidence(investigations_table(spark, sf_dir))
+
+
+@register("time_sensitive_reason")
+def q_time_sensitive_reason(spark, sf_dir):
+    return rm.time_sensitive_reason(snapshot_table(spark, sf_dir))
+
+
+@register("risk_status")
+def q_risk_status(spark, sf_dir):
+    countdown = rm.departure_countdown(bag_events(spark, sf_dir), as_of=O.AS_OF)
+    return rm.risk_status(snapshot_table(spark, sf_dir), countdown)
+
+
+# --- G1-G14: scalar functions over every event ---------------------------------------
+
+@register("scalar_battery")
+def q_scalar_battery(spark, sf_dir):
+    from connrisk import functions as G
+
+    ev = bag_events(spark, sf_dir)
+    iso = G.format_iso_ts("event_time")
+    eff = G.effective_departure("estimated_departure_time", "connection_departure_time")
+    s = G.seconds_to_departure(G.unix_ms(eff), G.unix_ms("event_time"))
+    between = G.seconds_between("event_time", "connection_departure_time")
+    padded = F.when(F.col("event_type") == "BAG_ACCEPTED", F.lit("   ")) \
+        .otherwise(F.concat(F.lit(" "), "transfer_zone", F.lit("  ")))
+    return ev.select(
+        "event_id",
+        iso.alias("g2_iso"),
+        G.parse_iso_ts(iso).alias("g1_parsed"),
+        G.parse_iso_ts(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")).alias("g1_naive"),
+        G.parse_iso_ts(F.concat(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+        .alias("g1_offset"),
+        eff.alias("g3_effective"),
+        G.incident_id("bag_tag_id", "outbound_flight_id").alias("g4_incident_id"),
+        s.alias("g5_seconds"),
+        G.minutes_to_departure(s).alias("g6_minutes"),
+        G.lifecycle_rank("event_type").alias("g7_rank"),
+        G.json_string("metadata_json", "baggage_system_status").alias("g8_status"),
+        G.json_int("metadata_json", "inbound_delay_minutes").alias("g8_delay"),
+        G.json_string("metadata_json", "scheduled_inbound_arrival_time").alias("g8_missing"),
+        between.alias("g9_seconds_between"),
+        G.round2(between / F.lit(60.0)).alias("g11_minutes"),
+        G.bucket_start("event_time", 360).alias("g12_bucket"),
+        G.blank_to_null(padded).alias("g14_trimmed"),
+    )

@@ -22,10 +22,12 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "connrisk", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "connrisk", extra: dict | None = None,
+                  driver_memory: str = "8g") -> SparkSession:
     builder = (
         SparkSession.builder.master(master)
         .appName(app_name)
+        .config("spark.driver.memory", driver_memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
