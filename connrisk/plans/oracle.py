@@ -947,3 +947,6 @@ FROM (SELECT *,
                     - epoch_ms(event_time)) / 1000.0) AS INTEGER) AS s,
         CAST(floor(epoch(connection_departure_time)) AS BIGINT) - CAST(floor(epoch(event_time)) AS BIGINT) AS b
       FROM bag_events)"""
+
+# The streaming detector in replay clock raises the same incidents.
+ORACLE["stream_detector"] = ORACLE["replay_detector"]

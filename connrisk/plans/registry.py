@@ -469,3 +469,16 @@ def q_scalar_battery(spark, sf_dir):
         G.bucket_start("event_time", 360).alias("g12_bucket"),
         G.blank_to_null(padded).alias("g14_trimmed"),
     )
+
+
+# --- F: the stateful streaming detector, replay clock ------------------------------
+
+@register("stream_detector")
+def q_stream_detector(spark, sf_dir):
+    """The transformWithState detector over the whole event table with the
+    replay clock; its incidents equal ``replay_detector``'s."""
+    from connrisk.streaming.detector import run_detector
+    from connrisk.operators.detector import _to_ms
+
+    return run_detector(bag_events(spark, sf_dir), buffer_seconds=O.BUFFER_S, clock="replay",
+                        horizon_ms=_to_ms(O.HORIZON + "Z"))
