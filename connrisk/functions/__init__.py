@@ -23,6 +23,7 @@ from connrisk.functions.columns import (  # noqa: F401
     round2,
     seconds_between,
     seconds_to_departure,
+    spread,
     to_ntz,
     trunc_ms,
     unix_ms,

@@ -158,3 +158,13 @@ def materialize_rows(df: DataFrame) -> DataFrame:
     narrow, per-row operator (no shuffle, no extra job).
     """
     return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster when a scan yields fewer
+    partitions than cores (one unsplittable block), before CPU-heavy narrow
+    work.  A no-op for the many-file inputs of a real deployment."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -64,22 +64,13 @@ def _timed(events: DataFrame) -> DataFrame:
         "*", unix_ms("event_time").alias("t_ms"), lifecycle_rank("event_type").alias("rank"))
 
 
-def _probes(incidents: DataFrame, keys: list[str]) -> DataFrame:
-    return incidents.select(*keys, F.col("incident_id").alias("probe_id"),
-                            unix_ms("detected_at").alias("t_ms"))
+KEY_SEP = "\u0001"
 
 
-def _state_intervals(ev: DataFrame, group: list[str], keys: list[str], window_ms: int | None,
-                     chunk_ms: int) -> DataFrame:
-    """Interval during which each event is its group's latest event (and, with
-    ``window_ms``, still inside the lookback)."""
-    nxt = with_next_time(ev, group, "t_ms", ["rank", "event_id"], chunk_ms=chunk_ms)
-    end = F.col("next_t")
-    if window_ms is not None:
-        stale = F.col("t_ms") + F.lit(window_ms + 1)
-        end = F.least(F.coalesce(end, stale), stale)
-    return nxt.select(*keys, F.col("event_type").alias("category"),
-                      F.col("t_ms").alias("start_ms"), end.alias("end_ms"))
+def _key(kind: str, a, b=None):
+    """Sweep key: evidence family and its grouping values, as one string
+    (cheaper to hash and sort than a struct)."""
+    return F.concat_ws(KEY_SEP, F.lit(kind), F.col(a), F.col(b) if b else F.lit(""))
 
 
 def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes: int = 60,
@@ -88,7 +79,13 @@ def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes:
     """One evidence row per incident of ``incidents`` (contract columns +
     counts).  Recent risks are counted among ``risk_incidents`` (default: the
     same incidents), so a subset such as the pending incidents can be probed
-    against all stored risks."""
+    against all stored risks.
+
+    All four families (peers ``p``, flight ``f``, zone ``z``, airport risks
+    ``r``) share one next-event scan and one sweep: rows carry a string key
+    ``kind|k1|k2`` and family-prefixed categories, so the whole evidence
+    costs a fixed number of shuffles however many families it reads.
+    """
     window_ms = int(lookback_minutes) * 60 * 1000
     ev = _timed(events)
     types = list(LIFECYCLE)
@@ -109,65 +106,78 @@ def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes:
                      F.col("last.delay").alias("inbound_delay_minutes"),
                      F.col("last.status").alias("baggage_system_status"))
 
-    # Peers: latest state of every bag on the same flight and airport.
-    pk = ["outbound_flight_id", "airport_code"]
-    peer_iv = _state_intervals(ev, [*pk, "bag_tag_id"], pk, window_ms, chunk_ms)
-    peers = interval_counts(peer_iv, _probes(incidents, pk), pk, types, "p_", chunk_ms)
-
-    # Flight progress: latest state of every bag on the flight (no lookback).
-    fk = ["outbound_flight_id"]
-    flight_iv = _state_intervals(ev, [*fk, "bag_tag_id"], fk, None, chunk_ms)
-    flight = interval_counts(flight_iv, _probes(incidents, fk), fk, types, "f_", chunk_ms)
-
-    # Zone health: bags with an event of each type in the lookback, and events.
-    zk = ["airport_code", "transfer_zone"]
-    zone_bags = _state_intervals(ev, [*zk, "bag_tag_id", "event_type"], zk, window_ms, chunk_ms)
-    zone_events = ev.select(*zk, F.lit("events").alias("category"), F.col("t_ms").alias("start_ms"),
+    # Latest-state intervals.  Group = (family key, bag[, type]); an event is
+    # its group's latest from its time until the group's next event, and for
+    # lookback families at most until it leaves the lookback.
+    fams = [("p", "outbound_flight_id", "airport_code", None, True),
+            ("f", "outbound_flight_id", None, None, False),
+            ("z", "airport_code", "transfer_zone", "event_type", True)]
+    state_rows = None
+    for kind, a, b, extra, windowed in fams:
+        part = ev.select(
+            _key(kind, a, b).alias("key"),
+            F.concat_ws(KEY_SEP, "bag_tag_id", F.col(extra) if extra else F.lit("")).alias("member"),
+            F.lit(kind).alias("kind"), F.lit(windowed).alias("windowed"),
+            "event_type", "t_ms", "rank", "event_id")
+        state_rows = part if state_rows is None else state_rows.unionByName(part)
+    nxt = with_next_time(state_rows, ["key", "member"], "t_ms", ["rank", "event_id"], chunk_ms=chunk_ms)
+    stale = F.col("t_ms") + F.lit(window_ms + 1)
+    end = F.when(F.col("windowed"), F.least(F.coalesce("next_t", stale), stale)).otherwise(F.col("next_t"))
+    intervals = nxt.select("key", F.concat(F.col("kind"), F.lit("_"), F.col("event_type")).alias("category"),
+                           F.col("t_ms").alias("start_ms"), end.alias("end_ms"))
+
+    # Zone events and airport risks inside the lookback.
+    zone_events = ev.select(_key("z", "airport_code", "transfer_zone").alias("key"),
+                            F.lit("z_events").alias("category"), F.col("t_ms").alias("start_ms"),
                             (F.col("t_ms") + F.lit(window_ms + 1)).alias("end_ms"))
-    zone = interval_counts(zone_bags.unionByName(zone_events), _probes(incidents, zk), zk,
-                           [*types, "events"], "z_", chunk_ms)
-
-    # Recent risks at the airport (incidents detected in the lookback).
-    ak = ["airport_code"]
     risk_src = risk_incidents if risk_incidents is not None else incidents
-    risk_iv = risk_src.select(*ak, F.lit("risk").alias("category"),
-                               unix_ms("detected_at").alias("start_ms"),
-                               (unix_ms("detected_at") + F.lit(window_ms + 1)).alias("end_ms"))
-    risks = interval_counts(risk_iv, _probes(incidents, ak), ak, ["risk"], "r_", chunk_ms)
-
-    def total(df, prefix):
-        return sum((F.col(prefix + t) for t in types), F.lit(0))
+    risk_iv = risk_src.select(_key("r", "airport_code").alias("key"), F.lit("r_risk").alias("category"),
+                              unix_ms("detected_at").alias("start_ms"),
+                              (unix_ms("detected_at") + F.lit(window_ms + 1)).alias("end_ms"))
+    all_iv = intervals.unionByName(zone_events).unionByName(risk_iv)
+
+    cats_of = {"p": [f"p_{t}" for t in types], "f": [f"f_{t}" for t in types],
+               "z": [f"z_{t}" for t in types] + ["z_events"], "r": ["r_risk"]}
+    probes = None
+    for kind, a, b in (("p", "outbound_flight_id", "airport_code"), ("f", "outbound_flight_id", None),
+                       ("z", "airport_code", "transfer_zone"), ("r", "airport_code", None)):
+        part = incidents.select(_key(kind, a, b).alias("key"), F.col("incident_id").alias("probe_id"),
+                                unix_ms("detected_at").alias("t_ms"),
+                                F.array(*[F.lit(c) for c in cats_of[kind]]).alias("categories"))
+        probes = part if probes is None else probes.unionByName(part)
+
+    cats = [c for kind in "pfzr" for c in cats_of[kind]]
+    swept = interval_counts(all_iv, probes, ["key"], cats, "", chunk_ms)
+    # Each probe row holds its own family's counts (zeros elsewhere), so
+    # summing the four rows of an incident merges them.
+    counts = swept.groupBy(F.col("probe_id").alias("incident_id")).agg(
+        *[F.sum(c).alias(c) for c in cats])
+
+    def total(prefix):
+        return sum((F.col(prefix + t) for t in types), F.lit(0).cast("long"))
 
     rank = lifecycle_rank("last_scan_type")
     ahead = sum((F.when(F.lit(i) > rank, F.col("p_" + t)).otherwise(F.lit(0))
-                 for i, t in enumerate(types)), F.lit(0))
+                 for i, t in enumerate(types)), F.lit(0).cast("long"))
     base = incidents.select(
         "incident_id", "bag_tag_id", "outbound_flight_id", "airport_code", "transfer_zone",
         "last_scan_type", "last_scan_location", "seconds_to_departure", "detected_at")
-    p = peers.select(F.col("probe_id").alias("incident_id"),
-                     total(peers, "p_").alias("peer_bags"),
-                     F.col("p_" + LOADED).alias("peers_loaded"),
-                     F.col("p_" + SORTER).alias("peers_at_sorter"),
-                     F.col("p_" + MAKEUP).alias("peers_at_makeup"),
-                     *[F.col("p_" + t) for t in types])
-    f = flight.select(F.col("probe_id").alias("incident_id"),
-                      total(flight, "f_").alias("flight_bags"),
-                      F.col("f_" + LOADED).alias("flight_bags_loaded"))
-    z = zone.select(F.col("probe_id").alias("incident_id"),
-                    F.col("z_" + SORTER).alias("zone_sorter_bags"),
-                    F.col("z_" + MAKEUP).alias("zone_makeup_bags"),
-                    F.col("z_events").alias("zone_events"))
-    r = risks.select(F.col("probe_id").alias("incident_id"), F.col("r_risk").alias("recent_risks"))
-    out = (base.join(own, "incident_id", "left").join(p, "incident_id", "left")
-           .join(f, "incident_id", "left").join(z, "incident_id", "left")
-           .join(r, "incident_id", "left"))
+    out = base.join(own, "incident_id", "left").join(counts, "incident_id", "left")
     return out.select(
         *base.columns, "timeline_events", "timeline_last_event_type",
         F.coalesce("inbound_delay_minutes", F.lit(0).cast("bigint")).alias("inbound_delay_minutes"),
         F.coalesce("baggage_system_status", F.lit("")).alias("baggage_system_status"),
-        "peer_bags", "peers_loaded", "peers_at_sorter", "peers_at_makeup",
-        ahead.alias("peers_ahead"), "flight_bags", "flight_bags_loaded",
-        "zone_sorter_bags", "zone_makeup_bags", "zone_events", "recent_risks",
+        total("p_").alias("peer_bags"),
+        F.col("p_" + LOADED).alias("peers_loaded"),
+        F.col("p_" + SORTER).alias("peers_at_sorter"),
+        F.col("p_" + MAKEUP).alias("peers_at_makeup"),
+        ahead.alias("peers_ahead"),
+        total("f_").alias("flight_bags"),
+        F.col("f_" + LOADED).alias("flight_bags_loaded"),
+        F.col("z_" + SORTER).alias("zone_sorter_bags"),
+        F.col("z_" + MAKEUP).alias("zone_makeup_bags"),
+        F.col("z_events").alias("zone_events"),
+        F.col("r_risk").alias("recent_risks"),
     )
 
 

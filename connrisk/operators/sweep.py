@@ -66,26 +66,32 @@ def interval_counts(intervals: DataFrame, probes: DataFrame, keys: list[str],
     """Stabbing counts.
 
     ``intervals``: ``keys``, ``category``, ``start_ms``, ``end_ms`` (exclusive,
-    NULL = open-ended).  ``probes``: ``keys``, ``probe_id``, ``t_ms``.
-    Returns one row per probe: ``keys``, ``probe_id``, ``t_ms`` and one count
-    column ``prefix + category`` per category (intervals covering ``t_ms``).
-    """
-    names = [prefix + c for c in categories]
-
-    def deltas(t, sign):
-        return [F.when(F.col("category") == c, F.lit(sign)).otherwise(F.lit(0)).cast("long").alias(n)
-                for c, n in zip(categories, names)]
+    NULL = open-ended).  ``probes``: ``keys``, ``probe_id``, ``t_ms`` and
+    optionally ``categories`` (array: the categories this probe asks for;
+    default all).  Returns one row per probe: ``keys``, ``probe_id``, ``t_ms``
+    and one count column ``prefix + category`` per category.
 
-    zero = [F.lit(0).cast("long").alias(n) for n in names]
-    starts = intervals.select(*keys, F.col("start_ms").alias("t_ms"), F.lit(0).alias("_phase"),
-                              F.lit(None).cast("string").alias("probe_id"), *deltas("start_ms", 1))
+    The sweep runs per ``(key, category)`` on a single +1/-1 column, so rows
+    stay narrow and one hot key is still split by category (and by time
+    chunk inside ``running_sums``).
+    """
+    names = {c: prefix + c for c in categories}
+    starts = intervals.select(*keys, "category", F.col("start_ms").alias("t_ms"),
+                              F.lit(1).cast("long").alias("delta"))
     ends = intervals.where(F.col("end_ms").isNotNull()).select(
-        *keys, F.col("end_ms").alias("t_ms"), F.lit(0).alias("_phase"),
-        F.lit(None).cast("string").alias("probe_id"), *deltas("end_ms", -1))
-    # Deltas at the same instant are summed first (map-side partial aggregation).
-    moves = starts.unionByName(ends).groupBy(*keys, "t_ms", "_phase", "probe_id") \
-        .agg(*[F.sum(n).alias(n) for n in names])
-    points = probes.select(*keys, "t_ms", F.lit(1).alias("_phase"),
-                           F.col("probe_id").cast("string").alias("probe_id"), *zero)
-    swept = running_sums(moves.unionByName(points), keys, "t_ms", ["_phase", "probe_id"], names, chunk_ms)
-    return swept.where(F.col("_phase") == 1).select(*keys, "probe_id", "t_ms", *names)
+        *keys, "category", F.col("end_ms").alias("t_ms"), F.lit(-1).cast("long").alias("delta"))
+    # Moves at the same instant are summed first (map-side partial aggregation).
+    moves = starts.unionByName(ends).groupBy(*keys, "category", "t_ms").agg(F.sum("delta").alias("delta")) \
+        .select(*keys, "category", "t_ms", F.lit(0).alias("_phase"),
+                F.lit(None).cast("string").alias("probe_id"), "delta")
+    wanted = F.col("categories") if "categories" in probes.columns \
+        else F.array(*[F.lit(c) for c in categories])
+    points = probes.select(*keys, F.explode(wanted).alias("category"), "t_ms", F.lit(1).alias("_phase"),
+                           F.col("probe_id").cast("string").alias("probe_id"),
+                           F.lit(0).cast("long").alias("delta"))
+    swept = running_sums(moves.unionByName(points), [*keys, "category"], "t_ms", ["_phase", "probe_id"],
+                         ["delta"], chunk_ms)
+    hits = swept.where(F.col("_phase") == 1)
+    return hits.groupBy(*keys, "probe_id", "t_ms").agg(
+        *[F.coalesce(F.sum(F.when(F.col("category") == c, F.col("delta"))), F.lit(0).cast("long")).alias(n)
+          for c, n in names.items()])

@@ -61,10 +61,18 @@ _MATERIALIZED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The table ``name`` derived from ``sf_dir``: computed once, written as
+    parquet under the checkpoint folder, then read back (so readers get
+    column pruning and filter push-down, and lineage ends at the files)."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _MATERIALIZED:
-        checkpoint_dir(spark)
-        _MATERIALIZED[key] = build().checkpoint(eager=True)
+        import hashlib
+        import os
+
+        tag = hashlib.sha1(f"{key[0]}|{sf_dir}|{name}|{len(_MATERIALIZED)}".encode()).hexdigest()[:16]
+        path = os.path.join(checkpoint_dir(spark), "connrisk-tables", f"{name}-{tag}")
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = spark.read.parquet(path)
     return _MATERIALIZED[key]
 
 
@@ -363,7 +371,9 @@ def q_save_investigations(spark, sf_dir):
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Producer JSON text of every bag event (with the envelope defects)."""
-    ev = bag_events(spark, sf_dir)
+    from connrisk.functions import spread
+
+    ev = spread(bag_events(spark, sf_dir))
     n = F.substring_index(F.col("event_id"), "-", -1).cast("long")
     ev = ev.withColumn("n", n)
     return ev.select(F.col("n").alias("line"), env_src.event_json(ev, F.col("n")).alias("value"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from connrisk.functions import format_iso_ts
+from connrisk.functions import format_iso_ts, spread
 from connrisk.operators.ingest import EVENTS_STREAM, INCIDENTS_STREAM
 
 ARN_PREFIX = "arn:aws:kinesis:eu-west-1:000000000000:stream/"
@@ -76,7 +76,7 @@ def event_envelopes(bag_events: DataFrame) -> DataFrame:
     """Envelopes of the event stream, one per event plus redeliveries.
     ``position`` orders the records like a batch (source number, copy)."""
     n = F.substring_index(F.col("event_id"), "-", -1).cast("long")
-    ev = bag_events.withColumn("n", n)
+    ev = spread(bag_events).withColumn("n", n)
     stream = F.when(F.col("n") % 20 == 2, F.lit(OTHER_STREAM)).otherwise(F.lit(EVENTS_STREAM))
     seq = F.lpad(F.col("n").cast("string"), 12, "0")
     env = ev.select(
