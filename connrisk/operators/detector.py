@@ -20,11 +20,12 @@ i.e. associative.  The plan is therefore a parallel prefix scan:
 
 * ``strategy="window"`` – one shuffle on ``bag_tag_id`` and running windows;
   cheapest when no bag is large.
-* ``strategy="chunked"`` (default) – split each bag into time chunks, compute
-  per-chunk summaries with partial aggregation, scan the (small) summaries per
-  bag, and finish the scan inside each ``(bag, chunk)``.  A bag holding a third
-  of all rows is spread over as many tasks as it has chunks, so no task has to
-  hold a hot bag.
+* ``strategy="chunked"`` (default) – split each bag into time chunks: scan
+  inside each ``(bag, chunk)`` (the only shuffle of the events), summarise each
+  chunk from those same partitions, scan the few summary rows per bag, and
+  join the prefix back onto the still partitioned and sorted rows.  A bag
+  holding a third of all rows is spread over as many tasks as it has chunks,
+  so no task has to hold a hot bag.
 """
 
 from __future__ import annotations
@@ -118,15 +119,26 @@ def _scan_window(p: DataFrame) -> DataFrame:
 
 def _scan_chunked(p: DataFrame, chunk_ms: int) -> DataFrame:
     p = p.withColumn("chunk", F.floor(F.col("t_ms") / F.lit(chunk_ms)))
-    # Level 1: per-(bag, chunk) summaries, partially aggregated map-side.
-    summary = p.groupBy("bag_tag_id", "chunk").agg(
+    # Level 1: the scan inside each (bag, chunk) -- one shuffle of the events.
+    order = Window.partitionBy("bag_tag_id", "chunk").orderBy("t_ms", "event_id")
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = p.select(
+        "*",
+        F.bool_or("is_arr").over(run).alias("i_arr"),
+        F.bool_or("is_mk").over(run).alias("i_mk"),
+        F.bool_or("is_ld").over(run).alias("i_ld"),
+        F.max("scan").over(run).alias("i_scan"),
+        F.lead("t_ms").over(order).alias("i_next"),
+    )
+    # Level 2: chunk summaries (already partitioned by (bag, chunk): no
+    # shuffle), then an exclusive prefix over the few chunks of each bag.
+    summary = inner.groupBy("bag_tag_id", "chunk").agg(
         F.bool_or("is_arr").alias("c_arr"),
         F.bool_or("is_mk").alias("c_mk"),
         F.bool_or("is_ld").alias("c_ld"),
         F.max("scan").alias("c_scan"),
         F.min("t_ms").alias("c_first"),
     )
-    # Level 2: exclusive prefix over the chunks of each bag (one row per chunk).
     by_bag = Window.partitionBy("bag_tag_id").orderBy("chunk")
     before = by_bag.rowsBetween(Window.unboundedPreceding, -1)
     prefix = summary.select(
@@ -137,18 +149,15 @@ def _scan_chunked(p: DataFrame, chunk_ms: int) -> DataFrame:
         F.max("c_scan").over(before).alias("p_scan"),
         F.lead("c_first").over(by_bag).alias("p_next"),
     )
-    # Level 3: finish the scan inside each (bag, chunk).
-    joined = p.join(prefix, ["bag_tag_id", "chunk"], "inner")
-    order = Window.partitionBy("bag_tag_id", "chunk").orderBy("t_ms", "event_id")
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Level 3: combine; the event side keeps its partitioning and order.
     false = F.lit(False)
-    return joined.select(
+    return inner.join(prefix, ["bag_tag_id", "chunk"], "inner").select(
         *p.columns,
-        (F.coalesce("p_arr", false) | F.bool_or("is_arr").over(run)).alias("arrived"),
-        (F.coalesce("p_mk", false) | F.bool_or("is_mk").over(run)).alias("makeup"),
-        (F.coalesce("p_ld", false) | F.bool_or("is_ld").over(run)).alias("loaded"),
-        F.greatest("p_scan", F.max("scan").over(run)).alias("last_scan"),
-        F.coalesce(F.lead("t_ms").over(order), F.col("p_next")).alias("next_t"),
+        (F.coalesce("p_arr", false) | F.col("i_arr")).alias("arrived"),
+        (F.coalesce("p_mk", false) | F.col("i_mk")).alias("makeup"),
+        (F.coalesce("p_ld", false) | F.col("i_ld")).alias("loaded"),
+        F.greatest("p_scan", "i_scan").alias("last_scan"),
+        F.coalesce("i_next", "p_next").alias("next_t"),
     )
 
 

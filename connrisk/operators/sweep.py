@@ -28,21 +28,22 @@ DEFAULT_CHUNK_MS = 6 * 3600 * 1000
 def running_sums(df: DataFrame, keys: list[str], t_col: str, tie_cols: list[str],
                  value_cols: list[str], chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame:
     """Replace ``value_cols`` by their running sums per ``keys`` in
-    ``(t_col, *tie_cols)`` order (current row included)."""
+    ``(t_col, *tie_cols)`` order (current row included).
+
+    The rows are shuffled once, by ``(keys, chunk)``; chunk totals come from
+    the same partitions, and only the small per-chunk offsets move again."""
     d = df.withColumn("_chunk", F.floor(F.col(t_col) / F.lit(chunk_ms)))
-    totals = d.groupBy(*keys, "_chunk").agg(*[F.sum(v).alias(v) for v in value_cols])
+    inner_w = Window.partitionBy(*keys, "_chunk").orderBy(t_col, *tie_cols) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = d.select("*", *[F.sum(v).over(inner_w).alias("_in_" + v) for v in value_cols])
+    totals = inner.groupBy(*keys, "_chunk").agg(*[F.sum(v).alias(v) for v in value_cols])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, "_chunk",
         *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias("_off_" + v) for v in value_cols])
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(t_col, *tie_cols) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = d.join(offsets, [*keys, "_chunk"], "inner")
     other = [c for c in df.columns if c not in value_cols]
-    return joined.select(
-        *other,
-        *[(F.col("_off_" + v) + F.sum(v).over(inner)).alias(v) for v in value_cols],
-    )
+    return inner.join(offsets, [*keys, "_chunk"], "inner").select(
+        *other, *[(F.col("_off_" + v) + F.col("_in_" + v)).alias(v) for v in value_cols])
 
 
 def with_next_time(df: DataFrame, keys: list[str], t_col: str, tie_cols: list[str],
@@ -50,14 +51,13 @@ def with_next_time(df: DataFrame, keys: list[str], t_col: str, tie_cols: list[st
     """Add the ``t_col`` of the next row of the same key in
     ``(t_col, *tie_cols)`` order (NULL for the last row)."""
     d = df.withColumn("_chunk", F.floor(F.col(t_col) / F.lit(chunk_ms)))
-    firsts = d.groupBy(*keys, "_chunk").agg(F.min(t_col).alias("_first"))
+    inner_w = Window.partitionBy(*keys, "_chunk").orderBy(t_col, *tie_cols)
+    inner = d.select("*", F.lead(t_col).over(inner_w).alias("_in_next"))
+    firsts = inner.groupBy(*keys, "_chunk").agg(F.min(t_col).alias("_first"))
     nxt = Window.partitionBy(*keys).orderBy("_chunk")
     following = firsts.select(*keys, "_chunk", F.lead("_first").over(nxt).alias("_next_chunk_first"))
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(t_col, *tie_cols)
-    return d.join(following, [*keys, "_chunk"], "inner").select(
-        *df.columns,
-        F.coalesce(F.lead(t_col).over(inner), F.col("_next_chunk_first")).alias(out_col),
-    )
+    return inner.join(following, [*keys, "_chunk"], "inner").select(
+        *df.columns, F.coalesce("_in_next", "_next_chunk_first").alias(out_col))
 
 
 def interval_counts(intervals: DataFrame, probes: DataFrame, keys: list[str],
