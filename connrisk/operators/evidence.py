@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from connrisk.functions import json_int, json_string, lifecycle_rank, unix_ms
+from connrisk.functions import json_int, json_string, lifecycle_rank, spread, unix_ms
 from connrisk.operators.sweep import DEFAULT_CHUNK_MS, interval_counts, with_next_time
 from connrisk.schemas import INCIDENT_TYPE, LIFECYCLE
 
@@ -87,7 +87,7 @@ def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes:
     costs a fixed number of shuffles however many families it reads.
     """
     window_ms = int(lookback_minutes) * 60 * 1000
-    ev = _timed(events)
+    ev = _timed(spread(events))
     types = list(LIFECYCLE)
 
     # Own timeline: latest row at or before detection, in timeline order.
