@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from connrisk.session import reliable
+
 DEFAULT_CHUNK_MS = 6 * 3600 * 1000
 
 
@@ -89,8 +91,9 @@ def interval_counts(intervals: DataFrame, probes: DataFrame, keys: list[str],
     points = probes.select(*keys, F.explode(wanted).alias("category"), "t_ms", F.lit(1).alias("_phase"),
                            F.col("probe_id").cast("string").alias("probe_id"),
                            F.lit(0).cast("long").alias("delta"))
-    swept = running_sums(moves.unionByName(points), [*keys, "category"], "t_ms", ["_phase", "probe_id"],
-                         ["delta"], chunk_ms)
+    # The sweep input is read twice by the two-level scan; store it once.
+    swept = running_sums(reliable(moves.unionByName(points)), [*keys, "category"], "t_ms",
+                         ["_phase", "probe_id"], ["delta"], chunk_ms)
     hits = swept.where(F.col("_phase") == 1)
     return hits.groupBy(*keys, "probe_id", "t_ms").agg(
         *[F.coalesce(F.sum(F.when(F.col("category") == c, F.col("delta"))), F.lit(0).cast("long")).alias(n)

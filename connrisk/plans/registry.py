@@ -80,10 +80,18 @@ def clear_materialized() -> None:
     _MATERIALIZED.clear()
 
 
+def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baggage_events table, written once for operators that read it
+    several times (evidence, read models, ingestion): each later read is a
+    parallel, column-pruned scan of the stored table instead of another pass
+    over the source and its projection."""
+    return materialized(spark, sf_dir, "bag_events", lambda: bag_events(spark, sf_dir, spread_input=True))
+
+
 def incidents_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector incidents (contract form) of a replay of the whole table."""
     return materialized(spark, sf_dir, "incidents", lambda: detector.replay_detector(
-        bag_events(spark, sf_dir), buffer_seconds=O.BUFFER_S, horizon=O.HORIZON + "Z"))
+        events_table(spark, sf_dir), buffer_seconds=O.BUFFER_S, horizon=O.HORIZON + "Z"))
 
 
 # --- E: detector ---------------------------------------------------------------
@@ -205,7 +213,7 @@ def q_risk_scope_counts(spark, sf_dir):
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-stream envelopes of every bag event plus incident-stream
     envelopes of every detector incident."""
-    ev = env_src.event_envelopes(bag_events(spark, sf_dir))
+    ev = env_src.event_envelopes(events_table(spark, sf_dir))
     wire = detector.incidents_as_json(incidents_contract(spark, sf_dir))
     inc = env_src.incident_envelopes(ingest.serialize_incidents(wire))
     return ev.unionByName(inc)
@@ -290,7 +298,7 @@ def _user_of(bag: str = "bag_tag_id"):
 def evidence_table(spark: SparkSession, sf_dir: str, probes: DataFrame | None = None) -> DataFrame:
     """Evidence of ``probes`` (default: every incident) against all incidents."""
     inc = incidents_contract(spark, sf_dir)
-    return evidence.incident_evidence(probes if probes is not None else inc, bag_events(spark, sf_dir),
+    return evidence.incident_evidence(probes if probes is not None else inc, events_table(spark, sf_dir),
                                       EVIDENCE_LOOKBACK_MIN, risk_incidents=inc)
 
 
@@ -343,7 +351,7 @@ def q_identity_drift(spark, sf_dir):
 @register("detection_reconciliation")
 def q_detection_reconciliation(spark, sf_dir):
     return evidence.detection_reconciliation(
-        cat.risk_candidates(bag_events(spark, sf_dir)), incidents_table(spark, sf_dir),
+        cat.risk_candidates(events_table(spark, sf_dir)), incidents_table(spark, sf_dir),
         investigations_table(spark, sf_dir))
 
 
@@ -412,7 +420,7 @@ def q_investigation_violations(spark, sf_dir):
 
 def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = cat.latest_investigation(investigations_table(spark, sf_dir))
-    return rm.operations_snapshot(bag_events(spark, sf_dir), incidents_table(spark, sf_dir), latest)
+    return rm.operations_snapshot(events_table(spark, sf_dir), incidents_table(spark, sf_dir), latest)
 
 
 @register("operations_snapshot")
@@ -442,7 +450,7 @@ def q_time_sensitive_reason(spark, sf_dir):
 
 @register("risk_status")
 def q_risk_status(spark, sf_dir):
-    countdown = rm.departure_countdown(bag_events(spark, sf_dir), as_of=O.AS_OF)
+    countdown = rm.departure_countdown(events_table(spark, sf_dir), as_of=O.AS_OF)
     return rm.risk_status(snapshot_table(spark, sf_dir), countdown)
 
 

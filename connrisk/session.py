@@ -57,6 +57,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def reliable(df):
+    """Cut lineage with a reliable ``checkpoint()`` into the shared checkpoint
+    folder.  Used where a plan reads one expensive intermediate twice (a
+    prefix scan joins its chunk offsets back onto its own rows): column
+    pruning makes the two branches differ, so Spark would not reuse the
+    exchange and would recompute everything upstream.  Executors lost later
+    re-read the files instead of recomputing; ``localCheckpoint`` is never
+    used."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from connrisk.functions import bag_status_for, event_type_at_rank, trunc_ms
+from connrisk.functions import bag_status_for, event_type_at_rank, spread, trunc_ms
 from connrisk.session import ensure_utc
 
 EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z
@@ -84,6 +84,13 @@ def bag_events_from(events: DataFrame) -> DataFrame:
     )
 
 
-def bag_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bag_events(spark: SparkSession, sf_dir: str, spread_input: bool = False) -> DataFrame:
+    """The baggage_events table projected from the driver's ``events``.
+
+    ``spread_input``: when the scan yields fewer partitions than cores (one
+    unsplittable row group), round-robin the raw rows first so the JSON
+    extraction and string building run on every core (used when the table
+    is written once for many readers); many-file inputs are untouched."""
     ensure_utc(spark)
-    return bag_events_from(read_table(spark, sf_dir, "events"))
+    raw = read_table(spark, sf_dir, "events")
+    return bag_events_from(spread(raw) if spread_input else raw)
