@@ -232,15 +232,11 @@ def quarantine_report(rejected: DataFrame, position_col: str = "position") -> Da
 
 def ingest_counters(batch: dict[str, DataFrame]) -> DataFrame:
     """Received / inserted / failed records per target table of one batch
-    (``rejected`` collects records that never reached a target)."""
-    outcome = (
-        batch["routed"].where(F.col("target_table").isNull())
-        .select(F.lit("rejected").alias("target"), F.lit(False).alias("ok"))
-        .unionByName(batch["events"].select(
-            F.lit(STREAM_TARGETS[EVENTS_STREAM][0]).alias("target"), (F.size("reasons") == 0).alias("ok")))
-        .unionByName(batch["incidents"].select(
-            F.lit(STREAM_TARGETS[INCIDENTS_STREAM][0]).alias("target"), (F.size("reasons") == 0).alias("ok")))
-    )
+    (``rejected`` collects records that never reached a target).  One pass
+    over the per-record outcomes, partially aggregated before the shuffle."""
+    outcome = batch["outcomes"].select(
+        F.coalesce(F.col("target_table"), F.lit("rejected")).alias("target"),
+        (F.size("reasons") == 0).alias("ok"))
     return outcome.groupBy("target").agg(
         F.count(F.lit(1)).alias("received"),
         F.count_if("ok").alias("inserted"),
@@ -280,29 +276,47 @@ INCIDENT_WIRE = INCIDENT_WIRE_SCHEMA
 def ingest_batch(envelopes: DataFrame) -> dict[str, DataFrame]:
     """Decode, route and normalise a batch of envelopes in one row-local pass.
 
-    Returns DataFrames over the same per-record result: ``decoded`` and
-    ``routed`` (every record), ``events`` and ``incidents`` (normalised rows
-    of each target, with ``reasons``) and ``failures`` (every rejected record
-    with all its reasons).  Nothing here shuffles.
+    Every record is decoded once and normalised once, for its own target only
+    (the other target's parser sees NULL text), into one ``outcomes`` row:
+    the keys, ``target_table``, the normalised event or incident as a struct,
+    and the record's final ``reasons`` (its decode failures, else its target's
+    normalisation failures).  The returned frames are filters over that row,
+    so any one of them -- the failures, the counters -- reads the batch once:
+    ``decoded`` and ``routed`` (every record), ``events`` and ``incidents``
+    (normalised rows of each target, with ``reasons``), ``failures`` (every
+    rejected record with its reasons) and ``outcomes``.  Nothing here
+    shuffles.
     """
     extra = [c for c in ("position",) if c in envelopes.columns]
     keys = ["sequence_number", *extra]
     routed = _materialize_row(route_records(decode_envelopes(envelopes, keep=extra)))
     ev_target = STREAM_TARGETS[EVENTS_STREAM][0]
     inc_target = STREAM_TARGETS[INCIDENTS_STREAM][0]
-    events = _materialize_row(normalize_events(
-        routed.where(F.col("target_table") == ev_target).select(*keys, "payload")))
-    inc_parsed = routed.where(F.col("target_table") == inc_target).select(
-        *keys, F.from_json("payload", INCIDENT_WIRE_SCHEMA).alias("r")).select(*keys, "r.*")
-    incidents = _materialize_row(normalize_incidents(inc_parsed, keep=keys))
-    out = [*keys, "reasons"]
-    failures = (
-        routed.where(F.size("reasons") > 0).select(*out)
-        .unionByName(events.where(F.size("reasons") > 0).select(*out))
-        .unionByName(incidents.where(F.size("reasons") > 0).select(*out))
-    )
+    target = F.col("target_table")
+    carried = [*keys, "target_table", "_decode_reasons"]
+    staged = routed.select(
+        *keys, "target_table", F.col("reasons").alias("_decode_reasons"),
+        F.when(target == ev_target, F.col("payload")).alias("_ev_text"),
+        F.when(target == inc_target, F.col("payload")).alias("_inc_text"))
+    ev_norm = normalize_events(staged, text_col="_ev_text")
+    ev_cols = [*BAGGAGE_EVENT_FIELDS, "reasons"]
+    with_ev = ev_norm.select(*carried, "_inc_text", F.struct(*ev_cols).alias("_ev"))
+    inc_parsed = with_ev.select(*carried, "_ev", F.from_json("_inc_text", INCIDENT_WIRE_SCHEMA).alias("_r")) \
+        .select(*carried, "_ev", "_r.*")
+    inc_norm = normalize_incidents(inc_parsed, keep=[*carried, "_ev"])
+    inc_cols = [c for c in inc_norm.columns if c not in (*carried, "_ev")]
+    reasons = (F.when(F.size("_decode_reasons") > 0, F.col("_decode_reasons"))
+               .when(target == ev_target, F.col("_ev.reasons"))
+               .when(target == inc_target, F.col("_inc.reasons"))
+               .otherwise(F.col("_decode_reasons")))
+    outcomes = _materialize_row(
+        inc_norm.select(*carried, "_ev", F.struct(*inc_cols).alias("_inc"))
+        .select(*keys, "target_table", "_ev", "_inc", reasons.alias("reasons")))
+    events = outcomes.where(target == ev_target).select(*keys, "_ev.*")
+    incidents = outcomes.where(target == inc_target).select(*keys, "_inc.*")
+    failures = outcomes.where(F.size("reasons") > 0).select(*keys, "reasons")
     return {"decoded": routed.drop("target_table"), "routed": routed, "events": events,
-            "incidents": incidents, "failures": failures}
+            "incidents": incidents, "failures": failures, "outcomes": outcomes}
 
 
 def envelope_reason_text(col="reasons") -> Column:

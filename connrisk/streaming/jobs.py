@@ -132,9 +132,11 @@ def start_ingest_job(spark: SparkSession, source: str, output: str, checkpoint:
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("position", F.monotonically_increasing_id())
-        batch.persist()
+        staged = ingest.ingest_batch(batch)
+        # Every output below filters the per-record outcomes: decode the
+        # micro-batch once and let the four writes read the stored result.
+        staged["outcomes"].persist()
         try:
-            staged = ingest.ingest_batch(batch)
             append_table(staged["events"].where(F.size("reasons") == 0).drop("reasons", "position"),
                          output, "baggage_events", batch_id)
             append_table(staged["incidents"].where(F.size("reasons") == 0).drop("reasons", "position"),
@@ -144,7 +146,7 @@ def start_ingest_job(spark: SparkSession, source: str, output: str, checkpoint:
             ingest.ingest_counters(staged).withColumn("batch_id", F.lit(batch_id)) \
                 .write.mode("overwrite").json(os.path.join(output, "counters", f"batch={batch_id}"))
         finally:
-            batch.unpersist()
+            staged["outcomes"].unpersist()
 
     return env.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink) \
         .trigger(**(trigger or {"availableNow": True})).start()
