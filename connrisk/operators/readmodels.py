@@ -47,14 +47,22 @@ def latest_rows(events: DataFrame) -> DataFrame:
                     F.col("r.connection_departure_time").alias("connection_departure_time"))
 
 
+def _departure():
+    return F.coalesce("estimated_departure_time", "connection_departure_time")
+
+
+def _countdown(as_of=None):
+    """Seconds left on a last-timeline row (estimate, else connection
+    departure), never below zero."""
+    secs = ((F.unix_millis(_departure()) - F.unix_millis(as_of_lit(as_of))) / F.lit(1000)).cast("long")
+    return F.greatest(F.lit(0).cast("long"), secs)
+
+
 def departure_countdown(events: DataFrame, as_of=None) -> DataFrame:
     """Whole seconds from ``as_of`` to the bag's departure (estimate, else
     connection departure, from its last timeline row), never below zero."""
-    last = latest_rows(events)
-    dep = F.coalesce("estimated_departure_time", "connection_departure_time")
-    secs = ((F.unix_millis(dep) - F.unix_millis(as_of_lit(as_of))) / F.lit(1000)).cast("long")
-    return last.select("bag_tag_id", dep.alias("departure_time"),
-                       F.greatest(F.lit(0).cast("long"), secs).alias("seconds_to_departure"))
+    return latest_rows(events).select("bag_tag_id", _departure().alias("departure_time"),
+                                      _countdown(as_of).alias("seconds_to_departure"))
 
 
 def incident_context(incidents: DataFrame) -> DataFrame:
@@ -107,17 +115,17 @@ def time_sensitive_reason(snapshot: DataFrame) -> DataFrame:
     return snapshot.select("bag_tag_id", "incident_id", sentence.alias("reason"))
 
 
-def risk_status(snapshot: DataFrame, countdown: DataFrame) -> DataFrame:
+def risk_status(snapshot: DataFrame, as_of=None) -> DataFrame:
     """AT RISK with the incident's seconds, last scan and zone, or CLEAR with
-    the departure countdown and the last timeline row."""
+    the departure countdown and the last timeline row.  The countdown is read
+    off the snapshot's own last-timeline row, so no second per-bag
+    aggregation or join is needed."""
     ctx_seconds = F.from_json("context_json", CONTEXT_SCHEMA).getField("seconds_to_departure")
     has = F.col("incident_id").isNotNull()
-    j = snapshot.join(countdown.select("bag_tag_id", F.col("seconds_to_departure").alias("_countdown")),
-                      "bag_tag_id", "left")
-    return j.select(
+    return snapshot.select(
         "bag_tag_id",
         F.when(has, F.lit(AT_RISK)).otherwise(F.lit(CLEAR)).alias("risk_status"),
-        F.when(has, ctx_seconds).otherwise(F.col("_countdown")).alias("seconds_to_departure"),
+        F.when(has, ctx_seconds).otherwise(_countdown(as_of)).alias("seconds_to_departure"),
         F.when(has, F.col("incident_last_scan_type")).otherwise(F.col("last_event_type")).alias("last_scan"),
         F.when(has, F.col("incident_transfer_zone")).otherwise(F.col("transfer_zone")).alias("transfer_zone"),
     )

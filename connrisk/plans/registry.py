@@ -310,8 +310,10 @@ def investigations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _investigations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    res = evidence.classify_incidents(evidence_table(spark, sf_dir), keep=("detected_at",)) \
-        .where(_user_of() % 2 == 0)
+    # Evidence is computed per probe, so only the investigated incidents are
+    # probed (recent risks still count every stored incident).
+    investigated = incidents_contract(spark, sf_dir).where(_user_of() % 2 == 0)
+    res = evidence.classify_incidents(evidence_table(spark, sf_dir, investigated), keep=("detected_at",))
     first = evidence.stored_results(res, F.col("detected_at") + F.expr("INTERVAL 1 MINUTE"))
     again = res.where(_user_of() % 4 == 0).select(
         "*",
@@ -450,8 +452,7 @@ def q_time_sensitive_reason(spark, sf_dir):
 
 @register("risk_status")
 def q_risk_status(spark, sf_dir):
-    countdown = rm.departure_countdown(events_table(spark, sf_dir), as_of=O.AS_OF)
-    return rm.risk_status(snapshot_table(spark, sf_dir), countdown)
+    return rm.risk_status(snapshot_table(spark, sf_dir), as_of=O.AS_OF)
 
 
 # --- G1-G14: scalar functions over every event ---------------------------------------
