@@ -147,11 +147,10 @@ def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes:
         probes = part if probes is None else probes.unionByName(part)
 
     cats = [c for kind in "pfzr" for c in cats_of[kind]]
-    swept = interval_counts(all_iv, probes, ["key"], cats, "", chunk_ms)
-    # Each probe row holds its own family's counts (zeros elsewhere), so
-    # summing the four rows of an incident merges them.
-    counts = swept.groupBy(F.col("probe_id").alias("incident_id")).agg(
-        *[F.sum(c).alias(c) for c in cats])
+    # Each incident probes four keys (one per family); grouping the hits by
+    # the probe id alone merges its families in the sweep's own aggregation.
+    counts = interval_counts(all_iv, probes, ["key"], cats, "", chunk_ms, group_by=["probe_id"]) \
+        .withColumnRenamed("probe_id", "incident_id")
 
     def total(prefix):
         return sum((F.col(prefix + t) for t in types), F.lit(0).cast("long"))

@@ -64,14 +64,16 @@ def with_next_time(df: DataFrame, keys: list[str], t_col: str, tie_cols: list[st
 
 def interval_counts(intervals: DataFrame, probes: DataFrame, keys: list[str],
                     categories: list[str], prefix: str = "n_",
-                    chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame:
+                    chunk_ms: int = DEFAULT_CHUNK_MS, group_by: list[str] | None = None) -> DataFrame:
     """Stabbing counts.
 
     ``intervals``: ``keys``, ``category``, ``start_ms``, ``end_ms`` (exclusive,
     NULL = open-ended).  ``probes``: ``keys``, ``probe_id``, ``t_ms`` and
     optionally ``categories`` (array: the categories this probe asks for;
     default all).  Returns one row per probe: ``keys``, ``probe_id``, ``t_ms``
-    and one count column ``prefix + category`` per category.
+    and one count column ``prefix + category`` per category.  ``group_by``
+    (default ``keys + [probe_id, t_ms]``) merges the rows of probes that share
+    an id across keys in the same final aggregation.
 
     The sweep runs per ``(key, category)`` on a single +1/-1 column, so rows
     stay narrow and one hot key is still split by category (and by time
@@ -95,6 +97,6 @@ def interval_counts(intervals: DataFrame, probes: DataFrame, keys: list[str],
     swept = running_sums(reliable(moves.unionByName(points)), [*keys, "category"], "t_ms",
                          ["_phase", "probe_id"], ["delta"], chunk_ms)
     hits = swept.where(F.col("_phase") == 1)
-    return hits.groupBy(*keys, "probe_id", "t_ms").agg(
+    return hits.groupBy(*(group_by or [*keys, "probe_id", "t_ms"])).agg(
         *[F.coalesce(F.sum(F.when(F.col("category") == c, F.col("delta"))), F.lit(0).cast("long")).alias(n)
           for c, n in names.items()])

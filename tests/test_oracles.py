@@ -44,3 +44,27 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(d_cols)
     assert len(rows) == len(d_rows)
     assert digest(df.columns, rows)[0] == digest(d_cols, d_rows)[0]
+
+
+# Queries whose result is empty on the small tables (the reference's
+# parameters -- 10-minute buckets, at least three bags -- need denser data);
+# they are also checked on the sf0.1 tables, where they return rows.
+SPARSE_AT_SMALL_SF = ("stall_clusters",)
+
+
+@pytest.mark.parametrize("name", SPARSE_AT_SMALL_SF)
+def test_sparse_query_matches_oracle_on_larger_tables(spark, name):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.exists(f"{sf}/events.parquet"):
+        pytest.skip("sf0.1 tables not present")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    df = entry.queries()[name](spark, sf)
+    rows = [tuple(r) for r in df.collect()]
+    res = c.execute(entry.oracle_sql()[name])
+    d_cols = [d[0] for d in res.description]
+    d_rows = res.fetchall()
+    assert len(rows) > 0
+    assert sorted(df.columns) == sorted(d_cols)
+    assert len(rows) == len(d_rows)
+    assert digest(df.columns, rows)[0] == digest(d_cols, d_rows)[0]
