@@ -13,6 +13,8 @@ from the checkpoint without duplicating rows.
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 
 from connrisk.functions import parse_iso_ts
 from connrisk.operators import contracts, detector, ingest
-from connrisk.schemas import EVENT_WIRE_SCHEMA
+from connrisk.schemas import DEFAULT_RISK_BUFFER_SECONDS, EVENT_WIRE_SCHEMA
 from connrisk.session import ensure_utc
 from connrisk.streaming.detector import run_detector
 
@@ -35,6 +37,64 @@ SORT_KEYS = {
 _LINE_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
 
+# FIXED VALUES: detector job setting names and their defaults.
+BUFFER_SETTING = "RISK_BUFFER_SECONDS"
+POSITION_SETTING = "KINESIS_STARTING_POSITION"
+INTERVAL_SETTING = "CHECKPOINT_INTERVAL_MS"
+DEFAULT_POSITION = "LATEST"
+DEFAULT_INTERVAL_MS = 60_000
+
+
+@dataclass(frozen=True)
+class DetectorSettings:
+    """Resolved settings of the detector job.  ``checkpoint_interval_ms`` is
+    the micro-batch trigger interval: state is committed to the checkpoint
+    once per micro-batch."""
+
+    risk_buffer_seconds: int = DEFAULT_RISK_BUFFER_SECONDS
+    starting_position: str = DEFAULT_POSITION
+    checkpoint_interval_ms: int = DEFAULT_INTERVAL_MS
+
+    @property
+    def trigger(self) -> dict:
+        return {"processingTime": f"{self.checkpoint_interval_ms} milliseconds"}
+
+
+def _setting(properties: Mapping[str, str], environ: Mapping[str, str], name: str, default: str) -> str:
+    """The environment wins over the job properties, which win over the default."""
+    return environ.get(name, properties.get(name, default))
+
+
+def _positive_int(properties, environ, name: str, default: int) -> int:
+    raw = _setting(properties, environ, name, str(default))
+    if isinstance(raw, bool):
+        raise ValueError(f"{name} must be an integer")
+    try:
+        value = int(raw)
+    except (TypeError, ValueError) as exc:
+        raise ValueError(f"{name} must be an integer") from exc
+    if value <= 0:
+        raise ValueError(f"{name} must be positive")
+    return value
+
+
+def detector_settings(properties: Mapping[str, str] | None = None,
+                      environ: Mapping[str, str] | None = None) -> DetectorSettings:
+    """Resolve the job settings (environment, then ``properties``, then the
+    defaults).  Raises ``ValueError`` for a non-integer or non-positive
+    number, or a starting position other than ``LATEST`` / ``TRIM_HORIZON``."""
+    props = dict(properties or {})
+    env = os.environ if environ is None else environ
+    position = str(_setting(props, env, POSITION_SETTING, DEFAULT_POSITION)).upper()
+    if position not in STARTING_POSITIONS:
+        raise ValueError("position must be LATEST or TRIM_HORIZON")
+    return DetectorSettings(
+        risk_buffer_seconds=_positive_int(props, env, BUFFER_SETTING, DEFAULT_RISK_BUFFER_SECONDS),
+        starting_position=position,
+        checkpoint_interval_ms=_positive_int(props, env, INTERVAL_SETTING, DEFAULT_INTERVAL_MS),
+    )
+
+
 def read_event_stream(spark: SparkSession, source: str, position: str = "LATEST",
                       kafka_servers: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """Raw event stream as one ``value`` text column per record.
@@ -121,6 +181,18 @@ def start_detector_job(spark: SparkSession, source: str, output: str, checkpoint
     return q, quarantine
 
 
+def start_configured_detector_job(spark: SparkSession, source: str, output: str, checkpoint: str,
+                                  properties: Mapping[str, str] | None = None,
+                                  environ: Mapping[str, str] | None = None):
+    """The live detector job (processing-time clock) with its settings
+    resolved by ``detector_settings``: buffer, starting position, and a
+    trigger every checkpoint interval."""
+    settings = detector_settings(properties, environ)
+    return start_detector_job(spark, source, output, checkpoint,
+                              buffer_seconds=settings.risk_buffer_seconds, clock="processing",
+                              position=settings.starting_position, trigger=settings.trigger)
+
+
 def start_ingest_job(spark: SparkSession, source: str, output: str, checkpoint: str,
                      trigger: dict | None = None):
     """Envelope batches (JSON lines of records) -> baggage_events and

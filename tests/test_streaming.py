@@ -82,3 +82,24 @@ def test_processing_time_timer_fires_without_new_input(spark, scratch):
     finally:
         for q in queries:
             q.stop()
+
+
+def test_job_settings_resolution_order_and_checks():
+    import pytest
+
+    from connrisk.streaming.jobs import detector_settings
+
+    assert detector_settings({}, {}).risk_buffer_seconds == 30
+    assert detector_settings({}, {}).starting_position == "LATEST"
+    props = {"RISK_BUFFER_SECONDS": "45", "KINESIS_STARTING_POSITION": "trim_horizon",
+             "CHECKPOINT_INTERVAL_MS": "5000"}
+    s = detector_settings(props, {})
+    assert (s.risk_buffer_seconds, s.starting_position, s.checkpoint_interval_ms) == (45, "TRIM_HORIZON", 5000)
+    assert s.trigger == {"processingTime": "5000 milliseconds"}
+    # The environment wins over the job properties.
+    assert detector_settings(props, {"RISK_BUFFER_SECONDS": "90"}).risk_buffer_seconds == 90
+    for bad in ({"RISK_BUFFER_SECONDS": "0"}, {"RISK_BUFFER_SECONDS": "-5"},
+                {"RISK_BUFFER_SECONDS": "1.5"}, {"CHECKPOINT_INTERVAL_MS": "soon"},
+                {"KINESIS_STARTING_POSITION": "AT_TIMESTAMP"}):
+        with pytest.raises(ValueError):
+            detector_settings(bad, {})
