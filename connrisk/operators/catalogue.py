@@ -358,11 +358,13 @@ def journey_summary(events: DataFrame) -> DataFrame:
 
 # --- C10 / C11: journeys and stages ---------------------------------------------
 
-def bag_journeys(events: DataFrame, chunk_hours: int = 6) -> DataFrame:
+def bag_journeys(events: DataFrame, chunk_ms: int | None = None) -> DataFrame:
     """Every event of every bag with its position in the bag's time-ordered
     journey.  Positions come from a two-level count (per time chunk, then a
     prefix over chunks), so a very large bag is numbered by many tasks."""
-    chunk_ms = int(chunk_hours) * 3600 * 1000
+    from connrisk.operators.sweep import resolve_chunk_ms
+
+    chunk_ms = resolve_chunk_ms(events, chunk_ms)
     df = events.select(
         "bag_tag_id", "event_time", "event_id", "event_type", "scan_location",
         F.floor(unix_ms("event_time") / F.lit(chunk_ms)).alias("chunk"),

@@ -44,6 +44,7 @@ from connrisk.functions import (
     seconds_to_departure,
     unix_ms,
 )
+from connrisk.operators.sweep import resolve_chunk_ms
 from connrisk.schemas import DEFAULT_RISK_BUFFER_SECONDS, INCIDENT_TYPE, LIFECYCLE
 
 ARRIVED, MAKEUP, LOADED = "TRANSFER_ARRIVED", "MAKEUP_AREA_SCAN", "CONNECTING_AIRCRAFT_LOADED"
@@ -162,19 +163,22 @@ def _scan_chunked(p: DataFrame, chunk_ms: int) -> DataFrame:
 
 
 def detector_state(events: DataFrame, strategy: str = "chunked",
-                   chunk_hours: int = 6) -> DataFrame:
-    """Per-event detector state after applying each event (replay order)."""
+                   chunk_hours: int | None = None) -> DataFrame:
+    """Per-event detector state after applying each event (replay order).
+    The chunk width is ``chunk_hours`` when given, else the session's scan
+    chunk width (``connrisk.operators.sweep.resolve_chunk_ms``)."""
     p = _prepare(events)
     if strategy == "window":
         return _scan_window(p)
     if strategy == "chunked":
-        return _scan_chunked(p, int(chunk_hours) * 3600 * 1000)
+        width = int(chunk_hours) * 3600 * 1000 if chunk_hours else resolve_chunk_ms(events)
+        return _scan_chunked(p, width)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
 def replay_detector(events: DataFrame, buffer_seconds: int = DEFAULT_RISK_BUFFER_SECONDS,
                     horizon="2024-02-02T00:00:00Z", strategy: str = "chunked",
-                    chunk_hours: int = 6) -> DataFrame:
+                    chunk_hours: int | None = None) -> DataFrame:
     """Incidents the streaming detector raises when ``events`` are replayed in
     event-time order with the clock following the events, then advanced to
     ``horizon``.  One row per bag at most (13-key contract, flattened)."""

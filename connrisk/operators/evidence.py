@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from connrisk.functions import json_int, json_string, lifecycle_rank, spread, unix_ms
-from connrisk.operators.sweep import DEFAULT_CHUNK_MS, interval_counts, with_next_time
+from connrisk.operators.sweep import interval_counts, with_next_time
 from connrisk.schemas import INCIDENT_TYPE, LIFECYCLE
 
 SORTER, MAKEUP, LOADED = "TRANSFER_SORTER_SCAN", "MAKEUP_AREA_SCAN", "CONNECTING_AIRCRAFT_LOADED"
@@ -74,7 +74,7 @@ def _key(kind: str, a, b=None):
 
 
 def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes: int = 60,
-                      chunk_ms: int = DEFAULT_CHUNK_MS,
+                      chunk_ms: int | None = None,
                       risk_incidents: DataFrame | None = None) -> DataFrame:
     """One evidence row per incident of ``incidents`` (contract columns +
     counts).  Recent risks are counted among ``risk_incidents`` (default: the

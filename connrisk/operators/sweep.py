@@ -24,17 +24,34 @@ from pyspark.sql import functions as F
 
 from connrisk.session import reliable
 
-DEFAULT_CHUNK_MS = 6 * 3600 * 1000
+# Chunk width of every two-level scan.  A hot key is split into one task per
+# non-empty chunk, so a task holds at most "the key's rows in one chunk"
+# (a key with a third of a month of 100 TB is ~0.8 GB per 1-minute chunk),
+# while a key has at most one summary row per chunk.  Sessions can override
+# it with the ``connrisk.scan.chunkMs`` setting.
+CHUNK_CONF = "connrisk.scan.chunkMs"
+DEFAULT_CHUNK_MS = 60 * 1000
+
+
+def resolve_chunk_ms(df: DataFrame, chunk_ms: int | None = None) -> int:
+    """Explicit width, else the session's ``connrisk.scan.chunkMs``, else
+    ``DEFAULT_CHUNK_MS``."""
+    if chunk_ms is None:
+        conf = df.sparkSession.conf.get(CHUNK_CONF, None)
+        chunk_ms = int(conf) if conf else DEFAULT_CHUNK_MS
+    if int(chunk_ms) <= 0:
+        raise ValueError("chunk width must be positive")
+    return int(chunk_ms)
 
 
 def running_sums(df: DataFrame, keys: list[str], t_col: str, tie_cols: list[str],
-                 value_cols: list[str], chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame:
+                 value_cols: list[str], chunk_ms: int | None = None) -> DataFrame:
     """Replace ``value_cols`` by their running sums per ``keys`` in
     ``(t_col, *tie_cols)`` order (current row included).
 
     The rows are shuffled once, by ``(keys, chunk)``; chunk totals come from
     the same partitions, and only the small per-chunk offsets move again."""
-    d = df.withColumn("_chunk", F.floor(F.col(t_col) / F.lit(chunk_ms)))
+    d = df.withColumn("_chunk", F.floor(F.col(t_col) / F.lit(resolve_chunk_ms(df, chunk_ms))))
     inner_w = Window.partitionBy(*keys, "_chunk").orderBy(t_col, *tie_cols) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = d.select("*", *[F.sum(v).over(inner_w).alias("_in_" + v) for v in value_cols])
@@ -49,10 +66,10 @@ def running_sums(df: DataFrame, keys: list[str], t_col: str, tie_cols: list[str]
 
 
 def with_next_time(df: DataFrame, keys: list[str], t_col: str, tie_cols: list[str],
-                   out_col: str = "next_t", chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame:
+                   out_col: str = "next_t", chunk_ms: int | None = None) -> DataFrame:
     """Add the ``t_col`` of the next row of the same key in
     ``(t_col, *tie_cols)`` order (NULL for the last row)."""
-    d = df.withColumn("_chunk", F.floor(F.col(t_col) / F.lit(chunk_ms)))
+    d = df.withColumn("_chunk", F.floor(F.col(t_col) / F.lit(resolve_chunk_ms(df, chunk_ms))))
     inner_w = Window.partitionBy(*keys, "_chunk").orderBy(t_col, *tie_cols)
     inner = d.select("*", F.lead(t_col).over(inner_w).alias("_in_next"))
     firsts = inner.groupBy(*keys, "_chunk").agg(F.min(t_col).alias("_first"))
@@ -64,7 +81,7 @@ def with_next_time(df: DataFrame, keys: list[str], t_col: str, tie_cols: list[st
 
 def interval_counts(intervals: DataFrame, probes: DataFrame, keys: list[str],
                     categories: list[str], prefix: str = "n_",
-                    chunk_ms: int = DEFAULT_CHUNK_MS, group_by: list[str] | None = None) -> DataFrame:
+                    chunk_ms: int | None = None, group_by: list[str] | None = None) -> DataFrame:
     """Stabbing counts.
 
     ``intervals``: ``keys``, ``category``, ``start_ms``, ``end_ms`` (exclusive,

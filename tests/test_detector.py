@@ -122,3 +122,20 @@ def test_chunked_plan_equals_window_plan_on_driver_data(spark):
     b = replay_detector(ev, 1800, "2024-02-02T00:00:00Z", "chunked", chunk_hours=1).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert len(a) == 16
+
+
+def test_session_chunk_width_is_used_and_plans_agree(spark):
+    from connrisk.operators.sweep import CHUNK_CONF, DEFAULT_CHUNK_MS, resolve_chunk_ms
+    from connrisk.sources.driver_tables import bag_events
+
+    ev = bag_events(spark, "/root/testdata/sf0.001")
+    assert resolve_chunk_ms(ev) == DEFAULT_CHUNK_MS
+    a = sorted(map(tuple, replay_detector(ev, 1800, "2024-02-02T00:00:00Z", "window").collect()))
+    try:
+        for width in ("1000", "7200000"):
+            spark.conf.set(CHUNK_CONF, width)
+            assert resolve_chunk_ms(ev) == int(width)
+            b = replay_detector(ev, 1800, "2024-02-02T00:00:00Z", "chunked").collect()
+            assert sorted(map(tuple, b)) == a
+    finally:
+        spark.conf.unset(CHUNK_CONF)
