@@ -358,17 +358,19 @@ def journey_summary(events: DataFrame) -> DataFrame:
 
 # --- C10 / C11: journeys and stages ---------------------------------------------
 
-def bag_journeys(events: DataFrame, chunk_ms: int | None = None) -> DataFrame:
+def bag_journeys(events: DataFrame, chunk_ms: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Every event of every bag with its position in the bag's time-ordered
-    journey.  Positions come from a two-level count (per time chunk, then a
-    prefix over chunks), so a very large bag is numbered by many tasks."""
-    from connrisk.operators.sweep import resolve_chunk_ms
-
-    chunk_ms = resolve_chunk_ms(events, chunk_ms)
-    df = events.select(
-        "bag_tag_id", "event_time", "event_id", "event_type", "scan_location",
-        F.floor(unix_ms("event_time") / F.lit(chunk_ms)).alias("chunk"),
-    )
+    journey.  Hot bags are numbered by a two-level count (per time chunk,
+    then a prefix over chunks), so a very large bag is numbered by many
+    tasks; with no hot bag it is one ``row_number`` window."""
+    from connrisk.operators.sweep import split_hot_keys
+
+    cols = ["bag_tag_id", "event_time", "event_id", "event_type", "scan_location"]
+    base = events.select(*cols, unix_ms("event_time").alias("t_ms"))
+    df = split_hot_keys(base, ["bag_tag_id"], "t_ms", chunk_ms, hot_rows, out="chunk")
+    if df is None:
+        w = Window.partitionBy("bag_tag_id").orderBy("event_time", "event_id")
+        return base.select("bag_tag_id", F.row_number().over(w).cast("long").alias("position"), *cols[1:])
     counts = df.groupBy("bag_tag_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bag_tag_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bag_tag_id", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -44,7 +44,7 @@ from connrisk.functions import (
     seconds_to_departure,
     unix_ms,
 )
-from connrisk.operators.sweep import resolve_chunk_ms
+from connrisk.operators.sweep import resolve_chunk_ms, split_hot_keys
 from connrisk.schemas import DEFAULT_RISK_BUFFER_SECONDS, INCIDENT_TYPE, LIFECYCLE
 
 ARRIVED, MAKEUP, LOADED = "TRANSFER_ARRIVED", "MAKEUP_AREA_SCAN", "CONNECTING_AIRCRAFT_LOADED"
@@ -118,8 +118,8 @@ def _scan_window(p: DataFrame) -> DataFrame:
     )
 
 
-def _scan_chunked(p: DataFrame, chunk_ms: int) -> DataFrame:
-    p = p.withColumn("chunk", F.floor(F.col("t_ms") / F.lit(chunk_ms)))
+def _scan_chunked(p: DataFrame, columns: list[str]) -> DataFrame:
+    """``p`` carries a ``chunk`` column (``sweep.split_hot_keys``)."""
     # Level 1: the scan inside each (bag, chunk) -- one shuffle of the events.
     order = Window.partitionBy("bag_tag_id", "chunk").orderBy("t_ms", "event_id")
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -153,7 +153,7 @@ def _scan_chunked(p: DataFrame, chunk_ms: int) -> DataFrame:
     # Level 3: combine; the event side keeps its partitioning and order.
     false = F.lit(False)
     return inner.join(prefix, ["bag_tag_id", "chunk"], "inner").select(
-        *p.columns,
+        *columns,
         (F.coalesce("p_arr", false) | F.col("i_arr")).alias("arrived"),
         (F.coalesce("p_mk", false) | F.col("i_mk")).alias("makeup"),
         (F.coalesce("p_ld", false) | F.col("i_ld")).alias("loaded"),
@@ -163,28 +163,32 @@ def _scan_chunked(p: DataFrame, chunk_ms: int) -> DataFrame:
 
 
 def detector_state(events: DataFrame, strategy: str = "chunked",
-                   chunk_hours: int | None = None) -> DataFrame:
+                   chunk_hours: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Per-event detector state after applying each event (replay order).
-    The chunk width is ``chunk_hours`` when given, else the session's scan
-    chunk width (``connrisk.operators.sweep.resolve_chunk_ms``)."""
+
+    ``chunked`` splits only hot bags (more than ``hot_rows`` events, default
+    the session's ``connrisk.scan.hotKeyRows``) into time chunks of
+    ``chunk_hours`` (default the session's scan chunk width); with no hot bag
+    it is the single-window plan."""
     p = _prepare(events)
     if strategy == "window":
         return _scan_window(p)
     if strategy == "chunked":
         width = int(chunk_hours) * 3600 * 1000 if chunk_hours else resolve_chunk_ms(events)
-        return _scan_chunked(p, width)
+        d = split_hot_keys(p, ["bag_tag_id"], "t_ms", width, hot_rows, out="chunk")
+        return _scan_window(p) if d is None else _scan_chunked(d, p.columns)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
 def replay_detector(events: DataFrame, buffer_seconds: int = DEFAULT_RISK_BUFFER_SECONDS,
                     horizon="2024-02-02T00:00:00Z", strategy: str = "chunked",
-                    chunk_hours: int | None = None) -> DataFrame:
+                    chunk_hours: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Incidents the streaming detector raises when ``events`` are replayed in
     event-time order with the clock following the events, then advanced to
     ``horizon``.  One row per bag at most (13-key contract, flattened)."""
     buffer_ms = check_buffer(buffer_seconds) * 1000
     horizon_ms = _to_ms(horizon)
-    state = detector_state(events, strategy, chunk_hours)
+    state = detector_state(events, strategy, chunk_hours, hot_rows)
     timer = F.col("eff_ms") - F.lit(buffer_ms)
     fire_ms = F.greatest(timer, F.col("t_ms"))
     due = (

@@ -112,14 +112,14 @@ def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes:
     fams = [("p", "outbound_flight_id", "airport_code", None, True),
             ("f", "outbound_flight_id", None, None, False),
             ("z", "airport_code", "transfer_zone", "event_type", True)]
-    state_rows = None
-    for kind, a, b, extra, windowed in fams:
-        part = ev.select(
-            _key(kind, a, b).alias("key"),
-            F.concat_ws(KEY_SEP, "bag_tag_id", F.col(extra) if extra else F.lit("")).alias("member"),
-            F.lit(kind).alias("kind"), F.lit(windowed).alias("windowed"),
-            "event_type", "t_ms", "rank", "event_id")
-        state_rows = part if state_rows is None else state_rows.unionByName(part)
+    # One scan of the events feeds all families: each event yields one row
+    # per family through a generator.
+    fam_rows = F.array(*[F.struct(
+        _key(kind, a, b).alias("key"),
+        F.concat_ws(KEY_SEP, "bag_tag_id", F.col(extra) if extra else F.lit("")).alias("member"),
+        F.lit(kind).alias("kind"), F.lit(windowed).alias("windowed"),
+    ) for kind, a, b, extra, windowed in fams])
+    state_rows = ev.select(F.inline(fam_rows), "event_type", "t_ms", "rank", "event_id")
     nxt = with_next_time(state_rows, ["key", "member"], "t_ms", ["rank", "event_id"], chunk_ms=chunk_ms)
     stale = F.col("t_ms") + F.lit(window_ms + 1)
     end = F.when(F.col("windowed"), F.least(F.coalesce("next_t", stale), stale)).otherwise(F.col("next_t"))

@@ -18,10 +18,11 @@ def _all_engines(spark, rows, buffer_seconds=30):
     df = to_df(spark, rows)
     out = {}
     for strategy, chunk in (("window", 6), ("chunked", 6), ("chunked_small", 0)):
+        # hot_rows=0: every bag counts as hot, so the two-level plan runs.
         if strategy == "chunked_small":
-            res = replay_detector(df, buffer_seconds, HORIZON, "chunked", chunk_hours=1)
+            res = replay_detector(df, buffer_seconds, HORIZON, "chunked", chunk_hours=1, hot_rows=0)
         else:
-            res = replay_detector(df, buffer_seconds, HORIZON, strategy, chunk_hours=chunk)
+            res = replay_detector(df, buffer_seconds, HORIZON, strategy, chunk_hours=chunk, hot_rows=0)
         out[strategy] = sorted(tuple(r) for r in res.collect())
     stream = run_detector(df, buffer_seconds, clock="replay", horizon_ms=ms(HORIZON))
     out["stream"] = sorted(tuple(r) for r in stream.collect())
@@ -119,19 +120,21 @@ def test_chunked_plan_equals_window_plan_on_driver_data(spark):
 
     ev = bag_events(spark, "/root/testdata/sf0.001")
     a = replay_detector(ev, 1800, "2024-02-02T00:00:00Z", "window").collect()
-    b = replay_detector(ev, 1800, "2024-02-02T00:00:00Z", "chunked", chunk_hours=1).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    b = replay_detector(ev, 1800, "2024-02-02T00:00:00Z", "chunked", chunk_hours=1, hot_rows=0).collect()
+    c = replay_detector(ev, 1800, "2024-02-02T00:00:00Z", "chunked", chunk_hours=1, hot_rows=8).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) == sorted(map(tuple, c))
     assert len(a) == 16
 
 
 def test_session_chunk_width_is_used_and_plans_agree(spark):
-    from connrisk.operators.sweep import CHUNK_CONF, DEFAULT_CHUNK_MS, resolve_chunk_ms
+    from connrisk.operators.sweep import CHUNK_CONF, DEFAULT_CHUNK_MS, HOT_CONF, resolve_chunk_ms
     from connrisk.sources.driver_tables import bag_events
 
     ev = bag_events(spark, "/root/testdata/sf0.001")
     assert resolve_chunk_ms(ev) == DEFAULT_CHUNK_MS
     a = sorted(map(tuple, replay_detector(ev, 1800, "2024-02-02T00:00:00Z", "window").collect()))
     try:
+        spark.conf.set(HOT_CONF, "0")
         for width in ("1000", "7200000"):
             spark.conf.set(CHUNK_CONF, width)
             assert resolve_chunk_ms(ev) == int(width)
@@ -139,3 +142,4 @@ def test_session_chunk_width_is_used_and_plans_agree(spark):
             assert sorted(map(tuple, b)) == a
     finally:
         spark.conf.unset(CHUNK_CONF)
+        spark.conf.unset(HOT_CONF)

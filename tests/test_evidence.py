@@ -20,7 +20,7 @@ def test_interval_counts_match_brute_force(spark):
     iv = spark.createDataFrame(intervals, "k string, category string, start_ms long, end_ms long")
     pr = spark.createDataFrame(probes, "k string, probe_id string, t_ms long")
     got = {r["probe_id"]: (r["n_x"], r["n_y"])
-           for r in interval_counts(iv, pr, ["k"], ["x", "y"], chunk_ms=700).collect()}
+           for r in interval_counts(iv, pr, ["k"], ["x", "y"], chunk_ms=700, hot_rows=3).collect()}
     for k, pid, t in probes:
         want = tuple(sum(1 for (k2, c, s, e) in intervals
                          if k2 == k and c == cat and s <= t and (e is None or t < e)) for cat in ("x", "y"))
@@ -30,8 +30,44 @@ def test_interval_counts_match_brute_force(spark):
 def test_running_sums_across_chunks(spark):
     rows = [("k", t, 1) for t in range(0, 5000, 7)]
     df = spark.createDataFrame(rows, "k string, t long, v long")
-    got = [r["v"] for r in running_sums(df, ["k"], "t", [], ["v"], chunk_ms=100).orderBy("t").collect()]
-    assert got == list(range(1, len(rows) + 1))
+    want = list(range(1, len(rows) + 1))
+    for hot_rows in (0, None):  # two-level plan, then the single window
+        got = [r["v"] for r in running_sums(df, ["k"], "t", [], ["v"], chunk_ms=100, hot_rows=hot_rows)
+               .orderBy("t").collect()]
+        assert got == want
+
+
+def test_only_hot_keys_are_chunked(spark):
+    from connrisk.operators.sweep import split_hot_keys
+
+    rows = [("hot", t) for t in range(0, 1000, 10)] + [("cold", 5), ("cold", 905)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    assert split_hot_keys(df, ["k"], "t", chunk_ms=100, hot_rows=1000) is None
+    chunks = {(r["k"], r["_chunk"]) for r in split_hot_keys(df, ["k"], "t", chunk_ms=100, hot_rows=2).collect()}
+    assert {c for k, c in chunks if k == "cold"} == {0}
+    assert {c for k, c in chunks if k == "hot"} == set(range(10))
+
+
+def test_evidence_and_journeys_agree_on_both_plans(spark):
+    from connrisk.operators.catalogue import bag_journeys
+    from connrisk.operators.sweep import HOT_CONF
+    from connrisk.plans.registry import evidence_table, clear_materialized
+    from connrisk.sources.driver_tables import bag_events
+
+    sf = "/root/testdata/sf0.001"
+    ev = bag_events(spark, sf)
+    clear_materialized()
+    plain = (sorted(map(tuple, evidence_table(spark, sf).collect())),
+             sorted(map(tuple, bag_journeys(ev).collect())))
+    try:
+        spark.conf.set(HOT_CONF, "1")
+        split = (sorted(map(tuple, evidence_table(spark, sf).collect())),
+                 sorted(map(tuple, bag_journeys(ev).collect())))
+    finally:
+        spark.conf.unset(HOT_CONF)
+        clear_materialized()
+    assert plain == split
+    assert len(plain[0]) == 16
 
 
 def _evidence(spark, **overrides):
