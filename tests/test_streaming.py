@@ -103,3 +103,32 @@ def test_job_settings_resolution_order_and_checks():
                 {"KINESIS_STARTING_POSITION": "AT_TIMESTAMP"}):
         with pytest.raises(ValueError):
             detector_settings(bad, {})
+
+
+def test_batch_fold_equals_ordered_application():
+    """The processing-clock fold (one pass, no sort) leaves the same state as
+    applying the rows one by one in (event_time, event_id) order, on top of
+    state left by earlier batches."""
+    import random
+
+    from connrisk.schemas import LIFECYCLE
+    from connrisk.streaming.detector import _empty_state, apply_event, fold_batch
+
+    rnd = random.Random(7)
+
+    def row(i):
+        return {"event_id": f"E{rnd.randint(0, 9)}{i}", "event_type": rnd.choice(LIFECYCLE),
+                "t_ms": rnd.choice([1000, 2000, 3000]), "scan_location": rnd.choice(["L1", "L2", None]),
+                "transfer_zone": rnd.choice(["T1", "T2"]), "airport_code": "AP",
+                "outbound_flight_id": rnd.choice(["F1", "F2"]),
+                "connection_ms": rnd.choice([9000, 9500]), "estimated_ms": rnd.choice([None, 8000])}
+
+    for _ in range(300):
+        seq, fold = _empty_state(), _empty_state()
+        for batch_no in range(rnd.randint(1, 3)):
+            batch = [row(f"{batch_no}-{j}") for j in range(rnd.randint(0, 6))]
+            for r in sorted(batch, key=lambda r: (r["t_ms"], r["event_id"])):
+                apply_event(seq, r, 1000)
+            rnd.shuffle(batch)
+            fold_batch(fold, iter(batch), 1000)
+            assert fold == seq
