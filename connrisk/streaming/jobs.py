@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from connrisk.functions import parse_iso_ts
-from connrisk.operators import contracts, detector, ingest
-from connrisk.schemas import DEFAULT_RISK_BUFFER_SECONDS, EVENT_WIRE_SCHEMA
+from connrisk.operators import contracts, detector, evidence, ingest
+from connrisk.schemas import DEFAULT_RISK_BUFFER_SECONDS, EVENT_WIRE_SCHEMA, INCIDENT_WIRE_SCHEMA
 from connrisk.session import ensure_utc
 from connrisk.streaming.detector import run_detector
 
@@ -222,3 +222,52 @@ def start_ingest_job(spark: SparkSession, source: str, output: str, checkpoint:
 
     return env.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink) \
         .trigger(**(trigger or {"availableNow": True})).start()
+
+
+def incidents_from_lines(lines: DataFrame) -> DataFrame:
+    """Incident-stream JSON lines -> incidents in contract form (times
+    parsed, observed context flattened)."""
+    r = F.from_json("value", INCIDENT_WIRE_SCHEMA)
+    return lines.select(r.alias("r")).where(F.col("r.incident_id").isNotNull()).select(
+        "r.incident_id", "r.bag_tag_id", "r.incident_type",
+        parse_iso_ts("r.detected_at").alias("detected_at"),
+        "r.airport_code", "r.outbound_flight_id", "r.transfer_zone", "r.last_scan_type",
+        "r.last_scan_location",
+        parse_iso_ts("r.last_scan_time").alias("last_scan_time"),
+        parse_iso_ts("r.connection_departure_time").alias("connection_departure_time"),
+        F.col("r.seconds_to_departure").cast("int").alias("seconds_to_departure"),
+        F.col("r.observed_context.makeup_area_reached").alias("makeup_area_reached"),
+        F.col("r.observed_context.aircraft_loaded").alias("aircraft_loaded"),
+    )
+
+
+def start_investigation_job(spark: SparkSession, incident_source: str, events_path: str, output: str,
+                            checkpoint: str, lookback_minutes: int = 60, risk_incidents_path: str | None = None,
+                            trigger: dict | None = None):
+    """Incident stream (JSON lines) -> pending incidents -> evidence over the
+    ``baggage_events`` table at ``events_path`` -> labels -> checks ->
+    ``investigation_results`` appended per batch.
+
+    Idempotent per incident: an incident that already has a stored result is
+    skipped, and a replayed batch ignores (then overwrites) its own earlier
+    folder.  Recent risks are counted in the ``risk_incidents`` table when
+    given, else among the batch's incidents."""
+    from pyspark.sql.utils import AnalysisException
+
+    ensure_utc(spark)
+    lines = spark.readStream.schema(_LINE_SCHEMA).text(incident_source)
+    results_dir = os.path.join(output, "investigation_results")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        incidents = incidents_from_lines(batch)
+        try:
+            stored = spark.read.parquet(results_dir).where(F.col("batch") != F.lit(batch_id)).drop("batch")
+        except AnalysisException:  # nothing stored yet
+            stored = spark.createDataFrame([], "incident_id string")
+        risks = spark.read.parquet(risk_incidents_path) if risk_incidents_path else None
+        rows = evidence.investigate_pending(incidents, spark.read.parquet(events_path), stored,
+                                            lookback_minutes, risk_incidents=risks)
+        append_table(rows, output, "investigation_results", batch_id)
+
+    return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink) \
+        .trigger(**(trigger or {"availableNow": True})).start()
