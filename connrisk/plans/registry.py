@@ -360,12 +360,9 @@ def q_detection_reconciliation(spark, sf_dir):
 @register("investigate_pending")
 def q_investigate_pending(spark, sf_dir):
     """Pending incidents -> evidence -> labels -> validated rows to store."""
-    inc = incidents_contract(spark, sf_dir)
-    pending = inc.join(investigations_table(spark, sf_dir).select("incident_id").distinct(),
-                       "incident_id", "left_anti")
-    res = evidence.classify_incidents(evidence_table(spark, sf_dir, pending), keep=("detected_at",))
-    checked = contracts.investigation_violations(res, inc).where(F.size("violations") == 0)
-    return evidence.stored_results(checked, F.col("detected_at") + F.expr("INTERVAL 1 MINUTE"))
+    return evidence.investigate_pending(
+        incidents_contract(spark, sf_dir), events_table(spark, sf_dir), investigations_table(spark, sf_dir),
+        EVIDENCE_LOOKBACK_MIN, investigated_at=F.col("detected_at") + F.expr("INTERVAL 1 MINUTE"))
 
 
 @register("save_investigations")
