@@ -100,9 +100,11 @@ def read_event_stream(spark: SparkSession, source: str, position: str = "LATEST"
     """Raw event stream as one ``value`` text column per record.
 
     ``position`` is ``LATEST`` or ``TRIM_HORIZON`` (anything else is an
-    error).  With ``kafka_servers`` the source is a Kafka topic; otherwise a
-    folder of JSON-lines files, read as text so malformed records reach the
-    quarantine instead of failing the job.
+    error).  With ``kafka_servers`` the source is a Kafka topic and the
+    position picks its starting offsets; otherwise a folder of JSON-lines
+    files, read as text so malformed records reach the quarantine instead of
+    failing the job.  A folder source always starts with the files already
+    there (``TRIM_HORIZON``); a fresh checkpoint is how it starts over.
     """
     if position not in STARTING_POSITIONS:
         raise ValueError("position must be LATEST or TRIM_HORIZON")
