@@ -65,6 +65,8 @@ def _timed(events: DataFrame) -> DataFrame:
 
 
 KEY_SEP = "\u0001"
+# Largest incident set broadcast to the events (about 100 bytes a row).
+MAX_BROADCAST_PROBES = 500_000
 
 
 def _key(kind: str, a, b=None):
@@ -91,8 +93,14 @@ def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes:
     types = list(LIFECYCLE)
 
     # Own timeline: latest row at or before detection, in timeline order.
-    own = incidents.select("incident_id", "bag_tag_id", unix_ms("detected_at").alias("d_ms")) \
-        .join(ev, "bag_tag_id").where(F.col("t_ms") <= F.col("d_ms")) \
+    # Incidents are few next to events: when a count shows at most
+    # MAX_BROADCAST_PROBES of them they are broadcast, so events are matched
+    # and partially aggregated where they are read instead of all being
+    # shuffled by bag; beyond that it is a shuffle join (AQE splits skew).
+    own_probes = incidents.select("incident_id", "bag_tag_id", unix_ms("detected_at").alias("d_ms"))
+    if own_probes.count() <= MAX_BROADCAST_PROBES:
+        own_probes = F.broadcast(own_probes)
+    own = ev.join(own_probes, "bag_tag_id").where(F.col("t_ms") <= F.col("d_ms")) \
         .groupBy("incident_id").agg(
             F.count(F.lit(1)).alias("timeline_events"),
             F.max(F.struct(

@@ -121,3 +121,16 @@ def test_result_contract_rules(spark):
         .withColumn("evidence", F.array(F.lit(" ")))
     v = investigation_violations(res).first()["violations"]
     assert set(v) == {"action_not_advisory", "blank_evidence_item", "isolated_scope"}
+
+
+def test_own_timeline_join_without_broadcast(spark, monkeypatch):
+    from connrisk.operators import evidence as E
+    from connrisk.plans.registry import clear_materialized, evidence_table
+
+    sf = "/root/testdata/sf0.001"
+    clear_materialized()
+    broadcast = sorted(map(tuple, evidence_table(spark, sf).collect()))
+    monkeypatch.setattr(E, "MAX_BROADCAST_PROBES", 0)
+    shuffled = sorted(map(tuple, evidence_table(spark, sf).collect()))
+    clear_materialized()
+    assert broadcast == shuffled and len(broadcast) == 16
