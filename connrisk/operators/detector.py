@@ -175,7 +175,7 @@ def detector_state(events: DataFrame, strategy: str = "chunked",
         return _scan_window(p)
     if strategy == "chunked":
         width = int(chunk_hours) * 3600 * 1000 if chunk_hours else resolve_chunk_ms(events)
-        d = split_hot_keys(p, ["bag_tag_id"], "t_ms", width, hot_rows, out="chunk")
+        d = split_hot_keys(p, ["bag_tag_id"], "t_ms", width, hot_rows, out="chunk", count_from=events)
         return _scan_window(p) if d is None else _scan_chunked(d, p.columns)
     raise ValueError(f"unknown strategy {strategy!r}")
 

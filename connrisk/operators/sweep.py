@@ -69,16 +69,21 @@ def resolve_hot_rows(df: DataFrame, hot_rows: int | None = None) -> int:
 
 
 def split_hot_keys(df: DataFrame, keys: list[str], t_col: str, chunk_ms: int | None = None,
-                   hot_rows: int | None = None, out: str = "_chunk") -> DataFrame | None:
+                   hot_rows: int | None = None, out: str = "_chunk",
+                   count_from: DataFrame | None = None) -> DataFrame | None:
     """``df`` plus a chunk column: ``floor(t / chunk_ms)`` for rows of keys
     with more than ``hot_rows`` rows, 0 for every other key.  ``None`` when
     no key is hot (the caller runs its single-window plan).
 
     The row count per key is partially aggregated before its shuffle, and
-    only the number of hot keys reaches the driver."""
+    only the number of hot keys reaches the driver.  ``count_from`` (rows
+    carrying ``keys``, a superset of ``df``'s, e.g. before a validity
+    filter) gives a cheaper count; it can only mark more keys hot, which
+    changes the plan, never the result."""
     limit = resolve_hot_rows(df, hot_rows)
     width = resolve_chunk_ms(df, chunk_ms)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit) \
+    src = count_from.select(*keys) if count_from is not None else df
+    hot = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit) \
         .select(*[F.col(k).alias("_hot_" + k) for k in keys], F.lit(True).alias("_hot"))
     n_hot = hot.count()
     if n_hot == 0:
