@@ -367,7 +367,7 @@ def bag_journeys(events: DataFrame, chunk_ms: int | None = None, hot_rows: int |
 
     cols = ["bag_tag_id", "event_time", "event_id", "event_type", "scan_location"]
     base = events.select(*cols, unix_ms("event_time").alias("t_ms"))
-    df = split_hot_keys(base, ["bag_tag_id"], "t_ms", chunk_ms, hot_rows, out="chunk")
+    df = split_hot_keys(base, ["bag_tag_id"], "t_ms", chunk_ms, hot_rows, out="chunk", count_from=events)
     if df is None:
         w = Window.partitionBy("bag_tag_id").orderBy("event_time", "event_id")
         return base.select("bag_tag_id", F.row_number().over(w).cast("long").alias("position"), *cols[1:])
