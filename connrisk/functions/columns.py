@@ -163,7 +163,11 @@ def materialize_rows(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over the cluster when a scan yields fewer
     partitions than cores (one unsplittable block), before CPU-heavy narrow
-    work.  A no-op for the many-file inputs of a real deployment."""
+    work.  A no-op for the many-file inputs of a real deployment.
+
+    Meant for scan outputs (and narrow projections of them): the partition
+    count comes from ``df.rdd``, which for a plan with shuffles would run
+    those shuffles first."""
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
