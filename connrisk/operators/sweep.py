@@ -101,7 +101,9 @@ def running_sums(df: DataFrame, keys: list[str], t_col: str, tie_cols: list[str]
     ``(t_col, *tie_cols)`` order (current row included).
 
     The rows are shuffled once, by ``(keys, chunk)``; chunk totals come from
-    the same partitions, and only the small per-chunk offsets move again."""
+    the same partitions, and only the small per-chunk offsets move again.
+    ``keys`` must not be NULL: the offsets are joined back on them (callers
+    use validated ids and ``concat_ws`` keys)."""
     other = [c for c in df.columns if c not in value_cols]
     d = split_hot_keys(df, keys, t_col, chunk_ms, hot_rows)
     if d is None:
@@ -124,7 +126,8 @@ def with_next_time(df: DataFrame, keys: list[str], t_col: str, tie_cols: list[st
                    out_col: str = "next_t", chunk_ms: int | None = None,
                    hot_rows: int | None = None) -> DataFrame:
     """Add the ``t_col`` of the next row of the same key in
-    ``(t_col, *tie_cols)`` order (NULL for the last row)."""
+    ``(t_col, *tie_cols)`` order (NULL for the last row).  ``keys`` must not
+    be NULL (see ``running_sums``)."""
     d = split_hot_keys(df, keys, t_col, chunk_ms, hot_rows)
     if d is None:
         w = Window.partitionBy(*keys).orderBy(t_col, *tie_cols)
