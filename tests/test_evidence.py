@@ -134,3 +134,32 @@ def test_own_timeline_join_without_broadcast(spark, monkeypatch):
     shuffled = sorted(map(tuple, evidence_table(spark, sf).collect()))
     clear_materialized()
     assert broadcast == shuffled and len(broadcast) == 16
+
+
+def test_prefix_scans_match_python_for_any_hot_threshold(spark):
+    """running_sums and with_next_time equal a plain Python scan whether no
+    key, some keys or every key is split into time chunks."""
+    import random
+
+    from connrisk.operators.sweep import with_next_time
+
+    rnd = random.Random(11)
+    rows = []
+    for i in range(400):
+        key = rnd.choice(["a", "a", "a", "b", "c"])  # "a" is the hot key
+        rows.append((key, rnd.randint(0, 3000), f"id{i:04d}", rnd.randint(-3, 5)))
+    df = spark.createDataFrame(rows, "k string, t long, id string, v long")
+    ordered = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
+    want_sum, want_next, acc = {}, {}, {}
+    for n, (k, t, i, v) in enumerate(ordered):
+        acc[k] = acc.get(k, 0) + v
+        want_sum[i] = acc[k]
+        nxt = ordered[n + 1] if n + 1 < len(ordered) else None
+        want_next[i] = nxt[1] if nxt is not None and nxt[0] == k else None
+    for hot_rows in (None, 100, 0):
+        sums = {r["id"]: r["v"] for r in
+                running_sums(df, ["k"], "t", ["id"], ["v"], chunk_ms=250, hot_rows=hot_rows).collect()}
+        nexts = {r["id"]: r["next_t"] for r in
+                 with_next_time(df, ["k"], "t", ["id"], chunk_ms=250, hot_rows=hot_rows).collect()}
+        assert sums == want_sum
+        assert nexts == want_next
