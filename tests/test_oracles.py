@@ -68,3 +68,28 @@ def test_sparse_query_matches_oracle_on_larger_tables(spark, name):
     assert sorted(df.columns) == sorted(d_cols)
     assert len(rows) == len(d_rows)
     assert digest(df.columns, rows)[0] == digest(d_cols, d_rows)[0]
+
+
+def test_shared_tables_live_under_the_checkpoint_folder(spark):
+    """Shared tables and cut lineages are written under the session's
+    checkpoint folder (``spark.checkpoint.dir``), never elsewhere."""
+    from urllib.parse import urlparse
+
+    from connrisk.plans import registry
+    from connrisk.session import checkpoint_dir, reliable
+
+    root = urlparse(checkpoint_dir(spark)).path.rstrip("/")
+    registry.clear_materialized()
+    try:
+        inc = registry.incidents_contract(spark, SF)
+        files = inc.inputFiles()
+        assert files and all(urlparse(f).path.startswith(root + "/") for f in files)
+        def n_files():
+            return sum(len(fs) for _, _, fs in os.walk(root))
+
+        before = n_files()
+        cut = reliable(inc.select("incident_id"))
+        assert n_files() > before
+        assert cut.count() == 16
+    finally:
+        registry.clear_materialized()
