@@ -166,3 +166,38 @@ def test_investigation_job_stores_each_incident_once(spark, scratch):
     assert again.count() == 0
     checked = contracts.incident_violations(incidents).where(F.size("violations") > 0)
     assert checked.count() == 0
+
+
+def test_configured_job_uses_resolved_buffer_and_interval(spark, scratch):
+    """The live job started from settings: the environment's buffer wins
+    over the properties, and the checkpoint interval is the trigger."""
+    from fixtures import bag_rows
+
+    from connrisk.streaming.jobs import start_configured_detector_job
+
+    src, out, ckpt = (os.path.join(scratch, d) for d in ("src", "out", "ckpt"))
+    shift = dt.datetime.now(dt.timezone.utc) - T0
+    rows = bag_rows(1, ("TRANSFER_ARRIVED", "TRANSFER_SORTER_SCAN"), "OUT-7", "T1", "BGL", departure_s=8)
+    for r in rows:
+        for k in ("event_time", "connection_departure_time", "scheduled_departure_time",
+                  "estimated_departure_time", "inbound_arrival_time"):
+            r[k] = r[k] + shift
+    _write(src, "live.json", _lines(rows))
+    queries = start_configured_detector_job(
+        spark, src, out, ckpt,
+        properties={"RISK_BUFFER_SECONDS": "30", "CHECKPOINT_INTERVAL_MS": "1000",
+                    "KINESIS_STARTING_POSITION": "TRIM_HORIZON"},
+        environ={"RISK_BUFFER_SECONDS": "3"})
+    try:
+        deadline = time.time() + 60
+        found = 0
+        path = os.path.join(out, "incident_stream")
+        while time.time() < deadline and not found:
+            time.sleep(2)
+            if os.path.isdir(path):
+                found = spark.read.text(path).count()
+        assert found == 1
+        assert json.loads(spark.read.text(path).first()["value"])["seconds_to_departure"] == 3
+    finally:
+        for q in queries:
+            q.stop()
