@@ -85,6 +85,9 @@ def split_hot_keys(df: DataFrame, keys: list[str], t_col: str, chunk_ms: int | N
     src = count_from.select(*keys) if count_from is not None else df
     hot = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit) \
         .select(*[F.col(k).alias("_hot_" + k) for k in keys], F.lit(True).alias("_hot"))
+    # One pass over the input stores the (small) hot-key list; the count and
+    # the broadcast below read it instead of aggregating the input again.
+    hot = reliable(hot)
     n_hot = hot.count()
     if n_hot == 0:
         return None
