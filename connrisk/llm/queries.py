@@ -21,6 +21,16 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return run
 
 
+@register
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded by the multilingual rank file."""
+    import public_tokenizers
+
+    from connrisk.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 @register
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines held by an earlier document are dropped; digest of what stays."""
