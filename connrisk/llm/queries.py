@@ -59,3 +59,16 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@register
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the end id, written as framed records in
+    ascending doc_id order and read back from the files."""
+    import public_tokenizers
+
+    from connrisk.llm import token_records as R
+
+    folder = R.new_folder(spark)
+    manifest = R.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    return R.record_digests(spark, folder, manifest)
