@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from connrisk.llm.common import start, table
 
@@ -61,6 +62,15 @@ FROM marked GROUP BY doc_id
 """
 
 
+@register
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, equal texts together."""
+    from connrisk.llm.sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"), shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @register
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the end id, written as framed records in
