@@ -82,3 +82,16 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = R.new_folder(spark)
     manifest = R.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
     return R.record_digests(spark, folder, manifest)
+
+
+#: The rules of the url query, longest match first wins.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@register
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every page's url, by rule or by its host's trust and distrust."""
+    from connrisk.llm.url_filters import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
