@@ -84,6 +84,15 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.record_digests(spark, folder, manifest)
 
 
+@register
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learnt from four fifths of the documents."""
+    from connrisk.llm.language_id import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, train(docs))
+
+
 #: The rules of the url query, longest match first wins.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
