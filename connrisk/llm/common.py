@@ -15,6 +15,8 @@ where a key stands for a value that is not compared again.
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +50,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written by ``checkpoint()`` to the shared folder and read back."""
+    """``df`` written by ``checkpoint()`` to the shared folder and read back.
+
+    Collecting garbage first lets Spark's cleaner drop the shuffle files and
+    checkpoints of earlier steps that nothing refers to any more.
+    """
     checkpoint_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
@@ -68,12 +76,6 @@ def null_mask(column: pa.Array) -> list[bool]:
     return column.is_null().to_pylist()
 
 
-def partitions_for(df: DataFrame, rows_each: int, least: int = 0) -> int:
-    """How many partitions of about ``rows_each`` rows ``df`` fills (counts it)."""
-    floor = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    return max(floor, -(-df.count() // rows_each))
-
-
 def components(nodes: DataFrame, links: DataFrame, node: str = "id", src: str = "src", dst: str = "dst",
                out: str = "component") -> DataFrame:
     """``(node, component)``: the smallest node reachable over ``links``.

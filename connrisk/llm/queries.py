@@ -32,6 +32,39 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+@register
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles are 90 % alike."""
+    from connrisk.llm.ngram_join import join
+
+    return join(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+ORACLE["op3_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+                               ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s
+  FROM words, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 2))) AS i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach AS (
+  SELECT DISTINCT x AS origin, x AS found FROM links
+  UNION SELECT r.origin, l.y FROM reach r JOIN links l ON l.x = r.found),
+least AS (SELECT origin, min(found) AS c FROM reach GROUP BY origin)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(least.c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON least.origin = d.doc_id
+"""
+
+
 @register
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines held by an earlier document are dropped; digest of what stays."""

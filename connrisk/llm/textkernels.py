@@ -227,3 +227,34 @@ def pretoken_starts(texts: list[bytes], buffer: np.ndarray, offsets: np.ndarray)
         owner = np.searchsorted(some_offsets, starts, "right") - 1
         out.append(starts - some_offsets[owner] + offsets[keep[owner]])
     return np.sort(np.concatenate(out))
+
+
+# --- word shingles ------------------------------------------------------------
+
+def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the ``k``-word shingles of each text.
+
+    Words are maximal runs of non-blank bytes with A-Z lower-cased.  A text
+    with fewer words has one shingle, all its words; one without words none.
+    """
+    offsets = offsets_of([len(t) for t in texts])
+    buffer = lower_ascii(np.frombuffer(b"".join(texts), np.uint8))
+    starts, ends, first = words(buffer, offsets)
+    word = span_hashes(prefix_hash(buffer), starts, ends)
+    rolled = np.zeros(len(word), U64)
+    for j in range(k):
+        rolled[: len(word) - j] += mix(word[j:], j + 1) if j else word
+    rolled = mix(rolled, k)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= k:
+            h = np.sort(rolled[a : b - k + 1])
+            out.append(h[np.concatenate(([True], h[1:] != h[:-1]))])
+        elif b > a:
+            short = word[a:b].copy()
+            for j in range(1, b - a):
+                short[:1] += mix(word[a + j : a + j + 1], j + 1)
+            out.append(mix(short[:1], 0x5107 + b - a))
+        else:
+            out.append(np.zeros(0, U64))
+    return out
