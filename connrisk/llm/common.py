@@ -49,6 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written by ``checkpoint()`` to the shared folder and read back.
 
@@ -56,8 +61,7 @@ def stored(df: DataFrame) -> DataFrame:
     checkpoints of earlier steps that nothing refers to any more.
     """
     checkpoint_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    collect_garbage(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

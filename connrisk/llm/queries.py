@@ -134,6 +134,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs))
 
 
+@register
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 50-byte string that starts in an earlier document, removed."""
+    from connrisk.llm.repeats import repeat_report
+
+    return repeat_report(table(spark, sf_dir, "documents"), window=50)
+
+
 #: The rules of the url query, longest match first wins.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
