@@ -160,6 +160,12 @@ class Merger:
         return [x for x in own if x >= 0]
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers, and how many stand before each list."""
+    before = K.offsets_of([len(x) for x in lists])
+    return np.fromiter((i for x in lists for i in x), np.int32, int(before[-1])), before
+
+
 class Pretokens:
     """Ids of pre-tokens by their 64-bit hash.
 
@@ -198,9 +204,8 @@ class Pretokens:
         return out
 
     def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        counts = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))
-        starts = self.filled + np.cumsum(counts) - counts
+        flat, before = _flat(ids)
+        counts, starts = np.diff(before), self.filled + before[:-1]
         self.pool[self.filled : self.filled + len(flat)] = flat
         self.filled += len(flat)
         entries = np.arange(self.used, self.used + len(keys))
@@ -226,32 +231,34 @@ class Pretokens:
         keys = K.span_hashes(K.prefix_hash(buffer), starts, ends)
         slots = self.perfect.slots(keys) if self.perfect else np.full(len(keys), -1, np.int64)
         first, count = np.maximum(slots, 0), np.ones(len(keys), np.int64)
-        rest = np.flatnonzero(slots < 0)
+        pool, rest = self.pool, np.flatnonzero(slots < 0)
         if len(rest):
             entry = self._find(keys[rest])
-            new = np.flatnonzero(entry < 0)
+            new = rest[entry < 0]
             if len(new):
-                distinct, at = np.unique(keys[rest[new]], return_index=True)
-                at = rest[new[at]]
-                raw = buffer.tobytes()
-                found = self.resolve([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-                size = sum(map(len, found))
-                if self.used + len(found) > MEMO_ENTRIES or self.filled + size > len(self.pool):
+                distinct, found = self._resolved(keys, new, starts, ends, buffer)
+                if not self._has_room(found):
                     self._forget()
-                    if len(found) > MEMO_ENTRIES or self.fixed + size > len(self.pool):
-                        return self._once(starts, ends, raw, offsets)
-                    self._add(distinct, found)
-                    return self.ids(pieces)
+                    distinct, found = self._resolved(keys, rest, starts, ends, buffer)
+                if not self._has_room(found):  # more than the table holds: this batch does without it
+                    flat, before = _flat(found)
+                    which = np.searchsorted(distinct, keys[rest])
+                    first[rest], count[rest] = self.fixed + before[which], np.diff(before)[which]
+                    return K.ragged(np.concatenate([pool[: self.fixed], flat]), first, count), self._per_piece(starts, count, offsets)
                 self._add(distinct, found)
-                entry[new] = self._find(keys[rest[new]])
+                entry = self._find(keys[rest])
             first[rest], count[rest] = self.first[entry], self.count[entry]
-        return K.ragged(self.pool, first, count), self._per_piece(starts, count, offsets)
+        return K.ragged(pool, first, count), self._per_piece(starts, count, offsets)
+
+    def _resolved(self, keys: np.ndarray, which: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+                  buffer: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        """The distinct keys of some pre-tokens and their ids."""
+        distinct, at = np.unique(keys[which], return_index=True)
+        at, raw = which[at], buffer.tobytes()
+        return distinct, self.resolve([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
 
-    def _once(self, starts, ends, raw, offsets) -> tuple[np.ndarray, np.ndarray]:
-        """For one piece with more than the table holds: resolved without it."""
-        found = self.resolve([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
-        count = np.array([len(x) for x in found], np.int64)
-        return np.fromiter((i for x in found for i in x), np.int32, int(count.sum())), self._per_piece(starts, count, offsets)
+    def _has_room(self, found: list[list[int]]) -> bool:
+        return self.used + len(found) <= MEMO_ENTRIES and self.filled + sum(map(len, found)) <= len(self.pool)
 
     @staticmethod
     def _per_piece(starts: np.ndarray, count: np.ndarray, offsets: np.ndarray) -> np.ndarray:
