@@ -1,37 +1,41 @@
 """Structured Streaming connection-risk detector (``transformWithState``).
 
-One ``StatefulProcessor`` keyed by ``bag_tag_id`` keeps the 15-field bag
-state in a single ``ValueState`` and raises at most one incident per bag:
-
-* milestones are sticky; the last scan and the flight context never regress
-  to older events (out-of-order and duplicate input are harmless);
-* once the bag arrived for transfer and has reached neither makeup nor its
-  aircraft, a timer waits for ``effective departure - buffer``; a newer
-  estimate replaces the timer (earlier or later);
-* when the timer fires and the bag is still unsafe, the incident is emitted
-  with ``detected_at`` = the timer instant; an event that arrives after its
-  deadline emits at once; ``incident_emitted`` is permanent (replays and
-  restarts from the checkpoint emit nothing new).
+What the detector knows about a bag is a *picture*: which milestones were ever
+seen, the newest scan and the newest flight context.  Pictures merge: marks are
+united, of two scans the one with the larger ``(time, lifecycle rank)`` stays,
+of two contexts the one with the larger time, and the later arrival on a tie.
+So the rows of any stretch of time are reduced to one picture first and then
+merged into the stored one; older and repeated events change nothing.
+
+From a picture follows everything else.  A bag is *at risk* when it arrived for
+transfer and has not reached makeup (loading counts as makeup), and then its
+deadline is the effective departure less the buffer.  The single timer of a bag
+is its deadline, so a new estimate moves it and a makeup scan removes it.  When
+it falls due the incident is raised, once and for all.
 
 Clocks:
 
-* ``clock="processing"`` – live: processing-time timers
-  (``timeMode="ProcessingTime"``).  There are no watermarks, so late data is
-  never dropped.
-* ``clock="replay"`` – deterministic: the clock of a bag is the event time of
-  its rows in ``(event_time, event_id)`` order; a pending timer fires before
-  the next row of the bag when it is due, and at ``horizon_ms`` after the
-  last row.  It gives the same incidents as ``operators.detector.replay_detector``
-  when each bag's rows arrive in one batch (batch DataFrames, ``availableNow``).
-
+* ``clock="processing"`` - live, processing-time timers, no watermark, so late
+  data is never dropped.  A stored timer that is due before a micro-batch is
+  taken up is raised first, at the timer's instant: what arrived with the batch
+  came after it.  A deadline that is already past when the batch is taken up is
+  raised at once.
+* ``clock="arrival"`` - as live, but on the rows' own ``arrival_ms``: rows are
+  taken in order of arrival, timers fall due between them.  Deterministic, for
+  sources that stamp arrival and for replays with late data.
+* ``clock="replay"`` - the same on event time, in ``(event_time, event_id)``
+  order; the incidents are those of ``operators.detector.replay_detector`` when
+  a bag's rows arrive in one batch (batch DataFrames, ``availableNow``).
+
+The latter two raise what is due up to ``horizon_ms`` after a bag's last row.
 Rows must be valid (``operators.contracts.event_violations`` quarantines the
-rest before the state is touched) and carry times as epoch milliseconds; see
-``detector_input``.
+rest before state is touched); see ``detector_input``.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -43,249 +47,229 @@ from pyspark.sql.streaming.stateful_processor import (
     TimerValues,
 )
 
-from connrisk.functions import blank_to_null, incident_id, unix_ms
-from connrisk.operators.detector import check_buffer, valid_detector_events
-from connrisk.schemas import INCIDENT_TYPE, LIFECYCLE_RANK
+from connrisk.functions import blank_to_null, effective_departure, incident_id, lifecycle_rank, unix_ms
+from connrisk.operators.detector import ARRIVED, LOADED, MAKEUP, check_buffer, valid_detector_events
+from connrisk.schemas import INCIDENT_TYPE
 from connrisk.session import ship_package
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("last_event_type", T.StringType()),
-    T.StructField("last_scan_time_ms", T.LongType()),
-    T.StructField("last_scan_location", T.StringType()),
-    T.StructField("transfer_zone", T.StringType()),
-    T.StructField("airport_code", T.StringType()),
-    T.StructField("outbound_flight_id", T.StringType()),
-    T.StructField("connection_departure_time_ms", T.LongType()),
-    T.StructField("estimated_departure_time_ms", T.LongType()),
-    T.StructField("effective_departure_time_ms", T.LongType()),
-    T.StructField("context_event_time_ms", T.LongType()),
-    T.StructField("transfer_arrived", T.BooleanType()),
-    T.StructField("makeup_area_reached", T.BooleanType()),
-    T.StructField("aircraft_loaded", T.BooleanType()),
-    T.StructField("incident_emitted", T.BooleanType()),
-    T.StructField("risk_timer_ms", T.LongType()),
-])
-
-OUTPUT_SCHEMA = T.StructType([
-    T.StructField("bag_tag_id", T.StringType()),
-    T.StructField("detected_ms", T.LongType()),
-    T.StructField("airport_code", T.StringType()),
-    T.StructField("outbound_flight_id", T.StringType()),
-    T.StructField("transfer_zone", T.StringType()),
-    T.StructField("last_scan_type", T.StringType()),
-    T.StructField("last_scan_location", T.StringType()),
-    T.StructField("last_scan_ms", T.LongType()),
-    T.StructField("departure_ms", T.LongType()),
-    T.StructField("makeup_area_reached", T.BooleanType()),
-    T.StructField("aircraft_loaded", T.BooleanType()),
-])
-
-INPUT_COLUMNS = ("bag_tag_id", "event_id", "event_type", "t_ms", "scan_location", "transfer_zone",
-                 "airport_code", "outbound_flight_id", "connection_ms", "estimated_ms")
+CLOCKS = ("processing", "arrival", "replay")
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+#: Bits of ``marks``.
+SEEN_ARRIVED, SEEN_MAKEUP, SEEN_LOADED = 1, 2, 4
+
+
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+_LONG, _INT, _TEXT, _FLAG = T.LongType(), T.IntegerType(), T.StringType(), T.BooleanType()
+
+STATE_SCHEMA = _struct(
+    marks=_INT,
+    scan_ms=_LONG, scan_rank=_INT, scan_id=_TEXT, scan_type=_TEXT, scan_location=_TEXT,
+    context_ms=_LONG, context_id=_TEXT, airport=_TEXT, flight=_TEXT, zone=_TEXT, departure_ms=_LONG,
+    timer_ms=_LONG, raised=_FLAG)
+_SCAN_AT, _CONTEXT_AT = slice(1, 6), slice(6, 12)
+
+OUTPUT_SCHEMA = _struct(
+    bag_tag_id=_TEXT, detected_ms=_LONG, airport_code=_TEXT, outbound_flight_id=_TEXT, transfer_zone=_TEXT,
+    last_scan_type=_TEXT, last_scan_location=_TEXT, last_scan_ms=_LONG, departure_ms=_LONG,
+    makeup_area_reached=_FLAG, aircraft_loaded=_FLAG)
+
+
+class Scan(NamedTuple):
+    ms: int
+    rank: int
+    id: str
+    type: str
+    location: str | None
+
+
+class Context(NamedTuple):
+    ms: int
+    id: str
+    airport: str
+    flight: str
+    zone: str
+    departure_ms: int | None
+
+
+class Picture(NamedTuple):
+    """What is known of a bag, or of some of its events."""
+
+    marks: int = 0
+    scan: Scan | None = None
+    context: Context | None = None
+
+    def then(self, later: Picture) -> Picture:
+        """This picture and one that arrived after it."""
+        scan, context = self.scan, self.context
+        if scan is None or (later.scan is not None and later.scan[:2] >= scan[:2]):
+            scan = later.scan
+        if context is None or (later.context is not None and later.context.ms >= context.ms):
+            context = later.context
+        return Picture(self.marks | later.marks, scan, context)
+
+    def deadline(self, buffer_ms: int) -> int | None:
+        """When an incident is due, if the bag is at risk."""
+        at_risk = self.marks & (SEEN_ARRIVED | SEEN_MAKEUP) == SEEN_ARRIVED
+        if not at_risk or self.context is None or self.context.departure_ms is None:
+            return None
+        return self.context.departure_ms - buffer_ms
+
+
+def scan_of(row) -> Scan:
+    return Scan(row["t_ms"], row["rank"], row["event_id"], row["event_type"], row["scan_location"])
+
+
+def context_of(row) -> Context:
+    return Context(row["t_ms"], row["event_id"], row["airport_code"], row["outbound_flight_id"], row["transfer_zone"],
+                   row["departure_ms"])
+
+
+def picture_of(row) -> Picture:
+    """One event."""
+    return Picture(row["marks"], scan_of(row), context_of(row))
+
+
+def picture_of_all(rows: Iterable) -> Picture:
+    """Events in any order, as if they had arrived in ``(time, id)`` order."""
+    marks, scan, context = 0, None, None
+    for row in rows:
+        marks |= row["marks"]
+        scan = max(scan_of(row), scan, key=lambda s: s[:3] if s else ())
+        context = max(context_of(row), context, key=lambda c: c[:2] if c else ())
+    return Picture(marks, scan, context)
 
 
 def detector_input(events: DataFrame) -> DataFrame:
-    """Valid events in the processor's input form (times as epoch ms,
-    required strings trimmed, blank optional strings as NULL)."""
+    """Valid events as the processor reads them: marks, rank and effective
+    departure made in the JVM; ``arrival_ms`` where the events have ``arrival_ts``."""
+    kind = F.col("event_type")
+    marks = (F.when(kind == ARRIVED, SEEN_ARRIVED).when(kind == MAKEUP, SEEN_MAKEUP)
+             .when(kind == LOADED, SEEN_MAKEUP | SEEN_LOADED).otherwise(0))
+    t = unix_ms("event_time")
+    arrival = [unix_ms("arrival_ts").alias("arrival_ms")] if "arrival_ts" in events.columns else []
     return events.where(valid_detector_events(events)).select(
-        "bag_tag_id", "event_id", "event_type",
-        unix_ms("event_time").alias("t_ms"),
+        "bag_tag_id", "event_id", "event_type", t.alias("t_ms"), *arrival, marks.alias("marks"),
+        lifecycle_rank("event_type").cast("int").alias("rank"),
         blank_to_null("scan_location").alias("scan_location"),
-        F.trim("transfer_zone").alias("transfer_zone"),
-        F.trim("airport_code").alias("airport_code"),
-        F.trim("outbound_flight_id").alias("outbound_flight_id"),
-        unix_ms("connection_departure_time").alias("connection_ms"),
-        unix_ms("estimated_departure_time").alias("estimated_ms"),
-    )
+        *[F.trim(c).alias(c) for c in ("airport_code", "outbound_flight_id", "transfer_zone")],
+        unix_ms(effective_departure("estimated_departure_time", "connection_departure_time")).alias("departure_ms"))
 
 
-def _empty_state() -> dict:
-    s = {f.name: None for f in STATE_SCHEMA.fields}
-    s.update(transfer_arrived=False, makeup_area_reached=False, aircraft_loaded=False,
-             incident_emitted=False)
-    return s
-
-
-def apply_event(state: dict, row, buffer_ms: int) -> None:
-    """Apply one event to the bag state (older events never regress it)."""
-    etype, t = row["event_type"], row["t_ms"]
-    if etype == "TRANSFER_ARRIVED":
-        state["transfer_arrived"] = True
-    elif etype == "MAKEUP_AREA_SCAN":
-        state["makeup_area_reached"] = True
-    elif etype == "CONNECTING_AIRCRAFT_LOADED":
-        state["aircraft_loaded"] = True
-        state["makeup_area_reached"] = True
-
-    last_t = state["last_scan_time_ms"]
-    newer = (last_t is None or t > last_t or
-             (t == last_t and LIFECYCLE_RANK[etype] >= LIFECYCLE_RANK.get(state["last_event_type"] or "", -1)))
-    if newer:
-        state["last_event_type"] = etype
-        state["last_scan_time_ms"] = t
-        state["last_scan_location"] = row["scan_location"]
-
-    if state["context_event_time_ms"] is None or t >= state["context_event_time_ms"]:
-        est = row["estimated_ms"]
-        state["context_event_time_ms"] = t
-        state["connection_departure_time_ms"] = row["connection_ms"]
-        state["estimated_departure_time_ms"] = est
-        state["effective_departure_time_ms"] = est if est is not None else row["connection_ms"]
-        state["transfer_zone"] = row["transfer_zone"]
-        state["airport_code"] = row["airport_code"]
-        state["outbound_flight_id"] = row["outbound_flight_id"]
-
-    if state["transfer_arrived"] and not state["incident_emitted"]:
-        if state["makeup_area_reached"] or state["aircraft_loaded"]:
-            state["risk_timer_ms"] = None
-        elif state["effective_departure_time_ms"] is not None:
-            state["risk_timer_ms"] = state["effective_departure_time_ms"] - buffer_ms
-
-
-def fold_batch(state: dict, rows, buffer_ms: int) -> None:
-    """Apply a micro-batch of rows in one pass and O(1) memory.
-
-    For the processing-time clock only the final state matters, and it is the
-    same as applying the rows one by one in ``(event_time, event_id)`` order:
-    milestones are OR-ed, the batch's last-scan candidate is its maximum by
-    ``(time, rank, event_id)`` and its context candidate its maximum by
-    ``(time, event_id)``; each candidate then meets the stored state under
-    the usual rules, and the timer follows from the final state."""
-    scan_best = ctx_best = None
-    scan_key = ctx_key = None
-    for r in rows:
-        etype = r["event_type"]
-        if etype == "TRANSFER_ARRIVED":
-            state["transfer_arrived"] = True
-        elif etype == "MAKEUP_AREA_SCAN":
-            state["makeup_area_reached"] = True
-        elif etype == "CONNECTING_AIRCRAFT_LOADED":
-            state["aircraft_loaded"] = True
-            state["makeup_area_reached"] = True
-        k = (r["t_ms"], LIFECYCLE_RANK[etype], r["event_id"])
-        if scan_key is None or k > scan_key:
-            scan_key, scan_best = k, r
-        k = (r["t_ms"], r["event_id"])
-        if ctx_key is None or k > ctx_key:
-            ctx_key, ctx_best = k, r
-    if scan_best is None:
-        return
-    # Flags are already applied; the candidates only move scan and context.
-    if scan_best is ctx_best:
-        apply_event(state, scan_best, buffer_ms)
-    else:
-        apply_event(state, scan_best, buffer_ms)
-        apply_event(state, ctx_best, buffer_ms)
-
-
-def should_emit(state: dict, timer_ms: int) -> bool:
-    return bool(
-        not state["incident_emitted"] and state["transfer_arrived"]
-        and not state["makeup_area_reached"] and not state["aircraft_loaded"]
-        and state["risk_timer_ms"] == timer_ms
-        and state["effective_departure_time_ms"] is not None
-        and state["outbound_flight_id"] and state["airport_code"]
-    )
+class Bag:
+    """A bag's picture, its timer, and whether its incident was raised."""
+
+    def __init__(self, key: str, picture: Picture = Picture(), timer: int | None = None, raised: bool = False):
+        self.key, self.picture, self.timer, self.raised = key, picture, timer, raised
+
+    def learn(self, later: Picture, buffer_ms: int) -> None:
+        self.picture = self.picture.then(later)
+        self.timer = None if self.raised else self.picture.deadline(buffer_ms)
+
+    def due(self, by_ms: int) -> bool:
+        return self.timer is not None and self.timer <= by_ms
 
+    def incident(self, detected_ms: int) -> Row:
+        """Raise the incident; the bag is done."""
+        marks, scan, context = self.picture
+        self.timer, self.raised = None, True
+        return Row(
+            bag_tag_id=self.key, detected_ms=int(detected_ms), airport_code=context.airport, outbound_flight_id=context.flight,
+            transfer_zone=context.zone or "", last_scan_type=scan.type, last_scan_location=scan.location or "",
+            last_scan_ms=scan.ms, departure_ms=context.departure_ms,
+            makeup_area_reached=bool(marks & SEEN_MAKEUP), aircraft_loaded=bool(marks & SEEN_LOADED))
 
-def fire(bag: str, state: dict, detected_ms: int) -> list[Row]:
-    """Emit if the timer still stands for an unsafe bag; clear the timer."""
-    timer = state["risk_timer_ms"]
-    out = []
-    if timer is not None and should_emit(state, timer) and state["last_scan_time_ms"] is not None:
-        out.append(Row(
-            bag_tag_id=bag, detected_ms=int(detected_ms), airport_code=state["airport_code"],
-            outbound_flight_id=state["outbound_flight_id"],
-            transfer_zone=state["transfer_zone"] or "",
-            last_scan_type=state["last_event_type"],
-            last_scan_location=state["last_scan_location"] or "",
-            last_scan_ms=state["last_scan_time_ms"],
-            departure_ms=state["effective_departure_time_ms"],
-            makeup_area_reached=state["makeup_area_reached"],
-            aircraft_loaded=state["aircraft_loaded"]))
-        state["incident_emitted"] = True
-    state["risk_timer_ms"] = None
-    return out
+
+def follow(bag: Bag, rows: Iterable, clock: str, buffer_ms: int, horizon_ms: int | None) -> Iterator[Row]:
+    """Take rows in the order of their ``clock`` column; raise what falls due between and after them."""
+    for row in rows:
+        now = row[clock]
+        if bag.due(now):
+            yield bag.incident(bag.timer)
+        bag.learn(picture_of(row), buffer_ms)
+        if bag.due(now):
+            yield bag.incident(now)
+    if horizon_ms is not None and bag.due(horizon_ms):
+        yield bag.incident(bag.timer)
 
 
 class BagRiskProcessor(StatefulProcessor):
-    """Per-bag risk state machine (see module docstring)."""
+    """Keeps a ``Bag`` per key (see the module's docstring)."""
 
     def __init__(self, buffer_seconds: int = 30, clock: str = "processing",
                  horizon_ms: int | None = None, presorted: bool = False):
         self.buffer_ms = check_buffer(buffer_seconds) * 1000
-        if clock not in ("processing", "replay"):
-            raise ValueError("clock must be 'processing' or 'replay'")
+        if clock not in CLOCKS:
+            raise ValueError(f"clock must be one of {', '.join(CLOCKS)}")
         self.clock = clock
         self.horizon_ms = horizon_ms
-        # Rows of a key arrive sorted by (event_time, event_id): Spark sorted
-        # the partitions before the grouped operator (batch replay).
+        # Spark sorted the partitions before the grouped operator (batch input).
         self.presorted = presorted
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("bag", STATE_SCHEMA)
 
-    def _load(self) -> dict:
-        if self.state.exists():
-            return dict(zip(STATE_SCHEMA.names, self.state.get()))
-        return _empty_state()
-
-    def _save(self, s: dict) -> None:
-        self.state.update(tuple(s[n] for n in STATE_SCHEMA.names))
-
-    def _in_order(self, rows):
-        """Rows in (event_time, event_id) order.  Pre-sorted input streams
-        through (and is checked); a streaming micro-batch of one bag, bounded
-        by the trigger size, is sorted here."""
+    def _load(self, key) -> Bag:
+        if not self.state.exists():
+            return Bag(key[0])
+        kept = tuple(self.state.get())
+        scan, context = kept[_SCAN_AT], kept[_CONTEXT_AT]
+        picture = Picture(kept[0], None if scan[0] is None else Scan(*scan), None if context[0] is None else Context(*context))
+        return Bag(key[0], picture, kept[12], kept[13])
+
+    def _save(self, bag: Bag) -> None:
+        marks, scan, context = bag.picture
+        self.state.update((marks, *(scan or (None,) * 5), *(context or (None,) * 6), bag.timer, bag.raised))
+
+    def _in_order(self, rows: Iterator, column: str) -> Iterable:
+        """Rows in clock order: sorted input streams through (and is checked);
+        a micro-batch of one bag, bounded by the trigger, is sorted here."""
+        place = lambda r: (r[column], r["event_id"])
         if not self.presorted:
-            yield from sorted(rows, key=lambda r: (r["t_ms"], r["event_id"]))
+            yield from sorted(rows, key=place)
             return
-        prev = None
-        for r in rows:
-            k = (r["t_ms"], r["event_id"])
-            if prev is not None and k < prev:
-                raise RuntimeError("detector input of a bag is not in event-time order")
-            prev = k
-            yield r
+        last = None
+        for row in rows:
+            if last is not None and place(row) < last:
+                raise RuntimeError("detector input of a bag is not in clock order")
+            last = place(row)
+            yield row
 
     def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[Row]:
-        bag = key[0]
-        s = self._load()
-        out: list[Row] = []
-        if self.clock == "replay":
-            for r in self._in_order(rows):
-                if s["risk_timer_ms"] is not None and s["risk_timer_ms"] <= r["t_ms"]:
-                    out += fire(bag, s, s["risk_timer_ms"])
-                apply_event(s, r, self.buffer_ms)
-                if s["risk_timer_ms"] is not None and s["risk_timer_ms"] <= r["t_ms"]:
-                    out += fire(bag, s, r["t_ms"])
-            if (self.horizon_ms is not None and s["risk_timer_ms"] is not None
-                    and s["risk_timer_ms"] <= self.horizon_ms):
-                out += fire(bag, s, s["risk_timer_ms"])
+        bag = self._load(key)
+        if self.clock == "processing":
+            raised = self._live(bag, rows, timerValues.getCurrentProcessingTimeInMs())
         else:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            old_timer = s["risk_timer_ms"]
-            fold_batch(s, rows, self.buffer_ms)
-            new_timer = s["risk_timer_ms"]
-            if old_timer is not None and old_timer != new_timer:
-                self.handle.deleteTimer(old_timer)
-            if new_timer is not None:
-                if new_timer <= now:
-                    out += fire(bag, s, now)
-                elif new_timer != old_timer:
-                    self.handle.registerTimer(new_timer)
-        self._save(s)
-        return iter(out)
+            column = "arrival_ms" if self.clock == "arrival" else "t_ms"
+            raised = list(follow(bag, self._in_order(rows, column), column, self.buffer_ms, self.horizon_ms))
+        self._save(bag)
+        return iter(raised)
+
+    def _live(self, bag: Bag, rows, now: int) -> list[Row]:
+        raised, registered = [], bag.timer
+        if bag.due(now):  # due before this batch was taken up
+            raised.append(bag.incident(bag.timer))
+        bag.learn(picture_of_all(rows), self.buffer_ms)
+        if bag.due(now):
+            raised.append(bag.incident(now))
+        if registered is not None and registered != bag.timer:
+            self.handle.deleteTimer(registered)
+        if bag.timer is not None and bag.timer != registered:
+            self.handle.registerTimer(bag.timer)
+        return raised
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        bag = key[0]
-        s = self._load()
+        bag = self._load(key)
         expiry = expiredTimerInfo.getExpiryTimeInMs()
-        out = fire(bag, s, expiry) if s["risk_timer_ms"] == expiry else []
-        self._save(s)
-        return iter(out)
+        raised = [bag.incident(expiry)] if bag.timer == expiry else []
+        self._save(bag)
+        return iter(raised)
 
     def close(self) -> None:
         pass
@@ -311,23 +295,29 @@ def incidents_from_output(out: DataFrame) -> DataFrame:
 def run_detector(events: DataFrame, buffer_seconds: int = 30, clock: str = "processing",
                  horizon_ms: int | None = None) -> DataFrame:
     """Apply the stateful detector to a batch or streaming DataFrame of bag
-    events (table form) and return incidents in the contract form."""
+    events (table form; with ``arrival_ts`` for the arrival clock) and return
+    incidents in the contract form.
+
+    ``transformWithState`` needs the RocksDB state store; where the session
+    has another one, it is set for the session (``build_session`` sets it)."""
     spark = events.sparkSession
     # The state-store coordinator lives with the streaming query manager;
     # make sure it exists (batch DataFrames do not create it themselves).
     spark.streams  # noqa: B018
     ship_package(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    if spark.conf.get(STATE_STORE[0], None) != STATE_STORE[1]:
+        spark.conf.set(*STATE_STORE)
     rows = detector_input(events)
-    # Replay over a batch DataFrame: hash-partition by bag (the layout the
-    # grouped operator needs) and sort each partition by (bag, time, id), so
-    # every bag's rows reach the processor already in replay order and are
-    # streamed, never gathered into one list.
-    presorted = clock == "replay" and not events.isStreaming
+    if clock == "arrival" and "arrival_ms" not in rows.columns:
+        raise ValueError("the arrival clock needs a column arrival_ts")
+    # A batch is hash-partitioned by bag (the layout the grouped operator
+    # needs) and sorted, so every bag's rows reach the processor in clock
+    # order and are streamed, never gathered into one list.
+    presorted = clock != "processing" and not events.isStreaming
     if presorted:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(parts, "bag_tag_id").sortWithinPartitions("bag_tag_id", "t_ms", "event_id")
+        column = "arrival_ms" if clock == "arrival" else "t_ms"
+        rows = rows.repartition(parts, "bag_tag_id").sortWithinPartitions("bag_tag_id", column, "event_id")
     processor = BagRiskProcessor(buffer_seconds, clock, horizon_ms, presorted=presorted)
     time_mode = "ProcessingTime" if clock == "processing" else "None"
     out = rows.groupBy("bag_tag_id").transformWithState(

@@ -105,33 +105,131 @@ def test_job_settings_resolution_order_and_checks():
             detector_settings(bad, {})
 
 
-def test_batch_fold_equals_ordered_application():
-    """The processing-clock fold (one pass, no sort) leaves the same state as
-    applying the rows one by one in (event_time, event_id) order, on top of
-    state left by earlier batches."""
+def _row(rnd, i, kinds):
+    kind = rnd.choice(kinds)
+    t, event_id = rnd.choice([1000, 2000, 3000]), f"E{rnd.randint(0, 9)}{i}"
+    marks = {"TRANSFER_ARRIVED": 1, "MAKEUP_AREA_SCAN": 2, "CONNECTING_AIRCRAFT_LOADED": 6}.get(kind, 0)
+    return {"event_id": event_id, "event_type": kind, "t_ms": t, "marks": marks, "rank": kinds.index(kind),
+            "scan_location": rnd.choice(["L1", "L2", None]), "airport_code": "AP", "outbound_flight_id": rnd.choice(["F1", "F2"]),
+            "transfer_zone": rnd.choice(["T1", "T2"]), "departure_ms": rnd.choice([8000, 9000, 9500])}
+
+
+def test_picture_of_a_batch_is_that_of_its_rows_in_order():
+    """Reducing a micro-batch first, in any order, and merging it gives the
+    picture of its rows merged one by one in (time, id) order."""
     import random
 
     from connrisk.schemas import LIFECYCLE
-    from connrisk.streaming.detector import _empty_state, apply_event, fold_batch
+    from connrisk.streaming.detector import Picture, picture_of, picture_of_all
 
     rnd = random.Random(7)
-
-    def row(i):
-        return {"event_id": f"E{rnd.randint(0, 9)}{i}", "event_type": rnd.choice(LIFECYCLE),
-                "t_ms": rnd.choice([1000, 2000, 3000]), "scan_location": rnd.choice(["L1", "L2", None]),
-                "transfer_zone": rnd.choice(["T1", "T2"]), "airport_code": "AP",
-                "outbound_flight_id": rnd.choice(["F1", "F2"]),
-                "connection_ms": rnd.choice([9000, 9500]), "estimated_ms": rnd.choice([None, 8000])}
-
     for _ in range(300):
-        seq, fold = _empty_state(), _empty_state()
+        single, whole = Picture(), Picture()
         for batch_no in range(rnd.randint(1, 3)):
-            batch = [row(f"{batch_no}-{j}") for j in range(rnd.randint(0, 6))]
+            batch = [_row(rnd, f"{batch_no}-{j}", LIFECYCLE) for j in range(rnd.randint(0, 6))]
             for r in sorted(batch, key=lambda r: (r["t_ms"], r["event_id"])):
-                apply_event(seq, r, 1000)
+                single = single.then(picture_of(r))
             rnd.shuffle(batch)
-            fold_batch(fold, iter(batch), 1000)
-            assert fold == seq
+            whole = whole.then(picture_of_all(batch))
+            assert whole == single
+
+
+class _Store:
+    """Value state and timers of one key, for driving the processor directly."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs
+
+
+def _event(kind, t, departure, marks):
+    return {"event_id": f"E{t}", "event_type": kind, "t_ms": t, "marks": marks, "rank": 3, "scan_location": "L",
+            "airport_code": "AP", "outbound_flight_id": "F1", "transfer_zone": "T1", "departure_ms": departure}
+
+
+def _live():
+    from connrisk.streaming.detector import BagRiskProcessor
+
+    store = _Store()
+    processor = BagRiskProcessor(30, "processing")
+    processor.init(store)
+    return processor, store
+
+
+def test_a_timer_due_before_the_batch_is_raised_first():
+    """Arrival at 0 with a deadline at 970 s; the batch of 1000 s brings a makeup
+    scan of 990 s: the incident stands, detected at the timer."""
+    for marks in (2, 0):
+        processor, store = _live()
+        assert not list(processor.handleInputRows(("B",), iter([_event("TRANSFER_ARRIVED", 1000, 1_000_000, 1)]), _At(2000)))
+        assert store.timers == {970_000}
+        late = _event("MAKEUP_AREA_SCAN" if marks else "TRANSFER_SORTER_SCAN", 990_000, 1_000_000, marks)
+        raised = list(processor.handleInputRows(("B",), iter([late]), _At(1_000_000)))
+        assert [(r.detected_ms, r.last_scan_type) for r in raised] == [(970_000, "TRANSFER_ARRIVED")]
+        assert not store.timers
+        assert not list(processor.handleInputRows(("B",), iter([late]), _At(1_001_000)))
+
+
+def test_live_timers_move_fire_and_go():
+    processor, store = _live()
+    processor.handleInputRows(("B",), iter([_event("TRANSFER_ARRIVED", 1000, 1_000_000, 1)]), _At(2000))
+    processor.handleInputRows(("B",), iter([_event("TRANSFER_SORTER_SCAN", 2000, 800_000, 0)]), _At(3000))
+    assert store.timers == {770_000}
+    assert not list(processor.handleExpiredTimer(("B",), _At(0), _At(970_000)))  # a replaced timer
+    assert [r.detected_ms for r in processor.handleExpiredTimer(("B",), _At(770_001), _At(770_000))] == [770_000]
+    assert not list(processor.handleExpiredTimer(("B",), _At(770_002), _At(770_000)))
+    processor, store = _live()
+    processor.handleInputRows(("B",), iter([_event("TRANSFER_ARRIVED", 1000, 1_000_000, 1)]), _At(2000))
+    processor.handleInputRows(("B",), iter([_event("MAKEUP_AREA_SCAN", 2000, 1_000_000, 2)]), _At(3000))
+    assert not store.timers
+    processor, store = _live()  # past its deadline when first seen
+    raised = list(processor.handleInputRows(("B",), iter([_event("TRANSFER_ARRIVED", 1000, 1_000_000, 1)]), _At(990_000)))
+    assert [r.detected_ms for r in raised] == [990_000]
+
+
+def test_arrival_order_decides_what_is_late(spark):
+    """On the arrival clock a makeup scan that arrives after the deadline does
+    not undo the incident, on event time it does; older events never regress."""
+    from pyspark.sql import functions as F
+
+    from connrisk.streaming.detector import run_detector
+    from fixtures import bag_rows, to_df
+
+    rows = bag_rows(1, ("TRANSFER_ARRIVED", "TRANSFER_SORTER_SCAN", "MAKEUP_AREA_SCAN"), "OUT-1", "T1", "BGL", departure_s=900)
+    events = to_df(spark, rows)
+    late = F.when(F.col("event_type") == "MAKEUP_AREA_SCAN", F.timestamp_seconds(F.unix_seconds("connection_departure_time") + 60))
+    stamped = events.withColumn("arrival_ts", F.coalesce(late, F.col("event_time")))
+    horizon = ms(T0 + dt.timedelta(hours=1))
+    assert run_detector(events, 30, "replay", horizon).count() == 0
+    found = run_detector(stamped, 30, "arrival", horizon).collect()
+    assert [(r.seconds_to_departure, r.last_scan_type) for r in found] == [(30, "TRANSFER_SORTER_SCAN")]
 
 
 def test_investigation_job_stores_each_incident_once(spark, scratch):
