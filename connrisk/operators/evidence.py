@@ -23,36 +23,37 @@ from pyspark.sql import functions as F
 from connrisk.functions import json_int, json_string, lifecycle_rank, spread, unix_ms
 from connrisk.operators.sweep import interval_counts, with_next_time
 from connrisk.schemas import INCIDENT_TYPE, LIFECYCLE
+from connrisk.session import reliable
 
 SORTER, MAKEUP, LOADED = "TRANSFER_SORTER_SCAN", "MAKEUP_AREA_SCAN", "CONNECTING_AIRCRAFT_LOADED"
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES — labels and texts of the three investigation outcomes.
+# FIXED VALUES — labels of the three investigation outcomes.
 # ---------------------------------------------------------------------------
 DELAY_LABEL = ("TIGHT_CONNECTION_INBOUND_DELAY", "FLIGHT_LEVEL", "CRITICAL")
 CONGESTION_LABEL = ("TRANSFER_ZONE_CONGESTION", "ZONE_LEVEL", "CRITICAL")
 ISOLATED_LABEL = ("ISOLATED_BAG_HANDLING_DELAY", "ISOLATED", "HIGH")
-DELAY_ROOT_CAUSE = ("The inbound arrival delay compressed the transfer window while "
-                    "peer baggage and zone evidence remained normal.")
-CONGESTION_ROOT_CAUSE = ("Many bags stopped after sorter scanning in the same transfer "
-                         "zone, consistent with a zone-level disruption.")
-ISOLATED_ROOT_CAUSE = ("The affected bag stopped after sorter scanning while peer bags "
-                       "progressed normally.")
-DELAY_ACTION = "Recommend hot-bag/manual expedite handling to the outbound makeup area."
-CONGESTION_ACTION = ("Recommend checking the transfer belt/sorter and notifying "
-                     "baggage operations of a possible zone incident.")
-ISOLATED_ACTION = "Recommend a targeted baggage search and manual expedite handling."
-SECONDS_REASON = "Only {seconds} seconds remained at incident detection."
-CONGESTION_REASON = "Multiple connection bags are approaching outbound deadlines."
-DELAY_EVIDENCE = ("Inbound arrival was {delay} minutes late.",
-                  "Baggage system status was {status}.",
-                  "{loaded} peer bags progressed to aircraft loading.")
-CONGESTION_EVIDENCE = ("{sorter} bags reached the transfer sorter but only {makeup} reached makeup.",
-                       "{risks} recent connection risks were present at the airport.")
-ISOLATED_EVIDENCE = ("The target bag's last scan was {last_scan}.",
-                     "{loaded} peer bags reached aircraft loading.",
-                     "Zone scan counts do not show a broad stoppage.")
-# Rule thresholds.
+# ---------------------------------------------------------------------------
+# Texts of the outcomes (this package's own wording; nothing reads them).
+DELAY_ROOT_CAUSE = "The inbound flight was late, which left too little time to transfer the bag."
+CONGESTION_ROOT_CAUSE = "The transfer zone is backed up: bags pass its sorter faster than they reach makeup."
+ISOLATED_ROOT_CAUSE = "This bag alone has stopped; other bags of its flight and zone keep moving."
+# Actions are advice; the result contract wants them to say so.
+DELAY_ACTION = "Recommended: treat as a hot bag: carry it to outbound makeup by hand."
+CONGESTION_ACTION = "Recommended: inspect belt and sorter of the zone and warn baggage operations of a zone incident."
+ISOLATED_ACTION = "Recommended: look for the bag at its last scan and carry it onward by hand."
+SECONDS_REASON = "{seconds} seconds were left when the risk was detected."
+CONGESTION_REASON = "Several bags of the zone are close to their flights' deadlines."
+DELAY_EVIDENCE = ("Minutes of inbound delay: {delay}.",
+                  "Baggage system: {status}.",
+                  "Peer bags loaded: {loaded}.")
+CONGESTION_EVIDENCE = ("Bags at the sorter: {sorter}; at makeup: {makeup}.",
+                       "Recent risks at the airport: {risks}.")
+ISOLATED_EVIDENCE = ("Last scan of the bag: {last_scan}.",
+                     "Peer bags loaded: {loaded}.",
+                     "No backlog in the zone.")
+# ---------------------------------------------------------------------------
+# FIXED VALUES — rule thresholds.
 DELAY_MINUTES = 30
 ZONE_BACKLOG_BAGS = 10
 RECENT_RISKS = 10
@@ -65,8 +66,9 @@ def _timed(events: DataFrame) -> DataFrame:
 
 
 KEY_SEP = "\u0001"
-# Largest incident set broadcast to the events (about 100 bytes a row).
-MAX_BROADCAST_PROBES = 500_000
+# Most rows of ids, keys and times broadcast to the events: storage caps ids at
+# 128 characters, so at 100 000 rows this is under 50 MB.
+MAX_BROADCAST_PROBES = 100_000
 
 
 def _key(kind: str, a, b=None):
@@ -89,14 +91,21 @@ def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes:
     costs a fixed number of shuffles however many families it reads.
     """
     window_ms = int(lookback_minutes) * 60 * 1000
+    # At-least-once delivery: a repeated incident is one probe and one risk.
+    risk_src = one_per_incident(risk_incidents if risk_incidents is not None else incidents)
+    incidents = one_per_incident(incidents)
+    # Nothing after the last detection matters: the bound reaches the scan.
+    newest = incidents.agg(F.max("detected_at")).first()[0]
+    if newest is not None:
+        events = events.where(F.col("event_time") <= F.lit(newest))
     ev = _timed(spread(events))
     types = list(LIFECYCLE)
 
     # Own timeline: latest row at or before detection, in timeline order.
     # Incidents are few next to events: when a count shows at most
-    # MAX_BROADCAST_PROBES of them they are broadcast, so events are matched
-    # and partially aggregated where they are read instead of all being
-    # shuffled by bag; beyond that it is a shuffle join (AQE splits skew).
+    # MAX_BROADCAST_PROBES of them their ids and times are broadcast, so events
+    # are matched and partially aggregated where they are read instead of all
+    # being shuffled by bag; beyond that it is a shuffle join (AQE splits skew).
     own_probes = incidents.select("incident_id", "bag_tag_id", unix_ms("detected_at").alias("d_ms"))
     if own_probes.count() <= MAX_BROADCAST_PROBES:
         own_probes = F.broadcast(own_probes)
@@ -120,29 +129,41 @@ def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes:
     fams = [("p", "outbound_flight_id", "airport_code", None, True),
             ("f", "outbound_flight_id", None, None, False),
             ("z", "airport_code", "transfer_zone", "event_type", True)]
+    # The keys that incidents ask for, each with the times that can matter:
+    # from the first look-back (a flight's bags have none) to the last detection.
+    asked = None
+    for kind, a, b, _, windowed in fams:
+        d_ms = unix_ms("detected_at")
+        low = F.min(d_ms) - F.lit(window_ms) if windowed else F.lit(None).cast("long")
+        part = incidents.groupBy(_key(kind, a, b).alias("key")).agg(low.alias("low_ms"), F.max(d_ms).alias("high_ms"))
+        asked = part if asked is None else asked.unionByName(part)
+    asked = reliable(asked)
+    if asked.count() <= MAX_BROADCAST_PROBES:
+        asked = F.broadcast(asked)
     # One scan of the events feeds all families: each event yields one row
-    # per family through a generator.
+    # per family through a generator; rows of other keys and times go at once.
     fam_rows = F.array(*[F.struct(
         _key(kind, a, b).alias("key"),
         F.concat_ws(KEY_SEP, "bag_tag_id", F.col(extra) if extra else F.lit("")).alias("member"),
         F.lit(kind).alias("kind"), F.lit(windowed).alias("windowed"),
     ) for kind, a, b, extra, windowed in fams])
-    state_rows = ev.select(F.inline(fam_rows), "event_type", "t_ms", "rank", "event_id")
+    state_rows = ev.select(F.inline(fam_rows), "event_type", "t_ms", "rank", "event_id").join(asked, "key").where(
+        "t_ms <= high_ms and (low_ms is null or t_ms >= low_ms)").drop("low_ms", "high_ms")
     nxt = with_next_time(state_rows, ["key", "member"], "t_ms", ["rank", "event_id"], chunk_ms=chunk_ms)
     stale = F.col("t_ms") + F.lit(window_ms + 1)
     end = F.when(F.col("windowed"), F.least(F.coalesce("next_t", stale), stale)).otherwise(F.col("next_t"))
-    intervals = nxt.select("key", F.concat(F.col("kind"), F.lit("_"), F.col("event_type")).alias("category"),
-                           F.col("t_ms").alias("start_ms"), end.alias("end_ms"))
-
-    # Zone events and airport risks inside the lookback.
-    zone_events = ev.select(_key("z", "airport_code", "transfer_zone").alias("key"),
-                            F.lit("z_events").alias("category"), F.col("t_ms").alias("start_ms"),
-                            (F.col("t_ms") + F.lit(window_ms + 1)).alias("end_ms"))
-    risk_src = risk_incidents if risk_incidents is not None else incidents
+    # Zone rows also count as events inside the lookback.
+    state = F.struct(F.concat(F.col("kind"), F.lit("_"), F.col("event_type")).alias("category"), end.alias("end_ms"))
+    seen = F.struct(F.lit("z_events").alias("category"), stale.alias("end_ms"))
+    both = F.when(F.col("kind") == "z", F.array(state, seen)).otherwise(F.array(state))
+    intervals = nxt.select("key", F.col("t_ms").alias("start_ms"), F.inline(both)).select(
+        "key", "category", "start_ms", "end_ms")
+
+    # Airport risks inside the lookback.
     risk_iv = risk_src.select(_key("r", "airport_code").alias("key"), F.lit("r_risk").alias("category"),
                               unix_ms("detected_at").alias("start_ms"),
                               (unix_ms("detected_at") + F.lit(window_ms + 1)).alias("end_ms"))
-    all_iv = intervals.unionByName(zone_events).unionByName(risk_iv)
+    all_iv = intervals.unionByName(risk_iv)
 
     cats_of = {"p": [f"p_{t}" for t in types], "f": [f"f_{t}" for t in types],
                "z": [f"z_{t}" for t in types] + ["z_events"], "r": ["r_risk"]}
@@ -245,9 +266,19 @@ def stored_results(results: DataFrame, investigated_at: Column | None = None) ->
     )
 
 
+def one_per_incident(incidents: DataFrame) -> DataFrame:
+    """Each incident id once: its earliest detection, ties by all columns, so a
+    repeated delivery changes nothing and a recomputation picks the same row."""
+    order = [c for c in ("detected_at", "bag_tag_id") if c in incidents.columns]
+    rest = [c for c in incidents.columns if c not in order]
+    first = incidents.groupBy(F.col("incident_id").alias("_id")).agg(
+        F.min(F.struct(*order, *rest)).alias("_row"))
+    return first.select(*[F.col("_row")[c].alias(c) for c in incidents.columns])
+
+
 def pending_incidents(incidents: DataFrame, results: DataFrame) -> DataFrame:
     """Incidents without any stored result (each incident id once)."""
-    first = incidents.dropDuplicates(["incident_id"])
+    first = one_per_incident(incidents)
     return first.join(results.select("incident_id").distinct(), "incident_id", "left_anti")
 
 
@@ -291,7 +322,8 @@ def investigate_pending(incidents: DataFrame, events: DataFrame, stored: DataFra
     from connrisk.operators import contracts
 
     pending = pending_incidents(incidents, stored)
-    valid = contracts.incident_violations(pending).where(F.size("violations") == 0).drop("violations")
+    # Read by the probes of every family and by the result check: stored once.
+    valid = reliable(contracts.incident_violations(pending).where(F.size("violations") == 0).drop("violations"))
     ev = incident_evidence(valid, events, lookback_minutes,
                            risk_incidents=risk_incidents if risk_incidents is not None else incidents)
     res = classify_incidents(ev, keep=("detected_at",))

@@ -89,9 +89,11 @@ def investigation_evidence(results: DataFrame) -> DataFrame:
 
 
 def operations_snapshot(events: DataFrame, incidents: DataFrame, latest_results: DataFrame) -> DataFrame:
-    """Per bag: last timeline row, its incident (if any) and the newest
-    investigation of that incident (if any)."""
-    inc = incidents.select("bag_tag_id", "incident_id", "detected_at", "minutes_to_departure",
+    """Per bag: last timeline row, its newest incident (if any; repeated
+    deliveries are one) and the newest investigation of that incident (if any)."""
+    newest = incidents.groupBy("bag_tag_id").agg(F.max(F.struct(
+        "detected_at", "incident_id", "minutes_to_departure", "last_scan_type", "transfer_zone", "context_json")).alias("i"))
+    inc = newest.select("bag_tag_id", "i.*").select("bag_tag_id", "incident_id", "detected_at", "minutes_to_departure",
                            F.col("last_scan_type").alias("incident_last_scan_type"),
                            F.col("transfer_zone").alias("incident_transfer_zone"), "context_json")
     res = latest_results.select("incident_id", "investigated_at", "classification", "scope",

@@ -8,6 +8,7 @@ show the same values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,12 +67,9 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     column pruning and filter push-down, and lineage ends at the files)."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _MATERIALIZED:
-        import hashlib
-        import os
-
-        tag = hashlib.sha1(f"{key[0]}|{sf_dir}|{name}|{len(_MATERIALIZED)}".encode()).hexdigest()[:16]
-        path = os.path.join(checkpoint_dir(spark), "connrisk-tables", f"{name}-{tag}")
-        build().write.mode("overwrite").parquet(path)
+        # A path of its own for every build: a DataFrame of an earlier build keeps its files.
+        path = f"{checkpoint_dir(spark).rstrip('/')}/connrisk-tables/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
         _MATERIALIZED[key] = spark.read.parquet(path)
     return _MATERIALIZED[key]
 

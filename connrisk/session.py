@@ -3,8 +3,8 @@
 Every operator computes on ``TIMESTAMP`` values in a UTC session, which is how
 the analytical tables define time (all times UTC).  ``ensure_utc`` pins the
 session time zone; ``checkpoint_dir`` returns the shared lineage-cutting folder
-that a cluster names in ``spark.checkpoint.dir`` and only invents a local one
-when nothing is configured (tests, laptops).
+that a cluster names in ``spark.checkpoint.dir`` and only invents one under a
+local master (tests, laptops).
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The stateful detector needs this state store.
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         # Checkpoint files of intermediates are removed once unreferenced.
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
@@ -47,18 +50,27 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder from the session; a local one only if unset."""
+    """Shared checkpoint folder that the session names in
+    ``spark.checkpoint.dir``; invented only where driver and tasks are one
+    process (local master), an error on a cluster without one."""
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not is_local(sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="connrisk-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
 
 
+def is_local(master: str) -> bool:
+    """Whether ``master`` runs tasks in the driver's process (``local-cluster`` does not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def reliable(df):
     """Cut lineage with a reliable ``checkpoint()`` into the shared checkpoint
     folder.  Used where a plan reads one expensive intermediate twice (a

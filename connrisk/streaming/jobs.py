@@ -44,20 +44,28 @@ INTERVAL_SETTING = "CHECKPOINT_INTERVAL_MS"
 DEFAULT_POSITION = "LATEST"
 DEFAULT_INTERVAL_MS = 60_000
 
+# Own setting: how often a micro-batch is taken up.  An incident is raised at
+# most this long after its deadline, so it must stay below the buffer.
+TRIGGER_SETTING = "DETECTOR_TRIGGER_MS"
+DEFAULT_TRIGGER_MS = 1_000
+# State snapshots are uploaded at this session setting's interval.
+SNAPSHOT_CONF = "spark.sql.streaming.stateStore.maintenanceInterval"
+
 
 @dataclass(frozen=True)
 class DetectorSettings:
-    """Resolved settings of the detector job.  ``checkpoint_interval_ms`` is
-    the micro-batch trigger interval: state is committed to the checkpoint
-    once per micro-batch."""
+    """Resolved settings of the detector job.  ``trigger_ms`` is how often a
+    micro-batch is taken up; ``checkpoint_interval_ms`` is how often state
+    snapshots are uploaded (changes are committed with every micro-batch)."""
 
     risk_buffer_seconds: int = DEFAULT_RISK_BUFFER_SECONDS
     starting_position: str = DEFAULT_POSITION
     checkpoint_interval_ms: int = DEFAULT_INTERVAL_MS
+    trigger_ms: int = DEFAULT_TRIGGER_MS
 
     @property
     def trigger(self) -> dict:
-        return {"processingTime": f"{self.checkpoint_interval_ms} milliseconds"}
+        return {"processingTime": f"{self.trigger_ms} milliseconds"}
 
 
 def _setting(properties: Mapping[str, str], environ: Mapping[str, str], name: str, default: str) -> str:
@@ -82,16 +90,21 @@ def detector_settings(properties: Mapping[str, str] | None = None,
                       environ: Mapping[str, str] | None = None) -> DetectorSettings:
     """Resolve the job settings (environment, then ``properties``, then the
     defaults).  Raises ``ValueError`` for a non-integer or non-positive
-    number, or a starting position other than ``LATEST`` / ``TRIM_HORIZON``."""
+    number, a starting position other than ``LATEST`` / ``TRIM_HORIZON``, or a
+    trigger that is not shorter than the buffer."""
     props = dict(properties or {})
     env = os.environ if environ is None else environ
     position = str(_setting(props, env, POSITION_SETTING, DEFAULT_POSITION)).upper()
     if position not in STARTING_POSITIONS:
         raise ValueError("position must be LATEST or TRIM_HORIZON")
+    buffer = _positive_int(props, env, BUFFER_SETTING, DEFAULT_RISK_BUFFER_SECONDS)
+    trigger = _positive_int(props, env, TRIGGER_SETTING, DEFAULT_TRIGGER_MS)
+    if trigger >= buffer * 1000:
+        raise ValueError(f"{TRIGGER_SETTING} must be shorter than the buffer")
     return DetectorSettings(
-        risk_buffer_seconds=_positive_int(props, env, BUFFER_SETTING, DEFAULT_RISK_BUFFER_SECONDS),
-        starting_position=position,
+        risk_buffer_seconds=buffer, starting_position=position,
         checkpoint_interval_ms=_positive_int(props, env, INTERVAL_SETTING, DEFAULT_INTERVAL_MS),
+        trigger_ms=trigger,
     )
 
 
@@ -154,11 +167,13 @@ def append_table(df: DataFrame, path: str, table: str, batch_id: int | None = No
 def start_detector_job(spark: SparkSession, source: str, output: str, checkpoint: str,
                        buffer_seconds: int = 30, clock: str = "processing",
                        horizon_ms: int | None = None, position: str = "TRIM_HORIZON",
-                       trigger: dict | None = None):
+                       trigger: dict | None = None, kafka_servers: str | None = None,
+                       max_files_per_trigger: int | None = None):
     """Event stream -> quarantine + detector -> incident JSON lines and the
     ``risk_incidents`` table.  Returns the started ``StreamingQuery``."""
     ensure_utc(spark)
-    good, bad = events_from_lines(read_event_stream(spark, source, position))
+    good, bad = events_from_lines(
+        read_event_stream(spark, source, position, kafka_servers, max_files_per_trigger))
     incidents = run_detector(good, buffer_seconds, clock, horizon_ms)
     wire = detector.incidents_as_json(incidents)
 
@@ -185,14 +200,17 @@ def start_detector_job(spark: SparkSession, source: str, output: str, checkpoint
 
 def start_configured_detector_job(spark: SparkSession, source: str, output: str, checkpoint: str,
                                   properties: Mapping[str, str] | None = None,
-                                  environ: Mapping[str, str] | None = None):
+                                  environ: Mapping[str, str] | None = None, kafka_servers: str | None = None,
+                                  max_files_per_trigger: int | None = None):
     """The live detector job (processing-time clock) with its settings
-    resolved by ``detector_settings``: buffer, starting position, and a
-    trigger every checkpoint interval."""
+    resolved by ``detector_settings``: buffer, starting position, trigger and
+    snapshot interval."""
     settings = detector_settings(properties, environ)
+    spark.conf.set(SNAPSHOT_CONF, f"{settings.checkpoint_interval_ms}ms")
     return start_detector_job(spark, source, output, checkpoint,
                               buffer_seconds=settings.risk_buffer_seconds, clock="processing",
-                              position=settings.starting_position, trigger=settings.trigger)
+                              position=settings.starting_position, trigger=settings.trigger,
+                              kafka_servers=kafka_servers, max_files_per_trigger=max_files_per_trigger)
 
 
 def start_ingest_job(spark: SparkSession, source: str, output: str, checkpoint: str,

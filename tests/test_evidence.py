@@ -85,7 +85,7 @@ def test_isolated_label(spark):
     r = classify_incidents(_evidence(spark)).first()
     assert (r["classification"], r["scope"], r["operational_priority"]) == \
         ("ISOLATED_BAG_HANDLING_DELAY", "ISOLATED", "HIGH")
-    assert r["evidence"][1] == "4 peer bags reached aircraft loading."
+    assert r["evidence"][1] == "Peer bags loaded: 4."
 
 
 def test_congestion_label(spark):
@@ -93,15 +93,15 @@ def test_congestion_label(spark):
                                      recent_risks=42)).first()
     assert (r["classification"], r["scope"], r["operational_priority"]) == \
         ("TRANSFER_ZONE_CONGESTION", "ZONE_LEVEL", "CRITICAL")
-    assert r["evidence"][0] == "45 bags reached the transfer sorter but only 3 reached makeup."
+    assert r["evidence"][0] == "Bags at the sorter: 45; at makeup: 3."
 
 
 def test_delay_label_wins_first(spark):
     r = classify_incidents(_evidence(spark, inbound_delay_minutes=32, zone_sorter_bags=45,
                                      zone_makeup_bags=3, recent_risks=42)).first()
     assert (r["classification"], r["scope"]) == ("TIGHT_CONNECTION_INBOUND_DELAY", "FLIGHT_LEVEL")
-    assert r["evidence"][0] == "Inbound arrival was 32 minutes late."
-    assert r["reason_action_is_time_sensitive"] == "Only 30 seconds remained at incident detection."
+    assert r["evidence"][0] == "Minutes of inbound delay: 32."
+    assert r["reason_action_is_time_sensitive"] == "30 seconds were left when the risk was detected."
 
 
 def test_labels_pass_the_result_contract(spark):
@@ -163,3 +163,51 @@ def test_prefix_scans_match_python_for_any_hot_threshold(spark):
                  with_next_time(df, ["k"], "t", ["id"], chunk_ms=250, hot_rows=hot_rows).collect()}
         assert sums == want_sum
         assert nexts == want_next
+
+
+def test_repeated_delivery_changes_nothing(spark):
+    """Each incident delivered twice gives the evidence, pending rows and snapshot of one delivery."""
+    from connrisk.operators import evidence as E
+    from connrisk.operators.readmodels import operations_snapshot
+    from connrisk.plans import registry as R
+
+    sf = "/root/testdata/sf0.001"
+    incidents, table = R.incidents_contract(spark, sf), R.incidents_table(spark, sf)
+    events = R.events_table(spark, sf)
+    nothing = spark.createDataFrame([], "incident_id string, investigated_at timestamp, classification string, scope string, "
+                                        "operational_priority string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    twice = incidents.unionByName(incidents)
+    assert rows(E.incident_evidence(twice, events)) == rows(E.incident_evidence(incidents, events))
+    assert rows(E.pending_incidents(twice, nothing)) == rows(E.pending_incidents(incidents, nothing))
+    assert rows(operations_snapshot(events, table.unionByName(table), nothing)) == rows(operations_snapshot(events, table, nothing))
+
+
+def test_evidence_of_one_incident_reads_its_keys_only(spark, monkeypatch):
+    """The sweep of one incident holds rows of its flight, zone and airport, and
+    the newest detection is pushed to the scan."""
+    from connrisk.operators import evidence as E
+    from connrisk.plans import registry as R
+
+    sf = "/root/testdata/sf0.001"
+    incidents, events = R.incidents_contract(spark, sf), R.events_table(spark, sf)
+    first = sorted(r.incident_id for r in incidents.select("incident_id").collect())[0]
+    one = incidents.where(F.col("incident_id") == first)
+    swept = {}
+    real = E.interval_counts
+
+    def spy(intervals, *args, **kwargs):
+        swept["rows"] = intervals.count()
+        swept["plan"] = intervals._jdf.queryExecution().toString()
+        return real(intervals, *args, **kwargs)
+
+    monkeypatch.setattr(E, "interval_counts", spy)
+    got = E.incident_evidence(one, events, risk_incidents=incidents).collect()
+    whole = {r.incident_id: r for r in E.incident_evidence(incidents, events).collect()}
+    assert got == [whole[first]]
+    E.incident_evidence(one, events).collect()
+    r = got[0]
+    near = events.where((F.col("outbound_flight_id") == r.outbound_flight_id)
+                        | ((F.col("airport_code") == r.airport_code) & (F.col("transfer_zone") == r.transfer_zone)))
+    assert swept["rows"] <= 4 * near.count() + 1
+    assert "LessThanOrEqual(event_time" in swept["plan"]

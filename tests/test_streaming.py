@@ -95,12 +95,14 @@ def test_job_settings_resolution_order_and_checks():
              "CHECKPOINT_INTERVAL_MS": "5000"}
     s = detector_settings(props, {})
     assert (s.risk_buffer_seconds, s.starting_position, s.checkpoint_interval_ms) == (45, "TRIM_HORIZON", 5000)
-    assert s.trigger == {"processingTime": "5000 milliseconds"}
+    assert s.trigger == {"processingTime": "1000 milliseconds"}
+    assert detector_settings({**props, "DETECTOR_TRIGGER_MS": "2500"}, {}).trigger == {"processingTime": "2500 milliseconds"}
     # The environment wins over the job properties.
     assert detector_settings(props, {"RISK_BUFFER_SECONDS": "90"}).risk_buffer_seconds == 90
     for bad in ({"RISK_BUFFER_SECONDS": "0"}, {"RISK_BUFFER_SECONDS": "-5"},
                 {"RISK_BUFFER_SECONDS": "1.5"}, {"CHECKPOINT_INTERVAL_MS": "soon"},
-                {"KINESIS_STARTING_POSITION": "AT_TIMESTAMP"}):
+                {"KINESIS_STARTING_POSITION": "AT_TIMESTAMP"},
+                {"RISK_BUFFER_SECONDS": "30", "DETECTOR_TRIGGER_MS": "30000"}):
         with pytest.raises(ValueError):
             detector_settings(bad, {})
 
@@ -268,7 +270,7 @@ def test_investigation_job_stores_each_incident_once(spark, scratch):
 
 def test_configured_job_uses_resolved_buffer_and_interval(spark, scratch):
     """The live job started from settings: the environment's buffer wins
-    over the properties, and the checkpoint interval is the trigger."""
+    over the properties; trigger and snapshot interval are their own settings."""
     from fixtures import bag_rows
 
     from connrisk.streaming.jobs import start_configured_detector_job
