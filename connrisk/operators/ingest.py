@@ -18,7 +18,6 @@ from connrisk.schemas import (
     BAGGAGE_EVENT_FIELDS,
     EVENT_KEYS,
     INCIDENT_WIRE_SCHEMA,
-    INVESTIGATION_RESULT_FIELDS,
     RISK_INCIDENT_FIELDS,
 )
 
@@ -38,13 +37,6 @@ def _reasons(*checks: tuple[Column, str]) -> Column:
     return F.filter(F.array(*[F.when(bad, F.lit(name)) for bad, name in checks]), lambda x: x.isNotNull())
 
 
-def split_valid(df: DataFrame, reasons_col: str = "reasons") -> tuple[DataFrame, DataFrame]:
-    """(good rows without the reasons column, quarantined rows with reasons)."""
-    good = df.where(F.size(reasons_col) == 0).drop(reasons_col)
-    bad = df.where(F.size(reasons_col) > 0)
-    return good, bad
-
-
 # --- A2: JSON text -> typed rows ---------------------------------------------
 
 def parse_json_records(df: DataFrame, schema: T.StructType, text_col: str = "value") -> DataFrame:
@@ -71,6 +63,8 @@ def decode_envelopes(env: DataFrame, keep=()) -> DataFrame:
     staged so every intermediate (bytes, text) is computed once per row.
     """
     arn = F.col("eventSourceARN")
+    if "eventSourceArn" in env.columns:  # the other spelling in use
+        arn = F.coalesce(arn, F.col("eventSourceArn"))
     stage1 = env.select(
         *keep,
         F.coalesce(F.col("kinesis.sequenceNumber"), F.col("eventID"), F.lit("unknown")).alias("sequence_number"),
@@ -120,18 +114,28 @@ def canonical_json(col) -> Column:
         .otherwise(F.to_json(v))
 
 
+# Metadata may be any JSON value; as a variant it keeps what it was, and JSON
+# null (a value) stays apart from a key that is absent.
 _EVENT_TEXT_SCHEMA = T.StructType(
-    [T.StructField(k, T.StringType()) for k in BAGGAGE_EVENT_FIELDS]
-    + [T.StructField("metadata", T.StringType())]
+    [T.StructField(k, T.VariantType() if k == "metadata_json" else T.StringType()) for k in BAGGAGE_EVENT_FIELDS]
+    + [T.StructField("metadata", T.VariantType())]
 )
 
 
+def _variant_text(v: Column) -> Column:
+    """A JSON string unchanged, any other value as compact text, null for JSON null and absent."""
+    kind = F.schema_of_variant(v)
+    return F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("string")) \
+        .when(kind == "STRING", F.variant_get(v, "$", "string")).otherwise(F.to_json(v))
+
+
 def normalize_events(payloads: DataFrame, text_col: str = "payload") -> DataFrame:
     """JSON event text -> the 19 ``baggage_events`` columns plus ``reasons``.
 
     One JSON parse per record (``from_json`` into text fields; nested objects
     come back as their JSON text).  ``metadata`` stands in for
-    ``metadata_json`` when the latter is absent; every column must be present
+    ``metadata_json`` when the latter is absent (JSON null is not absent);
+    text is kept unchanged, other values become compact text; every column must be present
     and non-NULL (empty text is accepted); extra keys are dropped; the five
     times must parse (best effort, UTC).
     """
@@ -139,7 +143,7 @@ def normalize_events(payloads: DataFrame, text_col: str = "payload") -> DataFram
     parsed = payloads.select(*rest, F.from_json(F.col(text_col), _EVENT_TEXT_SCHEMA).alias("_r")) \
         .select(*rest, "_r.*")
     raw = {f: F.col(f) for f in BAGGAGE_EVENT_FIELDS}
-    raw["metadata_json"] = F.coalesce(F.col("metadata_json"), F.col("metadata"))
+    raw["metadata_json"] = _variant_text(F.coalesce(F.col("metadata_json"), F.col("metadata")))
     stage = parsed.select(
         *rest,
         *[raw[f].alias(f) for f in BAGGAGE_EVENT_FIELDS if f not in EVENT_TIME_FIELDS],
@@ -153,46 +157,74 @@ def normalize_events(payloads: DataFrame, text_col: str = "payload") -> DataFram
                for f in EVENT_TIME_FIELDS]
     return stage.select(
         *rest,
-        *[canonical_json(f).alias(f) if f == "metadata_json" else F.col(f) for f in BAGGAGE_EVENT_FIELDS],
+        *BAGGAGE_EVENT_FIELDS,
         _reasons(*checks).alias("reasons"),
     )
 
 
 # --- A6: incidents --------------------------------------------------------------
 
+# Wire form for ingestion: also the table's own columns where a record has them
+# already, and the observed context as it came.
+_INCIDENT_TEXT_SCHEMA = T.StructType(
+    [f for f in INCIDENT_WIRE_SCHEMA.fields if f.name != "observed_context"]
+    + [T.StructField(name, T.VariantType()) for name in ("observed_context", "minutes_to_departure", "context_json")]
+)
+
+
 def incident_context_json(df: DataFrame) -> Column:
-    """Compact, key-sorted context object of a detector incident."""
+    """Compact, key-sorted context object of a detector incident; members that
+    are null stay, as does all of the observed context."""
+    observed = F.col("observed_context")
+    if dict(df.dtypes)["observed_context"] != "variant":
+        observed = F.struct(observed["aircraft_loaded"].alias("aircraft_loaded"),
+                            observed["makeup_area_reached"].alias("makeup_area_reached"))
     return F.to_json(F.struct(
         F.col("connection_departure_time").alias("connection_departure_time"),
         F.col("last_scan_time").alias("last_scan_time"),
-        F.struct(
-            F.col("observed_context.aircraft_loaded").alias("aircraft_loaded"),
-            F.col("observed_context.makeup_area_reached").alias("makeup_area_reached"),
-        ).alias("observed_context"),
+        observed.alias("observed_context"),
         F.col("seconds_to_departure").alias("seconds_to_departure"),
-    ))
+    ), {"ignoreNullFields": "false"})
 
 
 def normalize_incidents(df: DataFrame, keep=()) -> DataFrame:
     """Detector-contract incidents (wire form) -> ``risk_incidents`` rows.
 
-    ``minutes_to_departure`` is derived from integer ``seconds_to_departure``
-    (away from zero) when absent; ``context_json`` is built from the observed
-    context, last scan time, departure and seconds when absent.
+    Row by row: ``minutes_to_departure`` where present (an integer), else
+    derived from integer ``seconds_to_departure`` (away from zero);
+    ``context_json`` where present (text unchanged, other values as compact
+    text), else built from the observed context, which must be an object, last
+    scan time, departure and seconds.
     """
-    cols = set(df.columns)
-    minutes = F.col("minutes_to_departure") if "minutes_to_departure" in cols \
-        else minutes_to_departure("seconds_to_departure")
-    context = F.col("context_json") if "context_json" in cols else incident_context_json(df)
-    detected = parse_iso_ts("detected_at") if dict(df.dtypes)["detected_at"] == "string" \
-        else F.col("detected_at")
+    kinds = dict(df.dtypes)
+    minutes, context, not_object = minutes_to_departure("seconds_to_departure"), None, None
+    if "minutes_to_departure" in kinds:
+        given = F.col("minutes_to_departure")
+        if kinds["minutes_to_departure"] == "variant":
+            whole = F.when(F.schema_of_variant(given) == "BIGINT", F.try_variant_get(given, "$", "long"))
+            minutes = F.when(given.isNotNull(), whole).otherwise(minutes)
+        else:
+            minutes = F.coalesce(given, minutes) if "seconds_to_departure" in kinds else given
+    if "observed_context" in kinds:
+        observed = F.col("observed_context")
+        is_object = F.schema_of_variant(observed).startswith("OBJECT") if kinds["observed_context"] == "variant" else observed.isNotNull()
+        not_object = ~F.coalesce(is_object, F.lit(False))
+        context = F.when(~not_object, incident_context_json(df))
+    checks = []
+    if "context_json" in kinds:
+        given = F.col("context_json")
+        own = _variant_text(given) if kinds["context_json"] == "variant" else given
+        checks.append((given.isNotNull() & own.isNull(), "missing_context_json"))
+        if not_object is not None:
+            not_object = given.isNull() & not_object
+        context = own if context is None else F.when(given.isNotNull(), own).otherwise(context)
+    if not_object is not None:
+        checks.append((not_object, "observed_context_not_object"))
+    detected = parse_iso_ts("detected_at") if kinds["detected_at"] == "string" else F.col("detected_at")
     checks = [(F.col(f).isNull(), f"missing_{f}") for f in
               ("incident_id", "bag_tag_id", "incident_type", "outbound_flight_id", "airport_code",
-               "transfer_zone", "last_scan_type", "last_scan_location")]
-    checks.append((detected.isNull(), "bad_time_detected_at"))
-    checks.append((minutes.isNull(), "bad_minutes_to_departure"))
-    if "context_json" not in cols:
-        checks.append((F.col("observed_context").isNull(), "observed_context_not_object"))
+               "transfer_zone", "last_scan_type", "last_scan_location")] + [
+        (detected.isNull(), "bad_time_detected_at"), (minutes.isNull(), "bad_minutes_to_departure"), *checks]
     return df.select(
         *keep,
         "incident_id", "bag_tag_id", "incident_type", detected.alias("detected_at"),
@@ -267,10 +299,6 @@ def schema_violations(payloads: DataFrame, text_col: str = "payload") -> DataFra
     return out.where((F.size("missing_keys") > 0) | (F.size("unexpected_keys") > 0))
 
 
-INVESTIGATION_STORAGE_FIELDS = INVESTIGATION_RESULT_FIELDS
-INCIDENT_WIRE = INCIDENT_WIRE_SCHEMA
-
-
 # --- one ingestion pass over a batch of envelopes -------------------------------
 
 def ingest_batch(envelopes: DataFrame) -> dict[str, DataFrame]:
@@ -289,19 +317,20 @@ def ingest_batch(envelopes: DataFrame) -> dict[str, DataFrame]:
     """
     extra = [c for c in ("position",) if c in envelopes.columns]
     keys = ["sequence_number", *extra]
-    routed = _materialize_row(route_records(decode_envelopes(envelopes, keep=extra)))
+    whole = envelopes.withColumn("_record", F.struct(*[c for c in envelopes.columns if c not in extra]))
+    routed = _materialize_row(route_records(decode_envelopes(whole, keep=[*extra, "_record"])))
     ev_target = STREAM_TARGETS[EVENTS_STREAM][0]
     inc_target = STREAM_TARGETS[INCIDENTS_STREAM][0]
     target = F.col("target_table")
-    carried = [*keys, "target_table", "_decode_reasons"]
+    carried = [*keys, "_record", "target_table", "_decode_reasons"]
     staged = routed.select(
-        *keys, "target_table", F.col("reasons").alias("_decode_reasons"),
+        *keys, "_record", "target_table", F.col("reasons").alias("_decode_reasons"),
         F.when(target == ev_target, F.col("payload")).alias("_ev_text"),
         F.when(target == inc_target, F.col("payload")).alias("_inc_text"))
     ev_norm = normalize_events(staged, text_col="_ev_text")
     ev_cols = [*BAGGAGE_EVENT_FIELDS, "reasons"]
     with_ev = ev_norm.select(*carried, "_inc_text", F.struct(*ev_cols).alias("_ev"))
-    inc_parsed = with_ev.select(*carried, "_ev", F.from_json("_inc_text", INCIDENT_WIRE_SCHEMA).alias("_r")) \
+    inc_parsed = with_ev.select(*carried, "_ev", F.from_json("_inc_text", _INCIDENT_TEXT_SCHEMA).alias("_r")) \
         .select(*carried, "_ev", "_r.*")
     inc_norm = normalize_incidents(inc_parsed, keep=[*carried, "_ev"])
     inc_cols = [c for c in inc_norm.columns if c not in (*carried, "_ev")]
@@ -311,13 +340,10 @@ def ingest_batch(envelopes: DataFrame) -> dict[str, DataFrame]:
                .otherwise(F.col("_decode_reasons")))
     outcomes = _materialize_row(
         inc_norm.select(*carried, "_ev", F.struct(*inc_cols).alias("_inc"))
-        .select(*keys, "target_table", "_ev", "_inc", reasons.alias("reasons")))
+        .select(*keys, "_record", "target_table", "_ev", "_inc", reasons.alias("reasons")))
     events = outcomes.where(target == ev_target).select(*keys, "_ev.*")
     incidents = outcomes.where(target == inc_target).select(*keys, "_inc.*")
-    failures = outcomes.where(F.size("reasons") > 0).select(*keys, "reasons")
-    return {"decoded": routed.drop("target_table"), "routed": routed, "events": events,
+    # With the record itself as JSON text, for a retry.
+    failures = outcomes.where(F.size("reasons") > 0).select(*keys, "reasons", F.to_json("_record").alias("record"))
+    return {"decoded": routed.drop("target_table", "_record"), "routed": routed.drop("_record"), "events": events,
             "incidents": incidents, "failures": failures, "outcomes": outcomes}
-
-
-def envelope_reason_text(col="reasons") -> Column:
-    return F.array_join(F.col(col), ",")

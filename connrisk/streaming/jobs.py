@@ -216,7 +216,8 @@ def start_configured_detector_job(spark: SparkSession, source: str, output: str,
 def start_ingest_job(spark: SparkSession, source: str, output: str, checkpoint: str,
                      trigger: dict | None = None):
     """Envelope batches (JSON lines of records) -> baggage_events and
-    risk_incidents tables, quarantine report and counters per batch."""
+    risk_incidents tables, rejected records (whole, for a retry), quarantine
+    report and counters per batch."""
     from connrisk.schemas import ENVELOPE_SCHEMA
 
     ensure_utc(spark)
@@ -235,6 +236,8 @@ def start_ingest_job(spark: SparkSession, source: str, output: str, checkpoint:
                          output, "risk_incidents", batch_id)
             ingest.quarantine_report(staged["failures"]).write.mode("overwrite") \
                 .json(os.path.join(output, "quarantine", f"batch={batch_id}"))
+            staged["failures"].select("sequence_number", "position", "reasons", "record").write.mode("overwrite") \
+                .json(os.path.join(output, "rejected_records", f"batch={batch_id}"))
             ingest.ingest_counters(staged).withColumn("batch_id", F.lit(batch_id)) \
                 .write.mode("overwrite").json(os.path.join(output, "counters", f"batch={batch_id}"))
         finally:

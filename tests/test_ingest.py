@@ -130,3 +130,47 @@ def test_ingest_job_writes_tables_quarantine_and_counters(spark, scratch):
     counters = {r["target"]: (r["received"], r["inserted"], r["failed"])
                 for r in spark.read.json(os.path.join(out, "counters")).collect()}
     assert counters == {"baggage_events": (3, 2, 1), "rejected": (1, 0, 1)}
+
+
+def _payload(**over):
+    from connrisk.schemas import BAGGAGE_EVENT_FIELDS
+
+    row = {f: f"v-{f}" for f in BAGGAGE_EVENT_FIELDS if f != "metadata_json"}
+    row.update({f: "2026-10-05T06:00:00Z" for f in row if f.endswith("_time")})
+    row.update(over)
+    return json.dumps(row)
+
+
+def test_metadata_is_kept_as_it_came(spark):
+    """Strings stay unchanged, other values become compact text, JSON null is
+    missing even beside metadata; nothing turns NULL without a reason."""
+    cases = [(dict(metadata="plain"), "plain"), (dict(metadata_json='{"b": 1, "a": 1.0}'), '{"b": 1, "a": 1.0}'),
+             (dict(metadata={"b": 1, "a": "x"}), '{"a":"x","b":1}'), (dict(metadata_json=None, metadata="x"), None),
+             (dict(metadata=[1, 2]), "[1,2]"), (dict(metadata_json="own", metadata="other"), "own"), ({}, None), (dict(metadata=""), "")]
+    df = spark.createDataFrame([(i, _payload(**over)) for i, (over, _) in enumerate(cases)], "i int, payload string")
+    for r in ingest.normalize_events(df).collect():
+        want = cases[r.i][1]
+        assert r.metadata_json == want
+        assert r.reasons == ([] if want is not None else ["missing_metadata_json"])
+
+
+def test_incidents_in_table_form_and_extra_context(spark):
+    base = {"incident_id": "I", "bag_tag_id": "B", "incident_type": "BAG_CONNECTION_RISK", "detected_at": "2026-10-05T06:00:00Z",
+            "outbound_flight_id": "F", "airport_code": "A", "transfer_zone": "T", "last_scan_type": "S", "last_scan_location": "L"}
+    wire = {**base, "seconds_to_departure": 61, "last_scan_time": "x", "connection_departure_time": None,
+            "observed_context": {"z": [1], "aircraft_loaded": None, "makeup_area_reached": False}}
+    cases = [({**base, "minutes_to_departure": 5, "context_json": "{ \"kept\": 1}"}, 5, "{ \"kept\": 1}", []),
+             ({**base, "minutes_to_departure": 5, "context_json": {"b": 1, "a": 2}}, 5, '{"a":2,"b":1}', []),
+             (wire, 2, '{"connection_departure_time":null,"last_scan_time":"x","observed_context":'
+                       '{"aircraft_loaded":null,"makeup_area_reached":false,"z":[1]},"seconds_to_departure":61}', []),
+             ({**wire, "minutes_to_departure": "5"}, None, ..., ["bad_minutes_to_departure"]),
+             ({**wire, "observed_context": "no"}, 2, None, ["observed_context_not_object"]),
+             ({**wire, "context_json": None}, 2, None, ["missing_context_json"]),
+             (base, None, None, ["bad_minutes_to_departure", "observed_context_not_object"])]
+    df = spark.createDataFrame([(i, json.dumps(c[0])) for i, c in enumerate(cases)], "i int, t string")
+    parsed = df.select("i", F.from_json("t", ingest._INCIDENT_TEXT_SCHEMA).alias("r")).select("i", "r.*")
+    for r in ingest.normalize_incidents(parsed, keep=["i"]).collect():
+        _, minutes, context, reasons = cases[r.i]
+        assert (r.minutes_to_departure, r.reasons) == (minutes, reasons)
+        assert context is ... or r.context_json == context
+
