@@ -5,7 +5,8 @@ expressed as whole-table operators with optional key filters: the grouping
 key gains the look-up key, and a per-key ``LIMIT`` becomes
 ``row_number() <= N`` over that key.  Catalyst turns the latter into a
 ``WindowGroupLimit`` that already trims every map task's rows before the
-shuffle, so a hot key never ships more than N rows per task.
+shuffle, so a hot key never ships more than N rows per task.  Without a key
+there is no limit unless one is asked for.
 
 Every operator takes ``as_of`` explicitly (the reference uses ``now()``).
 Lookback forms are ``t >= as_of - N minutes`` with no upper bound; departure
@@ -30,6 +31,7 @@ from connrisk.functions import (
     unix_ms,
     upper_median,
 )
+from connrisk.operators.sweep import running_sums
 from connrisk.schemas import (
     EVIDENCE_TIMELINE_FIELDS,
     LOOKBACK_MINUTES_RANGE,
@@ -90,9 +92,25 @@ def _eq_filters(df: DataFrame, **keys) -> DataFrame:
     return df
 
 
-def _top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "position") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= n)
+def _limit(limit: int | None, keyed: bool, reference: int) -> int | None:
+    """An explicit limit, else the reference's for a look-up by key, else none:
+    a whole-table report leaves nothing out."""
+    return limit if limit is not None else reference if keyed else None
+
+
+def _positions(df: DataFrame, keys: list[str], when: str, ties: list[Column], newest_first: bool,
+               limit: int | None, name: str = "position") -> DataFrame:
+    """Rows numbered from 1 per ``keys``, the first ``limit`` of them.
+
+    With a limit every task keeps that many rows per key before the shuffle;
+    without one the numbers are running sums, which split hot keys."""
+    time = F.col(when).desc() if newest_first else F.col(when)
+    if limit is not None:
+        w = Window.partitionBy(*keys).orderBy(time, *ties)
+        return df.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= limit)
+    ms = -unix_ms(when) if newest_first else unix_ms(when)
+    numbered = running_sums(df.withColumn("_ms", ms).withColumn(name, F.lit(1).cast("long")), keys, "_ms", [time, *ties], [name])
+    return numbered.select(*df.columns, name)
 
 
 def latest_row_struct(*fields: str) -> Column:
@@ -108,9 +126,10 @@ def latest_row_struct(*fields: str) -> Column:
 
 # --- B1 / B4: timeline -------------------------------------------------------
 
-def bag_timeline(events: DataFrame, bag_tag_id: str | None = None, limit: int = 500) -> DataFrame:
-    """Per bag: stored columns + three metadata fields, first ``limit`` rows by
-    (event_time, event_id); ``position`` gives the order."""
+def bag_timeline(events: DataFrame, bag_tag_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Per bag: stored columns + three metadata fields by (event_time,
+    event_id); ``position`` gives the order.  ``limit`` defaults to 500 rows
+    for one bag and to all rows otherwise."""
     df = _eq_filters(events, bag_tag_id=bag_tag_id)
     df = df.select(
         *TIMELINE_COLUMNS,
@@ -118,7 +137,7 @@ def bag_timeline(events: DataFrame, bag_tag_id: str | None = None, limit: int =
         json_int("metadata_json", "inbound_delay_minutes").alias("inbound_delay_minutes"),
         json_string("metadata_json", "baggage_system_status").alias("baggage_system_status"),
     )
-    return _top_n(df, ["bag_tag_id"], [F.col("event_time"), F.col("event_id")], limit)
+    return _positions(df, ["bag_tag_id"], "event_time", [F.col("event_id")], False, _limit(limit, bag_tag_id is not None, 500))
 
 
 def evidence_projection(timeline: DataFrame) -> DataFrame:
@@ -137,11 +156,14 @@ INCIDENT_TABLE_COLUMNS = (
 
 
 def recent_risks(incidents: DataFrame, airport_code: str | None = None, as_of=None,
-                 lookback_minutes: int = 60, limit: int = 500) -> DataFrame:
+                 lookback_minutes: int = 60, limit: int | None = None) -> DataFrame:
+    """Incidents of the look-back per airport, newest first; ``limit`` defaults
+    to 500 for one airport and to all otherwise."""
     df = _eq_filters(incidents, airport_code=airport_code)
     df = df.where(F.col("detected_at") >= since(as_of, lookback_minutes))
     df = df.select(*INCIDENT_TABLE_COLUMNS)
-    return _top_n(df, ["airport_code"], [F.col("detected_at").desc(), F.col("incident_id").desc()], limit)
+    return _positions(df, ["airport_code"], "detected_at", [F.col("incident_id").desc()], True,
+                      _limit(limit, airport_code is not None, 500))
 
 
 # --- B3: latest investigation -----------------------------------------------
@@ -181,22 +203,25 @@ def _latest_per_bag(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def connection_peers(events: DataFrame, outbound_flight_id: str | None = None,
                      airport_code: str | None = None, as_of=None,
-                     lookback_minutes: int = 60, limit: int = 1000) -> DataFrame:
-    """Latest progression of every bag per (outbound flight, airport)."""
+                     lookback_minutes: int = 60, limit: int | None = None) -> DataFrame:
+    """Latest progression of every bag per (outbound flight, airport); ``limit``
+    defaults to 1000 for one flight and to all bags otherwise."""
     df = _eq_filters(events, outbound_flight_id=outbound_flight_id, airport_code=airport_code)
     df = df.where(F.col("event_time") >= since(as_of, lookback_minutes))
     keys = ["outbound_flight_id", "airport_code"]
     latest = _latest_per_bag(df, [*keys, "bag_tag_id"])
-    return _top_n(latest, keys, [F.col("last_event_time").desc(), F.col("bag_tag_id")], limit)
+    return _positions(latest, keys, "last_event_time", [F.col("bag_tag_id")], True,
+                      _limit(limit, outbound_flight_id is not None, 1000))
 
 
 def flight_bag_progress(events: DataFrame, outbound_flight_id: str | None = None,
-                        limit: int = 2000) -> DataFrame:
-    """Latest progression of every bag per outbound flight (no time filter)."""
+                        limit: int | None = None) -> DataFrame:
+    """Latest progression of every bag per outbound flight (no time filter);
+    ``limit`` defaults to 2000 for one flight and to all bags otherwise."""
     df = _eq_filters(events, outbound_flight_id=outbound_flight_id)
     latest = _latest_per_bag(df, ["outbound_flight_id", "bag_tag_id"])
-    return _top_n(latest, ["outbound_flight_id"],
-                  [F.col("last_event_time").desc(), F.col("bag_tag_id")], limit)
+    return _positions(latest, ["outbound_flight_id"], "last_event_time", [F.col("bag_tag_id")], True,
+                      _limit(limit, outbound_flight_id is not None, 2000))
 
 
 # --- C3: transfer zone health -------------------------------------------------

@@ -171,7 +171,6 @@ timeline AS (
            AS baggage_system_status,
          row_number() OVER (PARTITION BY bag_tag_id ORDER BY event_time, event_id) AS position
   FROM bag_events
-  QUALIFY position <= 500
 )"""
 
 ORACLE["latest_scan"] = with_ctes(BAG_EVENTS, DETECTOR) + """
@@ -192,6 +191,8 @@ FROM (SELECT bag_tag_id, max({{'t': event_time, 'id': event_id,
 
 ORACLE["bag_timeline"] = with_ctes(BAG_EVENTS, TIMELINE) + "SELECT * FROM timeline"
 
+ORACLE["bag_timeline_top"] = with_ctes(BAG_EVENTS, TIMELINE) + "SELECT * FROM timeline WHERE position <= 3"
+
 ORACLE["evidence_projection"] = with_ctes(BAG_EVENTS, TIMELINE) + """
 SELECT event_id, bag_tag_id, outbound_flight_id, airport_code, event_type, event_time,
        scan_location, transfer_zone, current_gate, connection_departure_time,
@@ -200,13 +201,14 @@ SELECT event_id, bag_tag_id, outbound_flight_id, airport_code, event_type, event
        baggage_system_status, position
 FROM timeline"""
 
-ORACLE["recent_risks"] = with_ctes(BAG_EVENTS, DETECTOR, INCIDENT_ROWS) + f"""
+_RECENT = f"""
 SELECT *, row_number() OVER (PARTITION BY airport_code
                              ORDER BY detected_at DESC, incident_id DESC) AS position
-FROM incident_rows WHERE detected_at >= {SINCE}
-QUALIFY position <= 500"""
+FROM incident_rows WHERE detected_at >= {SINCE}"""
+ORACLE["recent_risks"] = with_ctes(BAG_EVENTS, DETECTOR, INCIDENT_ROWS) + _RECENT
+ORACLE["recent_risks_top"] = ORACLE["recent_risks"] + " QUALIFY position <= 2"
 
-def _progress(keys: str, part: str, where: str, limit: int) -> str:
+def _progress(keys: str, part: str, where: str, limit: int | None = None) -> str:
     latest = _latest("'event_type': event_type, 'scan_location': scan_location, "
                      "'transfer_zone': transfer_zone, 'bag_status': bag_status")
     return f"""
@@ -214,15 +216,18 @@ SELECT {keys}, r.event_type AS last_event_type, r.t AS last_event_time,
        r.scan_location AS last_scan_location, r.transfer_zone, r.bag_status,
        row_number() OVER (PARTITION BY {part} ORDER BY r.t DESC, bag_tag_id) AS position
 FROM (SELECT {keys}, {latest} AS r FROM bag_events {where} GROUP BY {keys})
-QUALIFY position <= {limit}"""
+{f"QUALIFY position <= {limit}" if limit else ""}"""
 
 
 ORACLE["connection_peers"] = with_ctes(BAG_EVENTS) + _progress(
     "outbound_flight_id, airport_code, bag_tag_id", "outbound_flight_id, airport_code",
-    f"WHERE event_time >= {SINCE}", 1000)
+    f"WHERE event_time >= {SINCE}")
 
 ORACLE["flight_bag_progress"] = with_ctes(BAG_EVENTS) + _progress(
-    "outbound_flight_id, bag_tag_id", "outbound_flight_id", "", 2000)
+    "outbound_flight_id, bag_tag_id", "outbound_flight_id", "")
+ORACLE["flight_bag_progress_top"] = with_ctes(BAG_EVENTS) + _progress(
+    "outbound_flight_id, bag_tag_id", "outbound_flight_id", "", 5)
+ORACLE["connection_peers_top"] = ORACLE["connection_peers"] + " QUALIFY position <= 2"
 
 ORACLE["transfer_zone_health"] = with_ctes(BAG_EVENTS) + f"""
 SELECT airport_code, transfer_zone, event_type, count(*) AS event_count,

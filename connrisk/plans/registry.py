@@ -124,6 +124,12 @@ def q_bag_timeline(spark, sf_dir):
     return cat.bag_timeline(bag_events(spark, sf_dir))
 
 
+@register("bag_timeline_top")
+def q_bag_timeline_top(spark, sf_dir):
+    """The first three rows of every bag's timeline."""
+    return cat.bag_timeline(bag_events(spark, sf_dir), limit=3)
+
+
 @register("evidence_projection")
 def q_evidence_projection(spark, sf_dir):
     return cat.evidence_projection(cat.bag_timeline(bag_events(spark, sf_dir)))
@@ -146,6 +152,24 @@ def q_flight_bag_progress(spark, sf_dir):
     return cat.flight_bag_progress(bag_events(spark, sf_dir))
 
 
+@register("recent_risks_top")
+def q_recent_risks_top(spark, sf_dir):
+    """The two newest incidents of every airport."""
+    return cat.recent_risks(incidents_table(spark, sf_dir), as_of=O.AS_OF, lookback_minutes=O.LOOKBACK_MIN, limit=2)
+
+
+@register("connection_peers_top")
+def q_connection_peers_top(spark, sf_dir):
+    """The two bags last seen of every flight and airport."""
+    return cat.connection_peers(bag_events(spark, sf_dir), as_of=O.AS_OF, lookback_minutes=O.LOOKBACK_MIN, limit=2)
+
+
+@register("flight_bag_progress_top")
+def q_flight_bag_progress_top(spark, sf_dir):
+    """The five bags last seen of every flight."""
+    return cat.flight_bag_progress(bag_events(spark, sf_dir), limit=5)
+
+
 @register("transfer_zone_health")
 def q_transfer_zone_health(spark, sf_dir):
     return cat.transfer_zone_health(bag_events(spark, sf_dir), as_of=O.AS_OF,

@@ -10,7 +10,7 @@ def _plan(df) -> str:
 
 
 def test_per_key_limits_are_trimmed_before_the_shuffle(spark):
-    for name in ("bag_timeline", "recent_risks", "connection_peers"):
+    for name in ("bag_timeline_top", "recent_risks_top", "connection_peers_top", "flight_bag_progress_top"):
         assert "WindowGroupLimit" in _plan(entry.queries()[name](spark, SF)), name
 
 
