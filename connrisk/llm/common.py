@@ -16,6 +16,7 @@ where a key stands for a value that is not compared again.
 from __future__ import annotations
 
 import gc
+import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ from connrisk.session import checkpoint_dir, ensure_utc, ship_package
 BATCH_ROWS = 2_000
 BATCH_BYTES = 8 << 20
 
+_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -49,20 +51,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def collect_garbage(spark: SparkSession, rounds: int = 2) -> None:
+    """The first round lets go of Python's handles, the next find what only
+    they and cleared references held."""
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.15)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written by ``checkpoint()`` to the shared folder and read back.
 
     Collecting garbage first lets Spark's cleaner drop the shuffle files and
-    checkpoints of earlier steps that nothing refers to any more.
+    checkpoints of earlier steps that nothing refers to any more.  A checkpoint
+    hands on the constraints that the optimizer inferred, and in loops these
+    multiply with every renamed column, so they are not inferred here.
     """
-    checkpoint_dir(df.sparkSession)
-    collect_garbage(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    collect_garbage(spark)
+    before = spark.conf.get(_CONSTRAINTS)
+    spark.conf.set(_CONSTRAINTS, "false")
+    try:
+        # A new plan, made without them.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CONSTRAINTS, before)
 
 
 def spread_scan(df: DataFrame) -> DataFrame:

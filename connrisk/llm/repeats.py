@@ -19,7 +19,7 @@ Method, after prefix-free parsing:
   and only their windows are sorted against each other.
 
 Only equality of ``WINDOW`` bytes matters here, so suffixes are ordered by
-trigger hash and window hash (96 bits) and not by their letters; the same
+window hash (88 bits) and not by their letters; the same
 windows become neighbours as in the suffix array, and the order can be made
 in independent key ranges.  A lexicographic suffix array of text that mostly
 doesn't repeat would need many times the text in shuffles.
@@ -55,9 +55,11 @@ from connrisk.llm.common import collect_garbage, null_mask, spread_scan, start,
 U64 = np.uint64
 WINDOW = 50
 TRIGGER = 20
-BATCH_BYTES = 16 << 20
-_PIECE = 2 << 20
-_48 = U64((1 << 48) - 1)
+BATCH_BYTES = 8 << 20
+_PIECE = 1 << 20
+#: Buckets that a task settles one after the other, so it holds a part of its partition at once.
+ROUNDS = 2
+_40 = U64((1 << 40) - 1)
 
 
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -119,12 +121,22 @@ def _pairs_of(doc: np.ndarray, key: np.ndarray, code: np.ndarray) -> tuple[np.nd
     return doc[at], key[at], lists
 
 
+#: One batch's rows of a bucket: documents (rising doc_ids as differences, the row's key, its rows here) and, for
+#: each row, 48 bits of the high and 40 of the low hash and its place in the document in two halves.
 _PACKED = "bucket int, settled boolean, doc binary, row binary, count binary, high binary, low binary, place binary"
 _PACKED_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
 _PACKED_KINDS = [pa.int32(), pa.bool_(), *[pa.binary()] * 6]
 _CODES = "doc_id long, row_key long, codes array<long>"
 
 
+def _runs(doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each document's rows begin, and how many it has."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(doc)))
+
+
 class _Packer:
     """Collects keys of one batch and gives them out by bucket."""
 
@@ -140,7 +152,7 @@ class _Packer:
             return
         high, low, doc, row, place = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        high, low = high >> U64(16), low & _48
+        high, low = high >> U64(16), low & _40
         bucket = ((high >> U64(16)) * U64(self.buckets)) >> U64(32)
         order = np.lexsort((doc, low, high))
         high, low, doc, row, place, bucket = (x[order] for x in (high, low, doc, row, place, bucket))
@@ -152,12 +164,13 @@ class _Packer:
         if later.any():
             # Known here and now: they pass through a bucket of their documents.
             target = (K.mix(doc[later].astype(U64)) % U64(self.buckets)).astype(np.int64)
-            order = np.argsort(target, kind="stable")
+            order = np.lexsort((row[later], doc[later], target))
             cuts = np.searchsorted(target[order], np.arange(self.buckets + 1))
             d, r, p = doc[later][order], row[later][order], place[later][order]
             for b in np.flatnonzero(np.diff(cuts)):
                 s = slice(cuts[b], cuts[b + 1])
-                out.append((int(b), True, d[s].tobytes(), r[s].tobytes(), b"", b"", b"", p[s].astype("<u4").tobytes()))
+                at, count = _runs(d[s], r[s])
+                out.append((int(b), True, _steps(d[s][at]), r[s][at].astype("<i4").tobytes(), _halves(count), b"", b"", _halves(p[s])))
         keep = ~later
         high, low, doc, row, place, bucket = (x[keep] for x in (high, low, doc, row, place, bucket))
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=U64))
@@ -165,43 +178,69 @@ class _Packer:
             s = slice(cuts[b], cuts[b + 1])
             order = np.lexsort((place[s], row[s], doc[s]))
             d, r = doc[s][order], row[s][order]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1])
-            at = np.flatnonzero(new)
-            six = lambda x: np.ascontiguousarray(x[s][order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-            out.append((int(b), False, d[at].tobytes(), r[at].tobytes(), np.diff(np.append(at, len(d))).astype("<u4").tobytes(),
-                        six(high), six(low), place[s][order].astype("<u4").tobytes()))
+            at, count = _runs(d, r)
+            out.append((int(b), False, _steps(d[at]), r[at].astype("<i4").tobytes(), _halves(count),
+                        _cut(high[s][order], 6), _cut(low[s][order], 5), _halves(place[s][order])))
         for a in range(0, len(out), 16):
             columns = zip(*out[a : a + 16], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _PACKED_KINDS, strict=True)], _PACKED_NAMES)
 
 
-def _unpack(six: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(six), np.uint8).reshape(-1, 6)
+def _cut(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _uncut(parts: list[bytes], width: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
     out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
+    out[:, :width] = raw
     return out.view("<u8").ravel()
 
 
+def _halves(values: np.ndarray) -> bytes:
+    """32-bit numbers as low halves, then high halves (mostly zeros, which compress)."""
+    values = values.astype("<u4")
+    return (values & 0xFFFF).astype("<u2").tobytes() + (values >> 16).astype("<u2").tobytes()
+
+
+def _unhalves(part: bytes) -> np.ndarray:
+    both = np.frombuffer(part, "<u2").reshape(2, -1).astype(np.int64)
+    return both[0] | both[1] << 16
+
+
+def _steps(rising: np.ndarray) -> bytes:
+    return np.diff(rising, prepend=0).astype("<i8").tobytes()
+
+
+def _unsteps(part: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(part, "<i8"))
+
+
 def _settle(rows: list[dict], with_open: bool) -> Iterator[pa.RecordBatch]:
     """One bucket: codes ``2 * place`` of repeated keys, ``2 * place + 1`` of open ones."""
-    out = [(np.frombuffer(r["doc"], "<i8"), np.frombuffer(r["row"], "<i8"), 2 * np.frombuffer(r["place"], "<u4").astype(np.int64))
-           for r in rows if r["settled"]]
+    def unpacked(some: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        count = np.concatenate([_unhalves(r["count"]) for r in some])
+        doc = np.repeat(np.concatenate([_unsteps(r["doc"]) for r in some]), count)
+        row = np.repeat(np.frombuffer(b"".join(r["row"] for r in some), "<i4").astype(np.int64), count)
+        return doc, row, np.concatenate([_unhalves(r["place"]) for r in some])
+
+    out, known = [], [r for r in rows if r["settled"]]
+    if known:
+        doc, row, place = unpacked(known)
+        out.append((doc, row, 2 * place))
     rows = [r for r in rows if not r["settled"]]
     if rows:
-        count = np.frombuffer(b"".join(r["count"] for r in rows), "<u4")
-        doc = np.repeat(np.frombuffer(b"".join(r["doc"] for r in rows), "<i8"), count)
-        row = np.repeat(np.frombuffer(b"".join(r["row"] for r in rows), "<i8"), count)
-        place = np.frombuffer(b"".join(r["place"] for r in rows), "<u4").astype(np.int64)
-        high, low = _unpack([r["high"] for r in rows]), _unpack([r["low"] for r in rows])
+        doc, row, place = unpacked(rows)
+        high, low = _uncut([r["high"] for r in rows], 6), _uncut([r["low"] for r in rows], 5)
         order = np.lexsort((doc, low, high))
         high, low, doc, row, place = (x[order] for x in (high, low, doc, row, place))
         top = np.ones(len(high), bool)
         top[1:] = high[1:] != high[:-1]
         new = top.copy()
         new[1:] |= low[1:] != low[:-1]
-        index = np.arange(len(doc))
-        least = doc[np.maximum.accumulate(np.where(new, index, 0))]
+        del order, high, low
+        least = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
         repeated = doc > least
         answer = repeated
         if with_open:
@@ -232,7 +271,8 @@ def _settled(packed: DataFrame, buckets: int, with_open: bool) -> DataFrame:
         if rows:
             yield from _settle(rows, with_open)
 
-    dealt = packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    parts = max(1, buckets // ROUNDS)
+    dealt = packed.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, _CODES).groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("codes")).alias("codes"))
 
 
@@ -301,8 +341,13 @@ def _check_bits(buffer: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return K.mix(out)
 
 
+def _row_key() -> F.Column:
+    """32 bits that tell apart rows that share a doc_id."""
+    return F.hash("text").cast("long")
+
+
 def _with_codes(docs: DataFrame, *codes: DataFrame) -> DataFrame:
-    out = docs.withColumn("__row", F.xxhash64("text"))
+    out = docs.withColumn("__row", _row_key())
     for i, c in enumerate(codes):
         other = c.select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k"), F.col("codes").alias(f"__c{i}"))
         out = out.join(other, (F.col("doc_id") == F.col("__d")) & (F.col("__row") == F.col("__k")), "left").drop("__d", "__k")
@@ -312,15 +357,16 @@ def _with_codes(docs: DataFrame, *codes: DataFrame) -> DataFrame:
 def repeat_codes(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """What is repeated: per document the phrases (and open phrases), and the windows of open phrases."""
     spark = start(docs.sparkSession)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = ROUNDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = spread_scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where(
         F.col("doc_id").isNotNull() & (F.octet_length("text") >= window))
-    keyed = rows.select("doc_id", F.xxhash64("text"), "text")
+    keyed = rows.select("doc_id", _row_key(), "text")
     phrases = stored(_settled(_phrase_keys(keyed, buckets, window), buckets, with_open=True))
+    collect_garbage(spark, rounds=5)  # the phrases' shuffle goes before that of the windows comes
     opened = phrases.where(F.exists("codes", lambda c: c % 2 == 1))
     joined = _with_codes(rows, opened).where("__c0 is not null").select("doc_id", "__row", "text", "__c0")
     windows = stored(_settled(_window_keys(joined, buckets, window), buckets, with_open=False))
-    collect_garbage(spark)
+    collect_garbage(spark, rounds=5)
     return phrases, windows
 
 
