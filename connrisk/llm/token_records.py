@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from connrisk.llm import textkernels as K
 from connrisk.llm.bpe import Pretokens
-from connrisk.llm.common import spread_scan, start, stored, texts
+from connrisk.llm.common import start, stored, texts
 from connrisk.session import checkpoint_dir
 
 #: Fixed values of the record format.
