@@ -24,11 +24,12 @@ sets of sizes a <= b have a >= percent/100 * b and differ in at most
 4. Pairs with a pivot are compared, first by the Hamming distance of their bit
    sketches, then exactly; components of these links are labelled.
 5. Only where a key holds sets of different components that were not compared
-   yet, all of them are compared that way: bit sketches in blocks inside a
-   task, each set outside the key's largest component against the others;
-   pairs that pass are compared exactly.  Keys with many sets are dealt to
-   pairs of blocks, so a task holds two blocks at most.  No pair inside a
-   component is ever emitted.
+   yet, bit sketches are compared in blocks inside a task, each set outside
+   the key's largest component against the others.  Partners that pass are
+   compared exactly, the nearest first; links bring components together, and
+   only what is still apart goes on to further partners, until none are left.
+   Keys with many sets are dealt to pairs of blocks, so a task holds two
+   blocks at most.  No pair inside a component is ever emitted.
 
 Defined cases
 -------------
@@ -46,13 +47,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from connrisk.llm import textkernels as K
-from connrisk.llm.common import components, spread_scan, start, stored, texts
+from connrisk.llm.common import collect_garbage, components, spread_scan, start, stored, texts
 
 U64 = np.uint64
 SEEDS = 6
@@ -244,29 +244,79 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _cross(percent: int):
-    """Pairs of a key's sets in different components that their sketches allow."""
+_PLACE = ["key", "i", "j"]
+_FRAME = ["sid", "n", "label", "now", "side", "split", "sketch"]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("sid")
-        raw = [np.frombuffer(s, "<u8") for s in frame["sketch"]]
+
+def _cross(percent: int, low: int, high: int):
+    """Of a key's sets in different components, the pairs that their sketches
+    allow.  Each set outside the largest component has a list of such partners,
+    nearest first; this gives out places ``low`` to ``high`` of the lists, less
+    the pairs that links found since have brought together, and a row without
+    pair if a list goes on."""
+
+    def compare(sid, n, label, now, side, split, sketch) -> tuple[list, list, bool]:
+        _, kept = np.unique(sid, return_index=True)
+        sid, n, label, now, side, sketch = (x[kept] for x in (sid, n, label, now, side, sketch))
+        raw = [np.frombuffer(s, "<u8") for s in sketch]
         width = min(map(len, raw))
-        sketch = np.array([fold(s, width) for s in raw])
-        sid, n, label, side = (frame[c].to_numpy() for c in ("sid", "n", "label", "side"))
+        bits = np.array([fold(s, width) for s in raw])
         _, label, size = np.unique(label, return_inverse=True, return_counts=True)
         stray = label != np.argmax(size)
-        a, b = [], []
+        more, a, b = False, [], []
         for i in np.flatnonzero(stray):
             other = (label != label[i]) & (~stray | (sid > sid[i]))
-            if frame["split"].iat[0]:
+            if split[0]:
                 other &= side != side[i]  # pairs inside a block meet in the block's own group
+            if not (other & (now != now[i])).any():
+                continue
             j = np.flatnonzero(other)
-            apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
             small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
-            j = j[(apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)) & (large * percent <= small * 100)]
-            a += [int(sid[i])] * len(j)
-            b += sid[j].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+            fits = (apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)) & (large * percent <= small * 100)
+            j = j[fits][np.lexsort((sid[j[fits]], apart[fits]))]
+            own = j[low:high]
+            own = own[now[own] != now[i]]
+            a += [int(sid[i])] * len(own)
+            b += sid[own].tolist()
+            more |= bool((now[j[high:]] != now[i]).any())
+        return a, b, more
+
+    def settle(columns: list[np.ndarray]) -> pa.RecordBatch | None:
+        """Whole groups, sorted by place."""
+        key, i, j = columns[:3]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        starts = np.append(np.flatnonzero(new), len(key))
+        out: list[tuple] = []
+        for first, last in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            a, b, more = compare(*(c[first:last] for c in columns[3:]))
+            place = (int(key[first]), int(i[first]), int(j[first]))
+            out += [(x, y, *place) for x, y in zip(a, b, strict=True)]
+            if more:
+                out.append((None, None, *place))
+        cells = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["a", "b", *_PLACE])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the last group, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
+                       for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
+            same = np.ones(len(columns[0]), bool)
+            for c in columns[:3]:
+                same &= c == c[-1]
+            cut = int(np.argmax(same))  # where the last group begins
+            if cut:
+                yield settle([c[:cut] for c in columns])
+            held = [c[cut:] for c in columns]
+        if held is not None:
+            yield settle(held)
 
     return run
 
@@ -314,14 +364,27 @@ def link_sets(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFr
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     grouped = dealt.select("*", other.alias("with")).select(
         "key", "sid", "label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"),
-        F.col("block").alias("side"), (F.col("block") != F.col("with")).alias("apart_block"))
+        F.col("block").alias("side"))
     # A block meets itself once (i = j) and each other block once (i < j).
-    frame = grouped.join(sketches, "sid").select(
-        "key", "i", "j", "sid", "n", "label", "side", (F.col("i") != F.col("j")).alias("split"), "sketch")
-    found = frame.groupBy("key", "i", "j").applyInPandas(
-        lambda f: _cross(percent)(f), "a long, b long").distinct()
-    more = _verify(found, sets.select("sid", "shingles"), percent)
-    return stored(links.unionByName(more))
+    frame = stored(grouped.join(sketches, "sid").select(
+        *_PLACE, "sid", "n", "label", "side", (F.col("i") != F.col("j")).alias("split"), "sketch"))
+    now, low, high = labelled.select("sid", F.col("label").alias("now")).distinct(), 0, 1
+    while True:
+        # Few bytes and much work in each group: dealt to all tasks, whatever the size.
+        dealt = frame.join(now, "sid").repartition(parts, *_PLACE).sortWithinPartitions(*_PLACE).select(*_PLACE, *_FRAME)
+        out = stored(dealt.mapInArrow(_cross(percent, low, high), "a long, b long, key long, i int, j int"))
+        more = stored(_verify(out.where("a is not null").select("a", "b").distinct(), sets.select("sid", "shingles"), percent))
+        links = links.unionByName(more)
+        rest = out.where("a is null").select(*_PLACE)
+        if not rest.limit(1).count():
+            return stored(links)
+        frame = stored(frame.join(rest, _PLACE, "left_semi"))
+        ends = lambda c: now.select(F.col("sid").alias(c), F.col("now").alias("n" + c))
+        bound = more.join(ends("a"), "a").join(ends("b"), "b").select("na", "nb")
+        nodes = bound.select(F.col("na").alias("now")).unionByName(bound.select(F.col("nb").alias("now"))).distinct()
+        renamed = components(nodes, bound, node="now", src="na", dst="nb", out="new")
+        now = stored(now.join(renamed, "now", "left").select("sid", F.coalesce("new", "now").alias("now")))
+        low, high = high, 3 * high
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -333,6 +396,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     labels = components(nodes, links, node="sid", src="a", dst="b", out="label")
     known = table.join(labels, "sid", "left").select("doc_id", "n", F.coalesce("label", "sid").alias("label"))
     smallest = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    collect_garbage(docs.sparkSession)
     # A component with a third of all rows is a hot key on the left, which AQE splits; it is one row on the right.
     return known.join(smallest, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
