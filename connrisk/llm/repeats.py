@@ -126,6 +126,9 @@ def _pairs_of(doc: np.ndarray, key: np.ndarray, code: np.ndarray) -> tuple[np.nd
 _PACKED = "bucket int, settled boolean, doc binary, row binary, count binary, high binary, low binary, place binary"
 _PACKED_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
 _PACKED_KINDS = [pa.int32(), pa.bool_(), *[pa.binary()] * 6]
+#: Answers of one bucket for the documents of one target task; a code is twice the place, plus 1 where it is open.
+_ANSWERS = "target int, doc binary, row binary, count binary, codes binary"
+_ANSWER_KINDS = [pa.int32(), *[pa.binary()] * 4]
 _CODES = "doc_id long, row_key long, codes array<long>"
 
 
@@ -217,21 +220,22 @@ def _unsteps(part: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(part, "<i8"))
 
 
-def _settle(rows: list[dict], with_open: bool) -> Iterator[pa.RecordBatch]:
-    """One bucket: codes ``2 * place`` of repeated keys, ``2 * place + 1`` of open ones."""
-    def unpacked(some: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        count = np.concatenate([_unhalves(r["count"]) for r in some])
-        doc = np.repeat(np.concatenate([_unsteps(r["doc"]) for r in some]), count)
-        row = np.repeat(np.frombuffer(b"".join(r["row"] for r in some), "<i4").astype(np.int64), count)
-        return doc, row, np.concatenate([_unhalves(r["place"]) for r in some])
+def _documents(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The document and row key of every row of some packed parts."""
+    count = np.concatenate([_unhalves(r["count"]) for r in rows])
+    doc = np.repeat(np.concatenate([_unsteps(r["doc"]) for r in rows]), count)
+    return doc, np.repeat(np.frombuffer(b"".join(r["row"] for r in rows), "<i4").astype(np.int64), count)
 
+
+def _settle(rows: list[dict], with_open: bool, targets: int) -> Iterator[pa.RecordBatch]:
+    """One bucket: codes ``2 * place`` of repeated keys, ``2 * place + 1`` of open ones, packed by target."""
+    places = lambda some: np.concatenate([_unhalves(r["place"]) for r in some])
     out, known = [], [r for r in rows if r["settled"]]
     if known:
-        doc, row, place = unpacked(known)
-        out.append((doc, row, 2 * place))
+        out.append((*_documents(known), 2 * places(known)))
     rows = [r for r in rows if not r["settled"]]
     if rows:
-        doc, row, place = unpacked(rows)
+        (doc, row), place = _documents(rows), places(rows)
         high, low = _uncut([r["high"] for r in rows], 6), _uncut([r["low"] for r in rows], 5)
         order = np.lexsort((doc, low, high))
         high, low, doc, row, place = (x[order] for x in (high, low, doc, row, place))
@@ -248,9 +252,28 @@ def _settle(rows: list[dict], with_open: bool) -> Iterator[pa.RecordBatch]:
             differ = np.minimum.reduceat(least, groups) != np.maximum.reduceat(least, groups)
             answer = repeated | np.repeat(differ, np.diff(np.append(groups, len(doc))))
         out.append((doc[answer], row[answer], (2 * place + ~repeated)[answer]))
-    if out:
-        doc, row, code = (np.concatenate(x) for x in zip(*out, strict=True))
-        doc, row, codes = _pairs_of(doc, row, code)
+    if not sum(len(x[0]) for x in out):
+        return
+    doc, row, code = (np.concatenate(x) for x in zip(*out, strict=True))
+    target = (K.mix(doc.astype(U64), 0xD0C) % U64(targets)).astype(np.int64)
+    order = np.lexsort((row, doc, target))
+    doc, row, code, target = doc[order], row[order], code[order], target[order]
+    cuts = np.searchsorted(target, np.arange(targets + 1))
+    answers = []
+    for t in np.flatnonzero(np.diff(cuts)):
+        own = slice(cuts[t], cuts[t + 1])
+        at, count = _runs(doc[own], row[own])
+        answers.append((int(t), _steps(doc[own][at]), row[own][at].astype("<i4").tobytes(), _halves(count), _cut(code[own], 5)))
+    columns = zip(*answers, strict=True)
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _ANSWER_KINDS, strict=True)],
+                                     [c.split()[0] for c in _ANSWERS.split(", ")])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All answers for the documents of one target, one row for each document."""
+    rows = [row for batch in batches for row in batch.to_pylist()]
+    if rows:
+        doc, row, codes = _pairs_of(*_documents(rows), _uncut([r["codes"] for r in rows], 5).astype(np.int64))
         for a in range(0, len(doc), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + 4096]), pa.array(row[a : a + 4096]), codes[a : a + 4096]],
                                              ["doc_id", "row_key", "codes"])
@@ -258,22 +281,22 @@ def _settle(rows: list[dict], with_open: bool) -> Iterator[pa.RecordBatch]:
 
 def _settled(packed: DataFrame, buckets: int, with_open: bool) -> DataFrame:
     """``(doc_id, row_key, codes)`` per document from all buckets."""
+    parts = max(1, buckets // ROUNDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows = None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] != bucket and rows:
-                    yield from _settle(rows, with_open)
+                    yield from _settle(rows, with_open, parts)
                     rows = []
                 bucket = row["bucket"]
                 rows.append(row)
         if rows:
-            yield from _settle(rows, with_open)
+            yield from _settle(rows, with_open, parts)
 
-    parts = max(1, buckets // ROUNDS)
     dealt = packed.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, _CODES).groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("codes")).alias("codes"))
+    return dealt.mapInArrow(run, _ANSWERS).repartitionById(parts, F.col("target")).mapInArrow(_gather, _CODES)
 
 
 def _pieces(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[bytes]]]:
