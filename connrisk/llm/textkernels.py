@@ -242,7 +242,7 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     starts, ends, first = words(buffer, offsets)
     word = span_hashes(prefix_hash(buffer), starts, ends)
     rolled = np.zeros(len(word), U64)
-    for j in range(k):
+    for j in range(min(k, len(word))):
         rolled[: len(word) - j] += mix(word[j:], j + 1) if j else word
     rolled = mix(rolled, k)
     out = []

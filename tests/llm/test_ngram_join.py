@@ -114,6 +114,18 @@ def test_shingles_of_short_texts():
     assert len(a) == 1 and a.tolist() == b.tolist() != c.tolist() and len(d) == 0
 
 
+@pytest.mark.parametrize("n", range(1, 6))
+def test_few_words_alone_in_a_piece(llm, n):
+    """A piece that holds fewer words than a shingle, as the only row and before a text over 1 MB."""
+    few = " ".join("abcde"[:n])
+    assert [len(s) for s in K.shingles([few.encode()], 5)] == [1]
+    rows = [(1, few)]
+    if n == 2:
+        rows += [(2, "long " * 220_000 + "end"), (3, few.upper())]
+    one = llm.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert found(one, 5, 80) == brute(rows, 5, 80)
+
+
 def test_empty_and_null_tables(no_docs, null_docs):
     assert N.join(no_docs).count() == 0
     assert {(r.doc_id, r.component_id) for r in N.join(null_docs).collect()} == {(None, None)}
