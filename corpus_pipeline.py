@@ -5,7 +5,8 @@ writes it as Parquet in the shared checkpoint folder and reads it again as the
 next stage's ``docs``.  All stages but the last return the columns of
 ``documents``.
 
-1. ``language_id``: documents whose language cannot be told go;
+1. ``language_id``: documents without letters go, and long ones whose predicted
+   language scores too low; without labels all documents with letters stay;
 2. ``line_dedup``: a repeated line stays in its first document only;
 3. ``near_duplicates``: of each group linked by 5-word shingles with a
    similarity of 0.8 or more, the smallest doc_id stays;

@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from connrisk.llm import language_id as L
@@ -53,3 +54,19 @@ def test_nothing_to_learn_from(llm, no_docs, null_docs):
     assert L.predict(no_docs, model).count() == 0
     one = llm.createDataFrame([(1, "only one language", "en"), (2, "only one language", "en")], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in L.predict(one, L.train(one)).collect()} == {"en"}
+
+
+def test_rejection_follows_from_the_score(llm, monkeypatch):
+    docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = L.train(docs)
+    assert L.keep_identified(docs, model).count() == docs.where("text rlike '[A-Za-z]'").count()
+    whole = [b"some text of a kind " * 20, b"short text", b"some text of a kind " * 20, b"12 " * 100]
+    monkeypatch.setattr(L.Model, "predict", lambda self, t: (["en", "en", "en", "und"], np.array([0.39, 0.1, 0.41, 0.0])))
+    assert model.identified(whole) == [False, True, True, False]
+
+
+def test_nothing_learnt_keeps_texts_with_letters(llm, null_docs):
+    rows = [(1, "a clean text", None), (2, "another one", None), (3, "12 34", None), (4, None, None)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in L.keep_identified(docs, L.train(docs)).collect()} == {1, 2}
+    assert L.keep_identified(null_docs, L.train(null_docs)).count() == 2
