@@ -49,6 +49,22 @@ def test_edges_of_passages_and_small_batches(llm, prose, monkeypatch):
     assert sorted(tuple(r) for r in repeats.repeat_report(df).collect()) == sorted(x[:5] for x in brute(rows, 50))
 
 
+def test_phrases_of_one_trigger_are_told_apart_by_64_bits():
+    """Two phrases that differ above bit 40 only are no repeat of each other, in a batch and in a bucket."""
+    high, low = np.full(2, 7 << 50, np.uint64), np.array([5, 5 + (1 << 41)], np.uint64)
+    together, apart, zero = repeats._Packer(1), [], np.zeros(1, np.int64)
+    together.add(high, low, np.array([1, 2]), np.zeros(2, np.int64), np.zeros(2, np.int64), 1)
+    rows = [r for b in together.flush() for r in b.to_pylist()]
+    for i in range(2):
+        own = repeats._Packer(1)
+        own.add(high[:1], low[i : i + 1], np.array([1 + i]), zero, zero, 1)
+        apart += [r for b in own.flush() for r in b.to_pylist()]
+    for some in (rows, apart):
+        assert not any(r["settled"] for r in some)
+        codes = [c for b in repeats._settle(some, True, 1) for r in b.to_pylist() for c in repeats._uncut([r["codes"]], 5).tolist()]
+        assert codes == [1, 1]  # open, not repeated
+
+
 def test_texts_are_cut(docs, documents):
     done = repeats.remove_repeats(docs)
     assert done.schema == docs.schema
