@@ -33,6 +33,15 @@ Spark shuffles packed arrays: a task sorts the phrases of about
 others of its own at once, and deals the rest to buckets by hash.  So a
 passage in a third of all documents sends one row for each batch.
 
+A short line in a third of all documents makes a trigger with a phrase for each
+of them.  A first pass over the texts sums, for each trigger, the distinct
+phrases of the batches that hold ``OFTEN`` of them or more.  Triggers with more
+than ``HOT_ROWS`` in all are hot: their phrases are dealt by the whole phrase,
+over all buckets, and all of them that are not repeated count as open, which is
+never wrong and spares a look across buckets.  Other triggers have at most
+``HOT_ROWS`` rows and ``OFTEN - 1`` for each batch.  The number of buckets and
+of groups of answers grows with the input, and a task holds one of them at once.
+
 Defined cases
 -------------
 * null or empty text and texts below the window: nothing removed;
@@ -50,6 +59,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +73,13 @@ BATCH_BYTES = 8 << 20
 _PIECE = 1 << 20
 #: Buckets that a task settles one after the other, so it holds a part of its partition at once.
 ROUNDS = 2
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 8 << 20
+#: Distinct phrases of one trigger in a batch from which they are counted, and the sum from which a trigger is hot; the
+#: sum rises with the input, so that there are no more than ``MAX_HOT`` hot triggers.
+OFTEN = 16
+HOT_ROWS = 1 << 17
+MAX_HOT = 100_000
 
 
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -146,8 +163,8 @@ def _runs(doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Packer:
     """Collects keys of one batch and gives them out by bucket."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.size = buckets, [], 0
+    def __init__(self, buckets: int, hot: np.ndarray):
+        self.buckets, self.hot, self.parts, self.size = buckets, hot, [], 0
 
     def add(self, high: np.ndarray, low: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray, size: int) -> None:
         self.parts.append((high, low, doc, row, place))
@@ -159,7 +176,8 @@ class _Packer:
         high, low, doc, row, place = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
         high = high >> U64(24)
-        bucket = ((high >> U64(8)) * U64(self.buckets)) >> U64(32)
+        spread = np.where(_among(high, self.hot), K.mix(low, 0x407) >> U64(32), high >> U64(8))
+        bucket = (spread * U64(self.buckets)) >> U64(32)
         order = np.lexsort((doc, low, high))
         high, low, doc, row, place, bucket = (x[order] for x in (high, low, doc, row, place, bucket))
         new = np.ones(len(high), bool)
@@ -178,6 +196,7 @@ class _Packer:
                 at, count = _runs(d[s], r[s])
                 out.append((int(b), True, _steps(d[s][at]), r[s][at].astype("<i4").tobytes(), _halves(count), b"", b"", _halves(p[s])))
         keep = ~later
+        keep = np.flatnonzero(keep)[np.argsort(bucket[keep], kind="stable")]
         high, low, doc, row, place, bucket = (x[keep] for x in (high, low, doc, row, place, bucket))
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=U64))
         for b in np.flatnonzero(np.diff(cuts)):
@@ -192,6 +211,13 @@ class _Packer:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _PACKED_KINDS, strict=True)], _PACKED_NAMES)
 
 
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of the values are among the sorted ``some``."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
 def _cut(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of each number."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
@@ -230,7 +256,7 @@ def _documents(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return doc, np.repeat(np.frombuffer(b"".join(r["row"] for r in rows), "<i4").astype(np.int64), count)
 
 
-def _settle(rows: list[dict], with_open: bool, targets: int) -> Iterator[pa.RecordBatch]:
+def _settle(rows: list[dict], with_open: bool, targets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One bucket: codes ``2 * place`` of repeated keys, ``2 * place + 1`` of open ones, packed by target."""
     places = lambda some: np.concatenate([_unhalves(r["place"]) for r in some])
     out, known = [], [r for r in rows if r["settled"]]
@@ -246,6 +272,7 @@ def _settle(rows: list[dict], with_open: bool, targets: int) -> Iterator[pa.Reco
         top[1:] = high[1:] != high[:-1]
         new = top.copy()
         new[1:] |= low[1:] != low[:-1]
+        always = _among(high, hot)
         del order, high, low
         least = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
         repeated = doc > least
@@ -253,7 +280,7 @@ def _settle(rows: list[dict], with_open: bool, targets: int) -> Iterator[pa.Reco
         if with_open:
             groups = np.flatnonzero(top)
             differ = np.minimum.reduceat(least, groups) != np.maximum.reduceat(least, groups)
-            answer = repeated | np.repeat(differ, np.diff(np.append(groups, len(doc))))
+            answer = repeated | always | np.repeat(differ, np.diff(np.append(groups, len(doc))))
         out.append((doc[answer], row[answer], (2 * place + ~repeated)[answer]))
     if not sum(len(x[0]) for x in out):
         return
@@ -272,34 +299,42 @@ def _settle(rows: list[dict], with_open: bool, targets: int) -> Iterator[pa.Reco
                                      [c.split()[0] for c in _ANSWERS.split(", ")])
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     """All answers for the documents of one target, one row for each document."""
-    rows = [row for batch in batches for row in batch.to_pylist()]
+    doc, row, codes = _pairs_of(*_documents(rows), _uncut([r["codes"] for r in rows], 5).astype(np.int64))
+    for a in range(0, len(doc), 4096):
+        yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + 4096]), pa.array(row[a : a + 4096]), codes[a : a + 4096]],
+                                         ["doc_id", "row_key", "codes"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[list[dict]]:
+    """Neighbouring rows with the same ``name``."""
+    rows = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row[name] != rows[0][name]:
+                yield rows
+                rows = []
+            rows.append(row)
     if rows:
-        doc, row, codes = _pairs_of(*_documents(rows), _uncut([r["codes"] for r in rows], 5).astype(np.int64))
-        for a in range(0, len(doc), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + 4096]), pa.array(row[a : a + 4096]), codes[a : a + 4096]],
-                                             ["doc_id", "row_key", "codes"])
+        yield rows
 
 
-def _settled(packed: DataFrame, buckets: int, with_open: bool) -> DataFrame:
+def _settled(packed: DataFrame, parts: int, buckets: int, with_open: bool, hot: Broadcast) -> DataFrame:
     """``(doc_id, row_key, codes)`` per document from all buckets."""
-    parts = max(1, buckets // ROUNDS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != bucket and rows:
-                    yield from _settle(rows, with_open, parts)
-                    rows = []
-                bucket = row["bucket"]
-                rows.append(row)
-        if rows:
-            yield from _settle(rows, with_open, parts)
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "bucket"):
+            yield from _settle(rows, with_open, targets, hot.value if with_open else hot.value[:0])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "target"):
+            yield from _gather(rows)
 
+    targets = max(parts, buckets // ROUNDS)
     dealt = packed.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, _ANSWERS).repartitionById(parts, F.col("target")).mapInArrow(_gather, _CODES)
+    answers = dealt.mapInArrow(settle, _ANSWERS).repartitionById(parts, F.col("target") % parts)
+    return answers.sortWithinPartitions("target").mapInArrow(gather, _CODES)
 
 
 def _pieces(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -308,9 +343,51 @@ def _pieces(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[byt
         yield a, b, whole[a:b]
 
 
-def _phrase_keys(rows: DataFrame, buckets: int, window: int) -> DataFrame:
+def _often(trigger: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Triggers (40 bits) with ``OFTEN`` distinct phrases or more, and how many."""
+    trigger = trigger >> U64(24)
+    _, which, count = np.unique(trigger, return_inverse=True, return_counts=True)
+    some = count[which] >= OFTEN
+    trigger, phrase = trigger[some], phrase[some]
+    order = np.lexsort((phrase, trigger))
+    trigger, phrase = trigger[order], phrase[order]
+    new = np.ones(len(trigger), bool)
+    new[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])
+    own, count = np.unique(trigger[new], return_counts=True)
+    return own[count >= OFTEN], count[count >= OFTEN]
+
+
+def _hot_triggers(rows: DataFrame, window: int) -> tuple[np.ndarray, int]:
+    """The hot triggers (40 bits, sorted), and the bytes of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            own, count = _often(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.append(own.astype(np.int64), -1)), pa.array(np.append(count, size))], ["trigger", "n"])
+
+        parts, size = [], 0
+        for batch in batches:
+            for _, _, own in _pieces(batch, 0):
+                parse = Parse(own, window)
+                parts.append((parse.trigger, parse.phrase))
+                size += len(parse.buffer)
+                if size >= BATCH_BYTES:
+                    yield counted()
+                    parts, size = [], 0
+        if parts:
+            yield counted()
+
+    sums = stored(rows.select("text").mapInArrow(run, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")))
+    size = sums.where("trigger = -1").select("n").first()
+    size = size[0] if size else 0
+    found = sums.where((F.col("trigger") >= 0) & (F.col("n") > max(HOT_ROWS, size // MAX_HOT))).select("trigger").collect()
+    return np.sort(np.array([r[0] for r in found], U64)), size
+
+
+def _phrase_keys(rows: DataFrame, buckets: int, window: int, hot: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = _Packer(buckets)
+        pack = _Packer(buckets, hot.value)
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b, own in _pieces(batch, 2):
@@ -339,7 +416,7 @@ def _open_windows(parse: Parse, codes: list) -> tuple[np.ndarray, np.ndarray]:
 
 def _window_keys(rows: DataFrame, buckets: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = _Packer(buckets)
+        pack = _Packer(buckets, np.zeros(0, U64))
         for batch in batches:
             ids, keys, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
             for a, b, own in _pieces(batch, 2):
@@ -383,15 +460,18 @@ def _with_codes(docs: DataFrame, *codes: DataFrame) -> DataFrame:
 def repeat_codes(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """What is repeated: per document the phrases (and open phrases), and the windows of open phrases."""
     spark = start(docs.sparkSession)
-    buckets = ROUNDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = spread_scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where(
         F.col("doc_id").isNotNull() & (F.octet_length("text") >= window))
     keyed = rows.select("doc_id", _row_key(), "text")
-    phrases = stored(_settled(_phrase_keys(keyed, buckets, window), buckets, with_open=True))
+    hot, size = _hot_triggers(rows, window)
+    hot = spark.sparkContext.broadcast(hot)  # at most MAX_HOT numbers
+    buckets = parts * max(ROUNDS, -(-size // (parts * BUCKET_BYTES)))
+    phrases = stored(_settled(_phrase_keys(keyed, buckets, window, hot), parts, buckets, with_open=True, hot=hot))
     collect_garbage(spark, rounds=5)  # the phrases' shuffle goes before that of the windows comes
     opened = phrases.where(F.exists("codes", lambda c: c % 2 == 1))
     joined = _with_codes(rows, opened).where("__c0 is not null").select("doc_id", "__row", "text", "__c0")
-    windows = stored(_settled(_window_keys(joined, buckets, window), buckets, with_open=False))
+    windows = stored(_settled(_window_keys(joined, buckets, window), parts, buckets, with_open=False, hot=hot))
     collect_garbage(spark, rounds=5)
     return phrases, windows
 

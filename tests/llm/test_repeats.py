@@ -51,20 +51,47 @@ def test_edges_of_passages_and_small_batches(llm, prose, monkeypatch):
 
 def test_phrases_of_one_trigger_are_told_apart_by_64_bits():
     """Two phrases that differ above bit 40 only are no repeat of each other, in a batch and in a bucket."""
+    none = np.zeros(0, np.uint64)
     high, low = np.full(2, 7 << 50, np.uint64), np.array([5, 5 + (1 << 41)], np.uint64)
-    together, apart, zero = repeats._Packer(1), [], np.zeros(1, np.int64)
+    together, apart, zero = repeats._Packer(1, none), [], np.zeros(1, np.int64)
     together.add(high, low, np.array([1, 2]), np.zeros(2, np.int64), np.zeros(2, np.int64), 1)
     rows = [r for b in together.flush() for r in b.to_pylist()]
     for i in range(2):
-        own = repeats._Packer(1)
+        own = repeats._Packer(1, none)
         own.add(high[:1], low[i : i + 1], np.array([1 + i]), zero, zero, 1)
         apart += [r for b in own.flush() for r in b.to_pylist()]
     for some in (rows, apart):
         assert not any(r["settled"] for r in some)
-        codes = [c for b in repeats._settle(some, True, 1) for r in b.to_pylist() for c in repeats._uncut([r["codes"]], 5).tolist()]
+        codes = [c for b in repeats._settle(some, True, 1, none) for r in b.to_pylist() for c in repeats._uncut([r["codes"]], 5).tolist()]
         assert codes == [1, 1]  # open, not repeated
 
 
+def hot_line_rows(prose):
+    """A 35-byte line in two thirds of the documents, between differing neighbours, some of which are repeated."""
+    line = "\nshort line of thirty-three bytes.\n"
+    rows = [(i, prose(3000 + i, 12) + (line if i % 3 else "") + prose(4000 + i % 60, 12)) for i in range(150)]
+    return rows + [(200 + i, rows[i][1]) for i in range(10)]
+
+
+def test_a_hot_trigger_is_dealt_to_all_buckets(llm, prose, monkeypatch):
+    for name, value in (("BATCH_BYTES", 3000), ("_PIECE", 1000), ("OFTEN", 2), ("HOT_ROWS", 20), ("BUCKET_BYTES", 2000)):
+        monkeypatch.setattr(repeats, name, value)
+    rows = hot_line_rows(prose)
+    df = llm.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hot, size = repeats._hot_triggers(df, 50)
+    assert len(hot) and size == sum(len(t.encode()) for _, t in rows)
+    # The phrases of the hot triggers, once for each batch, lie in many buckets.
+    pack = repeats._Packer(16, hot)
+    parse = repeats.Parse([t.encode() for _, t in rows])
+    n = len(parse.first)
+    doc = np.repeat(np.array([i for i, _ in rows]), np.diff(parse.before))
+    pack.add(parse.trigger, parse.phrase, doc, np.zeros(n, np.int64), np.arange(n), 1)
+    holds = [r["bucket"] for b in pack.flush() for r in b.to_pylist()
+             if not r["settled"] and np.isin(repeats._uncut([r["high"]], 5), hot).any()]
+    assert len(set(holds)) > 8
+    assert sorted(tuple(r) for r in repeats.repeat_report(df).collect()) == sorted(x[:5] for x in brute(rows, 50))
+
+
 def test_texts_are_cut(docs, documents):
     done = repeats.remove_repeats(docs)
     assert done.schema == docs.schema
