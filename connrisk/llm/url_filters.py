@@ -6,7 +6,8 @@ distrust is the same on reversed edges, restarting at hosts whose pages the
 rules block (a page that links to bad hosts is suspect).  Both run in Spark on
 one row per host and edge, with a checkpoint after every round.  A host whose
 distrust exceeds ``threshold`` of its trust plus distrust is blocked; a host
-that neither reaches keeps ``default``.
+that neither reaches keeps ``default``.  The rounds go on until no host's score
+changes by more than ``TOLERANCE`` of itself, however far it is from the seeds.
 
 A page's verdict is that of the longest rule that fits its url, else its
 host's.  A rule ``host/path`` fits the host and all its subdomains when the
@@ -32,17 +33,23 @@ Defined cases
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from connrisk.llm.common import spread_scan, start, stored
 
 ALLOW, BLOCK = "allow", "block"
-#: Share of a host's score that follows links, rounds, and the part of distrust from which a host is blocked.
+#: Share of a host's score that follows links, the part of a score that may still change at the end, and the part of
+#: distrust from which a host is blocked.
 DAMPING = 0.85
-ROUNDS = 20
 TOLERANCE = 1e-6
 THRESHOLD = 0.5
+#: So many rounds bring the changes of all scores together below the tolerance; no cap.
+ROUNDS = math.ceil(math.log(TOLERANCE / 4) / math.log(DAMPING))
+#: Scores below are rounding noise of products of many shares.
+_LEAST = 1e-290
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -90,22 +97,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def personalised_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
+def personalised_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None,
                       tolerance: float = TOLERANCE) -> DataFrame:
     """``(kind, host, score)`` after PageRank with restarts, one graph for each ``kind``.
 
     ``nodes`` holds ``(kind, host, seed)`` once per host; the seeds of a kind
     sum to 1 or are all 0.  A host without links out gives its score back to
-    the seeds.  It ends when the scores of a round change by no more than
-    ``tolerance`` in all, or after ``rounds``.
+    the seeds.  It ends when no score changes by more than ``tolerance`` of
+    itself, so not before every host that links lead to has its score, or
+    after ``rounds`` where they are given.
     """
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be at least 0 and below 1")
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     shares = stored(edges.join(out, ["kind", "src"]).select(
         "kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("share")))
     leads = out.select("kind", F.col("src").alias("host"), F.lit(True).alias("leads"))
     rank = stored(nodes.join(leads, ["kind", "host"], "left").select(
         "kind", "host", "seed", F.coalesce("leads", F.lit(False)).alias("leads"), F.col("seed").alias("score")))
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         lost = rank.where("not leads").groupBy("kind").agg(F.sum("score").alias("lost"))  # one row for each kind
         got = shares.join(rank.select("kind", "host", "score"), ["kind", "host"]).groupBy(
             "kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
@@ -113,13 +125,13 @@ def personalised_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPI
         rank = stored(rank.join(got, ["kind", "host"], "left").join(F.broadcast(lost), "kind", "left").select(
             "kind", "host", "seed", "leads", F.col("score").alias("old"),
             ((1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + back)).alias("score")))
-        moved = rank.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-        if not moved or moved <= tolerance:
+        largest = F.greatest("score", "old")
+        if not rank.where((largest > _LEAST) & (F.abs(F.col("score") - F.col("old")) > tolerance * largest)).limit(1).count():
             break
     return rank.select("kind", "host", "score")
 
 
-def host_scores(ruled: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def host_scores(ruled: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """``(host, trust, distrust)`` for each host with pages or links.
 
     A host is a trusted seed when the rules allow more than half of its pages
@@ -144,7 +156,7 @@ def host_scores(ruled: DataFrame, edges: DataFrame, damping: float = DAMPING, ro
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD, default: str = ALLOW,
-          damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+          damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for every page."""
     start(pages.sparkSession)
     rows = spread_scan(pages.select("page_id", "url", "html"))

@@ -84,6 +84,20 @@ def test_scores_are_those_of_a_loop(llm):
     assert verdicts["sly.org"] == "block" and verdicts["mid.org"] == "allow" == verdicts["lone.org"]
 
 
+def test_propagation_goes_on_until_it_converges(llm):
+    """A chain of 30 hosts to a blocked seed, all of whose hosts are suspect, and a cycle that has not settled after 20 rounds."""
+    rows = [(i, f"http://h{i}.org/", f'<a href="http://{"bad.net" if i == 0 else f"h{i - 1}.org"}/es/x">') for i in range(30)]
+    rows += [(100, "http://bad.net/es/x", None)]
+    rows += [(200, "http://good.com/", '<a href="http://a.io/">'), (201, "http://a.io/", '<a href="http://b.io/">'),
+             (202, "http://b.io/", '<a href="http://a.io/">')]
+    pages = llm.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    found = {r.host: r for r in U.host_scores(U.with_rules(pages, URL_RULES), U.host_edges(pages)).collect()}
+    assert all(found[f"h{i}.org"].distrust > 0 == found[f"h{i}.org"].trust for i in range(30))
+    # good = 0.15, a = 0.85 (good + b), b = 0.85 a
+    a = 0.85 * 0.15 / (1 - 0.85**2)
+    assert found["a.io"].trust == pytest.approx(a, rel=1e-5) and found["b.io"].trust == pytest.approx(0.85 * a, rel=1e-5)
+
+
 def test_empty_and_null_tables(llm):
     schema = "page_id long, url string, html string"
     assert U.judge(llm.createDataFrame([], schema), URL_RULES).count() == 0
