@@ -161,3 +161,73 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from connrisk.llm.url_filters import judge
 
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@register
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every usable vector."""
+    from connrisk.llm.whitening import whiten
+
+    out = whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@register
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text, by way of a ledger of its own."""
+    from connrisk.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+#: Kinds, patterns, the group that is checked, its least length.
+_SECRETS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32), ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1))
+ORACLE["op12_secret_scan"] = "WITH " + ",\n".join(rf"""
+m{i} AS (
+  SELECT r, unnest(regexp_extract_all(t, '{pattern}', 0)) AS m, unnest(regexp_extract_all(t, '{pattern}', {group})) AS g,
+         unnest(list_slice(string_split_regex(t, '{pattern}'), 1, -2)) AS gap,
+         unnest(range(len(regexp_extract_all(t, '{pattern}', 0)))) AS i
+  FROM docs),
+f{i} AS (
+  SELECT r, '{kind}' AS kind, {i} AS place, stop - length(m) AS start, stop
+  FROM (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i) AS stop FROM m{i}) WHERE length(g) >= {least})"""
+    for i, (kind, pattern, group, least) in enumerate(_SECRETS)).replace("\nm0 AS", """
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m0 AS""", 1) + r""",
+found AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS s
+          FROM (FROM f0 UNION ALL FROM f1 UNION ALL FROM f2 UNION ALL FROM f3))
+SELECT doc_id, count(*) FILTER (WHERE place = 0) AS n_assign, count(*) FILTER (WHERE place = 1) AS n_access,
+       count(*) FILTER (WHERE place = 2) AS n_hex,
+       sha256(coalesce(string_agg(s, ',' ORDER BY start, place) FILTER (WHERE place < 3), '')) AS base_sha256,
+       coalesce(string_agg(s, ',' ORDER BY start, place), '') AS spans, sha256(any_value(t)) AS blob
+FROM docs LEFT JOIN found USING (r) GROUP BY r, doc_id
+"""
+
+
+@register
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    from connrisk.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+ORACLE["op13_lexical_search"] = r"""
+WITH pattern AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u,
+                        'abcdefghijklmnopqrstuvwxyz' AS l),
+doc_terms AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), p) AS w FROM documents, pattern),
+item_terms AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), p) AS w FROM benchmark, pattern),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS total FROM doc_terms WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM doc_terms) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+            FROM tf, totals GROUP BY term, n_docs),
+norms AS (SELECT r, doc_id, 75 + (25 * len(w) * n_docs) // total AS m FROM doc_terms, totals WHERE len(w) > 0),
+asked AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS term FROM item_terms) GROUP BY ALL),
+scores AS (SELECT q, item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+           FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN norms USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20
+"""

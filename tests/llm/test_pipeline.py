@@ -43,4 +43,6 @@ def test_awkward_rows_pass_through(llm, null_docs, no_docs, scratch):
         for i, (_, stage) in enumerate(P.STAGES):
             stage(llm, docs, DIR).write.parquet(f"{scratch}/{k}-{i}")
             docs = llm.read.parquet(f"{scratch}/{k}-{i}")
-        assert docs.count() == 0
+        # Without labels nothing is learnt, so the two texts with letters stay; the near-duplicate stage keeps rows by id,
+        # and theirs is null, so both remain.
+        assert docs.count() == (2 if k == 0 else 0)

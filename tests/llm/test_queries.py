@@ -18,12 +18,15 @@ COLUMNS = {
     8: "doc_id bigint, held_out boolean, lang_pred string, score double",
     9: "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     10: "page_id bigint, host string, path string, rule string, verdict string",
+    11: "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    12: "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    13: "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -38,7 +41,8 @@ def test_contract_columns(llm, name):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql_gives_the_same_rows(llm, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for name_ in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM read_parquet('{SF}/{name_}.parquet')")
     df = QUERIES[name](llm, SF)
     expected = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE[name]})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(expected)
