@@ -43,22 +43,40 @@ def _time_checks(col: str, required: bool) -> list[tuple[Column, str]]:
     return checks
 
 
-def event_violations(events: DataFrame) -> DataFrame:
-    """Rules an event must meet before it may drive detector state (wire form:
-    times are ISO text with a mandatory offset)."""
-    checks = [
+def _key_checks() -> list[tuple[Column, str]]:
+    return [
         (_blank("bag_tag_id"), "blank_bag_tag_id"),
         (_blank("event_type"), "blank_event_type"),
         (blank_to_null("event_type").isNotNull() & ~F.trim("event_type").isin(*LIFECYCLE),
          "unknown_event_type"),
-        *_time_checks("event_time", True),
-        *_time_checks("connection_departure_time", True),
-        *_time_checks("estimated_departure_time", False),
-        (_blank("transfer_zone"), "blank_transfer_zone"),
-        (_blank("airport_code"), "blank_airport_code"),
-        (_blank("outbound_flight_id"), "blank_outbound_flight_id"),
     ]
-    return events.withColumn("violations", _violations(*checks))
+
+
+def _place_checks() -> list[tuple[Column, str]]:
+    return [(_blank(c), f"blank_{c}") for c in ("transfer_zone", "airport_code", "outbound_flight_id")]
+
+
+def wire_reasons() -> tuple[Column, Column]:
+    """What makes an event of wire form (times are ISO text with a mandatory
+    offset) unusable: always, and when its context would be the newest."""
+    departures = [*_time_checks("connection_departure_time", True), *_time_checks("estimated_departure_time", False)]
+    return _violations(*_key_checks(), *_time_checks("event_time", True)), _violations(*departures, *_place_checks())
+
+
+def detector_reasons(events: DataFrame) -> tuple[Column, Column]:
+    """The same for an event of table form (times are timestamps).  A column
+    ``context_reasons`` carries what the text of an event was found to break."""
+    hard = _violations(*_key_checks(), (F.col("event_time").isNull(), "missing_event_time"))
+    if "context_reasons" in events.columns:
+        return hard, F.col("context_reasons")
+    missing = (F.col("connection_departure_time").isNull(), "missing_connection_departure_time")
+    return hard, _violations(missing, *_place_checks())
+
+
+def event_violations(events: DataFrame) -> DataFrame:
+    """All rules of an event of wire form, whatever its age."""
+    hard, context = wire_reasons()
+    return events.withColumn("violations", F.concat(hard, context))
 
 
 def incident_violations(incidents: DataFrame) -> DataFrame:

@@ -341,9 +341,14 @@ def ingest_batch(envelopes: DataFrame) -> dict[str, DataFrame]:
     outcomes = _materialize_row(
         inc_norm.select(*carried, "_ev", F.struct(*inc_cols).alias("_inc"))
         .select(*keys, "_record", "target_table", "_ev", "_inc", reasons.alias("reasons")))
-    events = outcomes.where(target == ev_target).select(*keys, "_ev.*")
-    incidents = outcomes.where(target == inc_target).select(*keys, "_inc.*")
+    return {"decoded": routed.drop("target_table", "_record"), "routed": routed.drop("_record"), **frames_of(outcomes, keys)}
+
+
+def frames_of(outcomes: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """The frames that are filters over the outcome rows."""
+    target = F.col("target_table")
+    events = outcomes.where(target == STREAM_TARGETS[EVENTS_STREAM][0]).select(*keys, "_ev.*")
+    incidents = outcomes.where(target == STREAM_TARGETS[INCIDENTS_STREAM][0]).select(*keys, "_inc.*")
     # With the record itself as JSON text, for a retry.
     failures = outcomes.where(F.size("reasons") > 0).select(*keys, "reasons", F.to_json("_record").alias("record"))
-    return {"decoded": routed.drop("target_table", "_record"), "routed": routed.drop("_record"), "events": events,
-            "incidents": incidents, "failures": failures, "outcomes": outcomes}
+    return {"events": events, "incidents": incidents, "failures": failures, "outcomes": outcomes}

@@ -955,3 +955,86 @@ FROM (SELECT *,
 
 # The streaming detector in replay clock raises the same incidents.
 ORACLE["stream_detector"] = ORACLE["replay_detector"]
+
+
+# --- late events: order of arrival ---------------------------------------------------
+
+ARRIVAL_HORIZON = "2024-02-06 00:00:00"
+TIMERS_AS_OF = "2024-01-20 12:00:00"
+
+_LATE = BAG_EVENTS.replace(
+    "SELECT 'EVT-' || src_id AS event_id,",
+    "SELECT src_id AS n, ts + to_hours((k * 37) % 11) AS arrival_ts, 'EVT-' || src_id AS event_id,", 1)
+
+
+def _arrival_state(source: str) -> str:
+    """What is known of a bag after each row, in order of arrival."""
+    return f"""
+usable AS (
+  SELECT bag_tag_id, event_id, event_type, epoch_ms(event_time) AS t, epoch_ms(arrival_ts) AS a,
+         trim(transfer_zone) <> '' AS good, {rank_sql('event_type')} AS rank, nullif(trim(scan_location), '') AS loc,
+         airport_code AS airport, outbound_flight_id AS flight, trim(transfer_zone) AS zone,
+         epoch_ms(coalesce(estimated_departure_time, connection_departure_time)) AS eff
+  FROM ({source}) WHERE event_type IN {_LIFE.replace('[', '(').replace(']', ')')}
+),
+judged AS (
+  SELECT *, NOT good AND coalesce(t >= max(t) FILTER (WHERE good) OVER (
+           PARTITION BY bag_tag_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS rejected
+  FROM usable
+),
+known AS (
+  SELECT *, lead(a) OVER (PARTITION BY bag_tag_id ORDER BY a, event_id) AS next_a,
+         coalesce(bool_or(event_type = 'TRANSFER_ARRIVED') FILTER (WHERE NOT rejected) OVER w, false) AS arrived,
+         coalesce(bool_or(event_type IN ('MAKEUP_AREA_SCAN', 'CONNECTING_AIRCRAFT_LOADED')) FILTER (WHERE NOT rejected) OVER w, false) AS makeup,
+         coalesce(bool_or(event_type = 'CONNECTING_AIRCRAFT_LOADED') FILTER (WHERE NOT rejected) OVER w, false) AS loaded,
+         arg_max({{'t': t, 'type': event_type, 'loc': loc}}, (t, rank, a, event_id)) FILTER (WHERE NOT rejected) OVER w AS scan,
+         arg_max({{'airport': airport, 'flight': flight, 'zone': zone, 'eff': eff}}, (t, a, event_id)) FILTER (WHERE good) OVER w AS ctx
+  FROM judged
+  WINDOW w AS (PARTITION BY bag_tag_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+risky AS (
+  SELECT *, arrived AND NOT makeup AS at_risk, ctx.eff - {BUFFER_S * 1000} AS timer,
+         greatest(ctx.eff - {BUFFER_S * 1000}, a) AS fire
+  FROM known
+)"""
+
+
+_RAISED = f"""
+raised AS (
+  SELECT * FROM risky WHERE at_risk AND fire <= coalesce(next_a, epoch_ms(TIMESTAMP '{ARRIVAL_HORIZON}'))
+  QUALIFY row_number() OVER (PARTITION BY bag_tag_id ORDER BY a, event_id) = 1
+)"""
+
+ORACLE["replay_arrivals"] = with_ctes(_LATE, _arrival_state("FROM bag_events"), _RAISED) + """
+SELECT bag_tag_id || '-' || ctx.flight || '-BAG_CONNECTION_RISK' AS incident_id, bag_tag_id,
+       'BAG_CONNECTION_RISK' AS incident_type, make_timestamp(fire * 1000) AS detected_at, ctx.airport AS airport_code,
+       ctx.flight AS outbound_flight_id, ctx.zone AS transfer_zone, scan.type AS last_scan_type,
+       coalesce(scan.loc, '') AS last_scan_location, make_timestamp(scan.t * 1000) AS last_scan_time,
+       make_timestamp(ctx.eff * 1000) AS connection_departure_time,
+       CAST(trunc((ctx.eff - fire) / 1000.0) AS INTEGER) AS seconds_to_departure,
+       makeup AS makeup_area_reached, loaded AS aircraft_loaded
+FROM raised"""
+
+_DAMAGED = """
+damaged AS (
+  SELECT * REPLACE (CASE WHEN n % 7 = 3 THEN ' ' ELSE transfer_zone END AS transfer_zone,
+                    CASE WHEN n % 50 = 9 THEN 'LOST_SCAN' ELSE event_type END AS event_type) FROM bag_events)"""
+
+ORACLE["arrival_outcomes"] = with_ctes(_LATE, _DAMAGED, _arrival_state("FROM damaged"), _RAISED) + """
+SELECT 'incident' AS outcome, bag_tag_id, bag_tag_id || '-' || ctx.flight || '-BAG_CONNECTION_RISK' AS id,
+       make_timestamp(fire * 1000) AS detected_at, '' AS reasons FROM raised
+UNION ALL
+SELECT 'rejected', bag_tag_id, event_id, NULL, 'blank_transfer_zone' FROM judged WHERE rejected
+UNION ALL
+SELECT 'rejected', bag_tag_id, event_id, NULL, 'unknown_event_type' FROM damaged WHERE event_type = 'LOST_SCAN'"""
+
+ORACLE["stream_arrivals"] = ORACLE["arrival_outcomes"]
+
+ORACLE["due_timers"] = with_ctes(
+    _LATE, _arrival_state(f"FROM bag_events WHERE epoch_ms(arrival_ts) <= epoch_ms(TIMESTAMP '{TIMERS_AS_OF}')")) + f"""
+SELECT make_timestamp(arg_max(timer, (a, event_id)) * 1000) AS deadline, bag_tag_id,
+       arg_max(timer, (a, event_id)) <= epoch_ms(TIMESTAMP '{TIMERS_AS_OF}') AS due,
+       arg_max(ctx.airport, (a, event_id)) AS airport_code, arg_max(ctx.flight, (a, event_id)) AS outbound_flight_id,
+       arg_max(ctx.zone, (a, event_id)) AS transfer_zone, arg_max(scan.type, (a, event_id)) AS last_scan_type
+FROM risky GROUP BY bag_tag_id
+HAVING arg_max(at_risk, (a, event_id)) AND NOT bool_or(at_risk AND fire <= coalesce(next_a, a))"""

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from connrisk.operators import catalogue as cat
-from connrisk.operators import contracts, detector, evidence, ingest
+from connrisk.operators import arrivals, contracts, detector, evidence, ingest
 from connrisk.operators import readmodels as rm
 from connrisk.plans import oracle as O
 from connrisk import schemas
 from connrisk.session import checkpoint_dir, ensure_utc
 from connrisk.sources import envelopes as env_src
-from connrisk.sources.driver_tables import bag_events, read_table
+from connrisk.sources.driver_tables import bag_events, damaged_bag_events, late_bag_events, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -520,3 +520,38 @@ def q_stream_detector(spark, sf_dir):
 
     return run_detector(bag_events(spark, sf_dir), buffer_seconds=O.BUFFER_S, clock="replay",
                         horizon_ms=_to_ms(O.HORIZON + "Z"))
+
+
+# --- late events: order of arrival ---------------------------------------------------
+
+@register("replay_arrivals")
+def q_replay_arrivals(spark, sf_dir):
+    """Incidents when every event is applied as it arrives, up to ten hours late."""
+    return arrivals.replay_arrivals(late_bag_events(spark, sf_dir), O.BUFFER_S, O.ARRIVAL_HORIZON + "Z")
+
+
+@register("arrival_outcomes")
+def q_arrival_outcomes(spark, sf_dir):
+    """Incidents and rejected events of late events, some of them damaged."""
+    events = damaged_bag_events(spark, sf_dir)
+    return arrivals.detector_outcomes(arrivals.replay_arrivals(events, O.BUFFER_S, O.ARRIVAL_HORIZON + "Z"),
+                                      arrivals.rejected_events(events))
+
+
+@register("stream_arrivals")
+def q_stream_arrivals(spark, sf_dir):
+    """The same from the stateful detector on the arrival clock, by its tagged output."""
+    from connrisk.operators.detector import _to_ms
+    from connrisk.session import reliable
+    from connrisk.streaming.detector import incidents_from_output, rejected_from_output, run_outcomes
+
+    events = damaged_bag_events(spark, sf_dir)
+    out = reliable(run_outcomes(events, O.BUFFER_S, "arrival", _to_ms(O.ARRIVAL_HORIZON + "Z")))
+    return arrivals.detector_outcomes(incidents_from_output(out),
+                                      rejected_from_output(out).unionByName(arrivals.unusable_events(events)))
+
+
+@register("due_timers")
+def q_due_timers(spark, sf_dir):
+    """Every bag's open deadline at a moment, by (deadline, bag)."""
+    return arrivals.due_timers(late_bag_events(spark, sf_dir), O.TIMERS_AS_OF + "Z", O.BUFFER_S)

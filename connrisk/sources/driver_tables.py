@@ -34,8 +34,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bag_events_from(events: DataFrame) -> DataFrame:
-    """Project the driver's ``events`` rows onto the baggage_events table."""
+def bag_events_from(events: DataFrame, with_arrival: bool = False) -> DataFrame:
+    """Project the driver's ``events`` rows onto the baggage_events table;
+    ``with_arrival`` adds ``arrival_ts``, ``(37 k) mod 11`` hours after the event."""
     k = F.get_json_object("props", "$.k").cast("int")
     ts = trunc_ms(F.col("ts").cast("timestamp"))
     uid = F.col("user_id")
@@ -81,9 +82,25 @@ def bag_events_from(events: DataFrame) -> DataFrame:
         bag_status_for(etype).alias("bag_status"),
         F.when(F.col("k") >= 80, F.lit("HOT")).otherwise(F.lit("NORMAL")).alias("priority_code"),
         meta.alias("metadata_json"),
+        *([F.timestamp_micros(F.unix_micros("ts") + (F.col("k") * 37 % 11).cast("long") * 3_600_000_000).alias("arrival_ts")]
+          if with_arrival else []),
     )
 
 
+def late_bag_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bag events that arrive up to ten hours late (``arrival_ts``)."""
+    ensure_utc(spark)
+    return bag_events_from(read_table(spark, sf_dir, "events"), with_arrival=True)
+
+
+def damaged_bag_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late bag events of which some have a blank zone or an unknown type."""
+    n = F.substring_index("event_id", "-", -1).cast("long")
+    return late_bag_events(spark, sf_dir).withColumns({
+        "transfer_zone": F.when(n % 7 == 3, " ").otherwise(F.col("transfer_zone")),
+        "event_type": F.when(n % 50 == 9, "LOST_SCAN").otherwise(F.col("event_type"))})
+
+
 def bag_events(spark: SparkSession, sf_dir: str, spread_input: bool = False) -> DataFrame:
     """The baggage_events table projected from the driver's ``events``.
 

@@ -2,29 +2,33 @@
 and envelope batches -> validated analytical tables.
 
 Sources are JSON-lines folders (``readStream.json``) or Kafka when its
-connector is on the classpath; sinks are parquet tables appended from
+connector is on the classpath; sinks are parquet tables written from
 ``foreachBatch`` (sorted within partitions by the table's sort key, like the
-reference store's ordering key) and a JSON-lines incident stream.
-``foreachBatch`` writes are idempotent per batch id (a replayed batch
-overwrites its own folder), so a task or executor lost mid-batch is retried
-from the checkpoint without duplicating rows.
+reference store's ordering key) and a JSON-lines incident stream.  All tables
+of a micro-batch are published together by one manifest
+(``streaming.published``), so a reader sees all of them or none, and a batch
+that is run again after a failure neither doubles nor tears anything.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from connrisk.functions import parse_iso_ts
 from connrisk.operators import contracts, detector, evidence, ingest
 from connrisk.schemas import DEFAULT_RISK_BUFFER_SECONDS, EVENT_WIRE_SCHEMA, INCIDENT_WIRE_SCHEMA
-from connrisk.session import ensure_utc
-from connrisk.streaming.detector import run_detector
+from connrisk.session import ensure_utc, ship_package
+from connrisk.streaming import folder_source
+from connrisk.streaming.dedupe import drop_redelivered, event_key, record_key
+from connrisk.streaming.detector import incidents_from_output, rejected_from_output, run_outcomes
+from connrisk.streaming.published import PublishedTables
 
 STARTING_POSITIONS = {"LATEST": "latest", "TRIM_HORIZON": "earliest"}
 
@@ -109,15 +113,19 @@ def detector_settings(properties: Mapping[str, str] | None = None,
 
 
 def read_event_stream(spark: SparkSession, source: str, position: str = "LATEST",
-                      kafka_servers: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Raw event stream as one ``value`` text column per record.
+                      kafka_servers: str | None = None, max_files_per_trigger: int | None = None,
+                      log: str | None = None) -> DataFrame:
+    """Raw event stream as one ``value`` text column per record, and its
+    ``arrival_ts`` where the source tells it.
 
     ``position`` is ``LATEST`` or ``TRIM_HORIZON`` (anything else is an
     error).  With ``kafka_servers`` the source is a Kafka topic and the
     position picks its starting offsets; otherwise a folder of JSON-lines
     files, read as text so malformed records reach the quarantine instead of
-    failing the job.  A folder source always starts with the files already
-    there (``TRIM_HORIZON``); a fresh checkpoint is how it starts over.
+    failing the job.  With ``log``, a folder in the job's checkpoint, that is
+    ``streaming.folder_source``, which knows both positions; without one
+    Spark's file source, which always starts with the files already there, so
+    ``LATEST`` needs a log.
     """
     if position not in STARTING_POSITIONS:
         raise ValueError("position must be LATEST or TRIM_HORIZON")
@@ -127,7 +135,16 @@ def read_event_stream(spark: SparkSession, source: str, position: str = "LATEST"
                 .option("subscribe", source)
                 .option("startingOffsets", STARTING_POSITIONS[position])
                 .load()
-                .select(F.col("value").cast("string").alias("value")))
+                .select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrival_ts")))
+    if log:
+        ship_package(spark)
+        spark.dataSource.register(folder_source.LineFolder)
+        reader = spark.readStream.format(folder_source.FORMAT).option("path", source).option("log", log).option("position", position)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+        return reader.load().select("value", "arrival_ts")
+    if position == folder_source.LATEST:
+        raise ValueError("LATEST on a folder needs a log")
     reader = spark.readStream.schema(_LINE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -135,11 +152,18 @@ def read_event_stream(spark: SparkSession, source: str, position: str = "LATEST"
 
 
 def events_from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JSON lines -> (valid events in table form, quarantined lines)."""
+    """JSON lines -> (events in table form, quarantined lines).
+
+    Quarantined is what can never drive the detector.  What is wrong with an
+    event's departure, zone, airport or flight goes along as
+    ``context_reasons``: the detector rejects the event only if that context
+    would be the bag's newest."""
     parsed = ingest.parse_json_records(lines, EVENT_WIRE_SCHEMA)
-    checked = contracts.event_violations(parsed)
-    checked = checked.withColumn("violations", F.concat("reasons", "violations"))
+    hard, context = contracts.wire_reasons()
+    checked = parsed.select("*", F.concat("reasons", hard).alias("violations"), context.alias("context_reasons"))
+    stamp = ["arrival_ts"] if "arrival_ts" in lines.columns else []
     good = checked.where(F.size("violations") == 0).select(
+        *stamp, "context_reasons",
         "event_id", "bag_tag_id", "event_type",
         parse_iso_ts("event_time").alias("event_time"),
         "scan_location", "transfer_zone", "airport_code", "outbound_flight_id",
@@ -150,47 +174,67 @@ def events_from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def append_table(df: DataFrame, path: str, table: str, batch_id: int | None = None) -> None:
-    """Append rows to an analytical table folder (parquet); empty batches
-    are a no-op.  With ``batch_id`` the batch lands in its own folder and is
-    overwritten on replay, which makes the append idempotent."""
+def append_table(df: DataFrame, path: str, table: str) -> None:
+    """Append rows to an analytical table folder (parquet); empty batches are a no-op."""
+    sorted_table(df, table)[0].write.mode("append").parquet(os.path.join(path, table))
+
+
+def sorted_table(df: DataFrame, table: str) -> tuple[DataFrame, Callable[[DataFrame, str], None]]:
+    """Rows of an analytical table in its sort order, and how they are written."""
     if table not in SORT_KEYS:
         raise ValueError("table is not allow-listed")
-    out = df.sortWithinPartitions(*SORT_KEYS[table])
-    target = os.path.join(path, table)
-    if batch_id is None:
-        out.write.mode("append").parquet(target)
-    else:
-        out.write.mode("overwrite").parquet(os.path.join(target, f"batch={batch_id}"))
+    return df.sortWithinPartitions(*SORT_KEYS[table]), lambda out, path: out.write.parquet(path)
+
+
+def _text(out: DataFrame, path: str) -> None:
+    out.write.text(path)
+
+
+def _json(out: DataFrame, path: str) -> None:
+    out.write.json(path)
 
 
 def start_detector_job(spark: SparkSession, source: str, output: str, checkpoint: str,
                        buffer_seconds: int = 30, clock: str = "processing",
                        horizon_ms: int | None = None, position: str = "TRIM_HORIZON",
                        trigger: dict | None = None, kafka_servers: str | None = None,
-                       max_files_per_trigger: int | None = None):
-    """Event stream -> quarantine + detector -> incident JSON lines and the
-    ``risk_incidents`` table.  Returns the started ``StreamingQuery``."""
+                       max_files_per_trigger: int | None = None, redelivery_ttl: str | None = None,
+                       retention_ms: int | None = None):
+    """Event stream -> quarantine + detector -> incident JSON lines, the
+    ``risk_incidents`` table and the events that the detector rejected.
+    ``redelivery_ttl`` (an interval) drops events that are delivered again
+    within it, ``retention_ms`` lets the state of done bags expire.  Returns
+    the started queries."""
     ensure_utc(spark)
-    good, bad = events_from_lines(
-        read_event_stream(spark, source, position, kafka_servers, max_files_per_trigger))
-    incidents = run_detector(good, buffer_seconds, clock, horizon_ms)
-    wire = detector.incidents_as_json(incidents)
+
+    def read(which: str) -> tuple[DataFrame, DataFrame]:
+        log = os.path.join(checkpoint, which) if position == folder_source.LATEST and not kafka_servers else None
+        return events_from_lines(read_event_stream(spark, source, position, kafka_servers, max_files_per_trigger, log))
+
+    good = read("_source")[0]
+    if redelivery_ttl:
+        good = drop_redelivered(good, event_key(), redelivery_ttl)
+    outcomes = run_outcomes(good, buffer_seconds, clock, horizon_ms, retention_ms)
+    tables = PublishedTables(spark, output, "detector")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        if tables.is_published(batch_id):
+            return
         batch.persist()
         try:
-            ingest.serialize_incidents(batch).select("value").write.mode("overwrite") \
-                .text(os.path.join(output, "incident_stream", f"batch={batch_id}"))
-            append_table(ingest.normalize_incidents(batch).where(F.size("reasons") == 0).drop("reasons"),
-                         output, "risk_incidents", batch_id)
+            wire = detector.incidents_as_json(incidents_from_output(batch))
+            tables.publish(batch_id, {
+                "incident_stream": (ingest.serialize_incidents(wire).select("value"), _text),
+                "risk_incidents": sorted_table(ingest.normalize_incidents(wire).where(F.size("reasons") == 0).drop("reasons"), "risk_incidents"),
+                "rejected_events": (rejected_from_output(batch), _json)})
         finally:
             batch.unpersist()
 
-    writer = wire.writeStream.outputMode("append").option("checkpointLocation", checkpoint) \
+    writer = outcomes.writeStream.outputMode("append").option("checkpointLocation", checkpoint) \
         .foreachBatch(sink)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     q = writer.start()
+    bad = read("_quarantine_source")[1]
     quarantine = bad.writeStream.outputMode("append") \
         .option("checkpointLocation", os.path.join(checkpoint, "_quarantine")) \
         .format("json").option("path", os.path.join(output, "quarantine")) \
@@ -213,37 +257,88 @@ def start_configured_detector_job(spark: SparkSession, source: str, output: str,
                               kafka_servers=kafka_servers, max_files_per_trigger=max_files_per_trigger)
 
 
+#: Name of the metrics that the ingest job observes.
+INGEST_METRICS = "ingest"
+_INGEST_TARGETS = (*sorted(target[0] for target in ingest.STREAM_TARGETS.values()), "rejected")
+
+
+def _counts(outcomes: DataFrame) -> list[Column]:
+    target, ok = F.coalesce("target_table", F.lit("rejected")), F.size("reasons") == 0
+    return [F.count_if((target == t) & which).alias(f"{kind}:{t}") for t in _INGEST_TARGETS
+            for kind, which in (("received", F.lit(True)), ("inserted", ok), ("failed", ~ok))]
+
+
+class IngestCounters(StreamingQueryListener):
+    """Received, inserted and failed records per target, gathered from the
+    progress of the ingest job: nothing is read again to count it.
+
+        counters = IngestCounters(); spark.streams.addListener(counters)
+    """
+
+    def __init__(self) -> None:
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = event.progress.observedMetrics.get(INGEST_METRICS)
+        if found is not None and event.progress.numInputRows:
+            self.batches[str(event.progress.id), event.progress.batchId] = {k: v or 0 for k, v in found.asDict().items()}
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def totals(self) -> dict[str, dict[str, int]]:
+        """``{target: {received, inserted, failed}}`` over all batches seen, targets without records left out."""
+        out: dict[str, dict[str, int]] = {}
+        for batch in self.batches.values():
+            for name, n in batch.items():
+                kind, _, target = name.partition(":")
+                row = out.setdefault(target, dict.fromkeys(("received", "inserted", "failed"), 0))
+                row[kind] += n
+        return {t: row for t, row in out.items() if row["received"]}
+
+
 def start_ingest_job(spark: SparkSession, source: str, output: str, checkpoint: str,
-                     trigger: dict | None = None):
+                     trigger: dict | None = None, redelivery_ttl: str | None = None):
     """Envelope batches (JSON lines of records) -> baggage_events and
     risk_incidents tables, rejected records (whole, for a retry), quarantine
-    report and counters per batch."""
+    report and counters, published together per batch.
+
+    Records are decoded in the streaming plan, where their counters are
+    observed (``IngestCounters``); the sink writes the outcomes once and the
+    published tables are filters over that.  ``redelivery_ttl`` drops records
+    that are delivered again within it."""
     from connrisk.schemas import ENVELOPE_SCHEMA
 
     ensure_utc(spark)
     env = spark.readStream.schema(ENVELOPE_SCHEMA).json(source)
+    if redelivery_ttl:
+        env = drop_redelivered(env, record_key(), redelivery_ttl)
+    outcomes = ingest.ingest_batch(env)["outcomes"]
+    observed = outcomes.observe(INGEST_METRICS, *_counts(outcomes))
+    tables = PublishedTables(spark, output, "ingest")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("position", F.monotonically_increasing_id())
-        staged = ingest.ingest_batch(batch)
-        # Every output below filters the per-record outcomes: decode the
-        # micro-batch once and let the four writes read the stored result.
-        staged["outcomes"].persist()
-        try:
-            append_table(staged["events"].where(F.size("reasons") == 0).drop("reasons", "position"),
-                         output, "baggage_events", batch_id)
-            append_table(staged["incidents"].where(F.size("reasons") == 0).drop("reasons", "position"),
-                         output, "risk_incidents", batch_id)
-            ingest.quarantine_report(staged["failures"]).write.mode("overwrite") \
-                .json(os.path.join(output, "quarantine", f"batch={batch_id}"))
-            staged["failures"].select("sequence_number", "position", "reasons", "record").write.mode("overwrite") \
-                .json(os.path.join(output, "rejected_records", f"batch={batch_id}"))
-            ingest.ingest_counters(staged).withColumn("batch_id", F.lit(batch_id)) \
-                .write.mode("overwrite").json(os.path.join(output, "counters", f"batch={batch_id}"))
-        finally:
-            staged["outcomes"].unpersist()
-
-    return env.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink) \
+        if tables.is_published(batch_id):
+            return
+        # The only action on the batch itself: one decode, one count of each record.
+        stored = os.path.join(checkpoint, "_outcomes", f"batch={batch_id}")
+        batch.withColumn("position", F.monotonically_increasing_id()).write.mode("overwrite").parquet(stored)
+        staged = ingest.frames_of(spark.read.parquet(stored), ["sequence_number", "position"])
+        rows = lambda name: staged[name].where(F.size("reasons") == 0).drop("reasons", "position", "sequence_number")
+        tables.publish(batch_id, {
+            "baggage_events": sorted_table(rows("events"), "baggage_events"),
+            "risk_incidents": sorted_table(rows("incidents"), "risk_incidents"),
+            "quarantine": (ingest.quarantine_report(staged["failures"]), _json),
+            "rejected_records": (staged["failures"].select("sequence_number", "position", "reasons", "record"), _json),
+            "counters": (ingest.ingest_counters(staged).withColumn("batch_id", F.lit(batch_id)), _json)})
+
+    return observed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink) \
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
@@ -271,26 +366,25 @@ def start_investigation_job(spark: SparkSession, incident_source: str, events_pa
     ``baggage_events`` table at ``events_path`` -> labels -> checks ->
     ``investigation_results`` appended per batch.
 
-    Idempotent per incident: an incident that already has a stored result is
-    skipped, and a replayed batch ignores (then overwrites) its own earlier
-    folder.  Recent risks are counted in the ``risk_incidents`` table when
-    given, else among the batch's incidents."""
-    from pyspark.sql.utils import AnalysisException
-
+    Idempotent per incident: an incident that already has a published result
+    is skipped, and so is a batch that is run again after it was published.
+    Recent risks are counted in the ``risk_incidents`` table when given, else
+    among the batch's incidents."""
     ensure_utc(spark)
     lines = spark.readStream.schema(_LINE_SCHEMA).text(incident_source)
-    results_dir = os.path.join(output, "investigation_results")
+    tables = PublishedTables(spark, output, "investigation")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        if tables.is_published(batch_id):
+            return
         incidents = incidents_from_lines(batch)
-        try:
-            stored = spark.read.parquet(results_dir).where(F.col("batch") != F.lit(batch_id)).drop("batch")
-        except AnalysisException:  # nothing stored yet
+        stored = tables.read("investigation_results")
+        if stored is None:
             stored = spark.createDataFrame([], "incident_id string")
         risks = spark.read.parquet(risk_incidents_path) if risk_incidents_path else None
         rows = evidence.investigate_pending(incidents, spark.read.parquet(events_path), stored,
                                             lookback_minutes, risk_incidents=risks)
-        append_table(rows, output, "investigation_results", batch_id)
+        tables.publish(batch_id, {"investigation_results": sorted_table(rows, "investigation_results")})
 
     return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink) \
         .trigger(**(trigger or {"availableNow": True})).start()

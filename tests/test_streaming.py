@@ -107,43 +107,11 @@ def test_job_settings_resolution_order_and_checks():
             detector_settings(bad, {})
 
 
-def _row(rnd, i, kinds):
-    kind = rnd.choice(kinds)
-    t, event_id = rnd.choice([1000, 2000, 3000]), f"E{rnd.randint(0, 9)}{i}"
-    marks = {"TRANSFER_ARRIVED": 1, "MAKEUP_AREA_SCAN": 2, "CONNECTING_AIRCRAFT_LOADED": 6}.get(kind, 0)
-    return {"event_id": event_id, "event_type": kind, "t_ms": t, "marks": marks, "rank": kinds.index(kind),
-            "scan_location": rnd.choice(["L1", "L2", None]), "airport_code": "AP", "outbound_flight_id": rnd.choice(["F1", "F2"]),
-            "transfer_zone": rnd.choice(["T1", "T2"]), "departure_ms": rnd.choice([8000, 9000, 9500])}
-
-
-def test_picture_of_a_batch_is_that_of_its_rows_in_order():
-    """Reducing a micro-batch first, in any order, and merging it gives the
-    picture of its rows merged one by one in (time, id) order."""
-    import random
-
-    from connrisk.schemas import LIFECYCLE
-    from connrisk.streaming.detector import Picture, picture_of, picture_of_all
-
-    rnd = random.Random(7)
-    for _ in range(300):
-        single, whole = Picture(), Picture()
-        for batch_no in range(rnd.randint(1, 3)):
-            batch = [_row(rnd, f"{batch_no}-{j}", LIFECYCLE) for j in range(rnd.randint(0, 6))]
-            for r in sorted(batch, key=lambda r: (r["t_ms"], r["event_id"])):
-                single = single.then(picture_of(r))
-            rnd.shuffle(batch)
-            whole = whole.then(picture_of_all(batch))
-            assert whole == single
-
-
-class _Store:
-    """Value state and timers of one key, for driving the processor directly."""
+class _Value:
+    """One value state of a key."""
 
     def __init__(self):
-        self.value, self.timers = None, set()
-
-    def getValueState(self, name, schema):
-        return self
+        self.value = None
 
     def exists(self):
         return self.value is not None
@@ -154,6 +122,19 @@ class _Store:
     def update(self, value):
         self.value = value
 
+    def clear(self):
+        self.value = None
+
+
+class _Store:
+    """Value states and timers of one key, for driving the processor directly."""
+
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _Value())
+
     def registerTimer(self, ms):
         self.timers.add(ms)
 
@@ -171,16 +152,16 @@ class _At:
     getExpiryTimeInMs = getCurrentProcessingTimeInMs
 
 
-def _event(kind, t, departure, marks):
-    return {"event_id": f"E{t}", "event_type": kind, "t_ms": t, "marks": marks, "rank": 3, "scan_location": "L",
+def _event(kind, t, departure, marks, reasons=""):
+    return {"event_id": f"E{t}", "event_type": kind, "reasons": reasons, "t_ms": t, "marks": marks, "rank": 3, "scan_location": "L",
             "airport_code": "AP", "outbound_flight_id": "F1", "transfer_zone": "T1", "departure_ms": departure}
 
 
-def _live():
+def _live(**options):
     from connrisk.streaming.detector import BagRiskProcessor
 
     store = _Store()
-    processor = BagRiskProcessor(30, "processing")
+    processor = BagRiskProcessor(30, "processing", **options)
     processor.init(store)
     return processor, store
 
@@ -216,6 +197,62 @@ def test_live_timers_move_fire_and_go():
     assert [r.detected_ms for r in raised] == [990_000]
 
 
+def test_a_row_past_its_deadline_raises_though_a_later_row_of_the_batch_clears_it():
+    batch = [_event("MAKEUP_AREA_SCAN", 95_000, 100_000, 2), _event("TRANSFER_ARRIVED", 90_000, 100_000, 1)]
+    processor, _ = _live()
+    raised = list(processor.handleInputRows(("B",), iter(batch), _At(99_000)))
+    assert [(r.outcome, r.detected_ms, r.last_scan_type) for r in raised] == [("incident", 99_000, "TRANSFER_ARRIVED")]
+    processor, _ = _live()  # not yet due when the batch is taken up: cleared
+    assert not list(processor.handleInputRows(("B",), iter(batch), _At(69_000)))
+    # The source's arrival stamp decides the order, where there is one.
+    stamped = [batch[0] | {"arrival_ms": 1}, batch[1] | {"arrival_ms": 2}]
+    processor, _ = _live()
+    assert not list(processor.handleInputRows(("B",), iter(stamped), _At(99_000)))
+
+
+def test_an_unusable_context_is_rejected_only_if_it_would_be_the_newest():
+    processor, store = _live()
+    first = [_event("TRANSFER_ARRIVED", 1000, 1_000_000, 1), _event("MAKEUP_AREA_SCAN", 500, 1_000_000, 2, "blank_transfer_zone")]
+    out = list(processor.handleInputRows(("B",), iter(first), _At(2000)))
+    assert [(r.outcome, r.event_id, r.reasons) for r in out] == [("rejected", "E500", "blank_transfer_zone")]  # the first of the batch
+    assert store.timers == {970_000}
+    again = list(processor.handleInputRows(("B",), iter(first[1:]), _At(3000)))
+    assert not again and not store.timers  # now it is old: it counts
+    newest = _event("TRANSFER_SORTER_SCAN", 1000, 1, 0, "blank_airport_code")
+    assert [r.outcome for r in processor.handleInputRows(("B",), iter([newest]), _At(3000))] == ["rejected"]
+
+
+def test_expired_state_keeps_what_forbids_a_second_incident():
+    arrival, makeup = _event("TRANSFER_ARRIVED", 1000, 1_000_000, 1), _event("MAKEUP_AREA_SCAN", 2000, 1_000_000, 2)
+    for rows, raises in (([arrival], True), ([arrival, makeup], False)):
+        processor, store = _live(retention_ms=40_000)
+        processor.handleInputRows(("B",), iter(rows), _At(2000))
+        expires = max(store.timers)
+        assert 1_040_000 < expires <= 1_050_000 and store.timers == ({970_000, expires} if raises else {expires})
+        if raises:
+            assert len(list(processor.handleExpiredTimer(("B",), _At(0), _At(970_000)))) == 1
+        assert not list(processor.handleExpiredTimer(("B",), _At(0), _At(expires)))
+        assert not store.states["bag"].exists() and store.states["done"].get() == ((1, True) if raises else (3, False))
+        store.timers.clear()
+        # A replay of the old events, past the deadline: nothing is raised, and the state expires again.
+        assert not list(processor.handleInputRows(("B",), iter([arrival]), _At(2_000_000)))
+        assert len(store.timers) == 1 and not list(processor.handleExpiredTimer(("B",), _At(0), _At(max(store.timers))))
+        assert not store.states["bag"].exists()
+    processor, store = _live(retention_ms=40_000)  # never at the transfer: nothing has to stay
+    processor.handleInputRows(("B",), iter([_event("BAG_ACCEPTED", 1000, 1_000_000, 0)]), _At(2000))
+    processor.handleExpiredTimer(("B",), _At(0), _At(max(store.timers)))
+    assert not store.states["bag"].exists() and not store.states["done"].exists()
+
+
+def test_a_timer_that_moved_does_not_drop_the_state():
+    processor, store = _live(retention_ms=40_000)
+    processor.handleInputRows(("B",), iter([_event("TRANSFER_ARRIVED", 1000, 1_000_000, 1)]), _At(2000))
+    first = max(store.timers)
+    processor.handleInputRows(("B",), iter([_event("TRANSFER_SORTER_SCAN", 2000, 3_000_000, 0)]), _At(3000))
+    assert first not in store.timers and store.timers == {2_970_000, max(store.timers)} and max(store.timers) > 3_040_000
+    assert not list(processor.handleExpiredTimer(("B",), _At(0), _At(first))) and store.states["bag"].exists()
+
+
 def test_arrival_order_decides_what_is_late(spark):
     """On the arrival clock a makeup scan that arrives after the deadline does
     not undo the incident, on event time it does; older events never regress."""
