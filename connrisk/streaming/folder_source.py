@@ -96,14 +96,20 @@ class LineFolderReader(DataSourceStreamReader):
 
     # --- offsets ----------------------------------------------------------------------
 
-    def initialOffset(self) -> dict:
-        """Before the first entry; with LATEST the files of now are entered, to be skipped."""
-        if self.position == LATEST and not self._entries():
+    def _begin(self) -> dict[int, dict]:
+        """The log; with LATEST a new one begins with the files of now, to be skipped.  Spark may ask for either offset first."""
+        entries = self._entries()
+        if self.position == LATEST and not entries:
             self._append(1, self._listing(), skip=True)
+            entries = self._entries()
+        return entries
+
+    def initialOffset(self) -> dict:
+        self._begin()
         return {"n": 0}
 
     def latestOffset(self) -> dict:
-        entries = self._entries()
+        entries = self._begin()
         known = {f for e in entries.values() for f in e["files"]}
         new = [f for f in self._listing() if f not in known]
         n = max(entries, default=0)

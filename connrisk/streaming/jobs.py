@@ -52,6 +52,7 @@ DEFAULT_INTERVAL_MS = 60_000
 # most this long after its deadline, so it must stay below the buffer.
 TRIGGER_SETTING = "DETECTOR_TRIGGER_MS"
 DEFAULT_TRIGGER_MS = 1_000
+_NO_DATA_CONF = "spark.sql.streaming.noDataMicroBatches.enabled"
 # State snapshots are uploaded at this session setting's interval.
 SNAPSHOT_CONF = "spark.sql.streaming.stateStore.maintenanceInterval"
 
@@ -203,8 +204,9 @@ def start_detector_job(spark: SparkSession, source: str, output: str, checkpoint
     """Event stream -> quarantine + detector -> incident JSON lines, the
     ``risk_incidents`` table and the events that the detector rejected.
     ``redelivery_ttl`` (an interval) drops events that are delivered again
-    within it, ``retention_ms`` lets the state of done bags expire.  Returns
-    the started queries."""
+    within it, ``retention_ms`` lets the state of done bags expire.  Without a
+    ``trigger`` the job takes what is there and stops.  Returns the started
+    queries."""
     ensure_utc(spark)
 
     def read(which: str) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +235,15 @@ def start_detector_job(spark: SparkSession, source: str, output: str, checkpoint
     writer = outcomes.writeStream.outputMode("append").option("checkpointLocation", checkpoint) \
         .foreachBatch(sink)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
-    q = writer.start()
+    # Processing-time timers ask for one more batch without end, so a run over
+    # what is there would never stop; what falls due later is for the next run.
+    before = spark.conf.get(_NO_DATA_CONF, "true")
+    if trigger is None or trigger.get("availableNow"):
+        spark.conf.set(_NO_DATA_CONF, "false")
+    try:
+        q = writer.start()
+    finally:
+        spark.conf.set(_NO_DATA_CONF, before)
     bad = read("_quarantine_source")[1]
     quarantine = bad.writeStream.outputMode("append") \
         .option("checkpointLocation", os.path.join(checkpoint, "_quarantine")) \

@@ -32,8 +32,7 @@ def _write(folder, name, lines):
 
 def _wait(queries):
     for q in queries:
-        q.awaitTermination(120)
-        assert q.exception() is None
+        assert q.awaitTermination(120) and q.exception() is None
 
 
 def test_replay_job_emits_once_and_survives_restart(spark, scratch):
