@@ -24,6 +24,7 @@ from connrisk.functions import json_int, json_string, lifecycle_rank, spread, un
 from connrisk.operators.sweep import interval_counts, with_next_time
 from connrisk.schemas import INCIDENT_TYPE, LIFECYCLE
 from connrisk.session import reliable
+from connrisk.sources.event_table import DATE, dates_asked, on_dates
 
 SORTER, MAKEUP, LOADED = "TRANSFER_SORTER_SCAN", "MAKEUP_AREA_SCAN", "CONNECTING_AIRCRAFT_LOADED"
 
@@ -79,11 +80,13 @@ def _key(kind: str, a, b=None):
 
 def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes: int = 60,
                       chunk_ms: int | None = None,
-                      risk_incidents: DataFrame | None = None) -> DataFrame:
+                      risk_incidents: DataFrame | None = None,
+                      key_dates: DataFrame | None = None) -> DataFrame:
     """One evidence row per incident of ``incidents`` (contract columns +
     counts).  Recent risks are counted among ``risk_incidents`` (default: the
     same incidents), so a subset such as the pending incidents can be probed
-    against all stored risks.
+    against all stored risks.  With ``key_dates`` (``sources.event_table``) the
+    dated table ``events`` is read on the dates that can matter only.
 
     All four families (peers ``p``, flight ``f``, zone ``z``, airport risks
     ``r``) share one next-event scan and one sweep: rows carry a string key
@@ -98,6 +101,8 @@ def incident_evidence(incidents: DataFrame, events: DataFrame, lookback_minutes:
     newest = incidents.agg(F.max("detected_at")).first()[0]
     if newest is not None:
         events = events.where(F.col("event_time") <= F.lit(newest))
+    if key_dates is not None:
+        events = on_dates(events, dates_asked(incidents, key_dates, lookback_minutes)).drop(DATE)
     ev = _timed(spread(events))
     types = list(LIFECYCLE)
 
@@ -309,7 +314,7 @@ def detection_reconciliation(expected: DataFrame, incidents: DataFrame, results:
 
 def investigate_pending(incidents: DataFrame, events: DataFrame, stored: DataFrame,
                         lookback_minutes: int = 60, investigated_at: Column | None = None,
-                        risk_incidents: DataFrame | None = None) -> DataFrame:
+                        risk_incidents: DataFrame | None = None, key_dates: DataFrame | None = None) -> DataFrame:
     """The investigation step, for every incident at once.
 
     Incidents (contract form) without a stored result (each id once) that
@@ -325,7 +330,7 @@ def investigate_pending(incidents: DataFrame, events: DataFrame, stored: DataFra
     # Read by the probes of every family and by the result check: stored once.
     valid = reliable(contracts.incident_violations(pending).where(F.size("violations") == 0).drop("violations"))
     ev = incident_evidence(valid, events, lookback_minutes,
-                           risk_incidents=risk_incidents if risk_incidents is not None else incidents)
+                           risk_incidents=risk_incidents if risk_incidents is not None else incidents, key_dates=key_dates)
     res = classify_incidents(ev, keep=("detected_at",))
     checked = contracts.investigation_violations(res, valid).where(F.size("violations") == 0)
     return stored_results(checked, investigated_at)

@@ -1038,3 +1038,15 @@ SELECT make_timestamp(arg_max(timer, (a, event_id)) * 1000) AS deadline, bag_tag
        arg_max(ctx.zone, (a, event_id)) AS transfer_zone, arg_max(scan.type, (a, event_id)) AS last_scan_type
 FROM risky GROUP BY bag_tag_id
 HAVING arg_max(at_risk, (a, event_id)) AND NOT bool_or(at_risk AND fire <= coalesce(next_a, a))"""
+
+
+# --- the dated event table --------------------------------------------------------------
+
+EVENT_BUCKETS = 8
+WEEK = ("2024-01-14 00:00:00", "2024-01-20 23:59:59")
+
+ORACLE["dated_incident_evidence"] = with_ctes(BAG_EVENTS, DETECTOR, EVIDENCE) + f"""
+SELECT * FROM evidence WHERE detected_at BETWEEN TIMESTAMP '{WEEK[0]}' AND TIMESTAMP '{WEEK[1]}'"""
+
+ORACLE["bag_event_counts"] = with_ctes(BAG_EVENTS) + """
+SELECT bag_tag_id, count(*) AS events, min(event_time) AS first_time, max(event_time) AS last_time FROM bag_events GROUP BY bag_tag_id"""

@@ -22,6 +22,7 @@ from connrisk.plans import oracle as O
 from connrisk import schemas
 from connrisk.session import checkpoint_dir, ensure_utc
 from connrisk.sources import envelopes as env_src
+from connrisk.sources.event_table import read_key_dates, write_event_table
 from connrisk.sources.driver_tables import bag_events, damaged_bag_events, late_bag_events, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -555,3 +556,33 @@ def q_stream_arrivals(spark, sf_dir):
 def q_due_timers(spark, sf_dir):
     """Every bag's open deadline at a moment, by (deadline, bag)."""
     return arrivals.due_timers(late_bag_events(spark, sf_dir), O.TIMERS_AS_OF + "Z", O.BUFFER_S)
+
+
+# --- the dated event table --------------------------------------------------------------
+
+def event_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The dated, bucketed events table of ``sf_dir`` and its path, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "event_table")
+    if key not in _MATERIALIZED:
+        mark = uuid.uuid4().hex
+        path = f"{checkpoint_dir(spark).rstrip('/')}/connrisk-tables/baggage_events-{mark}"
+        _MATERIALIZED[key] = (write_event_table(events_table(spark, sf_dir), f"baggage_events_{mark}", path, O.EVENT_BUCKETS), path)
+    return _MATERIALIZED[key]
+
+
+@register("dated_incident_evidence")
+def q_dated_incident_evidence(spark, sf_dir):
+    """Evidence of one week's incidents, read from the dates that can matter to them."""
+    table, path = event_table(spark, sf_dir)
+    everything = incidents_contract(spark, sf_dir)
+    week = everything.where(F.col("detected_at").between(F.lit(O.WEEK[0]).cast("timestamp"), F.lit(O.WEEK[1]).cast("timestamp")))
+    return evidence.incident_evidence(week, table, lookback_minutes=EVIDENCE_LOOKBACK_MIN, risk_incidents=everything,
+                                      key_dates=read_key_dates(spark, path))
+
+
+@register("bag_event_counts")
+def q_bag_event_counts(spark, sf_dir):
+    """Events, first and last time of every bag, from the bucketed table without a shuffle."""
+    table, _ = event_table(spark, sf_dir)
+    return table.groupBy("bag_tag_id").agg(F.count("*").alias("events"), F.min("event_time").alias("first_time"),
+                                           F.max("event_time").alias("last_time"))

@@ -25,6 +25,7 @@ from connrisk.functions import parse_iso_ts
 from connrisk.operators import contracts, detector, evidence, ingest
 from connrisk.schemas import DEFAULT_RISK_BUFFER_SECONDS, EVENT_WIRE_SCHEMA, INCIDENT_WIRE_SCHEMA
 from connrisk.session import ensure_utc, ship_package
+from connrisk.sources.event_table import DATE, read_key_dates, with_date
 from connrisk.streaming import folder_source
 from connrisk.streaming.dedupe import drop_redelivered, event_key, record_key
 from connrisk.streaming.detector import incidents_from_output, rejected_from_output, run_outcomes
@@ -177,13 +178,16 @@ def events_from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def append_table(df: DataFrame, path: str, table: str) -> None:
     """Append rows to an analytical table folder (parquet); empty batches are a no-op."""
-    sorted_table(df, table)[0].write.mode("append").parquet(os.path.join(path, table))
+    sorted_table(df, table)[0].write.mode("append").partitionBy(*([DATE] if table == "baggage_events" else [])) \
+        .parquet(os.path.join(path, table))
 
 
 def sorted_table(df: DataFrame, table: str) -> tuple[DataFrame, Callable[[DataFrame, str], None]]:
     """Rows of an analytical table in its sort order, and how they are written."""
     if table not in SORT_KEYS:
         raise ValueError("table is not allow-listed")
+    if table == "baggage_events":  # dated, so that readers of the published table can prune
+        return with_date(df).sortWithinPartitions(DATE, *SORT_KEYS[table]), lambda out, path: out.write.partitionBy(DATE).parquet(path)
     return df.sortWithinPartitions(*SORT_KEYS[table]), lambda out, path: out.write.parquet(path)
 
 
@@ -371,7 +375,7 @@ def incidents_from_lines(lines: DataFrame) -> DataFrame:
 
 def start_investigation_job(spark: SparkSession, incident_source: str, events_path: str, output: str,
                             checkpoint: str, lookback_minutes: int = 60, risk_incidents_path: str | None = None,
-                            trigger: dict | None = None):
+                            trigger: dict | None = None, event_table_path: str | None = None):
     """Incident stream (JSON lines) -> pending incidents -> evidence over the
     ``baggage_events`` table at ``events_path`` -> labels -> checks ->
     ``investigation_results`` appended per batch.
@@ -379,7 +383,9 @@ def start_investigation_job(spark: SparkSession, incident_source: str, events_pa
     Idempotent per incident: an incident that already has a published result
     is skipped, and so is a batch that is run again after it was published.
     Recent risks are counted in the ``risk_incidents`` table when given, else
-    among the batch's incidents."""
+    among the batch's incidents.  With ``event_table_path`` the events are the
+    table that ``sources.event_table`` wrote there, and a batch reads only the
+    dates that can matter to its incidents (``events_path`` is not read)."""
     ensure_utc(spark)
     lines = spark.readStream.schema(_LINE_SCHEMA).text(incident_source)
     tables = PublishedTables(spark, output, "investigation")
@@ -392,8 +398,9 @@ def start_investigation_job(spark: SparkSession, incident_source: str, events_pa
         if stored is None:
             stored = spark.createDataFrame([], "incident_id string")
         risks = spark.read.parquet(risk_incidents_path) if risk_incidents_path else None
-        rows = evidence.investigate_pending(incidents, spark.read.parquet(events_path), stored,
-                                            lookback_minutes, risk_incidents=risks)
+        dates = read_key_dates(spark, event_table_path) if event_table_path else None
+        events = spark.read.parquet(f"{event_table_path}/rows" if event_table_path else events_path)
+        rows = evidence.investigate_pending(incidents, events, stored, lookback_minutes, risk_incidents=risks, key_dates=dates)
         tables.publish(batch_id, {"investigation_results": sorted_table(rows, "investigation_results")})
 
     return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink) \

@@ -87,4 +87,7 @@ class PublishedTables:
         ``but_batch`` leaves out one batch of this job."""
         folders = [f"{self.root}/{m['folders'][table]}" for m in self.manifests()
                    if table in m["folders"] and not (m["job"] == self.job and m["batch"] == but_batch)]
-        return self.spark.read.format(kind).load(folders) if folders else None
+        if not folders:
+            return None
+        # One relation over all folders: their own partitions below batch and attempt stay columns that can be pruned.
+        return self.spark.read.format(kind).option("basePath", f"{self.root}/{table}").load(folders).drop("batch", "attempt")
