@@ -60,8 +60,7 @@ def load_ranks(path: str) -> list[bytes]:
 
 def hashes_of(pieces: list[bytes]) -> np.ndarray:
     offsets = K.offsets_of([len(p) for p in pieces])
-    prefix = K.prefix_hash(np.frombuffer(b"".join(pieces), np.uint8))
-    return K.span_hashes(prefix, offsets[:-1], offsets[1:])
+    return K.piece_hashes(np.frombuffer(b"".join(pieces), np.uint8), offsets[:-1], offsets[1:])
 
 
 def _scale(h: np.ndarray, n: int) -> np.ndarray:
@@ -228,7 +227,7 @@ class Pretokens:
             return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
         starts = K.pretoken_starts(pieces, buffer, offsets)
         ends = np.append(starts[1:], len(buffer))
-        keys = K.span_hashes(K.prefix_hash(buffer), starts, ends)
+        keys = K.piece_hashes(buffer, starts, ends)
         slots = self.perfect.slots(keys) if self.perfect else np.full(len(keys), -1, np.int64)
         first, count = np.maximum(slots, 0), np.ones(len(keys), np.int64)
         pool, rest = self.pool, np.flatnonzero(slots < 0)

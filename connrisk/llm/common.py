@@ -3,7 +3,8 @@
 * ``start`` prepares a session (package on the workers, bounded Arrow
   batches, checkpoint folder);
 * ``stored`` cuts lineage with a reliable ``checkpoint()`` in the folder
-  named by ``spark.checkpoint.dir``;
+  named by ``spark.checkpoint.dir``; ``written`` with a table there, computed
+  once, whose size the optimizer knows, and ``discard`` deletes it again;
 * ``texts`` reads an Arrow text column as Python ``bytes``;
 * ``components`` labels connected components with min-label propagation and
   pointer jumping, one checkpoint per round.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import gc
 import time
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +82,29 @@ def stored(df: DataFrame) -> DataFrame:
         spark.conf.set(_CONSTRAINTS, before)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared folder and read back.
+
+    A checkpoint computes its rows twice, once to run and once to write, and
+    hides their size.  A table is computed once, and small ones are joined
+    without a shuffle.  It stays until ``discard``."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that nothing reads any more; what ``written`` did not make is left alone."""
+    for table_ in tables:
+        path = getattr(table_, "_written_at", None)
+        if path:
+            where = table_.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table_.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread_scan(df: DataFrame) -> DataFrame:
     """More partitions when a scan has fewer than the session has cores."""
     return spread(df)
@@ -106,19 +131,20 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "id", src: str =
     the reach.  Only nodes that have links take part in the rounds.
     """
     pairs = links.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")))
-    while True:
+    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    new = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("n")).select("a", "n", F.col("a").alias("l")))
+    while new.where("n <> l").limit(1).count():
+        labels = new.select("a", F.col("n").alias("l"))
         near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("n"))
         step = labels.join(near, "a", "left").select("a", "l", F.least("l", F.coalesce("n", "l")).alias("m"))
         jump = step.select(F.col("a").alias("m"), F.col("m").alias("j"))
         # Label m is itself a node, so its own new label is read by a join; a
         # popular label is a hot key on the left, which AQE splits, and one
         # row on the right.
-        new = stored(step.join(jump, "m", "left").select("a", F.least("m", F.coalesce("j", "m")).alias("n"), "l"))
-        changed = new.where("n <> l").limit(1).count()
-        labels = new.select("a", F.col("n").alias("l"))
-        if not changed:
-            break
+        after = written(step.join(jump, "m", "left").select("a", F.least("m", F.coalesce("j", "m")).alias("n"), "l"))
+        discard(new)
+        new = after
+    discard(both)
+    labels = new.select("a", F.col("n").alias("l"))
     found = labels.select(F.col("a").alias(node), F.col("l").alias(out))
     return nodes.select(node).join(found, node, "left").select(node, F.coalesce(out, node).alias(out))

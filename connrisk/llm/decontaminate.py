@@ -52,7 +52,7 @@ def _word_hashes(whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     offsets = K.offsets_of([len(t) for t in whole])
     buffer = K.lower_ascii(np.frombuffer(b"".join(whole), np.uint8))
     starts, ends, first = K.words(buffer, offsets)
-    return K.span_hashes(K.prefix_hash(buffer), starts, ends), first
+    return K.piece_hashes(buffer, starts, ends), first
 
 
 def _seed_hashes(word: np.ndarray, mask: str) -> np.ndarray:

@@ -36,14 +36,17 @@ Defined cases
 * words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text with fewer
   words than a shingle is one shingle; null, empty or blank texts have no
   shingles, link with nothing and are their own component;
-* repeated rows (same doc_id) each come back; null doc_id: takes no part in
-  links, null component;
+* repeated rows each come back, with one component if id and text are equal
+  (``keep_one`` keeps or drops them alike); rows of one doc_id with different
+  texts are judged each by its own text; null doc_id: takes no part in links,
+  null component;
 * ties: the smallest doc_id names the component; very long texts: whole;
 * empty table: empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,12 +55,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from connrisk.llm import textkernels as K
-from connrisk.llm.common import collect_garbage, components, spread_scan, start, stored, texts
+from connrisk.llm.common import collect_garbage, components, discard, spread_scan, start, texts, written
 
 U64 = np.uint64
 SEEDS = 6
 #: Bit sketches have a power of two of bits, at least the number of shingles.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: Sets that a task remembers to have dealt.
+REMEMBERED = 200_000
 #: Sets of one key that a task compares with as many others at once.
 BLOCK = 2_000
 
@@ -177,28 +182,37 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n, sid)``: the size of each document's set and its id."""
+    """``(doc_id, text_md5, n, sid)``: the address of each document's text, the size of its set and the set's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sid = [], []
-            for _, sets in _sets(batch, 1, k):
+            for _, sets in _sets(batch, 2, k):
                 n += [len(s) for s in sets]
                 sid += [set_id(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], ["doc_id", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sid, pa.int64())],
+                                             ["doc_id", "text_md5", "n", "sid"])
 
-    return spread_scan(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n long, sid long")
+    return spread_scan(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", F.md5("text").alias("text_md5"), "text") \
+        .mapInArrow(run, "doc_id long, text_md5 string, n long, sid long")
 
 
 def signature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``(key, sid)``: the parts of every set's sketch in all its bands."""
+    """``(key, sid)``: the parts of every set's sketch in all its bands, from a
+    task once for each of the last ``REMEMBERED`` sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
+        done: set[int] = set()
         for batch in batches:
-            for _, sets in _sets(batch, 0, k):
+            for _, found in _sets(batch, 0, k):
+                ids = {set_id(s): s for s in found if len(s)}
+                fresh = [i for i in ids if i not in done]
+                done = done if len(done) < REMEMBERED else set()
+                done.update(fresh)
+                sets = [ids[i] for i in fresh]
                 key, owner = part_rows(sets, bands)
-                sid = np.array([set_id(s) if len(s) else 0 for s in sets], np.int64)
+                sid = np.array(fresh, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(sid[owner])], ["key", "sid"])
 
     return spread_scan(docs.select("doc_id", "text")).where("doc_id is not null").select("text").mapInArrow(
@@ -329,7 +343,7 @@ def link_sets(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFr
     """
     rows = signature_rows(docs, k, percent)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = stored(rows.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(
+    members = written(rows.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(
         _members, "key long, pivot long, sid long"))
     star = members.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
 
@@ -348,10 +362,12 @@ def link_sets(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFr
                      pa.array([bit_sketch(sets[i]) for i in own], pa.binary()),
                      pa.array([sets[i].tobytes() for i in own], pa.binary())], ["sid", "n", "sketch", "shingles"])
 
-    sets = stored(docs.select(F.col("doc_id").cast("long").alias("holder"), "text").join(chosen, "holder").select("sid", "text")
+    sets = written(docs.select(F.col("doc_id").cast("long").alias("holder"), "text").join(chosen, "holder").select("sid", "text")
                   .mapInArrow(read, "sid long, n long, sketch binary, shingles binary").dropDuplicates(["sid"]))
     sketches = sets.select("sid", "n", "sketch")
-    links = stored(_verify(_close(star, sketches, percent), sets.select("sid", "shingles"), percent))
+    collect_garbage(docs.sparkSession)  # lets go of the shuffled rows
+    found = [written(_verify(_close(star, sketches, percent), sets.select("sid", "shingles"), percent))]
+    links = found[0]
 
     # Keys that still hold several components among the sets that only met the pivot.
     labels = components(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(),
@@ -366,44 +382,53 @@ def link_sets(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFr
         "key", "sid", "label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"),
         F.col("block").alias("side"))
     # A block meets itself once (i = j) and each other block once (i < j).
-    frame = stored(grouped.join(sketches, "sid").select(
+    frame = written(grouped.join(sketches, "sid").select(
         *_PLACE, "sid", "n", "label", "side", (F.col("i") != F.col("j")).alias("split"), "sketch"))
     now, low, high = labelled.select("sid", F.col("label").alias("now")).distinct(), 0, 1
     while True:
         # Few bytes and much work in each group: dealt to all tasks, whatever the size.
         dealt = frame.join(now, "sid").repartition(parts, *_PLACE).sortWithinPartitions(*_PLACE).select(*_PLACE, *_FRAME)
-        out = stored(dealt.mapInArrow(_cross(percent, low, high), "a long, b long, key long, i int, j int"))
-        more = stored(_verify(out.where("a is not null").select("a", "b").distinct(), sets.select("sid", "shingles"), percent))
-        links = links.unionByName(more)
+        out = written(dealt.mapInArrow(_cross(percent, low, high), "a long, b long, key long, i int, j int"))
+        more = written(_verify(out.where("a is not null").select("a", "b").distinct(), sets.select("sid", "shingles"), percent))
+        found.append(more)
         rest = out.where("a is null").select(*_PLACE)
         if not rest.limit(1).count():
-            return stored(links)
-        frame = stored(frame.join(rest, _PLACE, "left_semi"))
+            break
+        before, frame = frame, written(frame.join(rest, _PLACE, "left_semi"))
+        discard(before, out)
         ends = lambda c: now.select(F.col("sid").alias(c), F.col("now").alias("n" + c))
         bound = more.join(ends("a"), "a").join(ends("b"), "b").select("na", "nb")
         nodes = bound.select(F.col("na").alias("now")).unionByName(bound.select(F.col("nb").alias("now"))).distinct()
         renamed = components(nodes, bound, node="now", src="na", dst="nb", out="new")
-        now = stored(now.join(renamed, "now", "left").select("sid", F.coalesce("new", "now").alias("now")))
-        low, high = high, 3 * high
+        now = written(now.join(renamed, "now", "left").select("sid", F.coalesce("new", "now").alias("now")))
+        low, high = high, 4 * high
+    discard(members, sets, frame, out)
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row for each document."""
+    """``(doc_id, n_shingles, component_id, text_md5)``, one row for each document."""
     start(docs.sparkSession)
-    table = stored(set_table(docs, k))
+    table = written(set_table(docs, k))
     links = link_sets(docs, table, k, percent)
     nodes = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).distinct()
     labels = components(nodes, links, node="sid", src="a", dst="b", out="label")
-    known = table.join(labels, "sid", "left").select("doc_id", "n", F.coalesce("label", "sid").alias("label"))
+    known = table.join(labels, "sid", "left").select("doc_id", "text_md5", "n", F.coalesce("label", "sid").alias("label"))
     smallest = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     collect_garbage(docs.sparkSession)
     # A component with a third of all rows is a hot key on the left, which AQE splits; it is one row on the right.
     return known.join(smallest, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), "text_md5")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the smallest doc_id."""
-    dropped = join(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = join(docs, k, percent).where("component_id <> doc_id").select("doc_id", "text_md5").distinct()
+    mark, key, text = (f"_{name}_{uuid.uuid4().hex}" for name in ("md5", "id", "other"))  # names that no column has
+    gone = dropped.select(F.col("doc_id").alias(key), F.col("text_md5").alias(text))
+    marked = docs.withColumn(mark, F.md5("text"))
+    return marked.join(gone, (F.col("doc_id") == F.col(key)) & F.col(mark).eqNullSafe(F.col(text)), "left_anti").select(*docs.columns)

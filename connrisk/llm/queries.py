@@ -45,7 +45,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles are 90 % alike."""
     from connrisk.llm.ngram_join import join
 
-    return join(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return join(table(spark, sf_dir, "documents"), k=3, percent=90).drop("text_md5")
 
 
 ORACLE["op3_ngram_join"] = r"""

@@ -7,8 +7,11 @@ words or documents.
 * ``split_batches`` cuts a batch into pieces of bounded size;
 * ``pretoken_starts`` splits texts like the byte-level BPE pattern
   ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``;
-* ``span_hashes`` gives a 64-bit hash of any spans of the buffer from one
-  prefix sum; ``words`` finds maximal runs of non-blank bytes;
+* ``piece_hashes`` gives a 62-bit hash of disjoint pieces of the buffer, two
+  polynomials modulo a prime; ``span_hashes`` one of any spans from a prefix
+  sum modulo 2**64, for which texts with equal hashes can be built, so it is
+  only for windows that are told apart by more than it;
+* ``words`` finds maximal runs of non-blank bytes;
 * ``ragged`` gathers variable-length slices of a pool.
 """
 
@@ -68,6 +71,53 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+#: A Mersenne prime, so remainders are shifts and sums; the bases and byte values are below it.
+PRIME_BITS = 31
+PRIME = (1 << PRIME_BITS) - 1
+PIECE_BASES = (1_220_703_125, 1_977_326_743)
+
+
+@lru_cache(maxsize=2)
+def _piece_values(base: int) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=U64), base) % U64(PRIME - 1) + U64(1)
+
+
+_PIECE_POWERS: dict[int, np.ndarray] = {}
+
+
+def _fold_prime(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same remainder."""
+    return (x & U64(PRIME)) + (x >> U64(PRIME_BITS))
+
+
+def _piece_powers(base: int, n: int) -> np.ndarray:
+    have = _PIECE_POWERS.get(base, np.ones(1, U64))
+    while len(have) < n:
+        step = U64(pow(base, len(have), PRIME))
+        have = np.concatenate([have, _fold_prime(_fold_prime(have * step)) % U64(PRIME)])
+    _PIECE_POWERS[base] = have
+    return have
+
+
+def piece_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each piece's bytes and length, the same wherever it stands.
+    Pieces hold a byte at least; two that differ collide with a chance of about
+    (length / 2**31)**2, whatever their letters' pattern."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    lengths = ends - starts
+    begin = np.cumsum(lengths) - lengths
+    within = np.arange(int(lengths.sum()))
+    letters = buffer[within + np.repeat(starts - begin, lengths)]
+    within -= np.repeat(begin, lengths)
+    out = np.zeros(len(starts), U64)
+    for base in PIECE_BASES:
+        terms = _fold_prime(_piece_values(base)[letters] * _piece_powers(base, int(lengths.max()))[within])
+        sums = _fold_prime(_fold_prime(np.add.reduceat(terms, begin))) % U64(PRIME)
+        out = (out << U64(PRIME_BITS)) | sums
+    return mix(out + (lengths.astype(U64) << U64(2 * PRIME_BITS)), 0x91ECE)
+
+
 def split_batches(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of about ``limit`` bytes, one text at least."""
     at, size = 0, 0
@@ -240,7 +290,7 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     offsets = offsets_of([len(t) for t in texts])
     buffer = lower_ascii(np.frombuffer(b"".join(texts), np.uint8))
     starts, ends, first = words(buffer, offsets)
-    word = span_hashes(prefix_hash(buffer), starts, ends)
+    word = piece_hashes(buffer, starts, ends)
     rolled = np.zeros(len(word), U64)
     for j in range(min(k, len(word))):
         rolled[: len(word) - j] += mix(word[j:], j + 1) if j else word

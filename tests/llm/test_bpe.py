@@ -95,3 +95,11 @@ def test_unknown_ids_raise():
 def test_empty_and_null_tables(no_docs, null_docs):
     assert bpe.round_trip(no_docs, PATH).count() == 0
     assert [r.n_tokens for r in bpe.round_trip(null_docs, PATH).collect()].count(0) == 2
+
+
+def test_pretokens_with_equal_polynomials_in_one_batch(library):
+    """A Thue-Morse word and its complement."""
+    words = ["".join(letters[bin(i).count("1") & 1] for i in range(1024)) for letters in ("ab", "ba")]
+    codec = bpe.codec(PATH)
+    ids, counts = codec.encode([w.encode() for w in words])
+    assert ids.tolist() == [i for w in words for i in library.encode_ordinary(w)] and counts.sum() == len(ids)
