@@ -41,6 +41,8 @@ from connrisk.llm.common import spread_scan, start, texts
 U64 = np.uint64
 #: Masks over consecutive words, 1 = selected.
 MASKS = ("11111", "110111", "111011", "1101011", "11001101", "10110011")
+#: Masks for items of so many words only, whose places of substitutions the others do not all leave out.
+SHORT_MASKS = {5: ("1111", "10111", "11011", "11101"), 6: ("101111", "111101")}
 MIN_WORDS = 10
 IDENTITY = 80
 BLOCK_BYTES = 8 << 20
@@ -75,16 +77,19 @@ class Block:
         self.word, self.first = _word_hashes([t for _, t in items])
         sizes = np.diff(self.first)
         shortest = min(map(len, MASKS))
-        self.masks = list(MASKS) + ["1" * n for n in range(1, shortest) if (sizes == n).any()]
+        # Each mask with the size of the items that it is for, None for all.
+        only = [("1" * n, n) for n in range(1, shortest)] + [(m, n) for n, masks in SHORT_MASKS.items() for m in masks]
+        dealt = [(m, None) for m in MASKS] + [(m, n) for m, n in only if (sizes == n).any()]
+        self.masks = list(dict.fromkeys(m for m, _ in dealt))
         key, item, place = [], [], []
         owner = np.repeat(np.arange(len(items)), sizes)
-        for mask in self.masks:
+        for mask, size in dealt:
             h = _seed_hashes(self.word, mask)
             at = np.arange(len(h))
             own = owner[: len(h)]
             inside = at + len(mask) <= self.first[own + 1] if len(h) else np.zeros(0, bool)
-            if len(mask) < shortest:
-                inside &= sizes[own] == len(mask)
+            if size is not None:
+                inside &= sizes[own] == size
             key.append(h[inside])
             item.append(own[inside])
             place.append((at - self.first[own])[inside])

@@ -27,6 +27,7 @@ Defined cases
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -166,10 +167,11 @@ def apply_bitmap(text: bytes, keep: bytes | None) -> tuple[int, int, bytes]:
 
 
 def _with_bitmaps(docs: DataFrame, min_chars: int) -> DataFrame:
-    keyed = docs.withColumn("__row_key", _row_key())
-    maps = keep_bitmaps(docs, min_chars).select(
-        F.col("doc_id").alias("__doc_id"), F.col("row_key").alias("__map_key"), F.col("keep").alias("__keep"))
-    return keyed.join(maps, (F.col("doc_id") == F.col("__doc_id")) & (F.col("__row_key") == F.col("__map_key")), "left")
+    """The columns of ``docs`` and, as the last one, the bitmap of each row."""
+    row, doc, key, keep = (f"_{name}_{uuid.uuid4().hex}" for name in ("row", "doc", "key", "keep"))  # names that no column has
+    keyed = docs.withColumn(row, _row_key())
+    maps = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.col("keep").alias(keep))
+    return keyed.join(maps, (F.col("doc_id") == F.col(doc)) & (F.col(row) == F.col(key)), "left").select(*docs.columns, keep)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -178,14 +180,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, k = batch.schema.get_field_index("text"), batch.schema.get_field_index("__keep")
+            at, k = batch.schema.get_field_index("text"), batch.num_columns - 1
             column = batch.column(at)
             done = [None if gone else apply_bitmap(t, b)[2].decode("utf-8", "replace")
                     for t, b, gone in zip(texts(column), batch.column(k).to_pylist(), null_mask(column), strict=True)]
-            arrays = [pa.array(done, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if i != k]
-            yield pa.RecordBatch.from_arrays(arrays, [n for n in batch.schema.names if n != "__keep"])
+            arrays = [pa.array(done, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:k])]
+            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:k])
 
-    return _with_bitmaps(docs, min_chars).select(*docs.columns, "__keep").mapInArrow(run, docs.schema)
+    return _with_bitmaps(docs, min_chars).mapInArrow(run, docs.schema)
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -199,5 +201,5 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                  pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string())],
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return _with_bitmaps(docs.select("doc_id", "text"), min_chars).select("doc_id", "text", "__keep").mapInArrow(
+    return _with_bitmaps(docs.select("doc_id", "text"), min_chars).mapInArrow(
         run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -139,7 +139,8 @@ class Tokenizer:
 
     Byte-level BPE encodes every match of its split pattern by itself, so the
     ids of a text are those of its pre-tokens, and a bounded table of them
-    saves most calls.
+    saves most calls.  The library finds its added tokens in a text before it
+    splits; a text that holds one of their strings is encoded by it as a whole.
     """
 
     def __init__(self, path: str):
@@ -147,7 +148,8 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         library = Library.from_file(path)
-        library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library = library
+        self.added = [t.content.encode() for t in library.get_added_tokens_decoder().values() if t.content]
 
         def resolve(pieces: list[bytes]) -> list[list[int]]:
             return [e.ids for e in library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
@@ -155,6 +157,18 @@ class Tokenizer:
         self.size = library.get_vocab_size(with_added_tokens=True)
         self.pretokens = Pretokens([], resolve)
 
+    def ids(self, whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has."""
+        odd = [i for i, t in enumerate(whole) if any(a in t for a in self.added)]
+        if not odd:
+            return self.pretokens.ids(whole)
+        gone = set(odd)
+        flat, counts = self.pretokens.ids([b"" if i in gone else t for i, t in enumerate(whole)])
+        parts = np.split(flat, np.cumsum(counts)[:-1])
+        for i in odd:
+            parts[i] = np.array(self.library.encode(whole[i].decode(), add_special_tokens=False).ids, np.int32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
@@ -191,7 +205,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         for batch in batches:
             doc_ids, whole = batch.column(0).to_pylist(), texts(batch.column(1))
             for a, b in K.split_batches(whole):
-                ids, counts = own.pretokens.ids(whole[a:b])
+                ids, counts = own.ids(whole[a:b])
                 at = K.offsets_of(counts)
                 payloads = []
                 for i in range(b - a):

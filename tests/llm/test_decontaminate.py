@@ -48,6 +48,34 @@ def test_short_items_need_all_their_words(llm):
     assert sorted((r.doc_id, r.start_word, r.n_words) for r in D.find_leaks(df, bench).collect()) == [(1, 2, 3), (3, 0, 3)]
 
 
+def every_diagonal(text, item):
+    """Whether some alignment of the item has a similar stretch that counts."""
+    own, target = ascii_upper(text).split(), ascii_upper(item).split()
+    for d in range(-len(target) + 1, len(own)):
+        low, high = max(0, -d), min(len(target), len(own) - d)
+        equal = np.array([own[d + j] == target[j] for j in range(low, high)], bool)
+        a, b = D.longest_similar(equal, 80)
+        if int(equal[a:b].sum()) >= min(10, -(-80 * len(target) // 100)) > 0:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("n", range(1, 10))
+def test_every_single_substitution_that_the_rule_admits(llm, n):
+    words = [f"w{j}" for j in range(n)]
+    rows = [(j, " ".join(["x", *words[:j], "zz", *words[j + 1 :], "y"])) for j in range(n)] + [(100, "x " + " ".join(words)), (101, "x y z")]
+    rows += [(200 + j, " ".join(words[:j] + words[j + 1 :])) for j in range(n)]
+    block = D.Block([(7, " ".join(words).encode())])
+    found = {rows[leak[0]][0] for leak in block.leaks([t.encode() for _, t in rows])}
+    assert found == {i for i, t in rows if every_diagonal(t, " ".join(words))}
+    assert 100 in found and (n < 5 or set(range(n)) <= found)
+
+
+def test_words_with_equal_polynomials_are_not_taken_for_one_another():
+    one, two = ("".join(letters[bin(i).count("1") & 1] for i in range(1024)) for letters in ("ab", "ba"))
+    assert not D.Block([(1, one.encode())]).leaks([two.encode()]) and D.Block([(1, one.encode())]).leaks([one.encode()])
+
+
 def test_longest_similar_stretch():
     rng = np.random.default_rng(0)
     for _ in range(500):

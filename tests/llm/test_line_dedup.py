@@ -61,3 +61,11 @@ def test_bitmaps_are_compressed_bits(docs, documents):
 def test_empty_and_null_tables(no_docs, null_docs):
     assert line_dedup.line_report(no_docs).count() == 0
     assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.line_report(null_docs).collect()) == [(None, 1, 0)] * 4
+
+
+def test_columns_of_any_name(llm):
+    names = ["__keep", "__doc_id", "__map_key", "__row_key", "keep", "pos", "row_key"]
+    line = "a line that stands in both of them"
+    df = llm.createDataFrame([(1, line, *names), (2, line + "\nown line", *names)], ["doc_id", "text", *names])
+    kept = line_dedup.dedup_lines(df)
+    assert kept.schema == df.schema and sorted(tuple(r) for r in kept.collect()) == [(1, line, *names), (2, "own line", *names)]

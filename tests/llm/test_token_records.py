@@ -17,9 +17,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def library():
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(PATH)
 
 
 def slow_crc(data):
@@ -73,3 +71,17 @@ def test_empty_and_null_tables(llm, no_docs, null_docs):
     folder = R.new_folder(llm)
     rows = R.record_digests(llm, folder, R.write_records(null_docs, PATH, folder, end_id=2)).collect()
     assert len(rows) == 4 and {r.doc_id for r in rows} == {None} and min(r.n_tokens for r in rows) == 1
+
+
+def test_added_tokens_are_found_as_the_library_finds_them(library):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "plain", "", "a<|endoftext|><|endoftext|>b  <|endoftext|", "é <|endoftext|>\n\n z", " <|endoftext|> "]
+    ids, counts = R.tokenizer(PATH).ids([t.encode() for t in texts])
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+    assert 50256 in expected[0]
+
+
+def test_equal_polynomials(library):
+    words = ["".join(letters[bin(i).count("1") & 1] for i in range(1024)) for letters in ("ab", "ba")]
+    ids, _ = R.tokenizer(PATH).ids([w.encode() for w in words])
+    assert ids.tolist() == [i for w in words for i in library.encode(w, add_special_tokens=False).ids]
