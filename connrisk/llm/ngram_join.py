@@ -22,7 +22,11 @@ sets of sizes a <= b have a >= percent/100 * b and differ in at most
 3. One shuffle by row key, sorted: streaming past each key gives every further
    set with the key's first one (its pivot).  Hot keys need no memory.
 4. Pairs with a pivot are compared, first by the Hamming distance of their bit
-   sketches, then exactly; components of these links are labelled.
+   sketches, then exactly; components of these links are labelled.  Texts are
+   read again only for the pairs that their sketches allow.  Keys that hold a
+   component and sets outside of it get a second pivot for each of these: a
+   set of the component, another one in every key, so that a set of a group
+   of near copies meets as many of them as it has keys.
 5. Only where a key holds sets of different components that were not compared
    yet, bit sketches are compared in blocks inside a task, each set outside
    the key's largest component against the others.  Partners that pass are
@@ -182,19 +186,21 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, text_md5, n, sid)``: the address of each document's text, the size of its set and the set's id."""
+    """``(doc_id, text_md5, n, sid, sketch)``: the address of each document's text, the size of its set, the set's id and bit sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sid = [], []
+            n, sid, sketch = [], [], []
             for _, sets in _sets(batch, 2, k):
                 n += [len(s) for s in sets]
                 sid += [set_id(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sid, pa.int64())],
-                                             ["doc_id", "text_md5", "n", "sid"])
+                sketch += [bit_sketch(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sketch, pa.binary())],
+                ["doc_id", "text_md5", "n", "sid", "sketch"])
 
     return spread_scan(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", F.md5("text").alias("text_md5"), "text") \
-        .mapInArrow(run, "doc_id long, text_md5 string, n long, sid long")
+        .mapInArrow(run, "doc_id long, text_md5 string, n long, sid long, sketch binary")
 
 
 def signature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -240,10 +246,27 @@ def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets really reach the threshold."""
-    one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
-    two = one.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+def _shingles_of(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``(sid, shingles)`` of the sets ``asked`` for, ``(sid, holder)``, from the texts of their holders."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sid = batch.column(0).to_pylist()
+            for a, sets in _sets(batch, 1, k):
+                # A holder's other rows can have other texts.
+                own = [i for i, s in enumerate(sets) if len(s) and set_id(s) == sid[a + i]]
+                yield pa.RecordBatch.from_arrays([pa.array([sid[a + i] for i in own], pa.int64()),
+                                                  pa.array([sets[i].tobytes() for i in own], pa.binary())], ["sid", "shingles"])
+
+    texts_ = docs.select(F.col("doc_id").cast("long").alias("holder"), "text").join(asked, "holder").select("sid", "text")
+    return texts_.mapInArrow(read, "sid long, shingles binary").dropDuplicates(["sid"])
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose sets really reach the threshold, as a written table.
+
+    Every step is a table of known size, so that few pairs take no shuffle of
+    all texts or sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +278,40 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = written(pairs)
+    if not pairs.limit(1).count():
+        return pairs
+    ids = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
+    asked = written(nodes.select("sid", "holder").join(ids, "sid", "left_semi"))
+    sets = written(_shingles_of(asked, docs, k))
+    one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
+    two = one.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+    out = written(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    discard(pairs, ids, asked, sets)
+    return out
+
+
+def _merged(now: DataFrame, links: DataFrame) -> DataFrame:
+    """``(sid, now)`` with the labels that ``links`` bring together made one: a written table instead of ``now``."""
+    if not links.limit(1).count():
+        return now
+    ends = lambda c: now.select(F.col("sid").alias(c), F.col("now").alias("n" + c))
+    bound = links.join(ends("a"), "a").join(ends("b"), "b").select("na", "nb")
+    nodes = bound.select(F.col("na").alias("now")).unionByName(bound.select(F.col("nb").alias("now"))).distinct()
+    renamed = components(nodes, bound, node="now", src="na", dst="nb", out="new")
+    after = written(now.join(renamed, "now", "left").select("sid", F.coalesce("new", "now").alias("now")))
+    discard(now)
+    return after
+
+
+def _second_pivots(members: DataFrame, now: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of a set ``a`` of a key's largest component, if that has
+    several, and a set ``b`` of each of the key's other components."""
+    pick = F.min(F.struct(F.xxhash64("key", "sid").alias("h"), "sid"))["sid"]
+    heads = members.join(now, "sid").groupBy("key", "now").agg(F.count("*").alias("m"), pick.alias("sid"))
+    largest = heads.groupBy("key").agg(F.count("*").alias("c"), F.max(F.struct("m", "sid")).alias("top")).where(
+        "c > 1 and top.m > 1").select("key", F.col("top.sid").alias("a"))
+    return heads.join(largest, "key").where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
 
 
 _PLACE = ["key", "i", "j"]
@@ -346,34 +402,20 @@ def link_sets(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFr
     members = written(rows.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(
         _members, "key long, pivot long, sid long"))
     star = members.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-
-    # One document of each set that shares a key, read again for its shingles.
-    wanted = star.select(F.col("a").alias("sid")).unionByName(star.select(F.col("b").alias("sid"))).distinct()
-    holders = table.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("holder"))
-    chosen = wanted.join(holders, "sid")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sid = batch.column(0).to_pylist()
-            for a, sets in _sets(batch, 1, k):
-                own = [i for i, s in enumerate(sets) if len(s) and set_id(s) == sid[a + i]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([sid[a + i] for i in own], pa.int64()), pa.array([len(sets[i]) for i in own], pa.int64()),
-                     pa.array([bit_sketch(sets[i]) for i in own], pa.binary()),
-                     pa.array([sets[i].tobytes() for i in own], pa.binary())], ["sid", "n", "sketch", "shingles"])
-
-    sets = written(docs.select(F.col("doc_id").cast("long").alias("holder"), "text").join(chosen, "holder").select("sid", "text")
-                  .mapInArrow(read, "sid long, n long, sketch binary, shingles binary").dropDuplicates(["sid"]))
-    sketches = sets.select("sid", "n", "sketch")
     collect_garbage(docs.sparkSession)  # lets go of the shuffled rows
-    found = [written(_verify(_close(star, sketches, percent), sets.select("sid", "shingles"), percent))]
-    links = found[0]
 
-    # Keys that still hold several components among the sets that only met the pivot.
-    labels = components(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(),
-                        links, src="a", dst="b", out="label")
-    labelled = members.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select(
-        "key", "sid", F.coalesce("label", "sid").alias("label"))
+    # The sets that share a key, each with one document that holds it.
+    wanted = star.select(F.col("a").alias("sid")).unionByName(star.select(F.col("b").alias("sid"))).distinct()
+    nodes = written(table.where("sid is not null and doc_id is not null").groupBy("sid").agg(
+        F.min("doc_id").alias("holder"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(wanted, "sid", "left_semi"))
+    sketches = nodes.select("sid", "n", "sketch")
+    found = [_verify(_close(star, sketches, percent), nodes, docs, k, percent)]
+    now = _merged(nodes.select("sid", F.col("sid").alias("now")), found[0])
+    found.append(_verify(_close(_second_pivots(members, now), sketches, percent), nodes, docs, k, percent))
+    now = _merged(now, found[1])
+
+    # Keys that still hold several components among the sets that only met the pivots.
+    labelled = members.join(now, "sid").select("key", "sid", F.col("now").alias("label"))
     open_keys = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where(
         "m > 1 and x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     dealt = labelled.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
@@ -384,25 +426,21 @@ def link_sets(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFr
     # A block meets itself once (i = j) and each other block once (i < j).
     frame = written(grouped.join(sketches, "sid").select(
         *_PLACE, "sid", "n", "label", "side", (F.col("i") != F.col("j")).alias("split"), "sketch"))
-    now, low, high = labelled.select("sid", F.col("label").alias("now")).distinct(), 0, 1
+    low, high = 0, 1
     while True:
         # Few bytes and much work in each group: dealt to all tasks, whatever the size.
         dealt = frame.join(now, "sid").repartition(parts, *_PLACE).sortWithinPartitions(*_PLACE).select(*_PLACE, *_FRAME)
         out = written(dealt.mapInArrow(_cross(percent, low, high), "a long, b long, key long, i int, j int"))
-        more = written(_verify(out.where("a is not null").select("a", "b").distinct(), sets.select("sid", "shingles"), percent))
+        more = _verify(out.where("a is not null").select("a", "b").distinct(), nodes, docs, k, percent)
         found.append(more)
         rest = out.where("a is null").select(*_PLACE)
         if not rest.limit(1).count():
             break
         before, frame = frame, written(frame.join(rest, _PLACE, "left_semi"))
         discard(before, out)
-        ends = lambda c: now.select(F.col("sid").alias(c), F.col("now").alias("n" + c))
-        bound = more.join(ends("a"), "a").join(ends("b"), "b").select("na", "nb")
-        nodes = bound.select(F.col("na").alias("now")).unionByName(bound.select(F.col("nb").alias("now"))).distinct()
-        renamed = components(nodes, bound, node="now", src="na", dst="nb", out="new")
-        now = written(now.join(renamed, "now", "left").select("sid", F.coalesce("new", "now").alias("now")))
+        now = _merged(now, more)
         low, high = high, 4 * high
-    discard(members, sets, frame, out)
+    discard(members, nodes, frame, out, now)
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
@@ -415,7 +453,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     table = written(set_table(docs, k))
     links = link_sets(docs, table, k, percent)
     nodes = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).distinct()
-    labels = components(nodes, links, node="sid", src="a", dst="b", out="label")
+    labels = written(components(nodes, links, node="sid", src="a", dst="b", out="label"))
     known = table.join(labels, "sid", "left").select("doc_id", "text_md5", "n", F.coalesce("label", "sid").alias("label"))
     smallest = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     collect_garbage(docs.sparkSession)
@@ -427,7 +465,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the smallest doc_id."""
-    dropped = join(docs, k, percent).where("component_id <> doc_id").select("doc_id", "text_md5").distinct()
+    dropped = written(join(docs, k, percent).where("component_id <> doc_id").select("doc_id", "text_md5").distinct())
     mark, key, text = (f"_{name}_{uuid.uuid4().hex}" for name in ("md5", "id", "other"))  # names that no column has
     gone = dropped.select(F.col("doc_id").alias(key), F.col("text_md5").alias(text))
     marked = docs.withColumn(mark, F.md5("text"))
