@@ -120,18 +120,19 @@ def null_mask(column: pa.Array) -> list[bool]:
     return column.is_null().to_pylist()
 
 
-def components(nodes: DataFrame, links: DataFrame, node: str = "id", src: str = "src", dst: str = "dst",
+def components(nodes: DataFrame | None, links: DataFrame, node: str = "id", src: str = "src", dst: str = "dst",
                out: str = "component") -> DataFrame:
     """``(node, component)``: the smallest node reachable over ``links``.
 
-    ``nodes`` holds each node once; ``links`` are undirected and may repeat.
+    ``nodes`` holds each node once, without it the nodes are those that a link
+    ties to another one; ``links`` are undirected, may repeat and are read once.
     Each round first takes the smallest label among a node and its
     neighbours (a partial ``min`` per task, so a hub's messages are combined
     before the shuffle), then jumps to the label of its label, which doubles
     the reach.  Only nodes that have links take part in the rounds.
     """
-    pairs = links.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ((src, dst), (dst, src))))
+    both = written(links.where(F.col(src) != F.col(dst)).select(F.explode(ways).alias("way")).select("way.a", "way.b").distinct())
     new = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("n")).select("a", "n", F.col("a").alias("l")))
     while new.where("n <> l").limit(1).count():
         labels = new.select("a", F.col("n").alias("l"))
@@ -147,4 +148,4 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "id", src: str =
     discard(both)
     labels = new.select("a", F.col("n").alias("l"))
     found = labels.select(F.col("a").alias(node), F.col("l").alias(out))
-    return nodes.select(node).join(found, node, "left").select(node, F.coalesce(out, node).alias(out))
+    return found if nodes is None else nodes.select(node).join(found, node, "left").select(node, F.coalesce(out, node).alias(out))

@@ -281,13 +281,13 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
     pairs = written(pairs)
     if not pairs.limit(1).count():
         return pairs
-    ids = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
     asked = written(nodes.select("sid", "holder").join(ids, "sid", "left_semi"))
     sets = written(_shingles_of(asked, docs, k))
     one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
     out = written(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-    discard(pairs, ids, asked, sets)
+    discard(pairs, asked, sets)
     return out
 
 
@@ -297,8 +297,7 @@ def _merged(now: DataFrame, links: DataFrame) -> DataFrame:
         return now
     ends = lambda c: now.select(F.col("sid").alias(c), F.col("now").alias("n" + c))
     bound = links.join(ends("a"), "a").join(ends("b"), "b").select("na", "nb")
-    nodes = bound.select(F.col("na").alias("now")).unionByName(bound.select(F.col("nb").alias("now"))).distinct()
-    renamed = components(nodes, bound, node="now", src="na", dst="nb", out="new")
+    renamed = components(None, bound, node="now", src="na", dst="nb", out="new")
     after = written(now.join(renamed, "now", "left").select("sid", F.coalesce("new", "now").alias("now")))
     discard(now)
     return after
@@ -439,7 +438,8 @@ def link_sets(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFr
         before, frame = frame, written(frame.join(rest, _PLACE, "left_semi"))
         discard(before, out)
         now = _merged(now, more)
-        low, high = high, 4 * high
+        # After a round that found no link all that is left is likely to be compared anyway.
+        low, high = high, (4 if more.limit(1).count() else 16) * high
     discard(members, nodes, frame, out, now)
     links = found[0]
     for more in found[1:]:
@@ -452,8 +452,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     start(docs.sparkSession)
     table = written(set_table(docs, k))
     links = link_sets(docs, table, k, percent)
-    nodes = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).distinct()
-    labels = written(components(nodes, links, node="sid", src="a", dst="b", out="label"))
+    labels = written(components(None, links, node="sid", src="a", dst="b", out="label"))
     known = table.join(labels, "sid", "left").select("doc_id", "text_md5", "n", F.coalesce("label", "sid").alias("label"))
     smallest = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     collect_garbage(docs.sparkSession)
