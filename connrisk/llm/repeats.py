@@ -30,8 +30,9 @@ doesn't repeat would need many times the text in shuffles.
 
 Spark shuffles packed arrays: a task sorts the phrases of about
 ``BATCH_BYTES`` of text, keeps the smallest document of each, settles the
-others of its own at once, and deals the rest to buckets by hash.  So a
-passage in a third of all documents sends one row for each batch.
+others of its own at once, and deals the rest to buckets by hash (a trigger's
+is mixed again, as a smallest hash lies near 0).  So a passage in a third of
+all documents sends one row for each batch.
 
 A short line in a third of all documents makes a trigger with a phrase for each
 of them.  A first pass over the texts sums, for each trigger, the distinct
@@ -119,7 +120,8 @@ class Parse:
         new = np.ones(len(at), bool)
         new[1:] = (mine[1:] != mine[:-1]) | (at[1:] != at[:-1] + 1)
         head = np.flatnonzero(new)
-        self.trigger = mine[head]
+        # The least of many hashes is a small number: mixed again, triggers go evenly to all buckets.
+        self.trigger = K.mix(mine[head], 0x7219)
         self.first, self.last = at[head], at[np.append(head[1:], len(at)) - 1]
         self.phrase = K.span_hashes(self.prefix, self.first, self.last + window)
         self.before = np.searchsorted(self.first, self.offsets)

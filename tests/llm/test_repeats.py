@@ -92,6 +92,19 @@ def test_a_hot_trigger_is_dealt_to_all_buckets(llm, prose, monkeypatch):
     assert sorted(tuple(r) for r in repeats.repeat_report(df).collect()) == sorted(x[:5] for x in brute(rows, 50))
 
 
+def test_buckets_are_even(prose):
+    """A trigger is a smallest hash and so lies near 0; its bucket must not."""
+    parse = repeats.Parse([prose(5000 + i, 400, 2000).encode() for i in range(60)])
+    pack, n = repeats._Packer(32, np.zeros(0, np.uint64)), len(parse.first)
+    doc = np.repeat(np.arange(60), np.diff(parse.before))
+    pack.add(parse.trigger, parse.phrase, doc, np.zeros(n, np.int64), np.arange(n), 1)
+    sizes = np.zeros(32, np.int64)
+    for batch in pack.flush():
+        for r in batch.to_pylist():
+            sizes[r["bucket"]] += 0 if r["settled"] else len(r["low"]) // 8
+    assert sizes.sum() > 3200 and sizes.max() < 2 * sizes.mean()
+
+
 def test_texts_are_cut(docs, documents):
     done = repeats.remove_repeats(docs)
     assert done.schema == docs.schema
