@@ -15,7 +15,9 @@ A task holds one Arrow batch and its sums; the driver holds blocks of ``dim *
 block`` numbers; neither grows with the rows.  Copies are merged in the batch,
 then by Spark's partial aggregation, so a vector held by a third of all rows
 costs one row for each task.  The fit list is a reliable checkpoint, and the
-sums of a lost task are made again from it.
+sums of a lost task are made again from it.  A pass has a task for each
+``PASS_BYTES`` of the fit list (at least one for each core), whatever number of
+partitions the session shuffles to.
 
 Defined cases
 -------------
@@ -55,6 +57,9 @@ BLOCK = 8
 DEGREE, RATIO = 10, 1e8
 #: Residuals, as part of the largest eigenvalue: certified below the first; below the second when rounding keeps them there.
 CERTIFIED, ROUNDING = 2e-15, 1e-12
+#: Bytes of the fit list that a task of a pass reads, and sums of tasks that one task adds up: a pass is a job, and many
+#: passes take no more tasks than their work needs, however many partitions the session shuffles to.
+PASS_BYTES, SUM_ROWS = 32 << 20, 1 << 17
 #: Eigenvalues below this part of the largest are 0.
 ZERO = 1e-12
 _MOST_PASSES = 20_000
@@ -186,6 +191,17 @@ def fit_list(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 
 # --- passes over the fit list -----------------------------------------------------------
 
+def gathered(fit: DataFrame, size: int) -> DataFrame:
+    """The fit list, ``size`` bytes, in partitions for a pass; at least one for each core, if it has as many."""
+    return fit.coalesce(max(fit.sparkSession.sparkContext.defaultParallelism, -(-size // PASS_BYTES)))
+
+
+def _added(parts: DataFrame, slot: str, value: str, size: int) -> DataFrame:
+    """The sum of each of ``size`` slots over the rows that each task made, in as few tasks as they need."""
+    rows = size * parts.rdd.getNumPartitions()
+    return parts.groupBy(slot).agg(F.sum(value).alias(value)).coalesce(-(-rows // SUM_ROWS))
+
+
 def column_sums(fit: DataFrame, dim: int) -> list[int]:
     """Exact sums of the fit list, one for each dimension."""
 
@@ -198,8 +214,8 @@ def column_sums(fit: DataFrame, dim: int) -> list[int]:
         total = [Decimal((h << 32) + v) for h, v in zip(high.tolist(), low.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array(total, pa.decimal128(38, 0))], ["j", "s"])
 
-    rows = fit.select("key").mapInArrow(run, "j int, s decimal(38,0)").groupBy("j").agg(F.sum("s").cast("decimal(38,0)").alias("s"))
-    sums = {r.j: int(r.s) for r in rows.collect()}
+    rows = _added(fit.select("key").mapInArrow(run, "j int, s decimal(38,0)"), "j", "s", dim)
+    sums = {r.j: int(r.s) for r in rows.withColumn("s", F.col("s").cast("decimal(38,0)")).collect()}
     return [sums.get(j, 0) for j in range(dim)]
 
 
@@ -213,7 +229,7 @@ def _summed(fit: DataFrame, size: int, part: Callable[[np.ndarray], np.ndarray],
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["slot", "v"])
 
     out = np.zeros(size)
-    for r in fit.select("key").mapInArrow(run, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v")).collect():
+    for r in _added(fit.select("key").mapInArrow(run, "slot int, v double"), "slot", "v", size).collect():
         out[r.slot] = r.v
     return out
 
@@ -223,11 +239,12 @@ class Whitening:
     (``dim x components``), ``trace``, ``residual`` and ``identity_error``."""
 
     def __init__(self, fit: DataFrame, components: int = COMPONENTS) -> None:
-        size = fit.agg(F.count("*").alias("n"), F.max("dim").alias("d")).first()
+        size = fit.agg(F.count("*").alias("n"), F.max("dim").alias("d"), F.sum(F.octet_length("key")).alias("b")).first()
         self.n, self.dim, self.passes = size.n, size.d or 0, 0
         if not self.n or not self.dim:
             return
         n, dim = self.n, self.dim
+        fit = gathered(fit, size.b)
         self.sums = column_sums(fit, dim)
         mean = self.mean = np.array([s / n for s in self.sums])
         self.trace = float(_summed(fit, 1, lambda c: np.array([np.einsum("ij,ij->", c, c)]), dim, mean)[0]) / n

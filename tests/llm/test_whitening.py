@@ -58,6 +58,40 @@ def test_against_numpy(llm):
     assert len(errors) == 1 and errors.pop() < 1e-9
 
 
+def test_a_pass_takes_few_tasks_however_many_the_session_shuffles_to(llm):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 12)) * np.linspace(2, 0.2, 12))]
+    context, cores = llm.sparkContext, llm.sparkContext.defaultParallelism
+    many, settings = 3 * cores + 7, ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [llm.conf.get(k) for k in settings]
+    try:
+        for k, v in zip(settings, (str(many), "false"), strict=True):
+            llm.conf.set(k, v)
+        fit = W.fit_list(table(llm, rows))
+        assert fit.rdd.getNumPartitions() == many
+        context.setJobGroup("whitening-passes", "")
+        found = W.Whitening(fit)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    finally:
+        for k, v in zip(settings, before, strict=True):
+            llm.conf.set(k, v)
+    status = context.statusTracker()
+    stages = {i for j in status.getJobIdsForGroup("whitening-passes") for i in status.getJobInfo(j).stageIds}
+    tasks = sorted(s.numCompletedTasks for s in map(status.getStageInfo, stages) if s)  # 0: skipped
+    assert found.passes and len(tasks) > found.passes
+    assert tasks[-2] <= cores  # all but the job that measures the fit list
+    centred = np.floor(256 * np.array([v for _, v in rows]))
+    assert np.allclose(found.values, np.linalg.eigvalsh(np.cov(centred.T, bias=True))[::-1][:4], rtol=1e-12)
+
+
+def test_the_fit_list_is_read_in_partitions_by_its_bytes(llm, monkeypatch):
+    fit, cores = llm.range(100).repartition(200), llm.sparkContext.defaultParallelism
+    assert W.gathered(fit, 1).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(W, "PASS_BYTES", 1000)
+    assert W.gathered(fit, 1000 * (cores + 5)).rdd.getNumPartitions() == cores + 5
+    assert W.gathered(fit, 10**9).rdd.getNumPartitions() == 200
+
+
 def test_degenerate_inputs(llm):
     empty = table(llm, [(1, [1.0])]).where("vec_id < 0")
     assert W.whiten(empty).collect() == [] and W.whiten(table(llm, [(1, None), (2, [float("nan")])])).collect() == []
